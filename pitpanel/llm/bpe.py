@@ -16,6 +16,7 @@ import hashlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,9 +190,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     data, names = docs.sparkSession.sparkContext.broadcast(ranks), [c for c in docs.columns if c != "ids"]
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-
+    def ids(texts: pd.Series) -> pd.Series:
         v, out = vocabulary(data.value, pattern), []
         for a in range(0, len(texts), 256):
             out += v.encode([t or "" for t in texts.iloc[a : a + 256]])
@@ -205,9 +204,7 @@ def decode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     data, names = docs.sparkSession.sparkContext.broadcast(ranks), [c for c in docs.columns if c != "decoded"]
 
     @F.pandas_udf("binary")
-    def decoded(ids):
-        import pandas as pd
-
+    def decoded(ids: pd.Series) -> pd.Series:
         v = vocabulary(data.value, pattern)
         return pd.Series([b"" if x is None else v.decode([int(i) for i in x]) for x in ids], index=ids.index)
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -17,28 +17,26 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: A-Z and a-z: only these change when a text is lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-
-#: Entries of a worker's word cache before it starts anew; bounds its memory to some 60 MB.
-WORD_CACHE = 400_000
-
-_hashes: dict[str, int] = {}
-
+_lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that neither its lineage nor its work is repeated.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a local one is set.
+    Only where it is unset, as in tests, a local folder stands in.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder, so that neither its lineage nor its work is repeated."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,15 +44,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word; equal on every executor."""
-    global _hashes
-    if len(_hashes) > WORD_CACHE:
-        _hashes = {}
-    known, digest = _hashes, xxhash.xxh3_64_intdigest
-    for w in set(words).difference(known):
-        known[w] = digest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased on demand; none for null.
+
+    bytes.split() splits at just the bytes 20 and 09-0D, which occur in no longer UTF-8 sequence.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return (data.translate(_lower) if lower else data).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,15 +60,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A 64-bit value for each byte, and the multiplier from one place of a word to the next.
+_BYTE_VALUES = np.where(_IS_SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+_STEP = np.uint64(0xD1342543DE82EF95)
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, in order, and the number of words of each text.
+
+    The hash is a polynomial of the word's bytes, scrambled; it is equal on every executor. All texts are hashed in
+    a few passes over their joined bytes.
+    """
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join([*data, b""])
+    raw = np.frombuffer(joined.translate(_lower) if lower else joined, np.uint8)
+    gap = _IS_SPACE[raw]
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    edges = np.cumsum([0, *(len(x) + 1 for x in data)])
+    counts = np.diff(np.searchsorted(starts, edges))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    lengths = np.diff(np.append(starts, len(raw)))  # with the gap after the word, whose bytes have value 0
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _STEP))
+    return mix(np.add.reduceat(_BYTE_VALUES[raw[starts[0] :]] * powers[place], starts - starts[0])), counts
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each run of k neighbours of h, in order; empty if there are fewer."""
+    """The hash of each run of k neighbours of h (hashes themselves), in order; empty if there are fewer.
+
+    The run's hashes are added up with an odd multiplier for each place and scrambled.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[i : i + n])
-    return out
+    out = np.full(n, k, np.uint64)
+    for i, c in enumerate(mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)):
+        out += h[i : i + n] * c
+    return mix(out)
 
 
 def arrow_type(kind: DataType) -> pa.DataType:

@@ -70,6 +70,24 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return over.unionByName(state.select("source", "prefix", "rest")).select("source", F.col("prefix").alias("cut"))
 
 
+def _hash() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size, h of every row; and s, source_size, target, passes, cut of every source."""
+    rows = checkpointed(docs.select("doc_id", "source", word_count().alias("size"), _hash().alias("h")))
+    passes = F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))), F.lit(MOST_PASSES)).cast("long")
+    budgets = checkpointed(source_targets(rows).withColumn("passes", passes).withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))))
+    cuts = thresholds(rows.filter("size > 0"), budgets).withColumnRenamed("source", "s")
+    plan = budgets.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", F.coalesce("cut", F.lit("")).alias("cut"))
+    return rows, checkpointed(plan)
+
+
+def _times() -> Column:
+    return F.col("passes") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, source, more) with the words the mix takes of it.
 
@@ -80,9 +98,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     The joins to the sources' table (a row per source) carry no hint: Spark broadcasts it only while it is small, and
     splits hot sources otherwise.
     """
-    rows = checkpointed(docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")))
-    targets = source_targets(rows)
-    budgets = checkpointed(targets.withColumn("passes", F.least(F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))), F.lit(MOST_PASSES)).cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))))
-    cuts = thresholds(rows.filter("size > 0"), budgets)
-    plan = budgets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", F.coalesce("cut", F.lit("")).alias("cut"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0))).alias("taken"))
+    rows, plan = _planned(docs)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns.
+
+    Rows without words weigh nothing and are passed on once. The texts are not shuffled.
+    """
+    _, plan = _planned(docs)
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), _hash().alias("h"), word_count().alias("size"))
+    often = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("row", F.when(F.col("size") == 0, 1).otherwise(_times()).cast("int").alias("times"))
+    return often.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col("row").getField(c).alias(c) for c in names])

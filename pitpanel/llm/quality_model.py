@@ -13,10 +13,11 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_columns
+from .common import map_columns, words_of
 from .quality_rules import base_counts
 
 MOST_LABELLED = 20_000
@@ -31,10 +32,11 @@ _CLASSES[128:, 5] = 1
 def statistics(text: str | None) -> list[float]:
     """The STATISTICS of a text; null counts as empty, for which all are 0."""
     text = text or ""
-    n, chars, symbols, dup_lines, repeats = base_counts(text)
+    words = words_of(text)
+    n, chars, symbols, dup_lines, repeats = base_counts(text, words)
     if not n:
         return [0.0, float(np.log1p(len(text))), *[0.0] * (len(STATISTICS) - 2)]
-    words, data = WORD.findall(text), np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     upper, digits, marks, exclaims, stops, high = (np.bincount(data, minlength=256) @ _CLASSES).tolist()
     lengths, lines = np.fromiter(map(len, words), np.int64, n), text.count("\n") + 1
     same = sum(map(eq, words, islice(words, 1, None)))
@@ -145,8 +147,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _good(trees: Trees):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         keep = np.ones(len(texts), bool)

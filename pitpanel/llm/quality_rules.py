@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, map_columns
+from .common import WORD, checkpointed, map_columns, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Base rules: fewest words, and the largest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: The largest false-rejection rate of a stratum over all rules together, and the chance that any bound is wrong.
@@ -35,7 +35,7 @@ RULES = {
 STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 5-word window found at least twice in the text, the first find included."""
     windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
     if len(set(windows)) == len(windows):
@@ -48,12 +48,12 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
+def base_counts(text: str | None, words: list[bytes] | None = None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null has no words."""
     text = text or ""
-    words = WORD.findall(text)
+    words = words_of(text) if words is None else words
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
