@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import panel
+
+QUERIES: dict = {**panel.QUERIES}
+ORACLES: dict = {**panel.ORACLES}
