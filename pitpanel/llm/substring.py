@@ -5,14 +5,16 @@ a window's anchor is the least hash of its 8-word runs, so equal windows have eq
 documents they come from, without any document visiting more than the shards of its own anchors. Consecutive windows
 with one anchor travel together as a segment (they share most of their words).
 
-1. Anchors are counted; only those found twice can hold a repeated window. They set the bits of a filter of fixed size.
-2. Segments whose anchor passes the filter are dealt to shards by anchor, with their words. A task sends a segment
-   at most twice (a third copy changes nothing) and its words once. Anchors that are found extremely often would make
-   one shard large: their windows travel one by one and are dealt by the hash of the whole window.
+1. Segments are summed up by anchor. Only anchors found twice can hold a repeated window. Where all segments of such
+   an anchor are equal, that sum says already that each of their windows repeats; where they differ, they must be
+   searched. The two kinds of anchors set the bits of two filters of fixed size.
+2. Segments that must be searched are dealt to shards by anchor, with their words; a task sends a segment at most
+   twice (a third copy changes nothing) and its words once. Anchors that are found extremely often would make one
+   shard large: their windows travel one by one and are dealt by the hash of the whole window.
 3. A shard builds an FM-index over its distinct segments, weighted by how often they were sent, and takes the matching
    statistics of each segment by backward search over a wavelet matrix. Spans of 35 words and more with a weight of 2
    are reported.
-4. Spans are joined back to the documents that hold the segment. Of the texts, only those with a span are shuffled.
+4. Spans are joined back to the places of their segments. Of the texts, only those with a span are shuffled.
 
 Words, windows and texts are compared by 64-bit hashes.
 """
@@ -81,80 +83,122 @@ def text_name(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def anchor_counts(docs: DataFrame) -> DataFrame:
-    """anchor, n: in how many places each anchor is one; a task counts a text twice at most."""
+def _windows_of(hashes: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window + 1) of each segment of a sequence; windows of hot anchors stand alone."""
+    anchors = anchors_of(hashes)
+    starts, ends = _runs(anchors)
+    if hot is not None and len(hot) and (of_hot := np.isin(anchors[starts], hot)).any():
+        alone = np.repeat(of_hot, ends - starts)
+        starts, ends = _runs(np.where(alone, np.arange(len(anchors), dtype=np.uint64), anchors))
+        anchors = np.where(alone, window_hashes(hashes, WINDOW), anchors)
+    return anchors[starts], starts, ends
+
+
+def _segment_name(hashes: np.ndarray, first: int, last: int) -> int:
+    return xxhash.xxh3_64_intdigest(hashes[first : last + WINDOW - 1].tobytes()) - (1 << 63)
+
+
+def anchor_sums(docs: DataFrame) -> DataFrame:
+    """anchor, n, least, most, windows of anchors found at least twice: places, least and largest name of a segment, windows of one.
+
+    A task counts a text twice at most. A segment with its anchor in several places counts as differing ones, as its
+    windows may repeat one another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            found = []
-            for hashes in _sequences(batch):
-                if len(hashes) < WINDOW:
-                    continue
-                name = text_name(hashes)
-                seen[name] = seen.get(name, 0) + 1
-                if seen[name] <= 2:
-                    found.append(anchor_places(hashes))
-            if found:
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["anchor", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-
-
-def segments(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """anchor, segment, name, start, words of the segments whose anchor may be repeated.
-
-    name and start say which text has the segment where; name is null in a row that only counts. words is null where
-    the task has sent them before; `counts` says whether the row is one of the two that a task may count.
-    """
+            for some in _grouped(_sequences(batch)):
+                found = []
+                for hashes in some:
+                    name = text_name(hashes)
+                    seen[name] = seen.get(name, 0) + 1
+                    if len(hashes) < WINDOW or seen[name] > 2:
+                        continue
+                    anchors, starts, ends = _windows_of(hashes)
+                    names = np.array([_segment_name(hashes, a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+                    found.append((anchors, names, ends - starts, np.ones(len(anchors), np.int64)))
+                    places = anchor_places(hashes)
+                    if len(places) > len(anchors):
+                        values, counts = np.unique(places, return_counts=True)
+                        own, known = np.unique(anchors, return_counts=True)
+                        counts[np.searchsorted(values, own)] -= known
+                        more = counts > 0
+                        found.append((values[more], np.zeros(more.sum(), np.int64), np.zeros(more.sum(), np.int64), counts[more]))
+                if found:
+                    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["anchor", "segment", "windows", "n"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, windows long, n long")
+    return rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("segment").alias("least"), F.max("segment").alias("most"), F.max("windows").alias("windows")).filter("n > 1")
+
+
+def _grouped(sequences: Iterator[np.ndarray], size: int = 256) -> Iterator[list[np.ndarray]]:
+    some: list[np.ndarray] = []
+    for x in sequences:
+        some.append(x)
+        if len(some) == size:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def search_rows(docs: DataFrame, mixed: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """anchor, segment, words of the segments that must be searched; at most two rows a task, words in the first."""
     context = docs.sparkSession.sparkContext
-    bits, often = context.broadcast(repeated), context.broadcast(hot)
+    bits, often = context.broadcast(mixed), context.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, int] = {}
         sent: dict[int, int] = {}
-
-        def rows(hashes: np.ndarray) -> Iterator[tuple]:
-            if len(hashes) < WINDOW:
-                return
-            name = text_name(hashes)
-            texts[name] = texts.get(name, 0) + 1
-            if texts[name] > 2:
-                return
-            anchors = anchors_of(hashes)
-            starts, ends = _runs(anchors)
-            if len(often.value):
-                of_hot = np.isin(anchors[starts], often.value)
-                if of_hot.any():
-                    alone = np.repeat(of_hot, ends - starts)
-                    anchors = np.where(alone, window_hashes(hashes, WINDOW), anchors)
-                    starts, ends = _runs(np.where(alone, np.arange(len(anchors), dtype=np.uint64), anchors))
-                    keep = passes(bits.value, anchors[starts]) | alone[starts]
-                else:
-                    keep = passes(bits.value, anchors[starts])
-            else:
-                keep = passes(bits.value, anchors[starts])
-            for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
-                words = hashes[a : b + WINDOW - 1].tobytes()
-                segment = xxhash.xxh3_64_intdigest(words) - (1 << 63)
-                times = sent[segment] = sent.get(segment, 0) + 1
-                if texts[name] == 1 or times <= 2:
-                    yield int(anchors[a].view(np.int64)), segment, name if texts[name] == 1 else None, a, words if times == 1 else None, times <= 2
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-        names = ["anchor", "segment", "name", "start", "words", "counts"]
         for batch in batches:
-            found: list[tuple] = []
-            for hashes in _sequences(batch):
-                found += rows(hashes)
-                if len(found) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+            for some in _grouped(_sequences(batch)):
+                anchors_, segments, words = [], [], []
+                for hashes in some:
+                    name = text_name(hashes)
+                    texts[name] = texts.get(name, 0) + 1
+                    if len(hashes) < WINDOW or texts[name] > 2:
+                        continue
+                    anchors, starts, ends = _windows_of(hashes, often.value)
+                    keep = passes(bits.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
+                    for anchor, a, b in zip(anchors[keep].view(np.int64).tolist(), starts[keep].tolist(), ends[keep].tolist(), strict=True):
+                        segment = _segment_name(hashes, a, b)
+                        times = sent[segment] = sent.get(segment, 0) + 1
+                        if times <= 2:
+                            anchors_.append(anchor)
+                            segments.append(segment)
+                            words.append(hashes[a : b + WINDOW - 1].tobytes() if times == 1 else None)
+                if anchors_:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors_, pa.int64()), pa.array(segments, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "segment", "words"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, words binary")
+
+
+def places(docs: DataFrame, mixed: np.ndarray, uniform: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """segment, name, start: which text has the segments of repeated anchors where; once a text and task."""
+    context = docs.sparkSession.sparkContext
+    bits, more, often = context.broadcast(mixed), context.broadcast(uniform), context.broadcast(hot)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, name long, start int, words binary, counts boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: set[int] = set()
+        for batch in batches:
+            for some in _grouped(_sequences(batch)):
+                segments, names, begins = [], [], []
+                for hashes in some:
+                    name = text_name(hashes)
+                    if len(hashes) < WINDOW or name in texts:
+                        continue
+                    texts.add(name)
+                    anchors, starts, ends = _windows_of(hashes, often.value)
+                    keep = passes(bits.value, anchors) | passes(more.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
+                    begins += starts[keep].tolist()
+                    segments += [_segment_name(hashes, a, b) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
+                    names += [name] * int(keep.sum())
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(names, pa.int64()), pa.array(begins, pa.int32())], names=["segment", "name", "start"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "segment long, name long, start int")
 
 
 def repeated_windows(sequences: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,14 +235,16 @@ def _search(shard: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """name, spans: for each text with a repeated window, the word spans [from, to) that such windows cover."""
-    counts = checkpointed(anchor_counts(docs).filter("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.filter(F.col("n") >= max(LEAST_HOT, -(-total // MOST_HOT))).select("anchor").toPandas().anchor.to_numpy(np.int64).view(np.uint64)
-    found = checkpointed(segments(docs, bit_filter(counts.select("anchor")), hot))
+    sums = checkpointed(anchor_sums(docs))
+    mixed, uniform = sums.filter("least <> most"), sums.filter("least = most")
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    often = mixed.filter(F.col("n") >= max(LEAST_HOT, -(-total // MOST_HOT))).select("anchor").toPandas()
+    hot, searched, told = often.anchor.to_numpy(np.int64).view(np.uint64), bit_filter(mixed.select("anchor")), bit_filter(uniform.select("anchor"))
     shards = shuffle_partitions(docs.sparkSession)
-    spans = found.filter("counts").select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words").groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
-    places = found.filter("name is not null").select("segment", "name", "start")
-    covered = places.join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
+    rows = search_rows(docs, searched, hot).select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words")
+    found = rows.groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
+    spans = found.unionByName(uniform.select(F.col("least").alias("segment"), F.lit(0).cast("long").alias("first"), F.col("windows").alias("last")))
+    covered = places(docs, searched, told, hot).join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
     return covered.groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
