@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import map_columns
+from .common import map_columns, slices
 
 LANE = 64
 #: Entries of a worker's cache before it starts anew, and the longest piece kept in it.
@@ -187,16 +190,18 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
     A column `ids` that docs has already is replaced. Rows are independent: no shuffle.
     """
-    data, names = docs.sparkSession.sparkContext.broadcast(ranks), [c for c in docs.columns if c != "ids"]
+    data, kept = docs.sparkSession.sparkContext.broadcast(ranks), docs.drop("ids")
+    text = kept.columns.index("text")
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        v, out = vocabulary(data.value, pattern), []
-        for a in range(0, len(texts), 256):
-            out += v.encode([t or "" for t in texts.iloc[a : a + 256]])
-        return pd.Series(out, index=texts.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(data.value, pattern)
+        for batch in batches:
+            for a, b in slices(batch, 128, 500_000, text):
+                part = batch.slice(a, b - a)
+                ids = [np.array(x, np.int32) for x in v.encode([t or "" for t in part.column(text).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], ids(F.col("text").cast("string")).alias("ids"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
