@@ -17,6 +17,8 @@ from .common import WORD_SQL, checkpointed
 LEVELS = (3, 3, 3, 3)
 #: A source is repeated at most so often.
 MOST_PASSES = 3
+#: Up to so many sources, their plan is broadcast.
+MOST_BROADCAST = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -84,6 +86,12 @@ def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, checkpointed(plan)
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with their source's plan: broadcast if it has at most MOST_BROADCAST sources (some MB), else joined by shuffle."""
+    small = plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("s")))
+
+
 def _times() -> Column:
     return F.col("passes") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
 
@@ -95,11 +103,10 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     one more pass over the documents below its threshold, so at most MOST_PASSES times the size. The hash is MD5 of
     the doc_id, so reruns agree; rows with equal or null doc_ids go together. Empty and null texts have size 0 and
     nothing taken; a source of only such texts has target 0; a null source is a source. An empty table gives no rows.
-    The joins to the sources' table (a row per source) carry no hint: Spark broadcasts it only while it is small, and
-    splits hot sources otherwise.
+    The sources' plan (a row per source) is counted and broadcast up to MOST_BROADCAST sources, else joined by shuffle.
     """
     rows, plan = _planned(docs)
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+    return _with_plan(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -110,5 +117,5 @@ def mixed(docs: DataFrame) -> DataFrame:
     _, plan = _planned(docs)
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), _hash().alias("h"), word_count().alias("size"))
-    often = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("row", F.when(F.col("size") == 0, 1).otherwise(_times()).cast("int").alias("times"))
+    often = _with_plan(rows, plan).select("row", F.when(F.col("size") == 0, 1).otherwise(_times()).cast("int").alias("times"))
     return often.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col("row").getField(c).alias(c) for c in names])
