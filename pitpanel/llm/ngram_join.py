@@ -12,10 +12,13 @@ ones last. Two sets that reach the threshold differ in few shingles, so a prefix
 The number of classes follows the size band of the smaller set; a set is indexed for its own band and for that of the
 smallest partner it can have. Sets that share an entry are candidates and are verified by exact intersection.
 
-Groups of copies. Documents with one and the same set are one node. Within an entry of the index no pairs are
-enumerated at first: each node is compared with one pivot, components are formed, and again with other pivots, so n
-copies take n comparisons. Only nodes that then share an entry but lie in different components are compared pair by
-pair; no link between components is lost, and links inside a component cannot change the result.
+Of two sets over the threshold, how many entries of single shingles they must share at least follows from their sizes;
+pairs that share fewer are dropped before any set is fetched.
+
+Groups of copies. Documents with one and the same set are one node. Entries with fewer than LARGE nodes are paired
+outright. In larger ones each node is first compared with one pivot only, components are formed, and again with other
+pivots, so n copies take n comparisons. Only nodes that then share an entry but lie in different components are
+compared pair by pair; no link between components is lost, and links inside a component cannot change the result.
 
 Sets and shingles are named by 64-bit hashes; for n distinct sets the chance that two share a name is n * n / 2^65.
 """
@@ -36,11 +39,12 @@ from .components import components
 from .membership import bit_filter, passes
 
 SHINGLE, PERCENT = 5, 80
-#: A shingle is frequent if it was found so often, or more often where more than MOST_FREQUENT would be.
+#: A shingle is frequent if it was found so often (a power of 2), or more often where more than MOST_FREQUENT would be.
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: One class of frequent shingles for so many shingles of a set's size band.
 CLASS_SHINGLES = 16
-PIVOT_ROUNDS = 3
+#: Entries with so many nodes are reduced by comparing with pivots before pairs are made, so often.
+LARGE, PIVOT_ROUNDS = 32, 3
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -69,20 +73,24 @@ def bands(n: int, percent: int = PERCENT) -> range:
     return range((-(-percent * n // 100)).bit_length() - 1, n.bit_length())
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The index entries of a set (at least 2 tokens; a single one links with equal sets only)."""
+def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The index entries of a set, and how many of them stand for single shingles (even; combinations are odd).
+
+    A set of one token has none: it links with equal sets only.
+    """
     n = len(tokens)
     if n < 2:
-        return np.empty(0, np.uint64)
-    need = may_differ(n, percent) + 1
+        return np.empty(0, np.uint64), 0
+    need, one = may_differ(n, percent) + 1, np.uint64(1)
     common = np.zeros(n, bool)
     if len(frequent):
         short = (tokens >> np.uint64(32)).astype(np.uint32)
         common = frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short
-    rare = tokens[~common]
-    if len(rare) >= need:
-        return mix(rare[:need])
-    out, often = [mix(rare)], tokens[common]
+    rare = tokens[~common][:need]
+    singles = mix(rare) & ~one
+    if len(rare) == need:
+        return singles, need
+    out, often = [singles], tokens[common]
     for band in bands(n, percent):
         classes = max(1, (1 << band) // CLASS_SHINGLES)
         of = (mix(often) % np.uint64(classes)).astype(np.int64)
@@ -93,12 +101,12 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCE
         prefix, of = often[:upto], of[:upto]
         order = np.argsort(of, kind="stable")
         prefix, of = prefix[order], of[order]
-        for step in range(1, upto):
+        for step in range(1, len(prefix)):
             same = of[step:] == of[:-step]
             if not same.any():
                 break
-            out.append(mix(mix(prefix[:-step][same] + np.uint64(band)) * np.uint64(3) + prefix[step:][same]))
-    return np.unique(np.concatenate(out))
+            out.append(mix(mix(prefix[:-step][same] + np.uint64(band)) * np.uint64(3) + prefix[step:][same]) | one)
+    return np.unique(np.concatenate(out)), len(rare)
 
 
 def _frequency_blobs(docs: DataFrame, ranges: int) -> DataFrame:
@@ -147,44 +155,51 @@ def _tally(blobs: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.diff(values, prepend=np.uint64(2**40)) != 0)
     values, counts = values[starts], np.add.reduceat(counts, starts)
     often = counts >= LEAST_FREQUENT
-    return pd.DataFrame({"token": [*values[often].astype(np.int64), -1], "n": [*counts[often], int(counts.sum())]})
+    return pd.DataFrame({"token": values[often].astype(np.int64), "n": counts[often]})
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
     """Sorted leading 32 bits of the frequent shingles of all docs; at most MOST_FREQUENT, so 4 MB.
 
-    Every shingle is counted. The threshold is the larger of LEAST_FREQUENT and (all shingles) / MOST_FREQUENT, which
-    bounds how many can reach it.
+    Every shingle is counted. The threshold is LEAST_FREQUENT times the least power of 2 that leaves MOST_FREQUENT of them.
     """
     ranges = max(16, shuffle_partitions(docs.sparkSession))
     counted = checkpointed(_frequency_blobs(docs, ranges).groupBy("part").applyInPandas(_tally, "token long, n long"))
-    total = counted.filter("token < 0").agg(F.sum("n")).first()[0] or 0
-    found = counted.filter((F.col("token") >= 0) & (F.col("n") >= max(LEAST_FREQUENT, -(-total // MOST_FREQUENT)))).select("token").toPandas()
+    sizes = counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("tokens")).toPandas()  # a row for each power of 2
+    least = LEAST_FREQUENT
+    while sizes.tokens[sizes.power >= least.bit_length() - 1].sum() > MOST_FREQUENT:
+        least *= 2
+    found = counted.filter(F.col("n") >= least).select("token").toPandas()
     return np.unique(found.token.to_numpy(np.int64).astype(np.uint32))
 
 
 def shared_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """entry, node, n: index entries that at least two different sets have; one shuffle, by entry."""
+    """entry, node, n, singles, c: index entries that at least two different sets have (c of them); one shuffle, by entry.
+
+    n is the size of the node's set, singles how many entries of single shingles it was indexed with.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a, b in slices(batch, 256, 2_000_000, 0):
-                nodes, sizes, entries = [], [], []
+                nodes, sizes, singles, entries = [], [], [], []
                 for tokens in shingle_sets(batch.column(0).slice(a, b - a).to_pylist()):
                     name = set_name(tokens)
                     if len(tokens) > 1 and name not in seen:
                         seen.add(name)
                         nodes.append(name)
                         sizes.append(len(tokens))
-                        entries.append(index_entries(tokens, known.value).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(entries, pa.list_(pa.int64()))], names=["node", "n", "entries"])
+                        found, alone = index_entries(tokens, known.value)
+                        singles.append(alone)
+                        entries.append(found.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(singles, pa.int32()), pa.array(entries, pa.list_(pa.int64()))], names=["node", "n", "singles", "entries"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, n int, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, n int, singles int, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n", "singles")
     of = Window.partitionBy("entry")
     dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "entry")
-    return dealt.withColumn("least", F.min("node").over(of)).withColumn("most", F.max("node").over(of)).filter("least < most").select("entry", "node", "n").dropDuplicates(["entry", "node"])
+    return dealt.withColumn("least", F.min("node").over(of)).withColumn("most", F.max("node").over(of)).filter("least < most").drop("least", "most").dropDuplicates(["entry", "node"]).withColumn("c", F.count(F.lit(1)).over(of))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,34 +240,72 @@ def _sizes_fit(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def linked_nodes(entries: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, label of all nodes that are linked to another one."""
-    spark = entries.sparkSession
-    tried = spark.createDataFrame([], "a long, b long, linked boolean")
-    comp = spark.createDataFrame([], "node long, label long")
-    open_, of = entries.withColumn("label", F.col("node")), Window.partitionBy("entry")
+def _may_link(k: str, percent: int):
+    """Whether two sets that share k entries of single shingles can reach the threshold (columns na, sa, nb, sb).
+
+    The intersection is at least o, so at most n - o of a set's shingles are missing from the other. A set indexed
+    with rare shingles only (`plain`) was indexed with its first ones. Of two plain sets, the one whose prefix ends
+    first finds all it shares inside the other's prefix; a plain set finds it among all the rare shingles of one that
+    is not, and two that are not have indexed all their rare shingles.
+    """
+    o = F.ceil((F.col("na") + F.col("nb")) * (percent / (100.0 + percent)) - 1e-9)
+    need = {x: F.col(f"s{x}") - F.col(f"n{x}") + o for x in "ab"}
+    plain = {x: F.col(f"s{x}") > F.floor(F.col(f"n{x}") * ((100 - percent) / 100.0) + 1e-9) for x in "ab"}
+    least = F.when(plain["a"] & plain["b"], F.least(need["a"], need["b"])).when(plain["a"], need["a"]).when(plain["b"], need["b"]).otherwise(F.greatest(need["a"], need["b"]))
+    return F.col(k) >= least
+
+
+def _pairs(rows: DataFrame, apart: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share an entry of rows and may reach the threshold.
+
+    rows (entry, node, n, singles, elsewhere): elsewhere bounds how many single entries a node has beside rows. With
+    `apart`, only pairs of different labels.
+    """
+    side = lambda x: rows.select("entry", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("singles").alias(f"s{x}"), F.col("elsewhere").alias(f"e{x}"), *([F.col("label").alias(f"l{x}")] if apart else []))
+    both = side("a").join(side("b"), "entry").filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent))
+    if apart:
+        both = both.filter("la <> lb")
+    shared = both.groupBy("a", "b").agg(F.count_if(F.col("entry") % 2 == 0).alias("k"), *[F.max(c).alias(c) for c in ("na", "nb", "sa", "sb", "ea", "eb")])
+    return shared.withColumn("k", F.col("k") + F.least("ea", "eb")).filter(_may_link("k", percent)).select("a", "b")
+
+
+def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Small and large entries; each row says how many single entries its node has in the other part."""
+    of = F.count_if((F.col("entry") % 2 == 0) & (F.col("c") < LARGE)).alias("in_small"), F.count_if((F.col("entry") % 2 == 0) & (F.col("c") >= LARGE)).alias("in_large")
+    per = entries.groupBy("node").agg(*of, F.sum("c").alias("degree"))
+    rows = entries.join(per, "node")
+    return rows.filter(F.col("c") < LARGE).withColumnRenamed("in_large", "elsewhere"), rows.filter(F.col("c") >= LARGE).withColumnRenamed("in_small", "elsewhere")
+
+
+def _components(tried: DataFrame) -> DataFrame:
+    return components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def linked_nodes(small_pairs: DataFrame, large: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, label of all nodes that are linked to another one.
+
+    small_pairs: all pairs of small entries that may link; large: rows of the large entries; tokens: their sets.
+    """
+    of = Window.partitionBy("entry")
+    tried = checkpointed(_verified(small_pairs, tokens, percent))
+    comp, open_ = _components(tried), large
     for step in range(PIVOT_ROUNDS + 1):
-        if step:  # entries that hold several components still
-            rows = open_.drop("label").join(comp, "node", "left").select("entry", "node", "n", F.coalesce("label", "node").alias("label"))
-            open_ = checkpointed(rows.withColumn("_l", F.min("label").over(of)).withColumn("_m", F.max("label").over(of)).filter("_l < _m").drop("_l", "_m"))
-            if open_.isEmpty():
-                break
+        # entries that hold several components still
+        rows = open_.drop("label").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = checkpointed(rows.withColumn("_l", F.min("label").over(of)).withColumn("_m", F.max("label").over(of)).filter("_l < _m").drop("_l", "_m"))
+        if open_.isEmpty():
+            break
         if step < PIVOT_ROUNDS:
-            order = F.xxhash64("node", F.lit(step))
-            held = open_.withColumn("p", F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))).over(of))
-            near = held.filter("label <> p.label").select("node", F.col("p.node").alias("pivot"), "n", F.col("p.n").alias("pn")).filter(_sizes_fit("n", "pn", percent))
-            pairs = near.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "node").agg(F.count("*").alias("shared"))
-            if step:
-                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            # the first pivot is the node that shares most: copies are likeliest to be near their original
+            order = F.struct((-F.col("degree") if not step else F.xxhash64("node", F.lit(step))).alias("o"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
+            near = open_.withColumn("p", F.min(order).over(of)).filter("label <> p.label").select("node", F.col("p.node").alias("pivot"), "n", F.col("p.n").alias("pn")).filter(_sizes_fit("n", "pn", percent))
+            shared = near.groupBy("node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("shared")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
             best = Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b")
-            pairs = pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b").distinct()
+            pairs = shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b").distinct()
         else:
-            x = open_.select("entry", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = open_.select("entry", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "entry").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _sizes_fit("na", "nb", percent)).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        got = checkpointed(_verified(pairs, tokens, percent))
-        tried = tried.unionByName(got) if step else got
-        comp = components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+            pairs = _pairs(open_, True, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = tried.unionByName(checkpointed(_verified(pairs, tokens, percent)))
+        comp = _components(tried)
     return comp
 
 
@@ -265,10 +318,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nothing. Rows with a null doc_id belong to components without naming them; null is the id of a component of such
     rows alone. Repeated rows have equal sets, so they link. An empty table gives no rows.
     """
-    entries = checkpointed(shared_entries(docs, frequent_tokens(docs)))
-    sets = checkpointed(sets_of(docs, entries))
+    small, large = _split(checkpointed(shared_entries(docs, frequent_tokens(docs))))
+    large, pairs = checkpointed(large), checkpointed(_pairs(small, False, percent))
+    wanted = large.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = checkpointed(sets_of(docs, wanted))
     candidates = sets.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"])
-    comp = linked_nodes(entries, candidates, percent).withColumnRenamed("node", "_node")
+    comp = linked_nodes(pairs, large, candidates, percent).withColumnRenamed("node", "_node")
     rows = sets.select("doc_id", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
     rows = checkpointed(rows)
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "_label")
