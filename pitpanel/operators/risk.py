@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,9 +165,6 @@ def market_residual(weekly: DataFrame) -> DataFrame:
 
     weekly (symbol, week, r, m). Sums of products are one aggregation per symbol; the 6 x 6 system is solved per symbol.
     """
-    import numpy as np
-    import pandas as pd
-
     w = Window.partitionBy("symbol").orderBy("week")
     x = weekly.withColumns({f"m{i}": F.lag("m", 2 - i).over(w) if i < 2 else F.lead("m", i - 2).over(w) if i > 2 else F.col("m") for i in range(5)}).dropna(subset=["r", *[f"m{i}" for i in range(5)]])
     cols = [F.lit(1.0), *[F.col(f"m{i}") for i in range(5)]]

@@ -100,7 +100,7 @@ def similar_titles(items: DataFrame, least: float, text: str = "title") -> DataF
     words = t.select("symbol", "id", F.explode("t").alias("w"))
     freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol", "id"))
-    rare = words.join(freq, "w").withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "id").orderBy("f", "w"))).filter(F.col("_r") <= n - F.ceil(n * least) + 1).select("symbol", "id", "w")
+    rare = words.join(freq, "w").withColumns({"_r": F.row_number().over(Window.partitionBy("symbol", "id").orderBy("f", "w")), "_n": n}).filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1).select("symbol", "id", "w")
     cand = rare.join(rare.withColumnRenamed("id", "b"), ["symbol", "w"]).filter("id < b").select("symbol", F.col("id").alias("a"), "b").distinct()
     j = cand.join(t.select("symbol", F.col("id").alias("a"), F.col("t").alias("ta")), ["symbol", "a"]).join(t.select("symbol", F.col("id").alias("b"), F.col("t").alias("tb")), ["symbol", "b"])
     return j.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("symbol", "a", "b", "similarity")

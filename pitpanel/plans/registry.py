@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel
+from . import studies
 
-QUERIES: dict = {**panel.QUERIES}
-ORACLES: dict = {**panel.ORACLES}
+QUERIES: dict = dict(studies.QUERIES)
+ORACLES: dict = dict(studies.ORACLES)

@@ -1,4 +1,8 @@
-"""Structured Streaming forms of the panel's batch operators; each gives the batch result once its input has ended."""
+"""Structured Streaming forms of the panel's batch operators; each gives the batch result once its input has ended.
+
+The keyed-state operators (N3, N4) need the RocksDB state store: spark.sql.streaming.stateStore.providerClass set to
+org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider.
+"""
 
 from __future__ import annotations
 
