@@ -25,13 +25,14 @@ Sets and shingles are named by 64-bit hashes; for n distinct sets the chance tha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix, shuffle_partitions, slices, window_hashes, word_hashes
@@ -42,9 +43,9 @@ SHINGLE, PERCENT = 5, 80
 #: A shingle is frequent if it was found so often (a power of 2), or more often where more than MOST_FREQUENT would be.
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: One class of frequent shingles for so many shingles of a set's size band.
-CLASS_SHINGLES = 16
+CLASS_SHINGLES = 4
 #: Entries with so many nodes are reduced by comparing with pivots before pairs are made, so often.
-LARGE, PIVOT_ROUNDS = 32, 3
+LARGE, PIVOT_ROUNDS = 64, 3
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -68,9 +69,14 @@ def may_differ(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100)
 
 
+def band(n: int) -> int:
+    """The size band of a set: sizes of one band differ by less than a quarter."""
+    return int(math.log(n) / math.log(1.25) + 1e-9)
+
+
 def bands(n: int, percent: int = PERCENT) -> range:
     """Size bands of the smaller set of any pair that a set of n can be part of."""
-    return range((-(-percent * n // 100)).bit_length() - 1, n.bit_length())
+    return range(band(-(-percent * n // 100)), band(n) + 1)
 
 
 def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
@@ -91,8 +97,8 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCE
     if len(rare) == need:
         return singles, need
     out, often = [singles], tokens[common]
-    for band in bands(n, percent):
-        classes = max(1, (1 << band) // CLASS_SHINGLES)
+    for of_size in bands(n, percent):
+        classes = max(1, int(1.25**of_size) // CLASS_SHINGLES)
         of = (mix(often) % np.uint64(classes)).astype(np.int64)
         first = np.zeros(len(often), bool)
         first[np.unique(of, return_index=True)[1]] = True
@@ -105,7 +111,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCE
             same = of[step:] == of[:-step]
             if not same.any():
                 break
-            out.append(mix(mix(prefix[:-step][same] + np.uint64(band)) * np.uint64(3) + prefix[step:][same]) | one)
+            out.append(mix(mix(prefix[:-step][same] + np.uint64(of_size)) * np.uint64(3) + prefix[step:][same]) | one)
     return np.unique(np.concatenate(out)), len(rare)
 
 
@@ -240,7 +246,7 @@ def _sizes_fit(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def _may_link(k: str, percent: int):
+def _may_link(k: Column, percent: int) -> Column:
     """Whether two sets that share k entries of single shingles can reach the threshold (columns na, sa, nb, sb).
 
     The intersection is at least o, so at most n - o of a set's shingles are missing from the other. A set indexed
@@ -252,7 +258,7 @@ def _may_link(k: str, percent: int):
     need = {x: F.col(f"s{x}") - F.col(f"n{x}") + o for x in "ab"}
     plain = {x: F.col(f"s{x}") > F.floor(F.col(f"n{x}") * ((100 - percent) / 100.0) + 1e-9) for x in "ab"}
     least = F.when(plain["a"] & plain["b"], F.least(need["a"], need["b"])).when(plain["a"], need["a"]).when(plain["b"], need["b"]).otherwise(F.greatest(need["a"], need["b"]))
-    return F.col(k) >= least
+    return k >= least
 
 
 def _pairs(rows: DataFrame, apart: bool, percent: int) -> DataFrame:
@@ -262,11 +268,11 @@ def _pairs(rows: DataFrame, apart: bool, percent: int) -> DataFrame:
     `apart`, only pairs of different labels.
     """
     side = lambda x: rows.select("entry", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("singles").alias(f"s{x}"), F.col("elsewhere").alias(f"e{x}"), *([F.col("label").alias(f"l{x}")] if apart else []))
-    both = side("a").join(side("b"), "entry").filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent))
+    both = side("a").join(side("b"), "entry").filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent) & _may_link(F.least("sa", "sb"), percent))
     if apart:
         both = both.filter("la <> lb")
     shared = both.groupBy("a", "b").agg(F.count_if(F.col("entry") % 2 == 0).alias("k"), *[F.max(c).alias(c) for c in ("na", "nb", "sa", "sb", "ea", "eb")])
-    return shared.withColumn("k", F.col("k") + F.least("ea", "eb")).filter(_may_link("k", percent)).select("a", "b")
+    return shared.withColumn("k", F.col("k") + F.least("ea", "eb")).filter(_may_link(F.col("k"), percent)).select("a", "b")
 
 
 def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

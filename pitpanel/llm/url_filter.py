@@ -44,7 +44,12 @@ def fits(rule: str) -> Column:
 def n_grams(name: str) -> Column:
     """The character n-grams of a column, marked by the column's name and with its ends shown."""
     s = F.concat(F.lit("^"), F.col(name), F.lit("$"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(name[0] + str(n)), F.substring(s, i, F.lit(n)))) for n in SIZES]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(name[0] + str(n)), F.substring(s, i, F.lit(n))))
+
+    grams = [of_size(n) for n in SIZES]
     return F.concat(*grams)
 
 
