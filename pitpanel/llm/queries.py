@@ -58,4 +58,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_url_filter, op4_quality_classifier, op5_near_dup, op6_mixing, op7_substring_dedup, op8_licenses, op9_exact_dedup, op10_html)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Queries that SQL can express whole; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+    "op6_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS stop, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+        l AS (SELECT *, total - coalesce(sum(stop) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weights FROM w WINDOW b AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        v AS (SELECT coalesce(arg_min(rest / weights, stop / weight) FILTER (rest / weights <= stop / weight), 'inf'::DOUBLE) AS level FROM l),
+        t AS (SELECT source, source_size, least(weight * level, stop) AS target FROM l, v),
+        p AS (SELECT *, least(CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT), 3) AS passes FROM t),
+        o AS (SELECT d.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o""",
+}
