@@ -46,6 +46,8 @@ LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 20
 CLASS_SHINGLES = 4
 #: Entries with so many nodes are reduced by comparing with pivots before pairs are made, so often.
 LARGE, PIVOT_ROUNDS = 64, 3
+#: Pivots come before pairs while there are more pairs to make for each row than this.
+MOST_PAIRS = 4
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -283,6 +285,12 @@ def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("c") < LARGE).withColumnRenamed("in_large", "elsewhere"), rows.filter(F.col("c") >= LARGE).withColumnRenamed("in_small", "elsewhere")
 
 
+def _pairs_to_make(rows: DataFrame) -> int:
+    """How many times two nodes of different components share an entry of rows (entry, label)."""
+    per = rows.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    return per.agg(F.sum(F.col("k") * F.col("k") - F.col("kk"))).first()[0] // 2
+
+
 def _components(tried: DataFrame) -> DataFrame:
     return components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -301,7 +309,7 @@ def linked_nodes(small_pairs: DataFrame, large: DataFrame, tokens: DataFrame, pe
         open_ = checkpointed(rows.withColumn("_l", F.min("label").over(of)).withColumn("_m", F.max("label").over(of)).filter("_l < _m").drop("_l", "_m"))
         if open_.isEmpty():
             break
-        if step < PIVOT_ROUNDS:
+        if step < PIVOT_ROUNDS and _pairs_to_make(open_) > MOST_PAIRS * open_.count():
             # the first pivot is the node that shares most: copies are likeliest to be near their original
             order = F.struct((-F.col("degree") if not step else F.xxhash64("node", F.lit(step))).alias("o"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
             near = open_.withColumn("p", F.min(order).over(of)).filter("label <> p.label").select("node", F.col("p.node").alias("pivot"), "n", F.col("p.n").alias("pn")).filter(_sizes_fit("n", "pn", percent))
@@ -310,8 +318,11 @@ def linked_nodes(small_pairs: DataFrame, large: DataFrame, tokens: DataFrame, pe
             pairs = shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b").distinct()
         else:
             pairs = _pairs(open_, True, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            step = PIVOT_ROUNDS
         tried = tried.unionByName(checkpointed(_verified(pairs, tokens, percent)))
         comp = _components(tried)
+        if step == PIVOT_ROUNDS:
+            break
     return comp
 
 

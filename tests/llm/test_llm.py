@@ -127,6 +127,7 @@ def brute_components(rows):
 def test_ngram_join_finds_every_link(docs, empty, monkeypatch, frequent, large):
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", frequent)  # with 2 and 3 all copies go through combinations and pivots
     monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 0 if large == 3 else 4)
     rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id is not null").select("doc_id", "text").distinct().collect()]
     sets, label = brute_components(rows)
     got = ngram_join.near_groups(docs).collect()
