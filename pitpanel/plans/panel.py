@@ -84,12 +84,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_score(pressures(df), INDEX_WEIGHTS, "index_score")
 
 
-@query("flagship_technical_state", f"WITH {SCORED_SQL} SELECT symbol, date, close, round(ret20, 4) AS ret20, round(vol20, 4) AS vol20, round(gap50, 4) AS gap50, round(dd60, 4) AS dd60, round(p_drawdown, 4) AS p_drawdown, round(index_score, 3) AS index_score FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1 ORDER BY dd60, symbol LIMIT 20")
+@query("flagship_technical_state", f"WITH {SCORED_SQL} SELECT symbol, date, close, round(ret20, 4) AS ret20, round(vol20, 4) AS vol20, round(gap50, 4) AS gap50, round(dd60, 4) AS dd60, round(p_drawdown, 4) AS p_drawdown, round(index_score, 6) AS index_score FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1 ORDER BY dd60, symbol LIMIT 20")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest technical state per symbol; the report of the 20 deepest drawdowns."""
     last = scored(spark, sf_dir).withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).filter("_r = 1")
     top = last.orderBy("dd60", "symbol").limit(20)
-    return top.select("symbol", "date", "close", *[F.round(c, 4).alias(c) for c in ("ret20", "vol20", "gap50", "dd60", "p_drawdown")], F.round("index_score", 3).alias("index_score"))
+    return top.select("symbol", "date", "close", *[F.round(c, 4).alias(c) for c in ("ret20", "vol20", "gap50", "dd60", "p_drawdown")], F.round("index_score", 6).alias("index_score"))
 
 
 def _sql(select: str, source: str = "panel", head: str = PANEL_SQL) -> str:
@@ -197,10 +197,10 @@ def d30(spark, sf_dir):
     return df.select("symbol", "date", *[F.round(c, 2).alias(c) for c in ("boll_up", "boll_down")], "obv", "prior_high", "prior_low", F.col("since_drop").cast("long").alias("since_drop"))
 
 
-@query("d33_score_series", f"WITH {SCORED_SQL} SELECT symbol, date, round(index_score, 3) AS index_score, round(index_score - lag(index_score) OVER ({W}), 3) AS delta FROM scored")
+@query("d33_score_series", f"WITH {SCORED_SQL} SELECT symbol, date, round(index_score, 6) AS index_score, round(index_score - lag(index_score) OVER ({W}), 6) AS delta FROM scored")
 def d33(spark, sf_dir):
     """D33, J1."""
-    return scored(spark, sf_dir).select("symbol", "date", F.round("index_score", 3).alias("index_score"), F.round(F.col("index_score") - F.lag("index_score").over(by_symbol()), 3).alias("delta"))
+    return scored(spark, sf_dir).select("symbol", "date", F.round("index_score", 6).alias("index_score"), F.round(F.col("index_score") - F.lag("index_score").over(by_symbol()), 6).alias("delta"))
 
 
 # ---- sources, cleaning -------------------------------------------------------------------------------------------

@@ -101,11 +101,11 @@ def f12(spark, sf_dir):
     return r.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f13_full_outer", f"WITH {FLOWS_SQL} SELECT symbol, date, round(foreign_net, 1) AS foreign_net, round(prop_net, 1) AS prop_net FROM flows WHERE foreign_net IS NOT NULL OR prop_net IS NOT NULL")
+@query("f13_full_outer", f"WITH {FLOWS_SQL} SELECT symbol, date, round(foreign_net, 3) AS foreign_net, round(prop_net, 3) AS prop_net FROM flows WHERE foreign_net IS NOT NULL OR prop_net IS NOT NULL")
 def f13(spark, sf_dir):
     """the two sides as separate sources."""
     f = flows(spark, sf_dir)
-    return rounded(joins.full_outer(f.filter("foreign_net is not null").select("symbol", "date", "foreign_net"), f.filter("prop_net is not null").select("symbol", "date", "prop_net")), 1)
+    return rounded(joins.full_outer(f.filter("foreign_net is not null").select("symbol", "date", "foreign_net"), f.filter("prop_net is not null").select("symbol", "date", "prop_net")), 3)
 
 
 # ---- studies -----------------------------------------------------------------------------------------------------
@@ -320,10 +320,10 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy((F.col("l_orderkey") % 7).alias("fund"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("as_of"), F.col("l_suppkey").alias("symbol")).agg((F.sum("l_quantity") / 10000).alias("weight"), F.avg("l_discount").alias("nav_momentum20"), F.avg("l_tax").alias("nav_volatility20"))
 
 
-@query("i07_fund_features", f"WITH {_HOLD}, f AS (SELECT symbol, as_of, count(DISTINCT fund) AS holders, sum(weight) AS fund_weight, sum(nav_momentum20 * weight) / sum(weight) AS nav_momentum FROM hold GROUP BY 1, 2), d AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS snapshots FROM (SELECT DISTINCT as_of FROM hold)) SELECT symbol, as_of, holders, round(fund_weight, 6) AS fund_weight, round(nav_momentum, 6) AS nav_momentum, round(fund_weight - lag(fund_weight) OVER (PARTITION BY symbol ORDER BY as_of), 6) AS weight_change, snapshots FROM f JOIN d USING (as_of)")
+@query("i07_fund_features", f"WITH {_HOLD}, f AS (SELECT symbol, as_of, count(DISTINCT fund) AS holders, sum(weight) AS fund_weight, sum(nav_momentum20 * weight) / sum(weight) AS nav_momentum FROM hold GROUP BY 1, 2), d AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS snapshots FROM (SELECT DISTINCT as_of FROM hold)) SELECT symbol, as_of, holders, round(fund_weight, 8) AS fund_weight, round(nav_momentum, 8) AS nav_momentum, round(fund_weight - lag(fund_weight) OVER (PARTITION BY symbol ORDER BY as_of), 8) AS weight_change, snapshots FROM f JOIN d USING (as_of)")
 def i07(spark, sf_dir):
     """I7, A7's rows."""
-    return rounded(flow.fund_features(holdings(spark, sf_dir)).select("symbol", "as_of", "holders", "fund_weight", "nav_momentum", "weight_change", F.col("snapshots").cast("long").alias("snapshots")), 6)
+    return rounded(flow.fund_features(holdings(spark, sf_dir)).select("symbol", "as_of", "holders", "fund_weight", "nav_momentum", "weight_change", F.col("snapshots").cast("long").alias("snapshots")), 8)
 
 
 @query("i09_fund_asof", f"WITH {BARS_SQL}, {_HOLD}, f AS (SELECT symbol, as_of, sum(weight) AS w FROM hold GROUP BY 1, 2), d AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS snapshots FROM (SELECT DISTINCT as_of FROM hold)) SELECT b.symbol, b.date, round(f.w, 6) AS fund_weight, b.date - f.as_of AS fund_age, coalesce(d.snapshots >= 4, false) AS fund_usable FROM (SELECT symbol, date FROM bars) b ASOF LEFT JOIN f ON f.symbol = b.symbol AND f.as_of <= b.date LEFT JOIN d ON d.as_of = f.as_of")
