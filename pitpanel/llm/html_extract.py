@@ -98,12 +98,12 @@ def lines_of(html: str) -> list[tuple[str, bool, float]]:
             add(" ")
         if name in BLOCKS:
             flush()
-        if name in ("article", "main"):
+        if not closing and name not in VOID and _unwanted(name, m[3], article > 0):
+            skip, depth = name, 1  # its own tags, which end with the skip, change nothing
+        elif name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
         elif name == "a":
             links = 0 if closing else 1
-        if not closing and name not in VOID and _unwanted(name, m[3], article > 0):
-            skip, depth = name, 1
     add(html[at:])
     flush()
     return lines

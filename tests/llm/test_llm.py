@@ -262,6 +262,12 @@ def test_html(spark):
     assert html_extract.main_text("<article>" + "<p>x &lt; y</p>" * 3) == "x < y\nx < y\nx < y" == html.unescape("x &lt; y\nx &lt; y\nx &lt; y")
 
 
+def test_html_skipped_elements_leave_no_state():
+    prose = "This is a longer paragraph of the page which says several things in a row. " * 2
+    for skipped in ('<a class="skip-link" href="#c">Skip</a>', '<article class="related"><p>Other</p></article>', '<article class="comment"><p>Me too</p></article>'):
+        assert html_extract.main_text(f"<body>{skipped}<div><p>{prose}</p><p>{prose}</p></div></body>") == f"{prose.strip()}\n{prose.strip()}"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
