@@ -1,15 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped so that each block element becomes one line. Lines of navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts and comments, as their elements, roles or class names say, weigh nothing; so do lines
-of links. The weights are summed over sliding windows of WINDOW lines: the text surges where a window's sum rises
-above the threshold and dives where the sum falls back to nothing. Lines between a surge and its dive are kept.
+Markup is stripped so that each block element becomes one line. Navigation, headers, footers, menus, hidden elements
+and scripts, as their elements or roles say, are skipped. Forms, and elements that a class or id names as sidebars,
+notices, adverts, comments and the like, are skipped unless they hold an article, main or h1 or most of the page's
+unlinked text. A line that is mostly links weighs only its letters outside links. The weights are summed over sliding
+windows of WINDOW lines: the text surges where a window's sum rises above the threshold and dives where the sum falls
+back to nothing. Lines between a surge and its dive are kept; where nothing surges, every line with weight is.
 Where a page marks its article, only lines inside it have weight, and any weight is a surge.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -21,9 +24,11 @@ WINDOW, SURGE = 3, 80
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template title textarea svg iframe object canvas math select option button datalist".split())
 #: Elements that hold no part of an article.
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset label input".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog label input".split())
+#: Elements that hold none as a rule, but may wrap a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 #: Elements that begin and end lines.
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | BOILERPLATE
+BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | BOILERPLATE | WRAPPERS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be missing: the next block ends them.
 LOOSE = frozenset("p li dt dd tr td th option".split())
@@ -33,47 +38,96 @@ NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead topbar toolbar subscribe subscription newsletter signup login "
     "comment comments disqus respond reply replies discussion related recommended share sharing social pagination pager search form skip".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+KEPT, NAMED, SKIPPED = range(3)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(name: str, attributes: str, in_article: bool) -> int:
+    """SKIPPED: an element that is no text, whatever it holds; NAMED: one that only a name says is none; else KEPT."""
     if name in BOILERPLATE or (name == "header" and not in_article):
-        return True
+        return SKIPPED
+    found = NAMED if name in WRAPPERS else KEPT
     if not attributes.strip():
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if (key in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)) and name not in ("html", "body")) or (key == "role" and value in ROLES):
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
-
-
-def lines_of(html: str) -> list[tuple[str, bool, float]]:
-    """(text, inside the article's element, share of its characters inside links) of each line that is not boilerplate."""
-    lines: list[tuple[str, bool, float]] = []
-    text: list[str] = []
-    linked = article = links = at = 0
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (key == "role" and value in ROLES):
+            return SKIPPED
+        if (key in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)) and name not in ("html", "body", "main", "h1")) or (key == "role" and value == "form"):
+            found = NAMED
+    return found
+
+
+class _Named:
+    """An element that a name calls boilerplate: what it holds says whether that is so."""
+
+    __slots__ = ("article", "dropped", "gone", "level", "links", "marks", "name", "parent", "size")
+
+    def __init__(self, name: str, parent: _Named | None, level: int, article: int, links: int) -> None:
+        self.name, self.parent, self.level, self.article, self.links = name, parent, level, article, links
+        self.size = self.gone = self.marks = 0  # unlinked characters, those inside dropped elements, marks of an article
+        self.dropped = False
+
+
+def _decide(named: list[_Named], total: int) -> None:
+    """Drop the named elements that hold no mark of an article and at most half of the unlinked text, the smallest first."""
+    for e in reversed(named):
+        if e.parent:
+            e.parent.size += e.size
+    order = sorted(range(len(named)), key=lambda i: (named[i].size, -i))  # what lies inside comes first
+    for e in (named[i] for i in order):
+        own = e.size - e.gone
+        e.dropped = not e.marks and 2 * own <= total
+        if e.dropped:
+            total -= own
+        if e.parent:
+            e.parent.gone += e.size if e.dropped else e.gone
+            e.parent.marks += 0 if e.dropped else e.marks + (e.name == "article")
+    for e in named:  # what lies inside a dropped element is dropped
+        e.dropped = e.dropped or (e.parent is not None and e.parent.dropped)
+
+
+def lines_of(html: str) -> list[tuple[str, bool, float, int]]:
+    """(text, inside the article's element, share of its characters inside links, letters outside) of each line that is not boilerplate."""
+    blocks: list[tuple[list, bool]] = []
+    pieces: list[tuple[str, bool, _Named | None]] = []
+    named: list[_Named] = []
+    inside: list[_Named] = []  # the named elements we are in
+    levels: Counter = Counter()  # how often each of their elements is nested
+    article = links = at = total = 0
     skip, depth = "", 0  # the unwanted element we are in, and how often it is nested
 
     def flush() -> None:
-        nonlocal linked
-        line = _SPACE.sub(" ", unescape("".join(text))).strip()
-        if line:
-            lines.append((line, article > 0, min(1.0, linked / len(line))))
-        text.clear()
-        linked = 0
+        nonlocal pieces
+        if pieces:
+            blocks.append((pieces, article > 0))
+            pieces = []
 
     def add(piece: str) -> None:
-        nonlocal linked
+        nonlocal total
         if piece and not skip:
-            text.append(piece)
-            linked += len(_SPACE.sub(" ", unescape(piece))) if links else 0
-
+            pieces.append((piece, links > 0, inside[-1] if inside else None))
+            if not links:
+                n = len(_SPACE.sub(" ", unescape(piece)).strip())
+                total += n
+                if inside:
+                    inside[-1].size += n
+
+    def leave(k: int) -> None:
+        """End the named elements from the kth of those we are in."""
+        nonlocal article, links
+        article, links = inside[k].article, inside[k].links
+        for e in inside[k:]:
+            open_[e.name].pop()
+            if e.name in LOOSE:
+                loose.pop()
+        del inside[k:]
+
+    open_: defaultdict = defaultdict(list)  # places in `inside` by element
+    loose: list[int] = []
     for m in iter(lambda: _TOKEN.search(html, at), None):
         add(html[at : m.start()])
         at = m.end()
@@ -98,31 +152,65 @@ def lines_of(html: str) -> list[tuple[str, bool, float]]:
             add(" ")
         if name in BLOCKS:
             flush()
-        if not closing and name not in VOID and _unwanted(name, m[3], article > 0):
+        if inside:
+            if loose and name in BLOCKS and not (closing and name == inside[loose[0]].name):
+                leave(loose[0])  # its end tag is missing
+            if open_[name]:
+                levels[name] += -1 if closing else 1
+                if levels[name] < inside[open_[name][-1]].level:
+                    leave(open_[name][-1])
+                    continue
+        kind = KEPT if closing or name in VOID else _unwanted(name, m[3], article > 0)
+        if kind == SKIPPED:
+            if open_[name]:
+                levels[name] -= 1  # its end tag is not seen below
             skip, depth = name, 1  # its own tags, which end with the skip, change nothing
-        elif name in ("article", "main"):
+            continue
+        if kind == NAMED:
+            if not open_[name]:
+                levels[name] = 1
+            e = _Named(name, inside[-1] if inside else None, levels[name], article, links)
+            open_[name].append(len(inside))
+            if name in LOOSE:
+                loose.append(len(inside))
+            inside.append(e)
+            named.append(e)
+        elif not closing and inside and name in ("article", "main", "h1"):
+            inside[-1].marks += 1
+        if name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
         elif name == "a":
             links = 0 if closing else 1
     add(html[at:])
     flush()
+    _decide(named, total)
+    lines = []
+    for block, marked in blocks:
+        left = [(p, linked) for p, linked, e in block if e is None or not e.dropped]
+        line = _SPACE.sub(" ", unescape("".join(p for p, _ in left))).strip()
+        if line:
+            linked = sum(len(_SPACE.sub(" ", unescape(p))) for p, in_link in left if in_link)
+            free = sum(map(str.isalnum, unescape("".join(p for p, in_link in left if not in_link)))) if linked else len(line)
+            lines.append((line, marked, min(1.0, linked / len(line)), free))
     return lines
 
 
 def main_text(html: str | None) -> str:
     """The article of a page, one line per block; empty if there is none. Null counts as empty."""
     lines = lines_of(html or "")
-    marked = any(inside for _, inside, _ in lines)
-    weights = [(len(t) if inside else 0) if marked else (0 if share > 0.5 else len(t)) for t, inside, share in lines]
+    marked = any(inside for _, inside, _, _ in lines)
+    weights = [(len(t) if inside else 0) if marked else (free if share > 0.5 else len(t)) for t, inside, share, free in lines]
     need, keep = (1 if marked else SURGE), []
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    if max(sums, default=0) < need:  # a short page
+        return "\n".join(t for (t, _, _, _), w in zip(lines, weights, strict=True) if w)
     i = 0
     while i < len(lines):
         if sums[i] >= need and weights[i]:  # surge
             end = i
             while end < len(lines) and sums[end]:  # dive: nothing in the whole window
                 end += 1
-            keep += [t for (t, _, _), w in zip(lines[i:end], weights[i:end], strict=True) if w]
+            keep += [t for (t, _, _, _), w in zip(lines[i:end], weights[i:end], strict=True) if w or not marked]
             i = end
         else:
             i += 1

@@ -268,6 +268,21 @@ def test_html_skipped_elements_leave_no_state():
         assert html_extract.main_text(f"<body>{skipped}<div><p>{prose}</p><p>{prose}</p></div></body>") == f"{prose.strip()}\n{prose.strip()}"
 
 
+def test_html_names_and_thresholds_lose_no_article():
+    prose = "This is a longer paragraph of the article which says several things in a row. " * 2
+    for page in (
+        f'<div class="container has-sidebar"><p>{prose}</p><div class="sidebar">Other</div></div>',
+        f'<article class="post comments-open"><p>{prose}</p><div id="comments"><div class="comment">{prose}</div><div class="comment">{prose}</div></div></article>',
+        f'<div class="with-comments"><nav>Home</nav><article><p>{prose}</p></article></div><div id="comments"><p>{prose * 9}</p></div>',
+        f'<form id="page"><div class="search-page no-sidebar"><h1>{prose}</h1></div><ul class="related"><li><a href="/x">{prose}</a></li></ul></form>',
+    ):
+        assert html_extract.main_text(f"<body>{page}</body>") == prose.strip()
+    assert html_extract.main_text("<body><ul><li><a href='/a'>Home</a></li></ul><div class='share'>Go</div><div><p>短い記事です。</p><p>Brief.</p></div></body>") == "短い記事です。\nBrief."
+    linked = f"Read <a href='/b'>{prose.strip()}</a> too."
+    got = html_extract.main_text(f"<p>{prose}</p><p>{linked}</p><p><a href='/c'>All of it</a></p><p>{prose}</p><p>{linked}</p><ul><li><a href='/d'>Home</a></li></ul>")
+    assert got.split("\n") == [prose.strip(), f"Read {prose.strip()} too.", "All of it", prose.strip(), f"Read {prose.strip()} too."]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
