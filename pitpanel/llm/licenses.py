@@ -1,14 +1,15 @@
-"""Licence scan: units of text compared with licence notices by the Dice coefficient of their word bigrams.
+"""Licence scan: windows of a text's words compared with licence notices by the Dice coefficient of their word bigrams.
 
-A document's units are its lines, their sentences, its paragraphs and the whole text. Unit and notice are normalised
-to lower-case words of letters and digits. 2 |A and B| / (|A| + |B|) can reach the threshold only if the smaller set
-has at least t / (2 - t) of the larger's size: notices of other sizes are not compared. A unit with no bigram of any
-notice is passed over after one set operation.
+Text and notice are normalised to lower-case words of letters and digits, so line ends and comment markers part
+nothing. 2 |A and B| / (|A| + |B|) can reach the threshold t only if the smaller set has at least t / (2 - t) of the
+larger's size, and so only if the text has that share of the notice's bigrams: other notices are passed over. For the
+rest, windows slide over the whole text from each bigram of the notice up to that size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +47,50 @@ TEMPLATES = (
     ("CC0-1.0", "permissive", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "proprietary", "All rights reserved."),
 )
+
+def _creative_commons() -> tuple:
+    """Short and long notices of the six licences in each version; those of 4.0 that stand above are not repeated."""
+    kinds = {"BY": ("permissive", "Attribution"), "BY-SA": ("copyleft", "Attribution-ShareAlike"), "BY-NC": ("noncommercial", "Attribution-NonCommercial"), "BY-ND": ("noderivatives", "Attribution-NoDerivatives"), "BY-NC-SA": ("noncommercial", "Attribution-NonCommercial-ShareAlike"), "BY-NC-ND": ("noncommercial", "Attribution-NonCommercial-NoDerivatives")}
+    out = []
+    for code, (kind, long) in kinds.items():
+        for version, port in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            out += [(f"CC-{code}-{version}", kind, t) for t in (f"Licensed under CC {code} {version}.", f"This work is licensed under a Creative Commons {long} {version} {port} License.", f"Creative Commons {long} {version} {port} Public License")]
+    return tuple(out)
+
+
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_GNU = "you can redistribute it and/or modify it under the terms of the"
+#: More notices, and what the licences' own texts begin with.
+MORE = (
+    ("GPL-1.0", "copyleft", "This work is licensed under the GNU General Public License, version 1."),
+    ("GPL-1.0", "copyleft", f"This program is free software; {_GNU} GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
+    ("GPL-2.0", "copyleft", f"This program is free software; {_GNU} GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "copyleft", f"This program is free software; {_GNU} GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.0", "copyleft", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.0", "copyleft", f"This library is free software; {_GNU} GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "copyleft", f"This library is free software; {_GNU} GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "copyleft", f"This program is free software: {_GNU} GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "copyleft", f"This program is free software: {_GNU} GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-1.1", "copyleft", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License."),
+    ("BSD-2-Clause", "permissive", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+    ("BSD-3-Clause", "permissive", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+    ("Apache-2.0", "permissive", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("Artistic-1.0", "permissive", "The Artistic License Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package"),
+    ("GPL-1.0", "copyleft", f"GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc. {_VERBATIM} Preamble The license agreements of most software companies try to keep users at the mercy of those companies."),
+    ("GPL-2.0", "copyleft", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM} Preamble The licenses for most software are designed to take away your freedom to share and change it."),
+    ("GPL-3.0", "copyleft", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", "copyleft", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM} [This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1.]"),
+    ("LGPL-3.0", "copyleft", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "copyleft", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("MPL-2.0", "copyleft", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("CC0-1.0", "permissive", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."),
+)
+TEMPLATES += tuple(t for t in (*_creative_commons(), *MORE) if t not in TEMPLATES)
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?:;])\s+")
+_CLOSING = re.compile(r"[^\w\s]*")
+#: Comment markers made of letters; all others are no words.
+_MARKER = re.compile(r"^[ \t]*(?:rem|dnl)(?=[ \t])", re.I | re.M)
 
 
 def bigrams(text: str) -> frozenset:
@@ -61,12 +104,16 @@ class Scanner:
     def __init__(self, templates: tuple, least: float) -> None:
         self.least = least
         self.templates = [(name, kind, bigrams(notice)) for name, kind, notice in templates]
-        self.any = frozenset().union(*(b for _, _, b in self.templates))
-        self.words = frozenset(w for pair in self.any for w in pair)
+        self.bound = least / (2 - least)
+        self.by_bigram: dict = defaultdict(list)
+        for k, (_, _, grams) in enumerate(self.templates):
+            for g in grams:
+                self.by_bigram[g].append(k)
+        self.any = frozenset(self.by_bigram)
 
     def best(self, unit: frozenset) -> tuple[float, str, str] | None:
         """The notice with the highest coefficient, the first of equals; None if none reaches the threshold."""
-        found, n, bound = None, len(unit), self.least / (2 - self.least)
+        found, n, bound = None, len(unit), self.bound
         for name, kind, notice in self.templates:
             if min(n, len(notice)) < bound * max(n, len(notice)):
                 continue
@@ -75,21 +122,55 @@ class Scanner:
                 found = dice, name, kind
         return found
 
+    def windows(self, grams: list, k: int) -> list[tuple[int, float, int, int, int]]:
+        """(-bigrams shared, -coefficient, k, first, end) of the best window from each bigram of notice k that reaches the threshold."""
+        notice, out = self.templates[k][2], []
+        most = len(notice) / self.bound
+        for i, first in enumerate(grams):
+            if first not in notice:
+                continue
+            seen, shared, best = {first}, 1, (2 / (1 + len(notice)), 1, i + 1)
+            for j in range(i + 1, len(grams)):
+                g = grams[j]
+                if g == first:  # the window from there has no more to it
+                    break
+                if g not in seen:
+                    seen.add(g)
+                    if len(seen) > most:
+                        break
+                    if g in notice:
+                        shared += 1
+                        best = max(best, (2 * shared / (len(seen) + len(notice)), shared, j + 1), key=lambda x: x[:2])
+            if best[0] >= self.least:
+                out.append((-best[1], -best[0], k, i, best[2]))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, str, float, str]]:
-        """(licence, kind, dice, unit) for each licence found in a text: its best unit, by falling coefficient."""
-        text, found = text or "", {}
-        whole = bigrams(text)
-        if whole.isdisjoint(self.any):
+        """(licence, kind, dice, unit) for each licence found in a text: its best window, by falling coefficient.
+
+        Of windows that overlap by half, the one that shares most bigrams with its notice says the licence.
+        """
+        text = _MARKER.sub(lambda m: " " * len(m[0]), text or "")
+        hits = bigrams(text) & self.any
+        counts = Counter(k for g in hits for k in self.by_bigram[g])
+        likely = [k for k, n in counts.items() if n >= self.bound * len(self.templates[k][2]) - 1e-9]
+        if not likely:
             return []
-        units = [text]
-        for paragraph in re.split(r"\n[ \t\r]*\n", text):
-            units.append(paragraph)
-            for line in paragraph.split("\n"):
-                units += [line, *_SENTENCE.split(line)]
-        for unit in dict.fromkeys(u.strip() for u in units):
-            grams = bigrams(unit)
-            if not grams.isdisjoint(self.any) and (got := self.best(grams)) and (got[1] not in found or got[0] > found[got[1]][2]):
-                found[got[1]] = (got[1], got[2], got[0], unit)
+        spans = [(w, *m.span()) for m in _WORD.finditer(text) for w in _WORD.findall(m[0].lower())]
+        grams = [(x[0], y[0]) for x, y in zip(spans, spans[1:], strict=False)]
+        owner: list = [None] * len(grams)
+        found: dict = {}
+        for _, dice, k, i, j in sorted(w for k in likely for w in self.windows(grams, k)):
+            name, kind, _ = self.templates[k]
+            over = Counter(x for x in owner[i:j] if x is not None)
+            if 2 * over.total() >= j - i:
+                if over.most_common(1)[0][0] != name:
+                    continue
+            else:
+                owner[i:j] = [name] * (j - i)
+            if name not in found or -dice > found[name][2]:
+                end = _CLOSING.match(text, spans[j][2]).end()
+                found[name] = (name, kind, -dice, text[spans[i][1] : end])
         return sorted(found.values(), key=lambda x: (-x[2], x[0]))
 
 

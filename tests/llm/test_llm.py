@@ -250,6 +250,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped_embedded_and_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_DICE)
+    named = lambda text: [x[0] for x in scanner.scan(text)]
+    for name, _, notice in licenses.TEMPLATES:
+        words = notice.split()
+        for mark in (" * ", "# ", "// ", "REM "):
+            block = "\n".join(mark + " ".join(words[k : k + 6]) for k in range(0, len(words), 6))
+            assert named(f"Prose about poets and other things\n{block}\nint main and so on") == [name], (name, block)
+    got = scanner.scan("This dataset is released under the MIT License and may be reused. " + "Other words go on here. " * 50)
+    assert [(x[0], x[2], x[3]) for x in got] == [("MIT", 1.0, "released under the MIT License")]
+    assert named("Words.\nLicensed under CC BY-NC-SA 3.0.\n") == ["CC-BY-NC-SA-3.0"]
+    assert named("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n\n 0. Additional Definitions.") == ["LGPL-3.0"]
+    assert named("all rights " * 3000) == [] == named("The license of the work is under the terms of poets")
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><!-- x --><article><h1>Big &amp; small</h1><p>One\n  two<br>three <b>four</b></p><p>Five<p>Six</article><div id="comments"><p>No!</p></div><footer>&copy; me</footer></body>'
     assert html_extract.main_text(page) == "Big & small\nOne two three four\nFive\nSix"
