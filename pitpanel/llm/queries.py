@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_model, quality_rules, substring, url_filter
+from . import bpe, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_model, quality_rules, substring, url_filter, url_labels
 from .common import table
 
 
@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labelled=url_labels.table(spark))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .common import LOWER, UPPER
 
 #: The rules of the query, (rule, verdict).
@@ -23,8 +24,6 @@ RULES = (
     ("net/fr/", "block"),
 )
 SIZES, BUCKETS = (3, 4, 5), 1 << 14
-#: At most so many labelled URLs are learnt from.
-MOST_LABELLED = 5_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -65,16 +64,11 @@ def train(labelled: DataFrame) -> LogisticRegressionModel | None:
     return LogisticRegression(featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_prediction", regParam=1e-3, maxIter=40).fit(rows)
 
 
-def labelled_by_rules(urls: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """A labelled table made from the URLs that rules decide: distinct host and path, those with the smallest hash."""
-    return urls.filter("rule is not null").select("host", "path", (F.col("verdict") == "block").cast("int").alias("label")).distinct().orderBy(F.xxhash64("host", "path"), "host", "path").limit(most)
-
-
 def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """Every row of pages (page_id, url, more): page_id, host, path, rule, verdict, block_score.
 
     The longest rule that fits decides; where none fits the model does (block at 0.5 or more). labelled: a table
-    (host, path, label); by default the URLs that rules decide, MOST_LABELLED of them at most. Null URLs and URLs
+    (host, path, label); by default that of url_labels. What the rules say is never learnt. Null URLs and URLs
     without :// have empty host and path and are judged as such; with no labelled URL at all the rest is allowed.
     Repeated rows are judged alike.
     """
@@ -86,7 +80,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
     for r, verdict in rules:
         said = F.when(F.col("rule") == r, F.lit(verdict)).otherwise(said)
     ruled = ruled.withColumn("verdict", said)
-    model = train(labelled if labelled is not None else labelled_by_rules(ruled))
+    model = train(url_labels.table(pages.sparkSession) if labelled is None else labelled)
     if model is None:
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("block_score"))
     scored = model.transform(featured(ruled)).withColumn("block_score", vector_to_array("_p")[1])

@@ -95,6 +95,19 @@ def test_url_rules_and_model(spark):
     assert {x["page_id"]: x["verdict"] for x in url_filter.judge(q, (), labelled).collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_model_learns_names_not_languages(spark):
+    bad = ["poker-king", "bestpills", "super-bets", "adult-cams", "payday-cash"]
+    good = ["thersh", "city-library", "oak-garden", "ththon", "melodan"]
+    frames = [(s, end, lang) for s in ("", "www.", "m.") for end in ("com", "net", "org") for lang in ("en", "de", "es", "fr")]
+    rows = [(f"{i}", f"https://{s}{name}.example.{end}/{lang}/{i * 37 + 5}") for i, (name, (s, end, lang)) in enumerate((n, f) for n in bad + good for f in frames)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id string, url string"), ()).collect()
+    wrong = Counter(any(b in r["host"] for b in bad) for r in got if (r["verdict"] == "block") != any(b in r["host"] for b in bad))
+    assert len(got) == 360 and max(wrong[True], wrong[False]) <= 18, wrong  # 10 % of either kind
+    first = url_filter.judge(spark.createDataFrame(rows[-1:] + [("a", f"http://x{i}.net/es/1") for i in range(50)], "page_id string, url string"))
+    alone = url_filter.judge(spark.createDataFrame(rows[-1:], "page_id string, url string"))
+    assert first.filter("page_id <> 'a'").collect() == alone.collect()  # URLs that rules decide teach nothing
+
+
 def test_classifier(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, " ".join(("w" + str(r.randrange(99))) + ("$$$" if i % 3 == 0 else "") for _ in range(r.randint(5, 40))), "en", "s", 1, 1, "x") for i in range(900)]
