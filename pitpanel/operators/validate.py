@@ -126,17 +126,17 @@ def _draw(n: Column, *keys: Column | str) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", *keys).cast("binary")), 1, 8), 16, 10).cast("long"), n)
 
 
-def bootstrap(daily: DataFrame, x: str, replicates: int = 200, block: int = 1) -> DataFrame:
+def bootstrap(daily: DataFrame, x: str, replicates: int = 200, block: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """K16 whole dates drawn again, K17 in blocks of neighbouring dates: mean, 5 %, 50 % and 95 % of the replicates' mean of x.
 
-    daily has a row per date. Draws are hashes of replicate and place, so reruns and engines agree.
+    daily has a row per date, and per key where `by` names one. Draws are hashes of replicate and place, so reruns and engines agree.
     """
-    d = daily.filter(F.col(x).isNotNull()).withColumn("place", F.row_number().over(Window.orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = d.select(F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    d = daily.filter(F.col(x).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    slots = d.select(*by, F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     start = _draw(F.col("n"), F.col("rep").cast("string"), F.floor(F.col("slot") / block).cast("string"))
-    asked = slots.withColumn("place", F.pmod(start + F.col("slot") % block, F.col("n")).cast("int")).select("rep", "place")
-    reps = asked.join(d.select("place", F.col(x).alias("_x")), "place").groupBy("rep").agg(F.avg("_x").alias("m"))
-    return reps.agg(F.count(F.lit(1)).alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", 0.05).alias("q05"), F.percentile("m", 0.5).alias("q50"), F.percentile("m", 0.95).alias("q95"))
+    asked = slots.withColumn("place", F.pmod(start + F.col("slot") % block, F.col("n")).cast("int")).select(*by, "rep", "place")
+    reps = asked.join(d.select(*by, "place", F.col(x).alias("_x")), [*by, "place"]).groupBy(*by, "rep").agg(F.avg("_x").alias("m"))
+    return reps.groupBy(*by).agg(F.count(F.lit(1)).alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", 0.05).alias("q05"), F.percentile("m", 0.5).alias("q50"), F.percentile("m", 0.95).alias("q95"))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, x: str, replicates: int = 200) -> DataFrame:
@@ -351,12 +351,14 @@ def expert_promotion(ic: DataFrame, block: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, out).withColumn("promoted", (F.col("days") >= 20) & (F.col("mean") > 0) & (F.col("t") > 2.24))
 
 
-def family_choice(errors: DataFrame, base: str) -> DataFrame:
-    """K26 by family of (date, family, mae): edge over the base on the early and late half of the dates; kept if both are above 0."""
+def family_choice(errors: DataFrame, base: str, block: int = 20) -> DataFrame:
+    """K26 by family of (date, family, mae): edge over the base on the early and late half of the dates; kept if both, and the 5 % bound of the edge by blocks of dates, are above 0."""
     d = date_places(errors).select("date", (F.col("place") * 2 < F.col("dates")).alias("_early"))
     b = errors.filter(F.col("family") == base).select("date", F.col("mae").alias("_b"))
     e = errors.filter(F.col("family") != base).join(b, "date").join(d, "date").withColumn("edge", F.col("_b") - F.col("mae"))
-    return e.groupBy("family").agg(F.avg(F.when(F.col("_early"), F.col("edge"))).alias("early_edge"), F.avg(F.when(~F.col("_early"), F.col("edge"))).alias("late_edge"), F.count(F.lit(1)).alias("days")).withColumn("kept", F.coalesce((F.col("early_edge") > 0) & (F.col("late_edge") > 0), F.lit(False)))
+    halves = e.groupBy("family").agg(F.avg(F.when(F.col("_early"), F.col("edge"))).alias("early_edge"), F.avg(F.when(~F.col("_early"), F.col("edge"))).alias("late_edge"), F.count(F.lit(1)).alias("days"))
+    bound = bootstrap(e, "edge", block=block, by=("family",)).select("family", F.col("q05").alias("edge_q05"))
+    return halves.join(bound, "family", "left").withColumn("kept", F.coalesce((F.col("early_edge") > 0) & (F.col("late_edge") > 0) & (F.col("edge_q05") > 0), F.lit(False)))
 
 
 def point_families(df: DataFrame, q50: str, score: str) -> DataFrame:

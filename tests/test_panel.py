@@ -183,3 +183,13 @@ def test_readers_shapes(spark):
     assert df.columns == ["date", "open", "high", "low", "close", "volume"] and df.first()["close"] == 1.0 and df.first()["date"] == "x"
     items = readers.split_publisher(spark.createDataFrame([("Bank - up - Daily News", "l", "p")], "title string, link string, pubDate string")).first()
     assert items["publisher"] == "Daily News" and items["title"] == "Bank - up"
+
+
+def test_family_within_noise_is_not_kept(spark):
+    from pitpanel.operators import validate
+
+    noise = [3.0 if i % 4 < 2 else -2.9 for i in range(120)]
+    rows = [(f"2020-{1 + i // 28:02d}-{1 + i % 28:02d}", f, m) for i, x in enumerate(noise) for f, m in (("base", 5.0), ("noisy", 5.0 - x), ("better", 4.5 - x / 100))]
+    got = {r["family"]: r for r in validate.family_choice(spark.createDataFrame(rows, "date string, family string, mae double"), "base", block=2).collect()}
+    assert got["noisy"]["early_edge"] > 0 and got["noisy"]["late_edge"] > 0
+    assert (got["noisy"]["kept"], got["better"]["kept"]) == (False, True)
