@@ -10,15 +10,21 @@ ones last. Two sets that reach the threshold differ in few shingles, so a prefix
   threshold always share an entry, whatever is frequent: the classes only decide how selective the index is.
 
 The number of classes follows the size band of the smaller set; a set is indexed for its own band and for that of the
-smallest partner it can have. Sets that share an entry are candidates and are verified by exact intersection.
+smallest partner it can have.
 
-Of two sets over the threshold, how many entries of single shingles they must share at least follows from their sizes;
-pairs that share fewer are dropped before any set is fetched.
+Positions. Each entry says how many shingles must be allowed to differ before it belongs to the prefix (`at`). How many
+may differ in a pair follows from both sizes, and two sets over the threshold share an entry that lies in both prefixes
+of that length. Entries further back make no pair: copies of one original that have strayed too far to link with it
+have enough rare shingles of their own, and so no longer meet in what is frequent.
 
-Groups of copies. Documents with one and the same set are one node. Entries with fewer than LARGE nodes are paired
-outright. In larger ones each node is first compared with one pivot only, components are formed, and again with other
-pivots, so n copies take n comparisons. Only nodes that then share an entry but lie in different components are
-compared pair by pair; no link between components is lost, and links inside a component cannot change the result.
+Groups of copies. Documents with one and the same set are one node. Each node is first compared with one pivot only,
+that of the entries it shares most of; then nodes that share an entry but lie in different components are compared, so
+n copies of an original take n comparisons. No link between components is lost, and links inside a component cannot
+change the result. Pairs are verified in two steps: bitmaps of the sets bound the difference from below, and only
+pairs that pass have their sets fetched and intersected exactly.
+
+Entries of which very many sets may be found are dealt out to several tasks, and large entries are joined by size
+class, so that no task meets a whole group.
 
 Sets and shingles are named by 64-bit hashes; for n distinct sets the chance that two share a name is n * n / 2^65.
 """
@@ -27,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import checkpointed, mix, shuffle_partitions, slices, window_hashes, word_hashes
 from .components import components
@@ -41,13 +49,22 @@ from .membership import bit_filter, passes
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle is frequent if it was found so often (a power of 2), or more often where more than MOST_FREQUENT would be.
-LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 20
+LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 22
 #: One class of frequent shingles for so many shingles of a set's size band.
 CLASS_SHINGLES = 4
-#: Entries with so many nodes are reduced by comparing with pivots before pairs are made, so often.
-LARGE, PIVOT_ROUNDS = 64, 3
-#: Pivots come before pairs while there are more pairs to make for each row than this.
-MOST_PAIRS = 4
+#: Shingles found so often are hot; entries of two of them are dealt out to SALTS tasks. Other entries have fewer rows.
+HOT, SALTS = 4096, 64
+#: Entries with so many rows are joined by classes of sizes, each CLASS_RATIO times the one before.
+LARGE, CLASS_RATIO = 64, 1.05
+#: Characters for each range of shingle values that one task tallies.
+RANGE_CHARS = 64_000_000
+
+
+class Frequent(NamedTuple):
+    """Sorted leading 32 bits of the frequent shingles, and of those that are hot."""
+
+    tokens: np.ndarray
+    hot: np.ndarray
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -81,40 +98,55 @@ def bands(n: int, percent: int = PERCENT) -> range:
     return range(band(-(-percent * n // 100)), band(n) + 1)
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The index entries of a set, and how many of them stand for single shingles (even; combinations are odd).
+def overlap(n, m, percent: int = PERCENT):
+    """How many shingles sets of n and m (numbers or columns of integers) must share to reach the threshold."""
+    if isinstance(n, Column):
+        return F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array known."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
-    A set of one token has none: it links with equal sets only.
+
+def index_entries(tokens: np.ndarray, frequent: Frequent, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index entries of a set, where each stands (`at`), and whether it may be found in very many sets.
+
+    Entries of single shingles are even, those of combinations odd. An entry belongs to the prefix for a partner that
+    may lack k of the set's shingles if at <= k. A set of one token has none: it links with equal sets only.
     """
     n = len(tokens)
     if n < 2:
-        return np.empty(0, np.uint64), 0
-    need, one = may_differ(n, percent) + 1, np.uint64(1)
-    common = np.zeros(n, bool)
-    if len(frequent):
-        short = (tokens >> np.uint64(32)).astype(np.uint32)
-        common = frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short
-    rare = tokens[~common][:need]
-    singles = mix(rare) & ~one
-    if len(rare) == need:
-        return singles, need
-    out, often = [singles], tokens[common]
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    most, one = may_differ(n, percent), np.uint64(1)
+    short = (tokens >> np.uint64(32)).astype(np.uint32)
+    common = _among(short, frequent.tokens)
+    rare = tokens[~common][: most + 1]
+    out, at, hot = [mix(rare) & ~one], [np.arange(len(rare))], [np.zeros(len(rare), bool)]
+    often, very = tokens[common], _among(short[common], frequent.hot)
     for of_size in bands(n, percent):
+        least = max(math.ceil(1.25**of_size - 1e-6), -(-percent * n // 100))  # the smallest partner of the band
+        k = n - overlap(n, min(least, n), percent)
+        if len(rare) > k:
+            continue
         classes = max(1, int(1.25**of_size) // CLASS_SHINGLES)
         of = (mix(often) % np.uint64(classes)).astype(np.int64)
         first = np.zeros(len(often), bool)
         first[np.unique(of, return_index=True)[1]] = True
-        gain = np.cumsum(~first)
-        upto = int(np.searchsorted(gain, need - len(rare))) + 1
-        prefix, of = often[:upto], of[:upto]
-        order = np.argsort(of, kind="stable")
-        prefix, of = prefix[order], of[order]
-        for step in range(1, len(prefix)):
+        before = np.cumsum(~first) - ~first + len(rare)
+        upto = int(np.searchsorted(before, k, "right"))
+        order = np.argsort(of[:upto], kind="stable")
+        of, prefix, place, many = of[order], often[order], before[order], very[order]
+        for step in range(1, upto):
             same = of[step:] == of[:-step]
             if not same.any():
                 break
             out.append(mix(mix(prefix[:-step][same] + np.uint64(of_size)) * np.uint64(3) + prefix[step:][same]) | one)
-    return np.unique(np.concatenate(out)), len(rare)
+            at.append(place[step:][same])
+            hot.append(many[:-step][same] & many[step:][same])
+    entries, index = np.unique(np.concatenate(out), return_index=True)
+    return entries, np.concatenate(at)[index], np.concatenate(hot)[index]
 
 
 def _frequency_blobs(docs: DataFrame, ranges: int) -> DataFrame:
@@ -166,164 +198,186 @@ def _tally(blobs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": values[often].astype(np.int64), "n": counts[often]})
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Sorted leading 32 bits of the frequent shingles of all docs; at most MOST_FREQUENT, so 4 MB.
+def frequent_tokens(docs: DataFrame) -> Frequent:
+    """The frequent shingles of all docs; at most MOST_FREQUENT, so 16 MB.
 
     Every shingle is counted. The threshold is LEAST_FREQUENT times the least power of 2 that leaves MOST_FREQUENT of them.
     """
-    ranges = max(16, shuffle_partitions(docs.sparkSession))
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = max(16, shuffle_partitions(docs.sparkSession), chars // RANGE_CHARS)
     counted = checkpointed(_frequency_blobs(docs, ranges).groupBy("part").applyInPandas(_tally, "token long, n long"))
     sizes = counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("tokens")).toPandas()  # a row for each power of 2
     least = LEAST_FREQUENT
     while sizes.tokens[sizes.power >= least.bit_length() - 1].sum() > MOST_FREQUENT:
         least *= 2
-    found = counted.filter(F.col("n") >= least).select("token").toPandas()
-    return np.unique(found.token.to_numpy(np.int64).astype(np.uint32))
+    found = counted.filter(F.col("n") >= least).select("token", (F.col("n") >= HOT).alias("hot")).toPandas()
+    short = found.token.to_numpy(np.int64).astype(np.uint32)
+    return Frequent(np.unique(short), np.unique(short[found.hot.to_numpy(bool)]))
 
 
-def shared_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """entry, node, n, singles, c: index entries that at least two different sets have (c of them); one shuffle, by entry.
+def shared_entries(docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """entry, node, n, at: index entries that at least two different sets have; one shuffle, by entry.
 
-    n is the size of the node's set, singles how many entries of single shingles it was indexed with.
+    n is the size of the node's set. Entries of two hot shingles are dealt out by node too and not tested.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in slices(batch, 256, 2_000_000, 0):
-                nodes, sizes, singles, entries = [], [], [], []
+            for a, b in slices(batch, 64, 500_000, 0):
+                nodes, found = [], []
                 for tokens in shingle_sets(batch.column(0).slice(a, b - a).to_pylist()):
                     name = set_name(tokens)
                     if len(tokens) > 1 and name not in seen:
                         seen.add(name)
-                        nodes.append(name)
-                        sizes.append(len(tokens))
-                        found, alone = index_entries(tokens, known.value)
-                        singles.append(alone)
-                        entries.append(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(singles, pa.int32()), pa.array(entries, pa.list_(pa.int64()))], names=["node", "n", "singles", "entries"])
+                        nodes.append((name, len(tokens)))
+                        found.append(index_entries(tokens, known.value))
+                if not nodes:
+                    continue
+                entries, at, hot = (np.concatenate(x) for x in zip(*found, strict=True))
+                node, n = (np.repeat(np.array(x, np.int64), [len(f[0]) for f in found]) for x in zip(*nodes, strict=True))
+                salt = np.where(hot, 1 + (node.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(entries.view(np.int64)), pa.array(node), *(pa.array(x.astype(np.int32)) for x in (n, at, salt))], names=["entry", "node", "n", "at", "salt"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "entry long, node long, n int, at int, salt int")
+    of = Window.partitionBy("entry", "salt")
+    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "entry", "salt")
+    shared = dealt.withColumn("least", F.min("node").over(of)).withColumn("most", F.max("node").over(of)).filter("least < most or salt > 0")
+    return shared.dropDuplicates(["entry", "salt", "node"]).select("entry", "node", "n", "at")
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token's remainder; the number of bits is a power of 2, at least twice the number of tokens.
+
+    Folded to one length by OR, the bitmaps of two sets differ in no more bits than the sets differ in tokens.
+    """
+    bits = np.zeros(1 << max(6, (2 * len(tokens) - 1).bit_length()), bool)
+    bits[(mix(tokens) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, n int, singles int, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n", "singles")
-    of = Window.partitionBy("entry")
-    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "entry")
-    return dealt.withColumn("least", F.min("node").over(of)).withColumn("most", F.max("node").over(of)).filter("least < most").drop("least", "most").dropDuplicates(["entry", "node"]).withColumn("c", F.count(F.lit(1)).over(of))
+def bits_differ(x: bytes, y: bytes) -> int:
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_or.reduce(b.reshape(-1, len(a)))).sum())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, node, n, tokens of every row of docs; tokens only where the node is (or may be) in `wanted`, once a task.
+@F.pandas_udf(LongType())
+def _bits_differ(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([bits_differ(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+
+def sets_of(docs: DataFrame, bits_for: np.ndarray | None, tokens_for: np.ndarray) -> DataFrame:
+    """doc_id, text_hash, node, n of every row of docs; bits and tokens where the node may be in a filter, once a task.
 
     node is null for documents without words.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select("node")))
+    filters = docs.sparkSession.sparkContext.broadcast((bits_for, tokens_for))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in slices(batch, 256, 2_000_000, 1):
-                found = shingle_sets(batch.column(1).slice(a, b - a).to_pylist())
+            for a, b in slices(batch, 256, 2_000_000, 2):
+                found = shingle_sets(batch.column(2).slice(a, b - a).to_pylist())
                 names = [set_name(x) if len(x) else None for x in found]
-                near = passes(bits.value, np.array([n or 0 for n in names], np.int64).view(np.uint64))
-                tokens = []
-                for name, x, may in zip(names, found, near.tolist(), strict=True):
-                    fresh = may and name is not None and name not in seen
-                    tokens.append(x.view(np.int64) if fresh else None)
-                    if fresh:
-                        seen.add(name)
-                columns = batch.column(0).slice(a, b - a), pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(tokens, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "node", "n", "tokens"])
+                fresh = []
+                for name in names:
+                    fresh.append(name is not None and name not in seen)
+                    seen.add(name)
+                hashes = np.array([n or 0 for n in names], np.int64).view(np.uint64)
+                for_bits, for_tokens = ((passes(f, hashes) & fresh).tolist() if f is not None else [False] * len(names) for f in filters.value)
+                bits = [bitmap(x) if y else None for x, y in zip(found, for_bits, strict=True)]
+                tokens = [x.view(np.int64) if y else None for x, y in zip(found, for_tokens, strict=True)]
+                columns = pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["doc_id", "text_hash", "node", "n", "bits", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, n long, tokens array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, node long, n long, bits binary, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: whether the sets of a and b reach the threshold."""
-    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).alias("linked"))
+def _in_prefixes(percent: int) -> Column:
+    """Whether a shared entry lies in both prefixes that the pair's sizes call for (columns na, ata, nb, atb)."""
+    need = overlap(F.col("na"), F.col("nb"), percent)
+    return (F.col("ata") <= F.col("na") - need) & (F.col("atb") <= F.col("nb") - need)
 
 
-def _sizes_fit(x: str, y: str, percent: int):
-    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node with the pivot that it shares most entries with, where the pair may link.
 
+    The pivot of an entry is the node in whose prefix it comes first: an original has fewer rare shingles than copies.
+    """
+    first = F.min(F.struct(F.col("at").alias("atb"), F.col("node").alias("b"), F.col("n").alias("nb")))
+    pivots = checkpointed(entries.groupBy("entry").agg(first.alias("p"), (F.min("node") < F.max("node")).alias("shared")).filter("shared").select("entry", "p.*"))
+    near = entries.select("entry", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata")).join(pivots, "entry").filter((F.col("a") != F.col("b")) & _in_prefixes(percent))
+    best = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("a").agg(F.max(F.struct("k", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
 
-def _may_link(k: Column, percent: int) -> Column:
-    """Whether two sets that share k entries of single shingles can reach the threshold (columns na, sa, nb, sb).
 
-    The intersection is at least o, so at most n - o of a set's shingles are missing from the other. A set indexed
-    with rare shingles only (`plain`) was indexed with its first ones. Of two plain sets, the one whose prefix ends
-    first finds all it shares inside the other's prefix; a plain set finds it among all the rare shingles of one that
-    is not, and two that are not have indexed all their rare shingles.
-    """
-    o = F.ceil((F.col("na") + F.col("nb")) * (percent / (100.0 + percent)) - 1e-9)
-    need = {x: F.col(f"s{x}") - F.col(f"n{x}") + o for x in "ab"}
-    plain = {x: F.col(f"s{x}") > F.floor(F.col(f"n{x}") * ((100 - percent) / 100.0) + 1e-9) for x in "ab"}
-    least = F.when(plain["a"] & plain["b"], F.least(need["a"], need["b"])).when(plain["a"], need["a"]).when(plain["b"], need["b"]).otherwise(F.greatest(need["a"], need["b"]))
-    return k >= least
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
 
 
-def _pairs(rows: DataFrame, apart: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share an entry of rows and may reach the threshold.
+def _pairs_apart(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes of different components that share an entry in both their prefixes.
 
-    rows (entry, node, n, singles, elsewhere): elsewhere bounds how many single entries a node has beside rows. With
-    `apart`, only pairs of different labels.
+    Of an entry's rows only those outside its commonest component look for partners, so a group that is one component
+    already makes no pairs. In large entries a row looks only into the size classes that its place in the prefix allows.
     """
-    side = lambda x: rows.select("entry", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("singles").alias(f"s{x}"), F.col("elsewhere").alias(f"e{x}"), *([F.col("label").alias(f"l{x}")] if apart else []))
-    both = side("a").join(side("b"), "entry").filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent) & _may_link(F.least("sa", "sb"), percent))
-    if apart:
-        both = both.filter("la <> lb")
-    shared = both.groupBy("a", "b").agg(F.count_if(F.col("entry") % 2 == 0).alias("k"), *[F.max(c).alias(c) for c in ("na", "nb", "sa", "sb", "ea", "eb")])
-    return shared.withColumn("k", F.col("k") + F.least("ea", "eb")).filter(_may_link(F.col("k"), percent)).select("a", "b")
+    rows = entries.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = checkpointed(rows)
+    per = rows.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("c"), F.count(F.lit(1)).alias("labels"))
+    several = checkpointed(per.filter("labels > 1").select("entry", F.col("top.label").alias("top"), (F.col("c") >= LARGE).alias("large")))
+    open_ = checkpointed(rows.join(several, "entry"))
+    n, none = F.col("n"), F.lit(-1)
+    least = F.ceil(n * percent / 100)
+    most = F.least(F.floor((n - F.col("at")) * (100 + percent) / percent) - n, F.floor(n * 100 / percent))
+    sizes = F.when(F.col("large"), F.sequence(_size_class(least), _size_class(F.greatest(most, least)))).otherwise(F.array(none))
+    seek = open_.filter("label <> top").select("entry", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("label").alias("la"), F.explode(sizes).alias("class"))
+    there = open_.select("entry", F.when(F.col("large"), _size_class(n)).otherwise(none).alias("class"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("label").alias("lb"), "top")
+    met = seek.join(there, ["entry", "class"]).filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("top")) | (F.col("a") < F.col("b"))) & _in_prefixes(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small and large entries; each row says how many single entries its node has in the other part."""
-    of = F.count_if((F.col("entry") % 2 == 0) & (F.col("c") < LARGE)).alias("in_small"), F.count_if((F.col("entry") % 2 == 0) & (F.col("c") >= LARGE)).alias("in_large")
-    per = entries.groupBy("node").agg(*of, F.sum("c").alias("degree"))
-    rows = entries.join(per, "node")
-    return rows.filter(F.col("c") < LARGE).withColumnRenamed("in_large", "elsewhere"), rows.filter(F.col("c") >= LARGE).withColumnRenamed("in_small", "elsewhere")
+def _both(pairs: DataFrame, of_node: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of a's node (suffix a) and of b's (suffix b)."""
+    for x in "ab":
+        pairs = pairs.join(of_node.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in columns]), x)
+    return pairs
 
 
-def _pairs_to_make(rows: DataFrame) -> int:
-    """How many times two nodes of different components share an entry of rows (entry, label)."""
-    per = rows.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    return per.agg(F.sum(F.col("k") * F.col("k") - F.col("kk"))).first()[0] // 2
+def _may_link(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps (node, n, bits) do not differ in more bits than linked sets can in tokens."""
+    most = F.col("na") + F.col("nb") - 2 * overlap(F.col("na"), F.col("nb"), percent)
+    return _both(pairs, bitmaps, "n", "bits").filter(_bits_differ("bitsa", "bitsb") <= most).select("a", "b")
 
 
-def _components(tried: DataFrame) -> DataFrame:
-    return components(tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """u, v: the pairs (a, b) whose sets reach the threshold."""
+    met = _both(pairs, tokens, "tokens").withColumn("k", F.size(F.array_intersect("tokensa", "tokensb")))
+    return met.filter(F.col("k") >= overlap(F.size("tokensa"), F.size("tokensb"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def linked_nodes(small_pairs: DataFrame, large: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, label of all nodes that are linked to another one.
+def _ends(pairs: DataFrame) -> np.ndarray:
+    return bit_filter(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+
+
+def _distinct_sets(sets: DataFrame) -> DataFrame:
+    return checkpointed(sets.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"]))
 
-    small_pairs: all pairs of small entries that may link; large: rows of the large entries; tokens: their sets.
-    """
-    of = Window.partitionBy("entry")
-    tried = checkpointed(_verified(small_pairs, tokens, percent))
-    comp, open_ = _components(tried), large
-    for step in range(PIVOT_ROUNDS + 1):
-        # entries that hold several components still
-        rows = open_.drop("label").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = checkpointed(rows.withColumn("_l", F.min("label").over(of)).withColumn("_m", F.max("label").over(of)).filter("_l < _m").drop("_l", "_m"))
-        if open_.isEmpty():
-            break
-        if step < PIVOT_ROUNDS and _pairs_to_make(open_) > MOST_PAIRS * open_.count():
-            # the first pivot is the node that shares most: copies are likeliest to be near their original
-            order = F.struct((-F.col("degree") if not step else F.xxhash64("node", F.lit(step))).alias("o"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label"))
-            near = open_.withColumn("p", F.min(order).over(of)).filter("label <> p.label").select("node", F.col("p.node").alias("pivot"), "n", F.col("p.n").alias("pn")).filter(_sizes_fit("n", "pn", percent))
-            shared = near.groupBy("node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("shared")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            best = Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b")
-            pairs = shared.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b").distinct()
-        else:
-            pairs = _pairs(open_, True, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            step = PIVOT_ROUNDS
-        tried = tried.unionByName(checkpointed(_verified(pairs, tokens, percent)))
-        comp = _components(tried)
-        if step == PIVOT_ROUNDS:
-            break
-    return comp
+
+def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n, label of every row of docs; rows of one label are linked, null has no words."""
+    entries = checkpointed(shared_entries(docs, frequent_tokens(docs)))
+    pairs = checkpointed(_pivot_pairs(entries, percent))
+    sets = checkpointed(sets_of(docs, bit_filter(entries.select("node")), _ends(pairs)))
+    bitmaps = checkpointed(sets.filter("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
+    links = checkpointed(_linked(_may_link(pairs, bitmaps, percent), _distinct_sets(sets), percent))
+    apart = _pairs_apart(entries, components(links), percent).join(pairs, ["a", "b"], "left_anti")
+    more = checkpointed(_may_link(apart, bitmaps, percent))
+    if not more.isEmpty():
+        links = links.unionByName(_linked(more, _distinct_sets(sets_of(docs, None, _ends(more))), percent))
+    comp = components(links).withColumnRenamed("node", "_node")
+    return sets.select("doc_id", "text_hash", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -335,25 +389,30 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nothing. Rows with a null doc_id belong to components without naming them; null is the id of a component of such
     rows alone. Repeated rows have equal sets, so they link. An empty table gives no rows.
     """
-    small, large = _split(checkpointed(shared_entries(docs, frequent_tokens(docs))))
-    large, pairs = checkpointed(large), checkpointed(_pairs(small, False, percent))
-    wanted = large.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = checkpointed(sets_of(docs, wanted))
-    candidates = sets.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"])
-    comp = linked_nodes(pairs, large, candidates, percent).withColumnRenamed("node", "_node")
-    rows = sets.select("doc_id", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
-    rows = checkpointed(rows)
+    rows = checkpointed(labelled_rows(docs, percent))
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "_label")
-    return rows.join(least, F.col("label") == F.col("_label"), "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(least, F.col("label") == F.col("_label"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one of each group of near copies, with docs' own columns.
+    """One row of each group of near copies, with docs' own columns, whatever their names.
 
-    Documents without words are no one's copy and stay. Of rows that repeat a doc_id one stays. Rows with a null
-    doc_id cannot be named and stay, one for each different text.
+    The row with the smallest doc_id stays (null last); of several, that with the smallest hash of its text, and of
+    rows equal in both the least by all columns that can be ordered. Documents without words are no one's copy: all
+    stay. An empty table gives no rows.
     """
-    groups = near_groups(docs, percent)
-    chosen = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter("doc_id is not null").join(chosen, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    rows = checkpointed(labelled_rows(docs, percent))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    chosen = rows.filter("label is not null").groupBy("label").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
+    wordless = rows.filter("label is null").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("label").isNotNull()).alias("words"))
+    kept = chosen.unionByName(wordless).join(times, F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_hash") == F.col("text_hash"))).select("keep_id", "keep_hash", (F.col("words") & (F.col("times") > 1)).alias("again"))
+    kept = checkpointed(kept)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = row.withColumn("id", F.col("row.doc_id").cast("long")).withColumn("hash", F.xxhash64(F.col("row.text").cast("string")))
+    match = row["id"].eqNullSafe(kept["keep_id"]) & (row["hash"] == kept["keep_hash"])
+    once = row.join(kept.filter("not again"), match, "left_semi").select("row")
+    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if not kind.startswith("map")]
+    place = Window.partitionBy("id", "hash").orderBy(*ordered)
+    first = row.join(kept.filter("again"), match, "left_semi").withColumn("place", F.row_number().over(place)).filter("place = 1").select("row")
+    return once.unionByName(first).select("row.*")

@@ -140,7 +140,7 @@ def brute_components(rows):
 def test_ngram_join_finds_every_link(docs, empty, monkeypatch, frequent, large):
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", frequent)  # with 2 and 3 all copies go through combinations and pivots
     monkeypatch.setattr(ngram_join, "LARGE", large)
-    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 0 if large == 3 else 4)
+    monkeypatch.setattr(ngram_join, "HOT", 4096 if large == 64 else 4)  # with 4 entries of copies are dealt out by node
     rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id is not null").select("doc_id", "text").distinct().collect()]
     sets, label = brute_components(rows)
     got = ngram_join.near_groups(docs).collect()
@@ -150,21 +150,40 @@ def test_ngram_join_finds_every_link(docs, empty, monkeypatch, frequent, large):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), label[r["doc_id"]])
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [3]
     kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == set(label.values())
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(label.values())
     assert ngram_join.near_groups(empty).count() == 0
 
 
-def test_index_entries_share_one(spark):
+def test_index_entries_share_one_in_both_prefixes():
     r = np.random.default_rng(4)
     frequent = np.unique(r.integers(0, 2**32, 400).astype(np.uint32))
+    known = ngram_join.Frequent(frequent, frequent[::3])
     pool = (frequent.astype(np.uint64) << np.uint64(32)) | r.integers(0, 2**32, len(frequent)).astype(np.uint64)
-    for _ in range(300):
+    pairs = 0
+    for _ in range(600):
         n, rare = int(r.integers(2, 200)), int(r.integers(0, 60))
         a = np.unique(np.concatenate((r.choice(pool, min(n, 390), False), r.integers(0, 2**63, rare).astype(np.uint64))))
         d = int(r.integers(0, ngram_join.may_differ(len(a)) + 1))
         b = np.unique(np.concatenate((r.permutation(a)[d:], r.integers(0, 2**63, int(r.integers(0, 4))).astype(np.uint64))))
-        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) and len(b) > 1 and not np.array_equal(a, b):
-            assert len(np.intersect1d(ngram_join.index_entries(a, frequent)[0], ngram_join.index_entries(b, frequent)[0]))
+        shared = len(np.intersect1d(a, b))
+        assert ngram_join.bits_differ(ngram_join.bitmap(a), ngram_join.bitmap(b)) <= len(a) + len(b) - 2 * shared
+        if 100 * shared >= 80 * (len(a) + len(b) - shared) and len(b) > 1 and not np.array_equal(a, b):
+            assert shared >= (need := ngram_join.overlap(len(a), len(b)))
+            sides = [dict(zip(*(x.tolist() for x in ngram_join.index_entries(x, known)[:2]), strict=True)) for x in (a, b)]
+            assert any(sides[0][e] <= len(a) - need and sides[1][e] <= len(b) - need for e in sides[0].keys() & sides[1].keys())
+            pairs += 1
+    assert pairs > 200
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:59], "x"]), " ".join(reversed(words))
+    rows = [(1, text, "en", "s", 1, 1, "x"), (1, other, "en", "s", 1, 1, "x"), (2, near, "en", "s", 1, 1, "x"), (1, text, "de", "s", 1, 1, "x"), (None, near + " y", "en", "s", 1, 1, "x"), (None, "only this", "b", "s", 1, 1, "x"), (None, "only this", "a", "s", 1, 1, "x"), (5, "", "en", "s", 1, 1, "x"), (5, "", "en", "s", 1, 1, "x"), (None, None, "en", "s", 1, 1, "x")]
+    clash = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "keep_id").withColumnRenamed("node", "_keep").withColumnRenamed("source", "hash")
+    got = ngram_join.keep_one(clash)
+    assert got.columns == clash.columns
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in got.collect()), key=repr) == sorted([(1, text, "de"), (1, other, "en"), (None, "only this", "a"), (5, "", "en"), (5, "", "en"), (None, None, "en")], key=repr)
+    assert ngram_join.keep_one(clash.limit(0)).count() == 0
 
 
 def test_components(spark):
