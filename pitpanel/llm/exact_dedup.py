@@ -1,15 +1,18 @@
 """Exact de-duplication against a history of digests held in minimal perfect hash tables.
 
-History: the distinct digests of texts that occur more than once, dealt out over shards by their leading bits. Each
-shard is one minimal perfect hash: n slots for n digests, found through a seed per small bucket of digests (buckets
-are placed largest first; a bucket of one stores its slot outright). A slot holds the whole digest, the winner's
-locator (its doc_id) and the group's size. A lookup compares all 32 bytes, so a digest that is not in the history
-never passes for one that is.
-
-Rows are reduced to one probe per distinct digest before any shuffle (map-side), so a digest that a third of the rows
-share costs a task no more than another; only the last, plain join back to the rows meets that key, and there the
-unique side is the small one and adaptive execution splits the large one. A shard's size is the number of distinct
-repeated digests over the number of shards, which follows spark.sql.shuffle.partitions.
+History: the distinct digests of texts seen before, dealt out over shards by their last bits. Each shard is one
+minimal perfect hash: n slots for n digests, found through a seed per small bucket of digests (buckets are placed
+largest first; a bucket of one stores its slot outright). A slot holds the whole digest, the winner's locator (its
+doc_id) and the group's size. History is an ordinary table of shards that can be written and read again.
+
+Batch: each row looks its digest up. The slot's 32 bytes are compared, so a digest that is not in the history never
+passes for one that is. Members are repeats: they only move the slot's locator and size on. What is not in the
+history is grouped by itself and joins it afterwards.
+
+Within one table the rows whose hashed doc_id is even are the history, the others the batch; which rows are which
+changes nothing in the result. Tasks sum up equal digests before they send them, so a digest that a third of the rows
+share costs a shard no more than another; only the plain join back to the rows meets that key, and there the unique
+side is the small one and adaptive execution splits the large one. The number of shards follows the counted rows.
 """
 
 from __future__ import annotations
@@ -18,18 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, mix, shuffle_partitions
+from .common import LOWER, UPPER, checkpointed, mix, shuffle_partitions
 
 INDEX = "shard int, n int, seeds binary, digests binary, keep_ids binary, sizes binary"
+ENTRIES = "digest binary, keep_id long, n long, member boolean"
 KEYS_PER_BUCKET = 4
+#: Rows for each shard, at most on average.
+SHARD_ROWS = 500_000
+#: The locator of a group whose rows have no doc_id; it loses to any other.
+NO_ID = -(1 << 63)
 
 
 def digest(text: str = "text"):
-    """SHA-256 (lowercase hex) of the text with A-Z lower-cased; null counts as empty."""
-    return F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    """SHA-256 (32 bytes) of the text with A-Z lower-cased; null counts as empty."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER).cast("binary"), 256))
+
+
+def _locator(doc_id: str = "doc_id"):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
 def _slots(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
@@ -72,55 +85,65 @@ def find_slots(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
     return np.where(seed < 0, -1 - seed, _slots(keys, np.maximum(seed, 0).astype(np.uint64), n))
 
 
-def _keys(hexes: pd.Series) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex("".join(hexes)), ">u8").reshape(-1, 4).astype(np.uint64)
+def _keys(digests: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 4)
 
 
-def _build(groups: pd.DataFrame) -> pd.DataFrame:
-    keys = _keys(groups.text_sha256)
-    seeds, slots = build_table(keys)
-    order = np.argsort(slots)
-    ids = groups.keep_id.to_numpy()[order]
-    known = pd.notna(ids)
-    packed = np.where(known, ids, 0).astype(np.int64).tobytes() + known.astype(np.uint8).tobytes()
-    return pd.DataFrame([[groups.shard.iloc[0], len(keys), seeds.tobytes(), keys[order].tobytes(), packed, groups.group_size.to_numpy()[order].astype(np.int64).tobytes()]], columns=["shard", "n", "seeds", "digests", "keep_ids", "sizes"])
+def summed(rows: DataFrame, shards: int) -> DataFrame:
+    """shard, digest, keep_id, n: rows (digest, keep_id) with equal digests of an Arrow batch summed up; no shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = pa.Table.from_batches([batch]).group_by("digest").aggregate([("keep_id", "max"), ("keep_id", "count")])
+            digests = got.column("digest").combine_chunks()
+            shard = np.frombuffer(b"".join(x[-4:] for x in digests.to_pylist()), ">u4").astype(np.int64) % shards
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), digests, got.column("keep_id_max").combine_chunks(), got.column("keep_id_count").combine_chunks()], names=["shard", "digest", "keep_id", "n"])
 
-def _probe(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    keep, size, member = probes.keep_id.astype("Int64").to_numpy(object), probes.group_size.to_numpy(np.int64).copy(), np.zeros(len(probes), bool)
-    for r in index.itertuples():
-        if not len(probes):
-            break
-        keys, n = _keys(probes.text_sha256), r.n
-        slot = find_slots(keys, np.frombuffer(r.seeds, np.int64), n)
-        hit = (np.frombuffer(r.digests, np.uint64).reshape(n, 4)[slot] == keys).all(axis=1)
-        ids, known = np.frombuffer(r.keep_ids[: 8 * n], np.int64), np.frombuffer(r.keep_ids[8 * n :], np.uint8)
-        for i in np.flatnonzero(hit):
-            keep[i] = int(ids[slot[i]]) if known[slot[i]] else None
-        size[hit], member = np.frombuffer(r.sizes, np.int64)[slot[hit]], member | hit
-    return pd.DataFrame({"text_sha256": probes.text_sha256, "keep_id": pd.array([None if pd.isna(x) else int(x) for x in keep], "Int64"), "group_size": size, "in_history": member})
+    return rows.select("digest", "keep_id").mapInArrow(run, "shard int, digest binary, keep_id long, n long")
+
+
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    groups = rows.groupby("digest", sort=False).agg(keep_id=("keep_id", "max"), n=("n", "sum"))
+    keys = _keys(groups.index)
+    seeds, slots = build_table(keys)
+    order = np.argsort(slots)
+    pack = lambda x: x.to_numpy(np.int64)[order].tobytes()
+    return pd.DataFrame([[rows.shard.iloc[0], len(keys), seeds.tobytes(), keys[order].tobytes(), pack(groups.keep_id), pack(groups.n)]], columns=["shard", "n", "seeds", "digests", "keep_ids", "sizes"])
 
 
-def groups_of(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per distinct digest of rows (doc_id, text_sha256): its largest doc_id, its number of rows, its shard."""
-    return rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("shard", F.pmod(F.conv(F.substring("text_sha256", 57, 8), 16, 10).cast("long"), F.lit(shards)).cast("int"))
+def build_history(rows: DataFrame) -> DataFrame:
+    """A row per shard (INDEX): the minimal perfect hash over the distinct digests of summed() rows."""
+    return rows.groupBy("shard").applyInPandas(_build, INDEX)
 
 
-def build_history(groups: DataFrame) -> DataFrame:
-    """A minimal perfect hash per shard over the digests of groups_of() that occur at least twice."""
-    return groups.filter("group_size > 1").select("shard", "text_sha256", "keep_id", "group_size").groupBy("shard").applyInPandas(_build, INDEX)
+def _probe(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    columns, out = ["digest", "keep_id", "n"], []
+    for r in index.itertuples():  # one at most
+        slots, keep, size = np.frombuffer(r.digests, np.uint64).reshape(r.n, 4), np.frombuffer(r.keep_ids, np.int64).copy(), np.frombuffer(r.sizes, np.int64).copy()
+        if len(batch):
+            keys = _keys(batch.digest)
+            slot = find_slots(keys, np.frombuffer(r.seeds, np.int64), r.n)
+            hit = (slots[slot] == keys).all(axis=1)
+            np.maximum.at(keep, slot[hit], batch.keep_id.to_numpy(np.int64)[hit])
+            np.add.at(size, slot[hit], batch.n.to_numpy(np.int64)[hit])
+            batch = batch[~hit]
+        out.append(pd.DataFrame({"digest": [x.tobytes() for x in slots], "keep_id": keep, "n": size, "member": True}))
+    return pd.concat([*out, batch[columns].assign(member=False)], ignore_index=True).astype({"keep_id": "int64", "n": "int64", "member": bool})
 
 
-def look_up(groups: DataFrame, history: DataFrame) -> DataFrame:
-    """groups_of() rows with the winner and size of their group: the history's where it has the digest, else their own."""
-    probes = groups.select("shard", "text_sha256", "keep_id", "group_size")
-    return probes.groupBy("shard").cogroup(history.groupBy("shard")).applyInPandas(_probe, "text_sha256 string, keep_id long, group_size long, in_history boolean")
+def look_up(batch: DataFrame, history: DataFrame) -> DataFrame:
+    """ENTRIES: the history's slots, moved on by the members of batch (summed() rows), and batch's rows that are no members."""
+    return batch.groupBy("shard").cogroup(history.groupBy("shard")).applyInPandas(_probe, ENTRIES)
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """One row per distinct digest of rows (doc_id, text_sha256): keep_id, group_size, in_history."""
-    groups = groups_of(rows, shuffle_partitions(rows.sparkSession))
-    return look_up(groups, build_history(groups))
+    """One row per distinct digest of rows (digest, keep_id): digest, keep_id (the largest), group_size."""
+    shards = max(shuffle_partitions(rows.sparkSession), -(-rows.count() // SHARD_ROWS))
+    old = F.pmod(F.xxhash64("keep_id"), F.lit(2)) == 0
+    history = checkpointed(build_history(summed(rows.filter(old), shards)))
+    found = checkpointed(look_up(summed(rows.filter(~old), shards), history))
+    fresh = found.filter("not member").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return found.filter("member").select("digest", "keep_id", F.col("n").alias("group_size")).unionByName(fresh)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -131,17 +154,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     null, keep_id is null and the rows count as one. Rows that repeat the winner's doc_id and text are that document
     again and say kept, too (deduplicate() lets one through). An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id"), digest().alias("text_sha256"))
-    found = verdicts(rows)
-    return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = docs.select(F.col("doc_id"), _locator().alias("id"), digest().alias("digest"))
+    found = verdicts(rows.select("digest", F.col("id").alias("keep_id")))
+    keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
+    return rows.join(found, "digest").select("doc_id", keep.alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of equal texts, the one with the largest doc_id, with docs' own columns.
 
-    The texts are shuffled once, by doc_id and digest, so a text with very many copies meets in no one task.
+    Of rows that repeat the winner's doc_id and text the least by all columns that can be ordered stays. Texts are
+    shuffled once, by digest and doc_id, so a text with very many copies meets in no one task. Columns may have any
+    names; null texts count as empty, and a null doc_id stays only where its group has no other.
     """
-    rows = docs.withColumn("_digest", digest())
-    found = verdicts(rows.select("doc_id", F.col("_digest").alias("text_sha256"))).select(F.col("text_sha256").alias("_of"), F.col("keep_id").alias("_keep"))
-    kept = rows.join(found, (F.col("_digest") == F.col("_of")) & (F.coalesce("doc_id", F.lit(-1)) == F.coalesce("_keep", F.lit(-1))) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).dropDuplicates(["_digest", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest().alias("digest"), _locator().alias("id"))
+    winners = verdicts(row.select("digest", F.col("id").alias("keep_id"))).select("digest", F.col("keep_id").alias("id"))
+    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
+    place = Window.partitionBy("digest", "id").orderBy(*ordered)
+    return row.join(winners, ["digest", "id"], "left_semi").withColumn("place", F.row_number().over(place)).filter("place = 1").select("row.*")

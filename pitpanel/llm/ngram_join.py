@@ -215,10 +215,11 @@ def frequent_tokens(docs: DataFrame) -> Frequent:
     return Frequent(np.unique(short), np.unique(short[found.hot.to_numpy(bool)]))
 
 
-def shared_entries(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """entry, node, n, at: index entries that at least two different sets have; one shuffle, by entry.
+def shared_entries(docs: DataFrame, frequent: Frequent, percent: int = PERCENT) -> DataFrame:
+    """entry, node, n, at, other: index entries that at least two different sets have; one shuffle, by entry.
 
-    n is the size of the node's set. Entries of two hot shingles are dealt out by node too and not tested.
+    n is the size of the node's set. An entry of just two sets is one row, which names the other node, and only if it
+    lies in both prefixes; elsewhere `other` is null. Entries of two hot shingles are dealt out by node too and not tested.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -232,7 +233,7 @@ def shared_entries(docs: DataFrame, frequent: Frequent) -> DataFrame:
                     if len(tokens) > 1 and name not in seen:
                         seen.add(name)
                         nodes.append((name, len(tokens)))
-                        found.append(index_entries(tokens, known.value))
+                        found.append(index_entries(tokens, known.value, percent))
                 if not nodes:
                     continue
                 entries, at, hot = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -244,7 +245,11 @@ def shared_entries(docs: DataFrame, frequent: Frequent) -> DataFrame:
     of = Window.partitionBy("entry", "salt")
     dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "entry", "salt")
     shared = dealt.withColumn("least", F.min("node").over(of)).withColumn("most", F.max("node").over(of)).filter("least < most or salt > 0")
-    return shared.dropDuplicates(["entry", "salt", "node"]).select("entry", "node", "n", "at")
+    shared = shared.dropDuplicates(["entry", "salt", "node"]).select("entry", "node", F.col("n").alias("na"), F.col("at").alias("ata"), "salt")
+    last = F.max(F.struct("node", F.col("na").alias("nb"), F.col("ata").alias("atb"))).over(of)
+    shared = shared.withColumn("last", last).withColumn("two", (F.col("salt") == 0) & (F.count(F.lit(1)).over(of) == 2)).select("*", "last.nb", "last.atb")
+    kept = shared.filter(~F.col("two") | ((F.col("node") != F.col("last.node")) & _in_prefixes(percent)))
+    return kept.select("entry", "node", F.col("na").alias("n"), F.col("ata").alias("at"), F.when(F.col("two"), F.col("last.node")).alias("other"))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -324,7 +329,6 @@ def _pairs_apart(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame
     already makes no pairs. In large entries a row looks only into the size classes that its place in the prefix allows.
     """
     rows = entries.join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = checkpointed(rows)
     per = rows.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("c"), F.count(F.lit(1)).alias("labels"))
     several = checkpointed(per.filter("labels > 1").select("entry", F.col("top.label").alias("top"), (F.col("c") >= LARGE).alias("large")))
     open_ = checkpointed(rows.join(several, "entry"))
@@ -357,8 +361,8 @@ def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("k") >= overlap(F.size("tokensa"), F.size("tokensb"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _ends(pairs: DataFrame) -> np.ndarray:
-    return bit_filter(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
 def _distinct_sets(sets: DataFrame) -> DataFrame:
@@ -367,15 +371,16 @@ def _distinct_sets(sets: DataFrame) -> DataFrame:
 
 def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n, label of every row of docs; rows of one label are linked, null has no words."""
-    entries = checkpointed(shared_entries(docs, frequent_tokens(docs)))
-    pairs = checkpointed(_pivot_pairs(entries, percent))
-    sets = checkpointed(sets_of(docs, bit_filter(entries.select("node")), _ends(pairs)))
+    found = checkpointed(shared_entries(docs, frequent_tokens(docs), percent))
+    entries, twos = found.filter("other is null").drop("other"), found.filter("other is not null")
+    pairs = checkpointed(_pivot_pairs(entries, percent).unionByName(twos.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct())
+    sets = checkpointed(sets_of(docs, bit_filter(entries.select("node").unionByName(_nodes(pairs))), bit_filter(_nodes(pairs))))
     bitmaps = checkpointed(sets.filter("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
     links = checkpointed(_linked(_may_link(pairs, bitmaps, percent), _distinct_sets(sets), percent))
     apart = _pairs_apart(entries, components(links), percent).join(pairs, ["a", "b"], "left_anti")
     more = checkpointed(_may_link(apart, bitmaps, percent))
     if not more.isEmpty():
-        links = links.unionByName(_linked(more, _distinct_sets(sets_of(docs, None, _ends(more))), percent))
+        links = links.unionByName(_linked(more, _distinct_sets(sets_of(docs, None, bit_filter(_nodes(more)))), percent))
     comp = components(links).withColumnRenamed("node", "_node")
     return sets.select("doc_id", "text_hash", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
 
@@ -412,7 +417,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     row = row.withColumn("id", F.col("row.doc_id").cast("long")).withColumn("hash", F.xxhash64(F.col("row.text").cast("string")))
     match = row["id"].eqNullSafe(kept["keep_id"]) & (row["hash"] == kept["keep_hash"])
     once = row.join(kept.filter("not again"), match, "left_semi").select("row")
-    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if not kind.startswith("map")]
+    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
     place = Window.partitionBy("id", "hash").orderBy(*ordered)
     first = row.join(kept.filter("again"), match, "left_semi").withColumn("place", F.row_number().over(place)).filter("place = 1").select("row")
     return once.unionByName(first).select("row.*")

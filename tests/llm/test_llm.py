@@ -264,6 +264,32 @@ def test_exact_groups(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups) and exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_lookup_decides(docs, monkeypatch):
+    want = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    look_up = exact_dedup.look_up
+    none = lambda batch, history: look_up(batch.limit(0), history).unionByName(batch.select("digest", "keep_id", "n", F.lit(False).alias("member")))
+    monkeypatch.setattr(exact_dedup, "look_up", none)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()} != want
+
+
+def test_exact_history_is_a_table_and_batches_move_it_on(spark, tmp_path):
+    rows = lambda ids: exact_dedup.summed(spark.createDataFrame([(hashlib.sha256(b"%d" % (i % 50)).digest(), i) for i in ids], "digest binary, keep_id long"), 7)
+    exact_dedup.build_history(rows(range(40))).write.parquet(str(tmp_path / "history"))
+    found = exact_dedup.look_up(rows(range(40, 200)), spark.read.parquet(str(tmp_path / "history"))).collect()
+    member = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in found if r["member"]}
+    assert member == {hashlib.sha256(b"%d" % k).digest(): (150 + k, 4) for k in range(40)}
+    assert {bytes(r["digest"]) for r in found if not r["member"]} == {hashlib.sha256(b"%d" % k).digest() for k in range(40, 50)}
+
+
+def test_deduplicate_clashing_names_and_total_order(spark):
+    rows = [(1, "A b", "en", "s", 1, 1, "x"), (2, "a B", "en", "s", 1, 1, "x"), (2, "a b", "de", "s", 1, 1, "x"), (None, "a b", "aa", "s", 1, 1, "x"), (None, "c", "y", "s", 1, 1, "x"), (None, "C", "x", "s", 1, 1, "x"), (7, None, "en", "s", 1, 1, "x"), (6, "", "en", "s", 1, 1, "x")]
+    clash = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"n_chars": "digest", "node": "_keep", "source": "id", "label": "row"})
+    got = exact_dedup.deduplicate(clash)
+    assert got.columns == clash.columns
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in got.collect()), key=repr) == sorted([(2, "a B", "en"), (None, "C", "x"), (7, None, "en")], key=repr)
+    assert exact_dedup.deduplicate(clash.limit(0)).count() == 0
+
+
 def test_perfect_hash_is_minimal_and_checks_bytes():
     keys = np.random.default_rng(3).integers(0, 2**63, (5000, 4)).astype(np.uint64)
     seeds, slots = exact_dedup.build_table(keys)
