@@ -7,7 +7,7 @@ rule needs all rows, as each docstring says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, clamp, following, trailing, with_ema
@@ -92,12 +92,12 @@ def drawdowns(df: DataFrame, spans: tuple[int, ...] = (20, 60)) -> DataFrame:
     return df.withColumns({f"dd{n}": F.try_divide("close", F.max("close").over(trailing(n))) - 1 for n in spans})
 
 
-def volatility_percentile(df: DataFrame, vol: str = "vol20", back: int = 252, inclusive: bool = False, least: int = 60) -> DataFrame:
-    """D13 share of the trailing volatilities that are at most the current one, the current row included or not."""
-    last = 0 if inclusive else -1
-    df = df.withColumn("_past", F.collect_list(vol).over(trailing(back, last)))
-    share = F.try_divide(F.size(F.filter("_past", lambda x: x <= F.col(vol))).cast("double"), F.size("_past"))
-    return df.withColumn("vol_pct", F.when(F.col(vol).isNotNull() & (F.size("_past") >= least), share)).drop("_past")
+def volatility_percentile(df: DataFrame, vol: str = "vol20", back: int = 252, least: int = 60) -> DataFrame:
+    """D13 share of the trailing volatilities that are at most the current one: vol_pct of those before, vol_pct_incl with the current row."""
+    df = df.withColumn("_past", F.collect_list(vol).over(trailing(back, -1)))
+    df = df.withColumn("_below", F.size(F.filter("_past", lambda x: x <= F.col(vol)))).withColumn("_n", F.size("_past"))
+    known = F.col(vol).isNotNull() & (F.col("_n") >= least)
+    return df.withColumns({"vol_pct": F.when(known, F.col("_below") / F.col("_n")), "vol_pct_incl": F.when(known, (F.col("_below") + 1) / (F.col("_n") + 1))}).drop("_past", "_below", "_n")
 
 
 def volume_scores(df: DataFrame, n: int = 20) -> DataFrame:
@@ -122,17 +122,27 @@ def reversal_a(df: DataFrame) -> DataFrame:
 
 
 def reversal_b(df: DataFrame) -> DataFrame:
-    """D18 stretch, snap-back, regime and signature features, each held in a fixed range."""
-    unit = F.greatest(F.stddev_samp("ret1").over(trailing(20)), F.lit(0.002))
-    df = df.withColumn("_u", unit)
-    stretch = lambda k: clamp(F.col(f"ret{k}") / (F.col("_u") * k**0.5), -6, 6)
+    """D18 twelve stretch, snap-back, regime and signature features of a panel with rsi_simple and volume_z_prior, each held in a fixed range.
+
+    Volatilities are annualised. Missing inputs count as 0 (the strength index as its middle).
+    """
+    c = lambda x, low, high, none=0.0: F.coalesce(clamp(x if isinstance(x, Column) else F.col(x), low, high), F.lit(float(none)))
+    span = F.try_divide(F.col("high") - F.col("low"), "close")
+    df = df.withColumns({"_v5": F.greatest(c(F.stddev_samp("ret1").over(trailing(5)) * YEAR**0.5, 0, 2), F.lit(1e-5)), "_v20": F.greatest(c(F.stddev_samp("ret1").over(trailing(20)) * YEAR**0.5, 0, 2), F.lit(1e-5)), "_g1": c(span, 0, 2), "_g5": F.greatest(c(F.avg(span).over(trailing(5)), 0, 2), F.lit(1e-5))})
+    df = df.withColumns({f"_r{k}": c(f"ret{k}", -1, 1) for k in (1, 2, 5, 10, 20)})
+    df = df.withColumns({"_t5": c(F.try_divide("close", F.avg("close").over(trailing(5))) - 1, -2, 2), "_t20": c(F.try_divide("close", F.avg("close").over(trailing(20))) - 1, -2, 2), "_rsi": c(F.col("rsi_simple") / 100, 0, 1, 0.5), "_z": c("volume_z_prior", -8, 8)})
+    up = lambda x: F.greatest(F.col(x), F.lit(0.0))
+    down = lambda x: F.greatest(-F.col(x), F.lit(0.0))
+    oversold, overbought = F.greatest((0.45 - F.col("_rsi")) / 0.45, F.lit(0.0)), F.greatest((F.col("_rsi") - 0.55) / 0.45, F.lit(0.0))
+    snap = F.col("_r1") - F.col("_r5") / 5
     return df.withColumns({
-        "stretch1": stretch(1), "stretch3": stretch(3), "stretch5": stretch(5), "stretch20": stretch(20),
-        "snapback": clamp(-F.col("ret1") * F.signum("ret5"), -0.15, 0.15), "exhaust": clamp(F.abs("ret5") / (F.abs("ret20") + 0.01), 0, 5),
-        "calm": clamp(1 - F.col("_u") / 0.05, 0, 1), "turn": (F.signum("ret1") != F.signum("ret5")).cast("int"), "turn_slow": (F.signum("ret5") != F.signum("ret20")).cast("int"),
-        "range_pull": clamp((F.col("close") - F.avg("close").over(trailing(20))) / (F.col("close") * F.col("_u") * 20**0.5), -4, 4),
-        "accel": clamp(F.col("ret3") / 3 - F.col("ret10") / 10, -0.1, 0.1), "down_run": F.sum((F.col("ret1") < 0).cast("int")).over(trailing(5)),
-    }).drop("_u")
+        "stretch20_vol": clamp(-F.col("_r20") / (F.col("_v20") * 20**0.5 + 1e-6), -6, 6), "stretch10_vol": clamp(-F.col("_r10") / (F.col("_v20") * 10**0.5 + 1e-6), -6, 6),
+        "snapback1v5": clamp(snap, -0.25, 0.25), "snapback2v10": clamp(F.col("_r2") - F.col("_r10") / 5, -0.35, 0.35),
+        "vol_regime_shift": clamp(F.col("_v5") / F.col("_v20") - 1, -3, 5), "range_regime_shift": clamp(F.col("_g1") / F.col("_g5") - 1, -3, 5),
+        "oversold_pressure": clamp(oversold * down("_r20") * 10, 0, 5), "overbought_pressure": clamp(overbought * up("_r20") * 10, 0, 5),
+        "rebound_signature": clamp(down("_r20") * up("_r1") * 100, 0, 5), "breakdown_signature": clamp(up("_r20") * down("_r1") * 100, 0, 5),
+        "trend_compression": clamp(F.col("_t5") - F.col("_t20"), -2, 2), "volume_shock": clamp(F.col("_z") * snap, -2, 2),
+    }).drop("_v5", "_v20", "_g1", "_g5", *[f"_r{k}" for k in (1, 2, 5, 10, 20)], "_t5", "_t20", "_rsi", "_z")
 
 
 def turnover(df: DataFrame) -> DataFrame:

@@ -39,10 +39,18 @@ def flow_session_features(sessions: DataFrame, flows: DataFrame, side: str, most
     return df.withColumns({f"{side}_imb5": mean(5, 2), f"{side}_imb20": mean(20, 5), f"{side}_imb_z": z}).drop("_x", "_i")
 
 
-def flow_state(ratio: str, z: str) -> Column:
-    """I4 five states by ratio (+-.03, +-.12), confirmed by z (+-.2, +-.75)."""
-    r, s = F.col(ratio), F.coalesce(F.col(z), F.lit(0.0))
-    return F.when((r >= 0.12) & (s >= 0.2), "STRONG_IN").when(r >= 0.03, "IN").when((r <= -0.12) & (s <= -0.2), "STRONG_OUT").when(r <= -0.03, "OUT").when(r.isNotNull(), "NEUTRAL")
+def _bands(x: Column, weak: float, strong: float) -> Column:
+    return F.when(x >= strong, "STRONG_BUY").when(x >= weak, "BUY").when(x <= -strong, "STRONG_SELL").when(x <= -weak, "SELL").when(x.isNotNull(), "NEUTRAL")
+
+
+def ratio_state(ratio: str) -> Column:
+    """I4 five states of net flow over gross flow: bounds .03 and .12 on either side."""
+    return _bands(F.col(ratio), 0.03, 0.12)
+
+
+def z_state(z: str) -> Column:
+    """I4 five states of a flow's z score: bounds .2 and .75 on either side."""
+    return _bands(F.col(z), 0.2, 0.75)
 
 
 def recent_sums(flows: DataFrame, side: str, unit: float = 1.0) -> DataFrame:
@@ -95,10 +103,6 @@ def nav_stats(nav: DataFrame) -> DataFrame:
     return df.withColumns({"nav_momentum20": F.try_divide("nav", F.lag("nav", 20).over(w)) - 1, "nav_volatility20": F.when(F.count("_r").over(k) >= 20, F.stddev_pop("_r").over(k))}).drop("_r")
 
 
-def _ramp(x: str, start: float, end: float) -> Column:
-    return clamp((F.col(x) - start) / (end - start), 0, 1)
-
-
 def mean_of(*xs: Column) -> Column:
     """Mean of the values that are not null; null if none is."""
     have = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
@@ -106,14 +110,34 @@ def mean_of(*xs: Column) -> Column:
 
 
 def fundamental_pressure(df: DataFrame) -> DataFrame:
-    """I10 0-100 mean of the pressures of ROE, PE, debt / equity (not for banks), margin and growth that are there."""
-    debt = F.when(~F.col("bank"), _ramp("debt_equity", 0.5, 3.0))
-    return df.withColumn("fundamental_pressure", 100 * mean_of(_ramp("roe", 0.2, 0.0), _ramp("pe", 12.0, 40.0), debt, _ramp("margin", 0.2, 0.0), _ramp("growth", 0.15, -0.2)))
+    """I10 0-100 mean of the pressures of roe, pe, debt_equity, margin and growth that are there; null without any.
 
+    Rates above 2 are per cent, debt ratios above 10 too; a price ratio that is not positive says nothing. Where a
+    column bank is true, debt says nothing either.
+    """
+    rate = lambda x: F.when(F.abs(F.col(x)) > 2, F.col(x) / 100).otherwise(F.col(x))
+    debt = F.when(F.col("debt_equity") > 10, F.col("debt_equity") / 100).otherwise(F.col("debt_equity"))
+    if "bank" in df.columns:
+        debt = F.when(~F.coalesce(F.col("bank"), F.lit(False)), debt)
+    parts = clamp((0.12 - rate("roe")) / 0.18, 0, 1), F.when(F.col("pe") > 0, clamp((F.col("pe") - 18) / 30, 0, 1)), clamp((debt - 0.7) / 2.0, 0, 1), clamp((0.08 - rate("margin")) / 0.15, 0, 1), clamp(-rate("growth") / 0.20, 0, 1)
+    return df.withColumn("fundamental_pressure", 100 * mean_of(*parts))
+
+
+#: Role of a macro series: how its last level or its 20-row return becomes a pressure (start, span).
+MACRO_RAMPS = {"vix": ("level", 17.0, 20.0), "usd": ("rise", 0.0, 0.025), "dxy": ("rise", 0.0, 0.04), "us10y": ("rise", 0.0, 0.08), "brent": ("move", 0.0, 0.18)}
 
-def macro_pressure(macro: DataFrame, back: int = 20) -> DataFrame:
-    """I11 one row: pressure of each series from its last `back`-row return, and their mean."""
+
+def macro_pressure(macro: DataFrame, roles: dict[str, str], back: int = 20) -> DataFrame:
+    """I11 a row per series (series, date, value) that has a role: last level, its simple return over `back` rows (0 where too short), pressure, and the mean as macro_pressure.
+
+    vix presses by its level, usd, dxy and us10y by their rise, brent by its move either way.
+    """
     w = Window.partitionBy("series").orderBy("date")
-    r = macro.withColumn("r", F.log(F.try_divide("value", F.lag("value", back).over(w))))
-    last = r.groupBy("series").agg(F.max_by("value", "date").alias("level"), F.max_by("r", "date").alias("r")).withColumn("pressure", clamp(0.5 + F.col("r") / 0.4, 0, 1))
-    return last.withColumn("macro_pressure", 100 * F.avg("pressure").over(Window.partitionBy()))
+    of = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+    r = macro.withColumns({"role": of[F.col("series")], "r": F.try_divide("value", F.lag("value", back).over(w)) - 1}).filter("role is not null")
+    last = r.groupBy("series", "role").agg(F.max_by("value", "date").alias("level"), F.max_by(F.coalesce("r", F.lit(0.0)), "date").alias("ret20"))
+    pressure = F.lit(None).cast("double")
+    for role, (kind, start, span) in MACRO_RAMPS.items():
+        x = F.col("level") if kind == "level" else F.abs("ret20") if kind == "move" else F.col("ret20")
+        pressure = F.when(F.col("role") == role, clamp((x - start) / span, 0, 1)).otherwise(pressure)
+    return last.withColumn("pressure", pressure).withColumn("macro_pressure", 100 * F.avg("pressure").over(Window.partitionBy()))  # a row per series

@@ -10,13 +10,14 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: str | None, values: lis
     """F1 left with the values of the last right row at or before (F2 strict: before) its key; null if there is none.
 
     Both sides are laid in one ordered stream per key and the last right row is carried forward: linear, one shuffle,
-    no range join. The values travel as a struct, so a null in the matched row stays null.
+    no range join. The values travel as a struct, so a null in the matched row stays null. Of right rows with one key
+    the largest values are taken.
     """
     keys = [by] if by else []
     side = F.struct(*values)
     l_ = left.select(*[F.col(k) for k in keys], F.col(on), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(side.alias("s")).schema["s"].dataType).alias("_v"), F.lit(0 if strict else 1).alias("_side"))
     r_ = right.select(*[F.col(k) for k in keys], F.col(on), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_row"), side.alias("_v"), F.lit(1 if strict else 0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(on, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     j = l_.unionByName(r_).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())
     return j.select(*[F.col("_row")[c].alias(c) for c in left.columns if c not in values], *[F.col("_last")[v].alias(v) for v in values])
 

@@ -63,29 +63,41 @@ def state_study(states: DataFrame, outcomes: DataFrame, keys: list[str], y: str,
 
 
 def matured_priors(events: DataFrame, y: str) -> DataFrame:
-    """G7 for each event: number, mean and hit rate of outcomes of its symbol and event class, and of the class, that had matured by its date.
+    """G7 for each event (id, symbol, sector, event, date, matures, y): n_, mean_ and hits_ of the outcomes that had matured by its date.
 
-    Outcomes enter at their maturity date, events ask at their own; one stream ordered by date carries the sums.
+    Levels: own (symbol and event class), sector (sector and class), market (class). Outcomes are summed by maturity
+    day; events ask by day, so a running sum over days carries each key, and outcomes of one day enter together.
     """
     out = events
-    for level, keys in (("own", ["symbol", "event"]), ("market", ["event"])):
-        ask = events.select(*keys, F.col("date").alias("_at"), F.col("id"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_q"))
-        told = events.filter(F.col(y).isNotNull()).select(*keys, F.col("matures").alias("_at"), F.lit(None).cast("long").alias("id"), F.col(y).alias("_y"), F.lit(0).alias("_q"))
-        w = Window.partitionBy(*keys).orderBy("_at", "_q", "id").rowsBetween(Window.unboundedPreceding, 0)
-        run = ask.unionByName(told).withColumns({f"n_{level}": F.count("_y").over(w), f"mean_{level}": F.avg("_y").over(w), f"hits_{level}": F.avg((F.col("_y") > 0).cast("double")).over(w)})
-        out = out.join(run.filter("_q = 1").select("id", f"n_{level}", f"mean_{level}", f"hits_{level}"), "id", "left")
+    for level, keys in (("own", ["symbol", "event"]), ("sector", ["sector", "event"]), ("market", ["event"])):
+        told = events.filter(F.col(y).isNotNull() & F.col("matures").isNotNull()).groupBy(*keys, F.col("matures").alias("date")).agg(F.count(y).alias("_n"), F.sum(F.col(y).cast("decimal(28,9)")).alias("_s"), F.count_if(F.col(y) > 0).alias("_h"))
+        days = events.select(*keys, "date").distinct().withColumn("_ask", F.lit(True)).join(told, [*keys, "date"], "full_outer")
+        w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        n = F.coalesce(F.sum("_n").over(w), F.lit(0))
+        run = days.withColumns({f"n_{level}": n, "_t": F.sum("_s").over(w).cast("double"), "_p": F.sum("_h").over(w)}).filter("_ask")
+        run = run.select(*keys, "date", f"n_{level}", F.try_divide("_t", F.col(f"n_{level}").cast("double")).alias(f"mean_{level}"), F.try_divide(F.col("_p").cast("double"), F.col(f"n_{level}").cast("double")).alias(f"hits_{level}"))
+        out = out.join(run, [*keys, "date"], "left")
     return out
 
 
-def shrink(df: DataFrame, kappa: float = 16.0, cap: int = 60) -> DataFrame:
-    """G8 own mean shrunk to the market's by a capped weight n / cap, and by a normal prior of strength kappa; hit rate by a Beta prior."""
-    n, mu0, p0 = F.col("n_own"), F.coalesce("mean_market", F.lit(0.0)), F.coalesce("hits_market", F.lit(0.5))
-    w = F.least(n / float(cap), F.lit(1.0))
+def shrink(df: DataFrame, kappa: float = 16.0, kappa_hits: float = 6.0) -> DataFrame:
+    """G8 from matured_priors(): the market's mean and hit rate shrunk by n / 60, the sector's to it by n / 30, the symbol's to that by n / 8.
+
+    A level without outcomes stands on the one above. Also a normal posterior of strength kappa and a Beta posterior
+    of strength kappa_hits around the market's, with the uncertainty of either.
+    """
+    n = lambda x: F.coalesce(F.col(f"n_{x}"), F.lit(0)).cast("double")
+    market, sector = {"n": n("market"), "mean": F.coalesce("mean_market", F.lit(0.0)), "hits": F.coalesce("hits_market", F.lit(0.5))}, {}
+    for k in ("n", "mean", "hits"):
+        sector[k] = F.when(n("sector") > 0, n("sector") if k == "n" else F.col(f"{k}_sector")).otherwise(market[k])
+    own = {k: F.when(n("own") > 0, n("own") if k == "n" else F.col(f"{k}_own")).otherwise(sector[k]) for k in ("n", "mean", "hits")}
+    wm, ws, wo = (F.least(F.lit(1.0), x["n"] / cap) for x, cap in ((market, 60.0), (sector, 30.0), (own, 8.0)))
+    mean = wo * own["mean"] + (1 - wo) * (ws * sector["mean"] + (1 - ws) * wm * market["mean"])
+    hit = wo * own["hits"] + (1 - wo) * (ws * sector["hits"] + (1 - ws) * (wm * market["hits"] + (1 - wm) * 0.5))
+    k = n("own")
     return df.withColumns({
-        "shrunk": w * F.coalesce("mean_own", F.lit(0.0)) + (1 - w) * mu0,
-        "posterior_mean": (n * F.coalesce("mean_own", F.lit(0.0)) + kappa * mu0) / (n + kappa),
-        "posterior_hit": (n * F.coalesce("hits_own", F.lit(0.0)) + kappa * p0) / (n + kappa),
-        "uncertainty": 1 / F.sqrt(n + kappa),
+        "shrunk_mean": mean, "shrunk_hit": hit, "level": F.when(n("own") >= 8, "STOCK").when(n("sector") >= 20, "SECTOR").otherwise("MARKET"), "prior_n": F.when(n("own") > 0, n("own")).when(n("sector") > 0, n("sector")).otherwise(n("market")).cast("long"),
+        "posterior_mean": (k * F.coalesce("mean_own", F.lit(0.0)) + kappa * market["mean"]) / (k + kappa), "posterior_hit": (k * F.coalesce("hits_own", F.lit(0.0)) + kappa_hits * market["hits"]) / (k + kappa_hits), "uncertainty": 1 / F.sqrt(k + kappa),
     })
 
 
@@ -161,10 +173,15 @@ def lead_replay(df: DataFrame, events: DataFrame, values: list[str], leads: tupl
     return asks.join(placed, ["symbol", "at"]).drop("at", "row")
 
 
-def coverage_grade(n: str, publishers: str) -> Column:
-    """G16 STRONG, MODERATE, LIMITED or THIN by numbers of items and publishers."""
-    a, b = F.col(n), F.col(publishers)
-    return F.when((a >= 12) & (b >= 4), "STRONG").when((a >= 6) & (b >= 2), "MODERATE").when(a >= 2, "LIMITED").otherwise("THIN")
+def coverage_grade(n: str, publishers: str, recent: str) -> Column:
+    """G16 STRONG, MODERATE, LIMITED or THIN by numbers of items, publishers and items of the last 180 days."""
+    a, b, r = F.col(n), F.col(publishers), F.col(recent)
+    return F.when((a >= 35) & (b >= 7) & (r >= 12), "STRONG").when((a >= 18) & (b >= 5) & (r >= 6), "MODERATE").when((a >= 6) & (b >= 3), "LIMITED").otherwise("THIN")
+
+
+def study_maturity(n: str) -> Column:
+    """G16 MATURE, MODERATE, LIMITED or THIN by a study's number of events."""
+    return F.when(F.col(n) >= 50, "MATURE").when(F.col(n) >= 20, "MODERATE").when(F.col(n) >= 8, "LIMITED").otherwise("THIN")
 
 
 def segment_metrics(df: DataFrame, masks: dict[str, str], y: str, score: str, least: int = 500) -> DataFrame:

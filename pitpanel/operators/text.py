@@ -11,19 +11,49 @@ from pyspark.sql import functions as F
 from ..functions.expressions import fold
 from .joins import effective_date
 
-#: Terms by tone, and keywords by event class.
-POSITIVE = ("profit", "growth", "record", "upgrade", "dividend", "win", "rise", "beat")
-NEGATIVE = ("loss", "fraud", "default", "downgrade", "probe", "fall", "debt", "miss")
-EVENTS = {"EARNINGS": ("profit", "revenue", "quarter", "earnings"), "CAPITAL": ("dividend", "bonus", "rights issue", "issue"), "LEGAL": ("fraud", "probe", "court", "fine"), "DEAL": ("merger", "acquire", "contract", "stake"), "MACRO": ("rate", "inflation", "tax", "tariff")}
-#: Words of sources and streams.
-OFFICIAL, CLARIFY, RUMOUR = r"(?i)exchange|regulator|filing|src0\b", r"(?i)clarif|denies|denial", r"(?i)rumou?r|hearsay|unconfirmed|forum"
-QUALITY = {"OFFICIAL": 1.0, "CLARIFICATION": 0.95, "RUMOR_UNVERIFIED": 0.35, "MAINSTREAM": 0.9, "OTHER": 0.62}
+#: Terms by tone of the module's sentiment.
+POSITIVE = (
+    "tăng trưởng", "lợi nhuận tăng", "lãi tăng", "kỷ lục", "mở rộng", "trúng thầu", "nâng hạng", "khuyến nghị mua", "vượt kế hoạch", "tăng mạnh", "record", "growth",
+    "profit rises", "upgrade", "buy", "beat", "outperform",
+)
+NEGATIVE = (
+    "khởi tố", "bắt giữ", "điều tra", "vi phạm", "xử phạt", "truy thu", "thua lỗ", "báo lỗ", "lỗ ròng", "giảm mạnh", "lao dốc", "sụt giảm", "bán tháo", "cắt giảm", "hủy", "nợ xấu",
+    "vỡ nợ", "cảnh báo", "rủi ro", "suy giảm", "đóng cửa", "trì hoãn", "downgrade", "sell", "fraud", "investigation", "loss", "decline", "slump", "warning", "risk", "miss",
+)
+#: Terms by tone of the signed sentiment.
+SIGNAL_POSITIVE = (
+    "tăng trưởng", "tăng mạnh", "bứt phá", "vượt kế hoạch", "lợi nhuận tăng", "lãi tăng", "kỷ lục", "trúng thầu", "mua ròng", "nâng hạng", "khởi sắc", "cổ tức", "hồi phục", "tích cực",
+    "mở rộng", "được phê duyệt", "hoàn thành",
+)
+SIGNAL_NEGATIVE = (
+    "giảm mạnh", "lao dốc", "bán tháo", "thua lỗ", "lỗ ròng", "lợi nhuận giảm", "bán ròng", "xả hàng", "vi phạm", "xử phạt", "khởi tố", "điều tra", "cảnh báo", "đình chỉ",
+    "hủy niêm yết", "rủi ro", "suy giảm", "nợ xấu", "mất giá", "bốc hơi", "phá sản", "thanh tra", "tin đồn",
+)
+#: Keywords by event class, in the order in which equals are decided.
+EVENTS = {
+    "EARNINGS": ("lợi nhuận", "doanh thu", "kết quả kinh doanh", "báo lỗ", "lỗ ròng", "biên lợi nhuận"),
+    "REGULATORY": ("khởi tố", "điều tra", "xử phạt", "vi phạm", "thanh tra", "cảnh báo"),
+    "CORPORATE_ACTION": ("cổ tức", "phát hành", "quyền mua", "chia tách", "esop", "cổ phiếu thưởng"),
+    "OWNERSHIP": ("cổ đông lớn", "thoái vốn", "đăng ký mua", "đăng ký bán", "chủ tịch", "người nội bộ"),
+    "FINANCING": ("trái phiếu", "nợ vay", "đáo hạn", "tín dụng", "phát hành riêng lẻ"),
+    "OPERATIONS_MA": ("hợp đồng", "trúng thầu", "dự án", "m&a", "sáp nhập", "mua lại", "thoái vốn"),
+    "ANALYST": ("khuyến nghị", "giá mục tiêu", "nâng khuyến nghị", "hạ khuyến nghị"),
+    "MARKET_FLOW": ("mua ròng", "bán ròng", "khối ngoại", "tự doanh", "room ngoại"),
+}
+#: Names of official and trusted publishers, words of clarifications and rumours.
+OFFICIAL = ("sở giao dịch chứng khoán", "ho chi minh stock exchange", "hose", "hsx.vn", "ủy ban chứng khoán", "state securities commission", "ubck", "ssc.gov.vn")
+TRUSTED = (
+    "cafef", "vietstock", "vnexpress", "vneconomy", "vietnambiz", "baodautu", "znews", "dantri", "dân trí", "tuổi trẻ", "tuoitre", "laodong", "lao động", "bnews", "ndh", "nguoiquansat",
+    "người quan sát", "nhip song kinh doanh", "markettimes",
+)
+CLARIFY = ("bác bỏ", "phủ nhận", "đính chính", "làm rõ", "phản hồi tin đồn")
+RUMOUR = ("tin đồn", "đồn đoán", "rộ tin", "lan truyền", "chưa xác nhận", "chưa kiểm chứng", "rumor")
 
 
 def hits(text: Column, terms: tuple[str, ...]) -> Column:
-    """How many of the terms occur in a text as whole words, whatever their case."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    return sum((F.contains(padded, F.lit(f" {t} ")).cast("int") for t in terms), F.lit(0))
+    """How many of the terms occur anywhere in a text, whatever its case; null has none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -56,20 +86,44 @@ def rule_override(items: DataFrame, negative: str, positive: str, neutral: str,
 
 
 def event_class(items: DataFrame, text: str = "title", events: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """H4 the class with most keyword hits (the first name of equals; OTHER without hits) and its materiality."""
-    best = F.array_max(F.array(*[F.struct(hits(F.col(text), terms).alias("h"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, terms) in enumerate(sorted((events or EVENTS).items()))]))
+    """H4 the class with most keyword hits (the first of equals; GENERAL without hits) and its materiality."""
+    best = F.array_max(F.array(*[F.struct(hits(F.col(text), terms).alias("h"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, terms) in enumerate((events or EVENTS).items())]))
     df = items.withColumn("_b", best)
-    return df.withColumns({"event": F.when(F.col("_b.h") > 0, F.col("_b.k")).otherwise("OTHER"), "materiality": 0.35 + 0.18 * F.least(F.col("_b.h"), F.lit(3))}).drop("_b")
+    return df.withColumns({"event": F.when(F.col("_b.h") > 0, F.col("_b.k")).otherwise("GENERAL"), "materiality": 0.35 + 0.18 * F.least(F.col("_b.h"), F.lit(3))}).drop("_b")
 
 
-def source_class(items: DataFrame) -> DataFrame:
-    """H5 class of the source and its quality; a stream named official overrides."""
-    p, t = F.coalesce("publisher", F.lit("")), F.coalesce("title", F.lit(""))
-    kind = F.when(p.rlike(OFFICIAL), "OFFICIAL").when(t.rlike(CLARIFY), "CLARIFICATION").when(t.rlike(RUMOUR) | p.rlike(RUMOUR), "RUMOR_UNVERIFIED").when(p != "", "MAINSTREAM").otherwise("OTHER")
-    if "stream" in items.columns:
-        kind = F.when(F.col("stream") == "official", "OFFICIAL").otherwise(kind)
-    quality = F.create_map(*[F.lit(x) for kv in QUALITY.items() for x in kv])
-    return items.withColumn("source_class", kind).withColumn("quality", quality[F.col("source_class")])
+def event_alias(event: str, title: str = "title") -> Column:
+    """H4 the one name of an event that sources spell differently; general items with words of results or flows become those."""
+    raw = F.regexp_replace(F.upper(F.coalesce(F.col(event), F.lit("GENERAL"))), " ", "_")
+    #: Spellings of event names.
+    names = {"CORPORATEACTION": "CORPORATE_ACTION", "CAPITAL_/_CORPORATE_ACTION": "CORPORATE_ACTION", "REGULATORY_/_LEGAL": "REGULATORY", "OWNERSHIP_/_GOVERNANCE": "OWNERSHIP", "FINANCING_/_LEVERAGE": "FINANCING", "OPERATIONS_/_M&A": "OPERATIONS_MA", "M&A": "OPERATIONS_MA"}
+    direct = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[raw], raw)
+    t = F.col(title)
+    return F.when((direct == "GENERAL") & (hits(t, ("lợi nhuận", "doanh thu", "báo cáo tài chính", "bán niên")) > 0), "EARNINGS").when((direct == "GENERAL") & (hits(t, ("mua ròng", "bán ròng", "tự doanh", "khối ngoại")) > 0), "MARKET_FLOW").otherwise(direct)
+
+
+def source_class(items: DataFrame, official: tuple[str, ...] = OFFICIAL, trusted: tuple[str, ...] = TRUSTED, clarify: tuple[str, ...] = CLARIFY, rumour: tuple[str, ...] = RUMOUR) -> DataFrame:
+    """H5 class of an item's source and its quality.
+
+    A clarifying title comes first, then a rumour's title in the stream RUMOR, then an official publisher; quality is
+    that class's, .9 or .62 for trusted and other mainstream publishers. Afterwards a stream OFFICIAL or RUMOR
+    (column stream, if there is one) decides the class of what is MAINSTREAM.
+    """
+    stream = F.col("stream") if "stream" in items.columns else F.lit(None).cast("string")
+    title, publisher = F.col("title"), F.col("publisher")
+    kind = F.when(hits(title, clarify) > 0, "CLARIFICATION").when((stream == "RUMOR") & (hits(title, rumour) > 0), "RUMOR_UNVERIFIED").when(hits(publisher, official) > 0, "OFFICIAL").otherwise("MAINSTREAM")
+    df = items.withColumn("_k", kind)
+    k = F.col("_k")
+    quality = F.when(k == "OFFICIAL", 1.0).when(k == "CLARIFICATION", 0.95).when(k == "RUMOR_UNVERIFIED", 0.35).when(hits(publisher, trusted) > 0, 0.9).otherwise(0.62)
+    plain = k == "MAINSTREAM"
+    final = F.when(plain & (stream == "OFFICIAL"), "OFFICIAL").when(plain & (stream == "RUMOR"), "RUMOR_UNVERIFIED").otherwise(k)
+    return df.withColumns({"quality": quality, "source_class": final}).drop("_k")
+
+
+def source_type(df_class: str = "source_class", stream: str = "stream") -> Column:
+    """H5 RUMOR, CLARIFICATION, OFFICIAL or NARRATIVE from class and stream."""
+    k, s = F.col(df_class), F.coalesce(F.col(stream), F.lit(""))
+    return F.when((k == "RUMOR_UNVERIFIED") | (s == "RUMOR"), "RUMOR").when(k == "CLARIFICATION", "CLARIFICATION").when((s == "OFFICIAL") | (k == "OFFICIAL"), "OFFICIAL").otherwise("NARRATIVE")
 
 
 def publication_time(text: Column, offset_hours: int = 7) -> Column:
@@ -106,9 +160,16 @@ def similar_titles(items: DataFrame, least: float, text: str = "title") -> DataF
     return j.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("symbol", "a", "b", "similarity")
 
 
-def near_duplicates(items: DataFrame, least: float = 0.82) -> DataFrame:
-    """H8 items of which an earlier item of the symbol (by id) has a title of at least that similarity: the first such and the best similarity."""
-    return similar_titles(items, least).groupBy("symbol", F.col("b").alias("id")).agg(F.min("a").alias("first_like"), F.max("similarity").alias("similarity"))
+def near_duplicates(items: DataFrame, least: float = 0.82, ratio: float = 0.91, floor: float = 0.6) -> DataFrame:
+    """H8 items of which an earlier item of the symbol (by id) has nearly the same title: the first such and the best word similarity.
+
+    Nearly the same: a word similarity of `least`, or of `floor` and letters that agree in order to `ratio` (one minus
+    the edit distance over the longer title).
+    """
+    t = items.select("symbol", "id", F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+", " ")).alias("t"))
+    pairs = similar_titles(items, floor).join(t.select("symbol", F.col("id").alias("a"), F.col("t").alias("ta")), ["symbol", "a"]).join(t.select("symbol", F.col("id").alias("b"), F.col("t").alias("tb")), ["symbol", "b"])
+    same = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb"))
+    return pairs.filter((F.col("similarity") >= least) | (same >= ratio)).groupBy("symbol", F.col("b").alias("id")).agg(F.min("a").alias("first_like"), F.max("similarity").alias("similarity"))
 
 
 def novelty(items: DataFrame, days: int = 30) -> DataFrame:
@@ -123,13 +184,22 @@ def novelty(items: DataFrame, days: int = 30) -> DataFrame:
     return items.join(best, "id", "left").withColumn("novelty", 1 - F.coalesce("_s", F.lit(0.0))).drop("_s")
 
 
+def noisy(title: str = "title") -> Column:
+    """H10 whether a title is empty, untitled or about a covered warrant."""
+    t = F.lower(F.trim(F.coalesce(F.col(title), F.lit(""))))
+    return (t == "") | t.startswith("untitled") | t.startswith("cw.") | (hits(t, ("chứng quyền", "covered warrant")) > 0)
+
+
 def relevance(items: DataFrame, names: DataFrame) -> DataFrame:
-    """H10 1 for a ticker in the title, .9 / .72 / .45 for much, some or little of the name; warrants and untitled items go."""
-    j = items.join(names.select("symbol", "ticker", "name"), "symbol").filter(F.length(F.trim(F.coalesce("title", F.lit("")))) > 0).filter(~F.col("title").rlike(r"(?i)\bwarrant"))
-    own = tokens(F.col("name"))
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(tokens(F.col("title")), own)).cast("double"), F.size(own)), F.lit(0.0))
-    ticker = F.array_contains(F.split(F.regexp_replace("title", r"[^A-Za-z0-9]+", " "), " "), F.col("ticker"))
-    return j.withColumn("relevance", F.when(ticker, 1.0).when(share >= 0.99, 0.9).when(share >= 0.5, 0.72).when(share > 0, 0.45).otherwise(0.0))
+    """H10 1 for a ticker among the title's words, .9 / .72 for .65 / .35 of the name's words of 3 letters and more, else .45; noise goes.
+
+    names (symbol, ticker, name); items of symbols without a name go, too.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9à-ỹ]+", " ")
+    j = items.join(names.select("symbol", "ticker", "name"), "symbol").filter(~noisy())
+    words, own = F.split(plain(F.col("title")), " "), F.filter(F.split(plain(F.col("name")), " "), lambda x: F.length(x) > 2)
+    share = F.size(F.filter(own, lambda x: F.array_contains(words, x))) / F.greatest(F.size(own), F.lit(1))
+    return j.withColumn("relevance", F.when(F.array_contains(words, F.lower("ticker")), 1.0).when(share >= 0.65, 0.9).when(share >= 0.35, 0.72).otherwise(0.45))
 
 
 def entity_gate(items: DataFrame, rules: DataFrame) -> DataFrame:
@@ -185,21 +255,50 @@ def news_windows(sessions: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumn("news_accel", F.col("news_n5") - F.col("news_n20") / 4.0).drop("_n", "_w", "_s")
 
 
-def evidence_features(sessions: DataFrame, items: DataFrame) -> DataFrame:
-    """H16 items of 5 and 20 calendar days, sentiment of the symbol shrunk to its sector's n / (n + 5), age of the last item.
+#: Event classes that count as fundamental.
+FUNDAMENTAL_EVENTS = ("EARNINGS", "FINANCING")
+
+
+def evidence_features(sessions: DataFrame, items: DataFrame, earnings: str = "EARNINGS", fundamental: tuple[str, ...] = FUNDAMENTAL_EVENTS) -> DataFrame:
+    """H16 what was known of each symbol at each session (symbol, date): items of the last 5 and 20 calendar days, nothing later.
 
-    items (symbol, sector, available, signed, id).
+    items (symbol, sector, id, available, signed, materiality, quality, confidence, novelty, source_class, event).
+    Means are weighted by quality x materiality x confidence (.2 at least), .01 at least. The hierarchical sentiment
+    shrinks the symbol's mean of 20 days to its sector's by n / (n + 5), and that to the market's by n / (n + 30).
+    Sums by day are laid on days and added up over ranges of days, for symbols, sectors and the market alike.
     """
-    from .joins import latest_event, trailing_items
+    w = F.greatest(F.lit(0.01), F.col("quality") * F.col("materiality") * F.greatest(F.lit(0.2), F.col("confidence")))
+    it = items.withColumns({"_w": w, "_d": F.unix_date("available"), "_rumour": F.col("source_class") == "RUMOR_UNVERIFIED", "_all": F.lit(1)})
+    part = lambda c, x: F.sum(F.when(c, F.col("_w") * F.col(x)))
+    earn, fund = F.col("event") == earnings, F.col("event").isin(*fundamental)
+    sums = {
+        "n": F.count(F.lit(1)), "w": F.sum("_w"), "sent": F.sum(F.col("_w") * F.col("signed")), "mat": F.sum(F.col("_w") * F.col("materiality")), "quality": F.sum(F.col("_w") * F.col("quality")), "novelty": F.sum(F.col("_w") * F.col("novelty")),
+        "official": F.count_if(F.col("source_class") == "OFFICIAL"), "clar": F.count_if(F.col("source_class") == "CLARIFICATION"), "rumour": F.count_if("_rumour"), "rumour_w": F.sum(F.when(F.col("_rumour"), F.col("_w"))), "rumour_sent": part(F.col("_rumour"), "signed"),
+        "earn": F.count_if(earn), "earn_w": F.sum(F.when(earn, F.col("_w"))), "earn_sent": part(earn, "signed"), "fund": F.count_if(fund), "fund_w": F.sum(F.when(fund, F.col("_w"))), "fund_sent": part(fund, "signed"),
+    }
+
+    def windows(keys: list[str], asks: DataFrame, names: list[str], spans: tuple[int, ...]) -> DataFrame:
+        """asks (keys, _d) with the sums over the last days, the day itself included; a day's items and the ask share one row."""
+        day = it.groupBy(*keys, "_d").agg(*[x.cast("double").alias(f"_{k}") for k, x in sums.items() if k in names])
+        both = asks.select(*keys, "_d").distinct().withColumn("_ask", F.lit(True)).join(day, [*keys, "_d"], "full_outer")
+        out = {f"{k}{span}": F.coalesce(F.sum(f"_{k}").over(Window.partitionBy(*keys).orderBy("_d").rangeBetween(1 - span, 0)), F.lit(0.0)) for span in spans for k in names}
+        return both.withColumns(out).filter("_ask").select(*keys, "_d", *out)
 
-    df = trailing_items(sessions, items.withColumn("weight", F.col("signed")), (5, 20))
-    own = items.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.avg("signed").alias("_m"))
-    sector = items.groupBy("sector").agg(F.avg("signed").alias("_sm"))
     link = items.select("symbol", "sector").dropDuplicates(["symbol"])
-    a = F.coalesce("_n", F.lit(0)) / (F.coalesce("_n", F.lit(0)) + 5.0)
-    j = df.join(own, "symbol", "left").join(link, "symbol", "left").join(sector, "sector", "left").withColumn("sentiment_shrunk", a * F.coalesce("_m", F.lit(0.0)) + (1 - a) * F.coalesce("_sm", F.lit(0.0)))
-    age = latest_event(sessions.select("symbol", "date"), items).select("symbol", "date", "event_age")
-    return j.drop("_n", "_m", "_sm").join(age, ["symbol", "date"])
+    asks = sessions.select("symbol", "date", F.unix_date("date").alias("_d")).join(link, "symbol", "left")
+    own = windows(["symbol"], asks, list(sums), (5, 20))
+    sector = windows(["sector"], asks.filter("sector is not null"), ["n", "w", "sent"], (20,)).withColumnsRenamed({f"{k}20": f"sector_{k}" for k in ("n", "w", "sent")})
+    market = windows(["_all"], asks.withColumn("_all", F.lit(1)), ["w", "sent"], (20,)).select("_d", F.try_divide("sent20", F.nullif("w20", F.lit(0.0))).alias("market_sent"))
+    j = asks.join(own, ["symbol", "_d"], "left").join(sector, ["sector", "_d"], "left").join(market, "_d", "left")
+    mean = lambda x, of: F.coalesce(F.try_divide(F.col(x), F.nullif(F.col(of), F.lit(0.0))), F.lit(0.0))
+    c = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    a, b = c("n20") / (c("n20") + 5), c("sector_n") / (c("sector_n") + 30)
+    hier = a * mean("sent20", "w20") + (1 - a) * (b * mean("sector_sent", "sector_w") + (1 - b) * c("market_sent"))
+    return j.select(
+        "symbol", "date", c("n5").alias("news_n5"), c("n20").alias("news_n20"), mean("sent20", "w20").alias("news_sent20"), mean("mat20", "w20").alias("news_materiality20"), mean("quality20", "w20").alias("news_quality20"), mean("novelty20", "w20").alias("news_novelty20"),
+        mean("official20", "n20").alias("official_share20"), c("clar20").alias("clarification_n20"), hier.alias("hier_sent20"), c("rumour5").alias("rumour_n5"), c("rumour20").alias("rumour_n20"), mean("rumour_sent20", "rumour_w20").alias("rumour_sent20"),
+        (c("rumour5") / F.greatest(F.lit(1.0), c("rumour20") / 4)).alias("rumour_velocity"), c("earn20").alias("earnings_n20"), mean("earn_sent20", "earn_w20").alias("earnings_sent20"), c("fund20").alias("fundamental_n20"), mean("fund_sent20", "fund_w20").alias("fundamental_sent20"),
+    )
 
 
 def rumour_claims(rumours: DataFrame, days: int = 30, same: float = 0.28, other: float = 0.5) -> DataFrame:

@@ -246,40 +246,62 @@ def sealed_blocks(df: DataFrame, y: str = "y", score: str = "score", blocks: int
     return ic.withColumn("passed", (F.count_if(F.col("ic") > 0).over(every) >= 3) & (F.min("ic").over(every) >= -0.03))
 
 
-def shape_prediction(df: DataFrame, r: str, p_up: str, floor: float = 0.002) -> DataFrame:
-    """K33 the sign follows a confident probability of a rise; a conviction floor keeps small forecasts visible."""
-    flip = ((F.col(p_up) >= 0.6) & (F.col(r) < 0)) | ((F.col(p_up) <= 0.4) & (F.col(r) > 0))
-    s = F.when(flip, -F.col(r)).otherwise(F.col(r))
-    return df.withColumn("shaped", F.when((F.abs(s) < floor) & (F.abs(F.col(p_up) - 0.5) >= 0.1), F.signum(F.col(p_up) - 0.5) * floor).otherwise(s))
+def shape_prediction(df: DataFrame, r: str, p_up: str, vol: str, multiplier: float = 1.0, floor: float = 0.0) -> DataFrame:
+    """K33 the forecast r x multiplier: turned where it is small against volatility and a confident probability disagrees, and raised to a floor where it agrees."""
+    v, edge = F.col(vol), F.col(p_up) - 0.5
+    side, sure, point = F.signum(edge), F.abs(edge), F.col(r) * multiplier
+    turned = (sure >= 0.070) & (F.signum(point) != side) & (F.abs(point) <= 0.15 * v)
+    point = F.when(turned, side * F.greatest(F.abs(point), 0.06 * v)).otherwise(point)
+    if floor > 0:
+        aligned = (F.signum(point) == side) | (F.abs(point) <= 0.045 * v)
+        least = floor * v * F.least(F.greatest(0.75 + 4.0 * sure, F.lit(0.90)), F.lit(1.45))
+        point = F.when((sure >= 0.045) & aligned & (side != 0), side * F.greatest(F.abs(point), least)).otherwise(point)
+    return df.withColumn("shaped", point)
 
 
-#: Tick size by venue: (price from, tick).
-TICKS = {"HOSE": ((0, 10), (10_000, 50), (50_000, 100)), "HNX": ((0, 100),), "UPCOM": ((0, 100),)}
+#: Tick by price at HOSE (price below, tick), the tick elsewhere, and each venue's limit of a session.
+HOSE_TICKS, OTHER_TICK, LIMITS = ((10_000, 10), (50_000, 50), (None, 100)), 100, {"HOSE": 0.07, "HNX": 0.10, "UPCOM": 0.15}
 
 
 def tick(price: Column, venue: Column) -> Column:
-    out = F.lit(100)
-    for v, bands in TICKS.items():
-        size = F.lit(bands[0][1])
-        for start, t in bands[1:]:
-            size = F.when(price >= start, t).otherwise(size)
-        out = F.when(venue == v, size).otherwise(out)
-    return out
+    """K34 the tick of a price at a venue."""
+    size = F.lit(HOSE_TICKS[-1][1])
+    for below, t in reversed(HOSE_TICKS[:-1]):
+        size = F.when(price < below, t).otherwise(size)
+    return F.when(F.upper(venue).isin("HNX", "UPCOM"), OTHER_TICK).otherwise(size)
 
 
 def snap(price: Column, venue: Column, mode: str = "nearest") -> Column:
-    """K34 a price on the venue's grid. The tick of a price that snaps down across a band's edge is the lower band's."""
-    t = tick(price, venue)
-    down, up = F.floor(price / t) * t, F.ceil(price / t) * t
-    return down if mode == "down" else up if mode == "up" else F.floor(price / t + 0.5) * t
-
-
-def executable_quotes(df: DataFrame, price: str, reference: str, venue: str, h: int, limit: float = 0.07) -> DataFrame:
-    """K34 forecasts snapped to the grid, held within h sessions' limits of the reference (floor inside, ceiling inside), moved at least one tick."""
-    low = snap(F.col(reference) * (1 - limit) ** h, F.col(venue), "up")
-    high = snap(F.col(reference) * (1 + limit) ** h, F.col(venue), "down")
-    q = F.least(F.greatest(snap(F.col(price), F.col(venue)), low), high)
-    return df.withColumns({"quote": q.cast("long"), "quote_low": low.cast("long"), "quote_high": high.cast("long"), "moves": F.abs(q - F.col(reference)) >= tick(F.col(reference), F.col(venue))})
+    """K34 a price on the venue's grid, also across the edges of price bands; the higher of two that are equally near."""
+    both = [f(price / t) * t for _, t in HOSE_TICKS for f in (F.floor, F.ceil)]
+    grid = F.when(F.upper(venue).isin("HNX", "UPCOM"), F.array(*[f(price / OTHER_TICK) * OTHER_TICK for f in (F.floor, F.ceil)])).otherwise(F.array(*both))
+    grid = F.filter(grid, lambda x: (x > 0) & (x % tick(x, venue) == 0))
+    if mode == "down":
+        return F.coalesce(F.array_max(F.filter(grid, lambda x: x <= price + 1e-9)), F.array_min(grid))
+    if mode == "up":
+        return F.coalesce(F.array_min(F.filter(grid, lambda x: x >= price - 1e-9)), F.array_max(grid))
+    return -F.array_min(F.transform(grid, lambda x: F.struct(F.abs(x - price).alias("d"), (-x).alias("x"))))["x"]
+
+
+def executable_quotes(df: DataFrame, reference: str, r: str, p_up: str, vol: str, venue: str, h: int) -> DataFrame:
+    """K34 the quote of a forecast r over h sessions with probability p_up and volatility vol of those sessions.
+
+    The forecast price is snapped to the grid. A move smaller than the least one (a tick, or a fraction of volatility
+    that grows with h and conviction) becomes the least one, in the forecast's direction, or in the probability's where
+    the forecast is small against volatility; weak forecasts of one session stay. h sessions' limits hold at last.
+    """
+    ref, ret, v, at = F.col(reference).cast("double"), F.col(r), F.col(vol), F.col(venue)
+    t, edge = tick(ref, at), F.col(p_up) - 0.5
+    fraction = 0.065 if h == 1 else 0.095 + 0.008 * (h - 1)
+    least = F.greatest(t, F.bround(fraction * (1.0 + F.least(F.abs(edge) * 0.75, F.lit(0.12))) * v * ref / t, 0) * t)
+    side = F.when((F.abs(ret) <= 0.15 * v) & (F.abs(edge) >= 0.07), F.signum(edge)).otherwise(F.signum(ret))
+    strong = F.lit(True) if h != 1 else ~((F.abs(ret) < 0.06 * v) & (F.abs(edge) < 0.06))
+    plain = snap(ref * F.exp(ret), at)
+    df = df.withColumns({"_plain": plain, "_least": least, "_side": side, "_limit": F.coalesce(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.upper(at)], F.lit(0.07))})
+    moved = F.when((F.col("_side") != 0) & strong & (F.abs(F.col("_plain") - ref) < F.col("_least")), snap(ref + F.col("_side") * F.col("_least"), at)).otherwise(F.col("_plain"))
+    low, high = snap(ref * F.pow(1 - F.col("_limit"), h), at, "up"), snap(ref * F.pow(1 + F.col("_limit"), h), at, "down")
+    df = df.withColumns({"quote_low": low.cast("long"), "quote_high": high.cast("long"), "quote": moved.cast("long")})
+    return df.withColumn("quote", F.greatest("quote_low", F.least("quote_high", "quote"))).drop("_plain", "_least", "_side", "_limit")
 
 
 def gates(metrics: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol
 from ..operators import clean, features, reconcile, xsection
-from ..operators.risk import INDEX_WEIGHTS, pressures, weighted_score
+from ..operators.risk import index_score
 from ..sources import adapters, readers
 from ..sources.adapters import BARS_SQL, SECTORS_SQL, bars, sectors
 
@@ -66,22 +66,24 @@ PANEL_SQL = f"""{BARS_SQL},
         close * volume AS turnover FROM p1),
  p3 AS (SELECT *, CASE WHEN seen < 14 THEN 50 WHEN down < 1e-12 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi_simple,
         list(vol20) FILTER (vol20 IS NOT NULL) OVER {frame(252, -1)} AS past FROM p2),
- panel AS (SELECT *, CASE WHEN vol20 IS NOT NULL AND len(past) >= 60 THEN len(list_filter(past, lambda x: x <= vol20)) / len(past) END AS vol_pct FROM p3)"""
-_P = {"p_drawdown": ("dd60", 0.0, -0.25), "p_momentum": ("ret20", 0.02, -0.15), "p_trend": ("gap50", 0.02, -0.12), "p_vol": ("vol_pct", 0.5, 1.0), "p_volume": ("volume_z_prior", 0.5, 3.0), "p_shock": ("shock_z", -0.5, -3.0), "p_rsi": ("rsi_simple", 50.0, 25.0)}
-PRESSURES_SQL = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN least(greatest(({x} - {a}) / ({b} - ({a})), 0), 1) END AS {k}" for k, (x, a, b) in _P.items())
+ p4 AS (SELECT *, len(list_filter(past, lambda x: x <= vol20)) AS below FROM p3),
+ panel AS (SELECT *, CASE WHEN vol20 IS NOT NULL AND len(past) >= 60 THEN below / len(past) END AS vol_pct, CASE WHEN vol20 IS NOT NULL AND len(past) >= 60 THEN (below + 1) / (len(past) + 1) END AS vol_pct_incl FROM p4)"""
 
 
-def score_sql(weights: dict[str, float]) -> str:
-    have = " + ".join(f"CASE WHEN {k} IS NOT NULL THEN {float(w)} ELSE 0 END" for k, w in weights.items())
-    return f"CASE WHEN ({have}) > 0 THEN 100 * ({' + '.join(f'coalesce({k} * {float(w)}, 0)' for k, w in weights.items())}) / ({have}) END"
+def held(x: str, low: float = 0, high: float = 1) -> str:
+    """SQL of x held within [low, high]; null stays null."""
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {low}), {high}) END"
 
 
-SCORED_SQL = f"{PANEL_SQL}, pressed AS (SELECT *, {PRESSURES_SQL} FROM panel), scored AS (SELECT *, {score_sql(INDEX_WEIGHTS)} AS index_score FROM pressed)"
+#: The six pressures and their points, with the numbers written out.
+SCORED_SQL = f"""{PANEL_SQL}, pressed AS (SELECT *, {held('(vol_pct_incl - 0.45) / 0.55')} AS p_volatility, {held('-dd60 / 0.18')} AS p_drawdown, {held('-sret20 / 0.12')} AS p_momentum, {held('-gap50 / 0.10')} AS p_trend,
+    coalesce({held('-shock_z / 3.09')}, 0) AS p_shock, coalesce({held('volume_z_prior / 3')} * {held('-ret1 / 0.04')}, 0) AS p_volume FROM panel),
+ weighed AS (SELECT *, CASE WHEN p_volatility IS NULL THEN 0 ELSE 25 END + CASE WHEN p_drawdown IS NULL THEN 0 ELSE 20 END + CASE WHEN p_momentum IS NULL THEN 0 ELSE 15 END + CASE WHEN p_trend IS NULL THEN 0 ELSE 15 END + 15 + 10 AS weight FROM pressed),
+ scored AS (SELECT *, 100 * (coalesce(25 * p_volatility, 0) + coalesce(20 * p_drawdown, 0) + coalesce(15 * p_momentum, 0) + coalesce(15 * p_trend, 0) + 15 * p_shock + 10 * p_volume) / weight AS index_score FROM weighed)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = panel(spark, sf_dir).withColumn("macd_gap", F.lit(None).cast("double"))
-    return weighted_score(pressures(df), INDEX_WEIGHTS, "index_score")
+    return index_score(panel(spark, sf_dir))
 
 
 @query("flagship_technical_state", f"WITH {SCORED_SQL} SELECT symbol, date, close, round(ret20, 4) AS ret20, round(vol20, 4) AS vol20, round(gap50, 4) AS gap50, round(dd60, 4) AS dd60, round(p_drawdown, 4) AS p_drawdown, round(index_score, 6) AS index_score FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1 ORDER BY dd60, symbol LIMIT 20")
@@ -146,13 +148,19 @@ def d14(spark, sf_dir):
     return rounded(panel(spark, sf_dir).select("symbol", "date", "volume_z_prior", "volume_z_incl", "volume_ratio5", "volume_ratio20", "shock_z"))
 
 
-@query("d17_reversals", f"""WITH {PANEL_SQL}, a AS (SELECT *, stddev_samp(ret1) OVER {frame(5)} AS v5, stddev_samp(ret1) OVER {frame(20)} AS v20, avg(close) OVER {frame(20)} AS m20, sum(CAST(ret1 < 0 AS INT)) OVER {frame(5)} AS run FROM panel), b AS (SELECT *, greatest(v20, 0.002) AS u FROM a)
- SELECT symbol, date, round(-ret1 / nullif(v20, 0), 4) AS rev_z, round(ret5 / 5 - ret20 / 20, 4) AS drift_gap, round(v5 / nullif(v20, 0), 4) AS vol_ratio, {', '.join(f'round(CASE WHEN ret{k} IS NOT NULL THEN least(greatest(ret{k} / (u * sqrt({k})), -6), 6) END, 3) AS stretch{k}' for k in (1, 5, 20))},
-        round(CASE WHEN ret1 IS NOT NULL AND ret5 IS NOT NULL THEN least(greatest(-ret1 * sign(ret5), -0.15), 0.15) END, 4) AS snapback, run AS down_run FROM b""")
+@query("d17_reversals", f"""WITH {PANEL_SQL}, a AS (SELECT *, stddev_samp(ret1) OVER {frame(5)} AS v5, stddev_samp(ret1) OVER {frame(20)} AS v20, (high - low) / close AS g, close / avg(close) OVER {frame(5)} - 1 AS c5, close / avg(close) OVER {frame(20)} - 1 AS c20 FROM panel),
+ b AS (SELECT *, greatest(coalesce({held('v5 * sqrt(252)', 0, 2)}, 0), 0.00001) AS y5, greatest(coalesce({held('v20 * sqrt(252)', 0, 2)}, 0), 0.00001) AS y20, coalesce({held('g', 0, 2)}, 0) AS g1, greatest(coalesce({held(f'avg(g) OVER {frame(5)}', 0, 2)}, 0), 0.00001) AS g5,
+   {', '.join(f"coalesce({held(f'ret{k}', -1, 1)}, 0) AS r{k}" for k in (1, 2, 5, 10, 20))}, coalesce({held('c5', -2, 2)}, 0) AS t5, coalesce({held('c20', -2, 2)}, 0) AS t20, coalesce({held('rsi_simple / 100')}, 0.5) AS rsi, coalesce({held('volume_z_prior', -8, 8)}, 0) AS z FROM a)
+ SELECT symbol, date, round(-ret1 / nullif(v20, 0), 4) AS rev_z, round(ret5 / 5 - ret20 / 20, 4) AS drift_gap, round(v5 / nullif(v20, 0), 4) AS vol_ratio,
+   round({held('-r20 / (y20 * sqrt(20) + 0.000001)', -6, 6)}, 3) AS stretch20_vol, round({held('-r10 / (y20 * sqrt(10) + 0.000001)', -6, 6)}, 3) AS stretch10_vol, round({held('r1 - r5 / 5', -0.25, 0.25)}, 4) AS snapback1v5, round({held('r2 - r10 / 5', -0.35, 0.35)}, 4) AS snapback2v10,
+   round({held('y5 / y20 - 1', -3, 5)}, 4) AS vol_regime_shift, round({held('g1 / g5 - 1', -3, 5)}, 4) AS range_regime_shift,
+   round({held('greatest((0.45 - rsi) / 0.45, 0) * greatest(-r20, 0) * 10', 0, 5)}, 3) AS oversold_pressure, round({held('greatest((rsi - 0.55) / 0.45, 0) * greatest(r20, 0) * 10', 0, 5)}, 3) AS overbought_pressure,
+   round({held('greatest(-r20, 0) * greatest(r1, 0) * 100', 0, 5)}, 3) AS rebound_signature, round({held('greatest(r20, 0) * greatest(-r1, 0) * 100', 0, 5)}, 3) AS breakdown_signature,
+   round({held('t5 - t20', -2, 2)}, 4) AS trend_compression, round({held('z * (r1 - r5 / 5)', -2, 2)}, 4) AS volume_shock FROM b""")
 def d17(spark, sf_dir):
     """D17, D18."""
-    df = features.reversal_b(features.reversal_a(features.returns(bars(spark, sf_dir))))
-    return df.select("symbol", "date", *[F.round(c, 4).alias(c) for c in ("rev_z", "drift_gap", "vol_ratio", "snapback")], *[F.round(c, 3).alias(c) for c in ("stretch1", "stretch5", "stretch20")], "down_run")
+    df = features.reversal_b(features.reversal_a(panel(spark, sf_dir)))
+    return df.select("symbol", "date", *[F.round(c, 4).alias(c) for c in ("rev_z", "drift_gap", "vol_ratio", "snapback1v5", "snapback2v10", "vol_regime_shift", "range_regime_shift", "trend_compression", "volume_shock")], *[F.round(c, 3).alias(c) for c in ("stretch20_vol", "stretch10_vol", "oversold_pressure", "overbought_pressure", "rebound_signature", "breakdown_signature")])
 
 
 @query("d19_turnover_lags", f"WITH {PANEL_SQL} SELECT symbol, date, round(ln(median(turnover) OVER {frame(20)}), 5) AS turnover_median20, round(ln(1 + avg(turnover) OVER {frame(30)}), 4) AS turnover_log, round(lag(ret1, 4) OVER ({W}), 4) AS lag4, round(ret5 - lag(ret5, 5) OVER ({W}), 4) AS ret5_delta5 FROM panel")

@@ -5,49 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import trailing
 from ..operators import features, flow, joins, models, monitor, risk, studies, text, validate
 from ..sources import adapters
-from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, ticks
+from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table, ticks
 from ..streaming import panels
-from .panel import ORACLES, PANEL_SQL, QUERIES, SCORED_SQL, W, panel, query, rounded, scored
+from .panel import ORACLES, PANEL_SQL, QUERIES, SCORED_SQL, W, _ema_sql, frame, held, panel, query, rounded, scored
 
 POS, NEG = ("the", "und", "que"), ("of", "der", "les")
 KINDS = {"A": ("ea", "en", "la"), "B": ("er", "de", "an"), "C": ("on", "in", "es")}
 
 
-def _hit(terms) -> str:
-    return " + ".join(f"CAST(contains(pad, ' {t} ') AS INT)" for t in terms)
+def _hit(terms, of: str = "low") -> str:
+    return " + ".join(f"CAST(contains({of}, '{t}') AS INT)" for t in terms)
 
 
 __all__ = ["ORACLES", "QUERIES"]
 
-TEXT_SQL = f"""{ARTICLES_SQL}, t0 AS (SELECT *, ' ' || regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS pad FROM articles),
- t1 AS (SELECT *, {_hit(POS)} AS pos, {_hit(NEG)} AS neg, {_hit(KINDS['A'])} AS ha, {_hit(KINDS['B'])} AS hb, {_hit(KINDS['C'])} AS hc FROM t0),
- items AS (SELECT *, (pos - neg) / greatest(1, pos + neg) AS sentiment, CASE WHEN pos > neg THEN 'POS' WHEN pos < neg THEN 'NEG' ELSE 'NEU' END AS label, CASE WHEN pos = neg THEN 0 ELSE sign(pos - neg) * least(1, 0.42 + 0.18 * abs(pos - neg)) END AS signed,
-   CASE WHEN greatest(ha, hb, hc) = 0 THEN 'OTHER' WHEN ha >= hb AND ha >= hc THEN 'A' WHEN hb >= hc THEN 'B' ELSE 'C' END AS event, 0.35 + 0.18 * least(greatest(ha, hb, hc), 3) AS materiality,
-   CASE WHEN publisher = 'src0' THEN 'OFFICIAL' WHEN publisher <> '' THEN 'MAINSTREAM' ELSE 'OTHER' END AS source_class, CASE WHEN publisher = 'src0' THEN 1.0 WHEN publisher <> '' THEN 0.9 ELSE 0.62 END AS quality,
+#: Words of the test corpus that stand for sources and kinds of titles.
+_SOURCES = {"official": ("src0",), "trusted": ("src1", "src2"), "clarify": ("pathetic", "idiot"), "rumour": ("tion",)}
+TEXT_SQL = f"""{ARTICLES_SQL}, t0 AS (SELECT *, lower(coalesce(title, '')) AS low, CASE id % 5 WHEN 0 THEN 'RUMOR' WHEN 1 THEN 'OFFICIAL' ELSE 'MAIN' END AS stream FROM articles),
+ t1 AS (SELECT *, {_hit(POS)} AS pos, {_hit(NEG)} AS neg, {_hit(KINDS['A'])} AS ha, {_hit(KINDS['B'])} AS hb, {_hit(KINDS['C'])} AS hc,
+   CASE WHEN {_hit(_SOURCES['clarify'])} > 0 THEN 'CLARIFICATION' WHEN stream = 'RUMOR' AND {_hit(_SOURCES['rumour'])} > 0 THEN 'RUMOR_UNVERIFIED' WHEN contains(lower(publisher), 'src0') THEN 'OFFICIAL' ELSE 'MAINSTREAM' END AS kind FROM t0),
+ items AS (SELECT *, (pos - neg) / greatest(1, pos + neg) AS sentiment, CASE WHEN pos > neg THEN 'POS' WHEN pos < neg THEN 'NEG' ELSE 'NEU' END AS label, CAST(CASE WHEN pos = neg THEN 0 ELSE sign(pos - neg) * least(1, 0.42 + 0.18 * abs(pos - neg)) END AS DOUBLE) AS signed,
+   CASE WHEN greatest(ha, hb, hc) = 0 THEN 'GENERAL' WHEN ha >= hb AND ha >= hc THEN 'A' WHEN hb >= hc THEN 'B' ELSE 'C' END AS event, CAST(0.35 + 0.18 * least(greatest(ha, hb, hc), 3) AS DOUBLE) AS materiality,
+   CAST(CASE kind WHEN 'OFFICIAL' THEN 1.0 WHEN 'CLARIFICATION' THEN 0.95 WHEN 'RUMOR_UNVERIFIED' THEN 0.35 ELSE CASE WHEN contains(lower(publisher), 'src1') OR contains(lower(publisher), 'src2') THEN 0.9 ELSE 0.62 END END AS DOUBLE) AS quality,
+   CASE WHEN kind = 'MAINSTREAM' AND stream = 'OFFICIAL' THEN 'OFFICIAL' WHEN kind = 'MAINSTREAM' AND stream = 'RUMOR' THEN 'RUMOR_UNVERIFIED' ELSE kind END AS source_class,
    CAST(d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS DATE) AS available
    FROM (SELECT *, CAST(published_at AS DATE) + CASE WHEN hour(published_at) >= 15 THEN 1 ELSE 0 END AS d FROM t1))"""
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with sentiment, event class, source class and effective day."""
-    df = text.lexical_sentiment(articles(spark, sf_dir), positive=POS, negative=NEG)
-    return text.source_class(text.event_class(df, events=KINDS)).withColumn("available", joins.effective_date())
+    """Articles with stream, sentiment, event class, source class and effective day."""
+    k = F.col("id") % 5
+    df = articles(spark, sf_dir).withColumn("stream", F.when(k == 0, "RUMOR").when(k == 1, "OFFICIAL").otherwise("MAIN"))
+    df = text.lexical_sentiment(df, positive=POS, negative=NEG)
+    return text.source_class(text.event_class(df, events=KINDS), **_SOURCES).withColumn("available", joins.effective_date())
 
 
 # ---- joins -------------------------------------------------------------------------------------------------------
 
 
-@query("f01_asof_macro", f"WITH {BARS_SQL}, {MACRO_SQL}, m AS (SELECT * FROM macro WHERE series = '1-URGENT'), s AS (SELECT DISTINCT symbol, date FROM bars) SELECT a.symbol, a.date, a.value AS at_or_before, b.value AS before FROM (SELECT s.*, m.value FROM s ASOF LEFT JOIN m ON s.date >= m.date) a JOIN (SELECT s.*, m.value FROM s ASOF LEFT JOIN m ON s.date > m.date) b USING (symbol, date)")
+@query("f01_asof_macro", f"WITH {BARS_SQL}, {MACRO_SQL}, s AS (SELECT d.date, m.series FROM (SELECT DISTINCT date FROM bars) d CROSS JOIN (SELECT DISTINCT series FROM macro) m), j AS (SELECT a.date, a.series, a.value AS at_or_before, b.value AS before FROM (SELECT s.*, m.value FROM s ASOF LEFT JOIN macro m ON s.series = m.series AND s.date >= m.date) a JOIN (SELECT s.*, m.value FROM s ASOF LEFT JOIN macro m ON s.series = m.series AND s.date > m.date) b USING (date, series)) SELECT symbol, date, series, at_or_before, before FROM (SELECT DISTINCT symbol, date FROM bars) JOIN j USING (date)")
 def f01(spark, sf_dir):
-    """F1, F2: the macro series known at, and strictly before, each session."""
-    m = macro(spark, sf_dir).filter("series = '1-URGENT'").select("date", "value")
-    s = bars(spark, sf_dir).select("symbol", "date").withColumn("k", F.lit(1))
-    m = m.withColumn("k", F.lit(1))
-    dates = s.select("date", "k").distinct()  # the series is one: only dates are matched, then joined back
-    known = joins.asof(dates, m.withColumnRenamed("value", "at_or_before"), "date", "k", ["at_or_before"]).join(joins.asof(dates, m.withColumnRenamed("value", "before"), "date", "k", ["before"], strict=True).drop("k"), "date")
-    return s.join(known.drop("k"), "date").select("symbol", "date", "at_or_before", "before")
+    """F1, F2: each macro series known at, and strictly before, each session."""
+    m = macro(spark, sf_dir)
+    s = bars(spark, sf_dir).select("symbol", "date")
+    series = m.select("series").distinct()  # a handful
+    dates = s.select("date").distinct().withColumn("series", F.explode(F.array(*[F.lit(x) for x in sorted(_ROLES)]))).join(series, "series", "left_semi")
+    at = joins.asof(dates, m.withColumnRenamed("value", "at_or_before"), "date", "series", ["at_or_before"])
+    return s.join(joins.asof(at, m.withColumnRenamed("value", "before"), "date", "series", ["before"], strict=True), "date").select("symbol", "date", "series", "at_or_before", "before")
 
 
 @query("f04_effective_session", f"WITH {BARS_SQL}, {TEXT_SQL} SELECT i.id, i.available AS effective, b.date AS session FROM items i ASOF LEFT JOIN (SELECT symbol, date FROM bars) b ON i.symbol = b.symbol AND i.available <= b.date")
@@ -136,20 +143,45 @@ def g05(spark, sf_dir):
     return m.select("date", "series_used", F.round("score", 5).alias("score"), F.round("z", 4).alias("z"), "state")
 
 
-@query("g07_matured_priors", f"WITH {PANEL_SQL}, {TEXT_SQL}, p AS (SELECT symbol, date, round(ln(lead(close, 5) OVER ({W}) / close), 6) AS y, lead(date, 5) OVER ({W}) AS m FROM panel), e AS (SELECT i.id, i.symbol, i.event, p.date, p.y, p.m FROM items i ASOF JOIN p ON i.symbol = p.symbol AND i.available <= p.date) SELECT a.id, count(b.id) AS n_market, round(avg(b.y), 5) AS mean_market, count(b.id) FILTER (b.symbol = a.symbol) AS n_own FROM e a LEFT JOIN e b ON b.event = a.event AND b.y IS NOT NULL AND b.m <= a.date GROUP BY 1")
-def g07(spark, sf_dir):
-    """G7 (and the inputs of G8)."""
+_EVENT_SQL = f"{PANEL_SQL}, {TEXT_SQL}, {SECTORS_SQL}, p AS (SELECT symbol, date, round(ln(lead(close, 5) OVER ({W}) / close), 6) AS y, lead(date, 5) OVER ({W}) AS m FROM panel), e AS (SELECT i.id, i.symbol, s.sector, i.event, p.date, p.y, p.m FROM items i JOIN sectors s USING (symbol) ASOF JOIN p ON i.symbol = p.symbol AND i.available <= p.date), told AS (SELECT a.id, count(b.id) AS n_market, CAST(sum(CAST(b.y AS DECIMAL(28, 9))) AS DOUBLE) AS s_market, count(b.id) FILTER (b.y > 0) AS h_market, count(b.id) FILTER (b.symbol = a.symbol) AS n_own, CAST(sum(CAST(b.y AS DECIMAL(28, 9))) FILTER (b.symbol = a.symbol) AS DOUBLE) AS s_own, count(b.id) FILTER (b.symbol = a.symbol AND b.y > 0) AS h_own, count(b.id) FILTER (b.sector = a.sector) AS n_sector, CAST(sum(CAST(b.y AS DECIMAL(28, 9))) FILTER (b.sector = a.sector) AS DOUBLE) AS s_sector, count(b.id) FILTER (b.sector = a.sector AND b.y > 0) AS h_sector FROM e a LEFT JOIN e b ON b.event = a.event AND b.y IS NOT NULL AND b.m <= a.date GROUP BY 1), prior AS (SELECT *, s_market / nullif(n_market, 0) AS mean_market, h_market / nullif(n_market, 0) AS hits_market, s_own / nullif(n_own, 0) AS mean_own, h_own / nullif(n_own, 0) AS hits_own, s_sector / nullif(n_sector, 0) AS mean_sector, h_sector / nullif(n_sector, 0) AS hits_sector FROM told)"
+
+
+def priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles' five-session outcomes with what was known of earlier ones."""
     p = features.label_returns(bars(spark, sf_dir), (5,)).select("symbol", "date", F.round("y5", 6).alias("y"), F.col("matures5").alias("matures"))
-    e = joins.effective_session(items(spark, sf_dir).select("symbol", "id", "published_at", "event"), p).filter("session is not null").withColumn("date", F.col("session")).join(p, ["symbol", "date"])
-    r = studies.matured_priors(e.select("id", "symbol", "event", "date", "y", "matures"), "y")
-    return r.select("id", "n_market", F.round("mean_market", 5).alias("mean_market"), "n_own")
+    e = joins.effective_session(items(spark, sf_dir).select("symbol", "id", "published_at", "event"), p).filter("session is not null").withColumn("date", F.col("session")).join(p, ["symbol", "date"]).join(sectors(spark, sf_dir).select("symbol", "sector"), "symbol")
+    return studies.matured_priors(e.select("id", "symbol", "sector", "event", "date", "y", "matures"), "y")
+
+
+@query("g07_matured_priors", f"WITH {_EVENT_SQL} SELECT id, n_own, n_sector, n_market, mean_own, mean_sector, mean_market, hits_market FROM prior")
+def g07(spark, sf_dir):
+    """G7."""
+    r = priors(spark, sf_dir)
+    return r.select("id", "n_own", "n_sector", "n_market", "mean_own", "mean_sector", "mean_market", "hits_market")
+
+
+@query("g08_shrinkage", f"""WITH {_EVENT_SQL}, a AS (SELECT *, CASE WHEN n_sector > 0 THEN n_sector ELSE n_market END AS sn, CASE WHEN n_sector > 0 THEN mean_sector ELSE coalesce(mean_market, 0) END AS sm, CASE WHEN n_sector > 0 THEN hits_sector ELSE coalesce(hits_market, 0.5) END AS sh FROM prior),
+ b AS (SELECT *, CASE WHEN n_own > 0 THEN n_own ELSE sn END AS tn, CASE WHEN n_own > 0 THEN mean_own ELSE sm END AS tm, CASE WHEN n_own > 0 THEN hits_own ELSE sh END AS th, least(1.0, n_market / 60.0) AS wm, least(1.0, sn / 30.0) AS ws FROM a)
+ SELECT id, round(least(1.0, tn / 8.0) * tm + (1 - least(1.0, tn / 8.0)) * (ws * sm + (1 - ws) * wm * coalesce(mean_market, 0)), 9) AS shrunk_mean, round(least(1.0, tn / 8.0) * th + (1 - least(1.0, tn / 8.0)) * (ws * sh + (1 - ws) * (wm * coalesce(hits_market, 0.5) + (1 - wm) * 0.5)), 9) AS shrunk_hit,
+   CASE WHEN n_own >= 8 THEN 'STOCK' WHEN n_sector >= 20 THEN 'SECTOR' ELSE 'MARKET' END AS level, CASE WHEN n_own > 0 THEN n_own WHEN n_sector > 0 THEN n_sector ELSE n_market END AS prior_n, round((n_own * coalesce(mean_own, 0) + 16 * coalesce(mean_market, 0)) / (n_own + 16), 9) AS posterior_mean, round((n_own * coalesce(hits_own, 0) + 6 * coalesce(hits_market, 0.5)) / (n_own + 6), 9) AS posterior_hit FROM b""")
+def g08(spark, sf_dir):
+    """G7, G8."""
+    return studies.shrink(priors(spark, sf_dir)).select("id", *[F.round(c, 9).alias(c) for c in ("shrunk_mean", "shrunk_hit", "posterior_mean", "posterior_hit")], "level", "prior_n")
 
 
-@query("g10_evidence", f"WITH {TEXT_SQL} SELECT symbol, event, round(sum(signed * materiality) / sum(materiality), 5) AS evidence, round(avg(CAST(signed < 0 AS INT)), 6) AS negative_share, count(DISTINCT publisher) AS publishers, count(*) AS items, CASE WHEN count(*) >= 12 AND count(DISTINCT publisher) >= 4 THEN 'STRONG' WHEN count(*) >= 6 AND count(DISTINCT publisher) >= 2 THEN 'MODERATE' WHEN count(*) >= 2 THEN 'LIMITED' ELSE 'THIN' END AS grade FROM items GROUP BY 1, 2")
+@query("g16_coverage", f"""WITH {TEXT_SQL}, g AS (SELECT symbol % 12 AS grp, count(*) AS n, count(DISTINCT publisher) AS publishers, count(*) FILTER (available >= DATE '1999-07-01') AS recent FROM items GROUP BY 1)
+ SELECT grp, n, publishers, recent, CASE WHEN n >= 35 AND publishers >= 7 AND recent >= 12 THEN 'STRONG' WHEN n >= 18 AND publishers >= 5 AND recent >= 6 THEN 'MODERATE' WHEN n >= 6 AND publishers >= 3 THEN 'LIMITED' ELSE 'THIN' END AS grade, CASE WHEN n >= 50 THEN 'MATURE' WHEN n >= 20 THEN 'MODERATE' WHEN n >= 8 THEN 'LIMITED' ELSE 'THIN' END AS maturity FROM g""")
+def g16(spark, sf_dir):
+    """G16."""
+    g = items(spark, sf_dir).groupBy((F.col("symbol") % 12).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("publisher").alias("publishers"), F.count_if(F.col("available") >= F.lit("1999-07-01").cast("date")).alias("recent"))
+    return g.select("*", studies.coverage_grade("n", "publishers", "recent").alias("grade"), studies.study_maturity("n").alias("maturity"))
+
+
+@query("g10_evidence", f"WITH {TEXT_SQL} SELECT symbol, event, round(sum(signed * materiality) / sum(materiality), 9) AS evidence, round(avg(CAST(signed < 0 AS INT)), 6) AS negative_share, count(DISTINCT publisher) AS publishers, count(*) AS items FROM items GROUP BY 1, 2")
 def g10(spark, sf_dir):
-    """G10, G16."""
+    """G10."""
     e = studies.weighted_evidence(items(spark, sf_dir), ["symbol", "event"], "signed", "materiality")
-    return e.select("symbol", "event", F.round("evidence", 5).alias("evidence"), F.round("negative_share", 6).alias("negative_share"), "publishers", "items", studies.coverage_grade("items", "publishers").alias("grade"))
+    return e.select("symbol", "event", F.round("evidence", 9).alias("evidence"), F.round("negative_share", 6).alias("negative_share"), "publishers", "items")
 
 
 @query("g11_tails", f"WITH {BARS_SQL} SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 3")
@@ -170,9 +202,12 @@ def g14(spark, sf_dir):
     return studies.greedy_gap(panel(spark, sf_dir), "dd60 < -0.95", 30)
 
 
-@query("g15_lead_replay")
+_ONSETS_SQL = f"{PANEL_SQL}, a AS (SELECT symbol, date, dd60, vol20, row_number() OVER ({W}) AS row FROM panel), e AS (SELECT symbol, date, row, dd60 FROM a WHERE dd60 < -0.95), t AS (SELECT symbol, min(row) AS row FROM e GROUP BY 1 UNION ALL SELECT t.symbol, (SELECT min(e.row) FROM e WHERE e.symbol = t.symbol AND e.row >= t.row + 30) FROM t WHERE t.row IS NOT NULL)"
+
+
+@query("g15_lead_replay", f"WITH RECURSIVE {_ONSETS_SQL}, o AS (SELECT e.symbol, e.date, e.row FROM e JOIN t ON t.symbol = e.symbol AND t.row = e.row QUALIFY row_number() OVER (PARTITION BY e.symbol ORDER BY e.row) <= 8) SELECT o.symbol, o.date AS event_date, CAST(l.lead AS INT) AS lead, a.date AS state_date, round(a.dd60, 4) AS dd60, round(a.vol20, 4) AS vol20 FROM o CROSS JOIN (VALUES (20), (10), (5), (0)) l(lead) JOIN a ON a.symbol = o.symbol AND a.row = o.row - l.lead")
 def g15(spark, sf_dir):
-    """G15, G12's order: drawdown 20, 10, 5 and 0 rows before each onset."""
+    """Drawdown and volatility 20, 10, 5 and 0 rows before each of a symbol's first onsets."""
     p = panel(spark, sf_dir)
     return rounded(studies.lead_replay(p, studies.worst_cases(studies.greedy_gap(p, "dd60 < -0.95", 30), "row"), ["dd60", "vol20"]))
 
@@ -189,10 +224,31 @@ def g17(spark, sf_dir):
 
 @query("h01_sentiment", f"WITH {TEXT_SQL} SELECT id, pos, neg, round(sentiment, 6) AS sentiment, label, round(signed, 6) AS signed, event, round(materiality, 6) AS materiality, source_class, quality, available FROM items")
 def h01(spark, sf_dir):
-    """H1, H2, H4, H5."""
+    """H1, H2, H4, H5, with terms of the corpus."""
     return rounded(items(spark, sf_dir).select("id", "pos", "neg", "sentiment", "label", "signed", "event", "materiality", "source_class", "quality", "available"), 6)
 
 
+@query("h02_published_terms", f"""WITH {ARTICLES_SQL}, a AS (SELECT id, lang, lower(coalesce(title, '')) || ' ' || CASE id % 6 WHEN 0 THEN 'lợi nhuận tăng, cổ tức' WHEN 1 THEN 'khởi tố và thua lỗ' WHEN 2 THEN 'trúng thầu dự án, thoái vốn' WHEN 3 THEN 'mua ròng, khối ngoại' ELSE '' END AS low FROM articles),
+ h AS (SELECT id, CAST(contains(low, 'tăng trưởng') AS INT) + CAST(contains(low, 'lợi nhuận tăng') AS INT) + CAST(contains(low, 'lãi tăng') AS INT) + CAST(contains(low, 'kỷ lục') AS INT) + CAST(contains(low, 'mở rộng') AS INT) + CAST(contains(low, 'trúng thầu') AS INT) + CAST(contains(low, 'nâng hạng') AS INT) + CAST(contains(low, 'khuyến nghị mua') AS INT) + CAST(contains(low, 'vượt kế hoạch') AS INT) + CAST(contains(low, 'tăng mạnh') AS INT) + {_hit(('record', 'growth', 'profit rises', 'upgrade', 'buy', 'beat', 'outperform'))} AS pos,
+   {_hit(('khởi tố', 'bắt giữ', 'điều tra', 'vi phạm', 'xử phạt', 'truy thu', 'thua lỗ', 'báo lỗ', 'lỗ ròng', 'giảm mạnh', 'lao dốc', 'sụt giảm', 'bán tháo', 'cắt giảm', 'hủy', 'nợ xấu', 'vỡ nợ', 'cảnh báo', 'rủi ro', 'suy giảm', 'đóng cửa', 'trì hoãn', 'downgrade', 'sell', 'fraud', 'investigation', 'loss', 'decline', 'slump', 'warning', 'risk', 'miss'))} AS neg,
+   {_hit(('tăng trưởng', 'tăng mạnh', 'bứt phá', 'vượt kế hoạch', 'lợi nhuận tăng', 'lãi tăng', 'kỷ lục', 'trúng thầu', 'mua ròng', 'nâng hạng', 'khởi sắc', 'cổ tức', 'hồi phục', 'tích cực', 'mở rộng', 'được phê duyệt', 'hoàn thành'))} AS sp,
+   {_hit(('giảm mạnh', 'lao dốc', 'bán tháo', 'thua lỗ', 'lỗ ròng', 'lợi nhuận giảm', 'bán ròng', 'xả hàng', 'vi phạm', 'xử phạt', 'khởi tố', 'điều tra', 'cảnh báo', 'đình chỉ', 'hủy niêm yết', 'rủi ro', 'suy giảm', 'nợ xấu', 'mất giá', 'bốc hơi', 'phá sản', 'thanh tra', 'tin đồn'))} AS sn, low FROM a),
+ k AS (SELECT *, {_hit(('lợi nhuận', 'doanh thu', 'kết quả kinh doanh', 'báo lỗ', 'lỗ ròng', 'biên lợi nhuận'))} AS e1, {_hit(('khởi tố', 'điều tra', 'xử phạt', 'vi phạm', 'thanh tra', 'cảnh báo'))} AS e2, {_hit(('cổ tức', 'phát hành', 'quyền mua', 'chia tách', 'esop', 'cổ phiếu thưởng'))} AS e3, {_hit(('cổ đông lớn', 'thoái vốn', 'đăng ký mua', 'đăng ký bán', 'chủ tịch', 'người nội bộ'))} AS e4,
+   {_hit(('trái phiếu', 'nợ vay', 'đáo hạn', 'tín dụng', 'phát hành riêng lẻ'))} AS e5, {_hit(('hợp đồng', 'trúng thầu', 'dự án', 'm&a', 'sáp nhập', 'mua lại', 'thoái vốn'))} AS e6, {_hit(('khuyến nghị', 'giá mục tiêu', 'nâng khuyến nghị', 'hạ khuyến nghị'))} AS e7, {_hit(('mua ròng', 'bán ròng', 'khối ngoại', 'tự doanh', 'room ngoại'))} AS e8 FROM h),
+ m AS (SELECT *, greatest(e1, e2, e3, e4, e5, e6, e7, e8) AS e FROM k)
+ SELECT id, pos, neg, round((pos - neg) / greatest(1, pos + neg), 6) AS sentiment, CASE WHEN sp > sn THEN 'POS' WHEN sn > sp THEN 'NEG' ELSE 'NEU' END AS signal, round(CAST(CASE WHEN sp = sn THEN 0 ELSE sign(sp - sn) * least(1, 0.42 + 0.18 * abs(sp - sn)) END AS DOUBLE), 6) AS signed,
+   CASE WHEN e = 0 THEN 'GENERAL' WHEN e1 = e THEN 'EARNINGS' WHEN e2 = e THEN 'REGULATORY' WHEN e3 = e THEN 'CORPORATE_ACTION' WHEN e4 = e THEN 'OWNERSHIP' WHEN e5 = e THEN 'FINANCING' WHEN e6 = e THEN 'OPERATIONS_MA' WHEN e7 = e THEN 'ANALYST' ELSE 'MARKET_FLOW' END AS event, round(CAST(0.35 + 0.18 * least(3, e) AS DOUBLE), 6) AS materiality FROM m""")
+def h02(spark, sf_dir):
+    """H1, H2, H4 with the published terms, over titles with a published phrase put behind two thirds of them."""
+    k = F.col("id") % 6
+    more = F.when(k == 0, "lợi nhuận tăng, cổ tức").when(k == 1, "khởi tố và thua lỗ").when(k == 2, "trúng thầu dự án, thoái vốn").when(k == 3, "mua ròng, khối ngoại").otherwise("")
+    a = articles(spark, sf_dir).withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), more))
+    a = text.lexical_sentiment(a).select("id", "title", "pos", "neg", "sentiment")
+    a = a.withColumnsRenamed({"pos": "p", "neg": "n", "sentiment": "s"})
+    a = text.event_class(text.lexical_sentiment(a, positive=text.SIGNAL_POSITIVE, negative=text.SIGNAL_NEGATIVE))
+    return rounded(a.select("id", F.col("p").alias("pos"), F.col("n").alias("neg"), F.col("s").alias("sentiment"), F.col("label").alias("signal"), "signed", "event", "materiality"), 6)
+
+
 @query("h03_override", f"WITH {TEXT_SQL} SELECT id, CASE WHEN regexp_matches(title, '(?i)idiot') THEN 'NEG' WHEN regexp_matches(title, '(?i)^the') THEN 'POS' WHEN regexp_matches(title, 'der') THEN 'NEU' ELSE label END AS label FROM items")
 def h03(spark, sf_dir):
     """H3."""
@@ -208,7 +264,7 @@ def h07(spark, sf_dir):
 _TOKENS = f"{ARTICLES_SQL}, k AS (SELECT symbol, id, CAST(published_at AS DATE) AS d, list_distinct(list_filter(string_split(regexp_replace(translate(lower(title), 'àáảãạăằắẳẵặâầấẩẫậäåāçđèéẻẽẹêềếểễệëēìíỉĩịîïīñòóỏõọôồốổỗộơờớởỡợöøōùúủũụưừứửữựûüūỳýỷỹỵÿ', 'aaaaaaaaaaaaaaaaaaaacdeeeeeeeeeeeeeiiiiiiiinoooooooooooooooooooouuuuuuuuuuuuuuyyyyyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS t FROM articles), pairs AS (SELECT a.symbol, a.id AS a, b.id AS b, a.d AS da, b.d AS db, coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(a.t || b.t)), 0), 0) AS s FROM k a JOIN k b ON a.symbol = b.symbol AND a.id <> b.id)"
 
 
-@query("h08_near_titles", f"WITH {_TOKENS} SELECT symbol, b AS id, min(a) AS first_like, round(max(s), 6) AS similarity FROM pairs WHERE a < b AND s >= 0.82 GROUP BY 1, 2")
+@query("h08_near_titles", f"WITH {_TOKENS}, n AS (SELECT symbol, id, trim(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM articles) SELECT p.symbol, b AS id, min(a) AS first_like, round(max(s), 6) AS similarity FROM pairs p JOIN n x ON x.symbol = p.symbol AND x.id = a JOIN n y ON y.symbol = p.symbol AND y.id = b WHERE a < b AND (s >= 0.82 OR s >= 0.6 AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.91) GROUP BY 1, 2")
 def h08(spark, sf_dir):
     """H8."""
     return rounded(text.near_duplicates(articles(spark, sf_dir)), 6)
@@ -241,11 +297,37 @@ def h15(spark, sf_dir):
     return rounded(text.news_windows(bars(spark, sf_dir), items(spark, sf_dir).withColumn("novelty", F.lit(1.0))).select("symbol", "date", "news_n5", "news_n20", "news_sent20"), 5)
 
 
-@query("h16_evidence_features")
+@query("h10_relevance", f"""WITH {ARTICLES_SQL}, {SECTORS_SQL}, n AS (SELECT symbol, 'ti' AS ticker, lower(s_name) || ' the ' || lower(sector) AS name FROM sectors JOIN supplier ON s_suppkey = symbol), j AS (SELECT a.id, lower(trim(coalesce(title, ''))) AS low, string_split(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9à-ỹ]+', ' ', 'g'), ' ') AS words, list_filter(string_split(regexp_replace(name, '[^a-z0-9à-ỹ]+', ' ', 'g'), ' '), lambda x: length(x) > 2) AS own, ticker FROM articles a JOIN n USING (symbol)),
+ s AS (SELECT *, len(list_filter(own, lambda x: list_contains(words, x))) / greatest(len(own), 1) AS share FROM j WHERE low <> '' AND NOT starts_with(low, 'untitled') AND NOT starts_with(low, 'cw.') AND NOT contains(low, 'covered warrant')) SELECT id, CAST(CASE WHEN list_contains(words, ticker) THEN 1.0 WHEN share >= 0.65 THEN 0.9 WHEN share >= 0.35 THEN 0.72 ELSE 0.45 END AS DOUBLE) AS relevance FROM s""")
+def h10(spark, sf_dir):
+    """H10."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), "s_name")
+    names = sectors(spark, sf_dir).join(s, "symbol").select("symbol", F.lit("ti").alias("ticker"), F.concat(F.lower("s_name"), F.lit(" the "), F.lower("sector")).alias("name"))
+    return text.relevance(articles(spark, sf_dir), names).select("id", "relevance")
+
+
+_KNOWN = ("n", "w", "s", "m", "q", "o", "c", "r", "rw", "rs", "e", "ew", "es", "f", "fw", "fs")
+
+
+def _known(partition: str, names: tuple[str, ...], days: int, prefix: str = "") -> str:
+    return ", ".join(f"coalesce(sum({k}) OVER ({partition} ORDER BY d RANGE BETWEEN {days - 1} PRECEDING AND CURRENT ROW), 0) AS {prefix}{k}{days}" for k in names)
+
+
+@query("h16_evidence_features", f"""WITH {BARS_SQL}, {TEXT_SQL}, {SECTORS_SQL}, w AS (SELECT i.*, sector, available - DATE '1970-01-01' AS dn, greatest(0.01, quality * materiality * 0.5) AS wt FROM items i JOIN sectors USING (symbol)),
+ day AS (SELECT symbol, sector, dn AS d, count(*) AS n, sum(wt) AS w, sum(wt * signed) AS s, sum(wt * materiality) AS m, sum(wt * quality) AS q, count(*) FILTER (source_class = 'OFFICIAL') AS o, count(*) FILTER (source_class = 'CLARIFICATION') AS c, count(*) FILTER (source_class = 'RUMOR_UNVERIFIED') AS r, sum(wt) FILTER (source_class = 'RUMOR_UNVERIFIED') AS rw, sum(wt * signed) FILTER (source_class = 'RUMOR_UNVERIFIED') AS rs,
+   count(*) FILTER (event = 'A') AS e, sum(wt) FILTER (event = 'A') AS ew, sum(wt * signed) FILTER (event = 'A') AS es, count(*) FILTER (event IN ('A', 'B')) AS f, sum(wt) FILTER (event IN ('A', 'B')) AS fw, sum(wt * signed) FILTER (event IN ('A', 'B')) AS fs FROM w GROUP BY 1, 2, 3),
+ link AS (SELECT DISTINCT symbol, sector FROM w), ask AS (SELECT b.symbol, sector, date, date - DATE '1970-01-01' AS d FROM bars b LEFT JOIN link USING (symbol)),
+ own AS (SELECT symbol, d, {_known('PARTITION BY symbol', ('n', 'r'), 5)}, {_known('PARTITION BY symbol', _KNOWN, 20)} FROM (SELECT DISTINCT symbol, d FROM ask) a0 FULL JOIN day USING (symbol, d)),
+ sec AS (SELECT sector, d, {_known('PARTITION BY sector', ('n', 'w', 's'), 20, 'x')} FROM (SELECT DISTINCT sector, d FROM ask WHERE sector IS NOT NULL) FULL JOIN (SELECT sector, d, sum(n) AS n, sum(w) AS w, sum(s) AS s FROM day GROUP BY 1, 2) USING (sector, d)),
+ mkt AS (SELECT d, {_known('', ('w', 's'), 20, 'y')} FROM (SELECT DISTINCT d FROM ask) FULL JOIN (SELECT d, sum(w) AS w, sum(s) AS s FROM day GROUP BY 1) USING (d))
+ SELECT a.symbol, a.date, CAST(n5 AS DOUBLE) AS news_n5, CAST(n20 AS DOUBLE) AS news_n20, round(coalesce(s20 / nullif(w20, 0), 0), 5) AS news_sent20, round(coalesce(m20 / nullif(w20, 0), 0), 5) AS news_materiality20, round(coalesce(q20 / nullif(w20, 0), 0), 5) AS news_quality20, round(coalesce(o20 / nullif(n20, 0), 0), 5) AS official_share20, CAST(c20 AS DOUBLE) AS clarification_n20,
+   round(n20 / (n20 + 5.0) * coalesce(s20 / nullif(w20, 0), 0) + (1 - n20 / (n20 + 5.0)) * (coalesce(xn20, 0) / (coalesce(xn20, 0) + 30.0) * coalesce(xs20 / nullif(xw20, 0), 0) + (1 - coalesce(xn20, 0) / (coalesce(xn20, 0) + 30.0)) * coalesce(ys20 / nullif(yw20, 0), 0)), 5) AS hier_sent20,
+   CAST(r5 AS DOUBLE) AS rumour_n5, CAST(r20 AS DOUBLE) AS rumour_n20, round(coalesce(rs20 / nullif(rw20, 0), 0), 5) AS rumour_sent20, round(r5 / greatest(1, r20 / 4.0), 5) AS rumour_velocity, CAST(e20 AS DOUBLE) AS earnings_n20, round(coalesce(es20 / nullif(ew20, 0), 0), 5) AS earnings_sent20, CAST(f20 AS DOUBLE) AS fundamental_n20, round(coalesce(fs20 / nullif(fw20, 0), 0), 5) AS fundamental_sent20
+ FROM ask a LEFT JOIN own USING (symbol, d) LEFT JOIN sec ON sec.sector = a.sector AND sec.d = a.d LEFT JOIN mkt ON mkt.d = a.d""")
 def h16(spark, sf_dir):
-    """H16."""
-    it = items(spark, sf_dir).join(sectors(spark, sf_dir).select("symbol", "sector"), "symbol").select("symbol", "sector", "available", "signed", "id")
-    return rounded(text.evidence_features(bars(spark, sf_dir).select("symbol", "date"), it).select("symbol", "date", "items5", "items20", "sentiment_shrunk", "event_age"), 5)
+    """H16, G10."""
+    it = items(spark, sf_dir).join(sectors(spark, sf_dir).select("symbol", "sector"), "symbol").withColumns({"confidence": F.lit(0.5), "novelty": F.lit(1.0)})
+    return rounded(text.evidence_features(bars(spark, sf_dir).select("symbol", "date"), it, "A", ("A", "B")).drop("news_novelty20"), 5)
 
 
 @query("h17_rumours")
@@ -293,10 +375,22 @@ def i01(spark, sf_dir):
 
 @query("i03_flow_sessions")
 def i03(spark, sf_dir):
-    """Session-aligned imbalance and how often each state occurs."""
-    f = flows(spark, sf_dir)
-    s = flow.flow_session_features(bars(spark, sf_dir), f, "foreign").join(flow.flow_ratios(f, "foreign").select("symbol", "date", "foreign_ratio20", "foreign_z60"), ["symbol", "date"], "left")
-    return s.groupBy(flow.flow_state("foreign_ratio20", "foreign_z60").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("foreign_imb5"), 4).alias("imb5"), F.round(F.avg("foreign_imb20"), 4).alias("imb20"))
+    """Session-aligned imbalance."""
+    s = flow.flow_session_features(bars(spark, sf_dir), flows(spark, sf_dir), "foreign")
+    return s.groupBy("symbol").agg(F.count("foreign_imb5").alias("n"), F.round(F.avg("foreign_imb5"), 4).alias("imb5"), F.round(F.avg("foreign_imb20"), 4).alias("imb20"))
+
+
+def _state_sql(x: str, weak: float, strong: float) -> str:
+    return f"CASE WHEN {x} >= {strong} THEN 'STRONG_BUY' WHEN {x} >= {weak} THEN 'BUY' WHEN {x} <= -{strong} THEN 'STRONG_SELL' WHEN {x} <= -{weak} THEN 'SELL' WHEN {x} IS NOT NULL THEN 'NEUTRAL' END"
+
+
+@query("i04_flow_states", f"WITH {FLOWS_SQL}, r AS (SELECT symbol, date, round(foreign_net / nullif(abs(coalesce(foreign_buy, 0)) + abs(coalesce(foreign_sell, 0)), 0), 6) AS r FROM flows), z AS (SELECT *, round((r - avg(r) OVER d) / nullif(stddev_samp(r) OVER d, 0), 6) AS z FROM r WINDOW d AS (PARTITION BY symbol)) SELECT symbol, date, {_state_sql('r', 0.03, 0.12)} AS ratio_state, {_state_sql('z', 0.2, 0.75)} AS z_state FROM z")
+def i04(spark, sf_dir):
+    """I4, both band sets."""
+    r = flows(spark, sf_dir).withColumn("r", F.round(F.try_divide("foreign_net", F.nullif(F.abs(F.coalesce("foreign_buy", F.lit(0.0))) + F.abs(F.coalesce("foreign_sell", F.lit(0.0))), F.lit(0.0))), 6))
+    own = Window.partitionBy("symbol")
+    z = r.withColumn("z", F.round(F.try_divide(F.col("r") - F.avg("r").over(own), F.nullif(F.stddev_samp("r").over(own), F.lit(0.0))), 6))
+    return z.select("symbol", "date", flow.ratio_state("r").alias("ratio_state"), flow.z_state("z").alias("z_state"))
 
 
 @query("i05_recent_sums", f"WITH {FLOWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r, abs(coalesce(prop_buy, 0)) + abs(coalesce(prop_sell, 0)) AS g FROM flows WHERE prop_net IS NOT NULL) SELECT symbol, round(sum(prop_net) FILTER (r <= 5) / 1000, 3) AS net5, round(sum(prop_net) FILTER (r <= 20) / nullif(sum(g) FILTER (r <= 20), 0), 5) AS ratio20 FROM r GROUP BY 1")
@@ -333,10 +427,25 @@ def i09(spark, sf_dir):
     return p.select("symbol", "date", F.round("fund_weight", 6).alias("fund_weight"), F.col("fund_age").cast("long").alias("fund_age"), "fund_usable")
 
 
-@query("i11_macro_pressure", f"WITH {MACRO_SQL}, r AS (SELECT *, ln(value / lag(value, 20) OVER (PARTITION BY series ORDER BY date)) AS r FROM macro), l AS (SELECT series, arg_max(value, date) AS level, least(greatest(0.5 + arg_max(r, date) / 0.4, 0), 1) AS pressure FROM r GROUP BY 1) SELECT series, level, round(pressure, 5) AS pressure, round(100 * avg(pressure) OVER (), 3) AS macro_pressure FROM l")
+@query("i10_fundamentals", f"""WITH f AS (SELECT c_custkey AS id, c_acctbal / 300 AS roe, c_acctbal / 200 AS pe, abs(c_acctbal) / 800 AS de, c_acctbal / 20000 AS margin, (c_acctbal - 4000) / 9000 AS growth, c_custkey % 4 = 0 AS bank FROM customer),
+ p AS (SELECT id, {held('(0.12 - CASE WHEN abs(roe) > 2 THEN roe / 100 ELSE roe END) / 0.18')} AS p1, CASE WHEN pe > 0 THEN {held('(pe - 18) / 30')} END AS p2, CASE WHEN NOT bank THEN {held('(CASE WHEN de > 10 THEN de / 100 ELSE de END - 0.7) / 2')} END AS p3, {held('(0.08 - CASE WHEN abs(margin) > 2 THEN margin / 100 ELSE margin END) / 0.15')} AS p4, {held('-CASE WHEN abs(growth) > 2 THEN growth / 100 ELSE growth END / 0.20')} AS p5 FROM f)
+ SELECT id, round(100 * (coalesce(p1, 0) + coalesce(p2, 0) + coalesce(p3, 0) + coalesce(p4, 0) + coalesce(p5, 0)) / (CAST(p1 IS NOT NULL AS INT) + CAST(p2 IS NOT NULL AS INT) + CAST(p3 IS NOT NULL AS INT) + CAST(p4 IS NOT NULL AS INT) + CAST(p5 IS NOT NULL AS INT)), 7) AS fundamental_pressure FROM p""")
+def i10(spark, sf_dir):
+    """I10 over ratios made of the customers' balances."""
+    b = F.col("c_acctbal")
+    f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (b / 300).alias("roe"), (b / 200).alias("pe"), (F.abs(b) / 800).alias("debt_equity"), (b / 20000).alias("margin"), ((b - 4000) / 9000).alias("growth"), (F.col("c_custkey") % 4 == 0).alias("bank"))
+    return rounded(flow.fundamental_pressure(f).select("id", "fundamental_pressure"), 7)
+
+
+_ROLES = {"1-URGENT": "vix", "2-HIGH": "usd", "3-MEDIUM": "dxy", "4-NOT SPECIFIED": "us10y", "5-LOW": "brent"}
+
+
+@query("i11_macro_pressure", f"""WITH {MACRO_SQL}, r AS (SELECT series, date, value / 8000 AS value, coalesce(value / lag(value, 20) OVER (PARTITION BY series ORDER BY date) - 1, 0) AS r FROM macro), l AS (SELECT series, arg_max(value, date) AS level, arg_max(r, date) AS ret20 FROM r GROUP BY 1),
+ p AS (SELECT *, CASE series WHEN '1-URGENT' THEN {held('(level - 17) / 20')} WHEN '2-HIGH' THEN {held('ret20 / 0.025')} WHEN '3-MEDIUM' THEN {held('ret20 / 0.04')} WHEN '4-NOT SPECIFIED' THEN {held('ret20 / 0.08')} WHEN '5-LOW' THEN {held('abs(ret20) / 0.18')} END AS pressure FROM l) SELECT series, round(level, 4) AS level, round(ret20, 5) AS ret20, round(pressure, 5) AS pressure, round(100 * avg(pressure) OVER (), 3) AS macro_pressure FROM p""")
 def i11(spark, sf_dir):
-    """I11, I10's shape."""
-    return flow.macro_pressure(macro(spark, sf_dir)).select("series", "level", F.round("pressure", 5).alias("pressure"), F.round("macro_pressure", 3).alias("macro_pressure"))
+    """I11."""
+    m = macro(spark, sf_dir).withColumn("value", F.col("value") / 8000)
+    return flow.macro_pressure(m, _ROLES).select("series", F.round("level", 4).alias("level"), F.round("ret20", 5).alias("ret20"), F.round("pressure", 5).alias("pressure"), F.round("macro_pressure", 3).alias("macro_pressure"))
 
 
 # ---- risk --------------------------------------------------------------------------------------------------------
@@ -349,29 +458,82 @@ def j01(spark, sf_dir):
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = features.macd(panel(spark, sf_dir)).drop("_i")
-    market = p.groupBy("date").agg(F.median("ret5").alias("med5"))
-    s = risk.stress_flags(risk.screener_score(risk.technical_score(risk.pressures(p)).join(market, "date")))
-    s = s.withColumn("status", risk.scan_status())
+    """The panel with the screener's score, flags and states; the market's month is the date's median."""
+    p = risk.screener_inputs(features.macd(panel(spark, sf_dir)).drop("_i"))
+    p = p.withColumn("market20", F.median("sret20").over(Window.partitionBy("date")))
+    s = risk.stress_flags(risk.screener_score(risk.technical_score(risk.index_pressures(p))))
+    s = s.withColumn("status", risk.scan_status(liquid=F.col("turnover30") >= LIQUID))
     return s.withColumn("prev_status", F.lag("status").over(Window.partitionBy("symbol").orderBy("date")))
 
 
-@query("j03_market_scan")
+#: The star schema's prices are not the policy's currency: turnover from which a symbol counts as liquid here.
+LIQUID = 1000.0
+#: The scan in SQL, with the policy's numbers written out.
+SCAN_SQL = f"""{PANEL_SQL}, e1 AS (SELECT *, row_number() OVER ({W}) - 1 AS i FROM panel), e2 AS (SELECT *, {_ema_sql('close', 2 / 13)} - ({_ema_sql('close', 2 / 27)}) AS macd FROM e1), e3 AS (SELECT *, {_ema_sql('macd', 0.2)} AS macd_signal FROM e2),
+ sc1 AS (SELECT *, (macd - macd_signal) / close AS macd_gap, 100 * vol20 / sqrt(252) AS vol_day, volume / avg(volume) OVER {frame(10)} AS volume_ratio10, close * avg(volume) OVER {frame(30)} AS turnover30, median(sret20) OVER (PARTITION BY date) AS market20 FROM e3),
+ sc2 AS (SELECT *, sret20 - market20 AS relative20, {held('-dd60 / 0.22')} AS a1, {held('-sret20 / 0.14')} AS a2, {held('-gap50 / 0.12')} AS a3, {held('-gap200 / 0.18')} AS a4, {held('(vol_pct - 0.45) / 0.55')} AS a5, {held('(45 - rsi_simple) / 20')} AS a6, {held('-macd_gap / 0.025')} AS a7,
+   coalesce({held('volume_z_prior / 3')} * {held('-ret1 / 0.05')}, 0) AS a8, {held('(coalesce(vol_day, 0) - 1.8) / 5')} AS b5, {held('-coalesce(macd_gap, 0) / 0.025')} AS b7, coalesce({held('(coalesce(volume_ratio10, 0) - 1) / 2')} * {held('-sret1 / 0.05')}, 0) AS b8, {held('-(sret20 - market20) / 0.15')} AS b9 FROM sc1),
+ sc3 AS (SELECT *, {' + '.join(f'CASE WHEN a{i} IS NULL THEN 0 ELSE {w} END' for i, w in enumerate((0.18, 0.16, 0.14, 0.10, 0.16, 0.10, 0.08, 0.08), 1))} AS tw, {' + '.join(f'coalesce({w} * a{i}, 0)' for i, w in enumerate((0.18, 0.16, 0.14, 0.10, 0.16, 0.10, 0.08, 0.08), 1))} AS ts FROM sc2),
+ sc4 AS (SELECT *, 100 * ts / tw AS technical_score, tw AS technical_confidence, CASE WHEN gap50 IS NOT NULL AND gap200 IS NOT NULL AND sret20 IS NOT NULL THEN 100 * (0.18 * a1 + 0.16 * a2 + 0.14 * a3 + 0.10 * a4 + 0.12 * b5 + 0.10 * a6 + 0.08 * b7 + 0.06 * b8 + coalesce(0.06 * b9, 0)) / CASE WHEN b9 IS NULL THEN 0.94 ELSE 1 END END AS screener_score,
+   {' + '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END' for c in ('dd60 <= -0.18', 'sret20 <= -0.10', 'gap50 <= -0.10', 'gap200 <= -0.15', 'rsi_simple <= 35', 'macd_gap <= -0.008', 'vol_day >= 4', 'sret1 <= -0.04 AND volume_ratio10 >= 1.5', 'relative20 <= -0.12'))} AS flags, coalesce(sret20 < 0, false) OR coalesce(gap50 < 0, false) AS weak FROM sc3),
+ sc5 AS (SELECT *, CASE WHEN screener_score IS NULL THEN NULL WHEN NOT coalesce(turnover30 >= 1000, false) THEN 'ILLIQUID' WHEN screener_score >= 78 AND weak AND flags >= 3 THEN 'RED' WHEN screener_score >= 65 AND weak AND flags >= 2 THEN 'YELLOW' WHEN screener_score >= 50 AND weak AND flags >= 1 THEN 'WATCH' ELSE 'GREEN' END AS status FROM sc4),
+ scan AS (SELECT *, lag(status) OVER ({W}) AS prev_status FROM sc5)"""
+
+
+@query("j02_scores", f"WITH {SCAN_SQL} SELECT symbol, date, round(technical_score, 4) AS technical_score, round(screener_score, 4) AS screener_score, CAST(flags AS BIGINT) AS flags FROM scan")
+def j02(spark, sf_dir):
+    """J2, J3, J4."""
+    return _scan(spark, sf_dir).select("symbol", "date", F.round("technical_score", 4).alias("technical_score"), F.round("screener_score", 4).alias("screener_score"), F.col("flags").cast("long").alias("flags"))
+
+
+@query("j03_market_scan", f"""WITH {SCAN_SQL}, r AS (SELECT *, CASE status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'WATCH' THEN 1 WHEN 'GREEN' THEN 0 END AS now, CASE prev_status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'WATCH' THEN 1 WHEN 'GREEN' THEN 0 END AS was FROM scan),
+ p AS (SELECT *, status IN ('YELLOW', 'RED') AND now > was AS rose, CASE WHEN technical_score >= 78 AND weak AND technical_confidence >= 0.7 THEN 'PRE_CRASH_RED' WHEN technical_score >= 65 AND weak AND technical_confidence >= 0.55 THEN 'PRE_CRASH_YELLOW' WHEN technical_score >= 50 AND weak THEN 'WATCH' WHEN dd60 <= -0.15 THEN 'ACTIVE_DRAWDOWN' WHEN technical_score IS NOT NULL THEN 'NORMAL' END AS phase FROM r)
+ SELECT date, count(*) AS n, count(*) FILTER (status = 'RED') AS red, count(*) FILTER (status = 'YELLOW') AS yellow, count(*) FILTER (status = 'WATCH') AS watch, round(avg(CAST(status = 'RED' AS INT)), 6) AS red_share, round(avg(CAST(status = 'YELLOW' AS INT)), 6) AS yellow_share, round(avg(CAST(status = 'WATCH' AS INT)), 6) AS watch_share,
+   count(*) FILTER (rose) AS escalations, count(*) FILTER (prev_status <> status) AS changes, count(*) FILTER (phase = 'PRE_CRASH_RED') AS pre_red, count(*) FILTER (phase = 'PRE_CRASH_YELLOW') AS pre_yellow, count(*) FILTER (phase = 'ACTIVE_DRAWDOWN') AS active FROM p WHERE status <> 'ILLIQUID' GROUP BY 1""")
 def j03(spark, sf_dir):
     """The scan's states by date."""
-    s = risk.transition(_scan(spark, sf_dir))
-    r = risk.breadth_report(s).join(s.groupBy("date").agg(F.count_if("escalated").alias("escalations"), F.count_if(risk.phase("technical_score", "technical_score_confidence") == "ACTIVE_DRAWDOWN").alias("active")), "date")
-    return rounded(r, 6)
+    s = risk.transition(_scan(spark, sf_dir)).withColumn("phase", risk.phase("technical_score", "technical_score_confidence"))
+    more = s.filter("status <> 'ILLIQUID'").groupBy("date").agg(F.count_if("escalated").alias("escalations"), F.count_if(F.col("transition").contains(" -> ")).alias("changes"), F.count_if(F.col("phase") == "PRE_CRASH_RED").alias("pre_red"), F.count_if(F.col("phase") == "PRE_CRASH_YELLOW").alias("pre_yellow"), F.count_if(F.col("phase") == "ACTIVE_DRAWDOWN").alias("active"))
+    return rounded(risk.breadth_report(s).join(more, "date"), 6)
+
+
+@query("j07_modules", f"""WITH {SCAN_SQL}, m AS (SELECT symbol, date, technical_score AS t, CASE WHEN i % 2 = 0 THEN rsi_simple END AS a, 100 * vol_pct AS k, CASE WHEN i % 3 = 0 THEN 50.0 END AS c FROM scan)
+ SELECT symbol, date, round((coalesce(0.30 * t, 0) + coalesce(0.25 * a, 0) + coalesce(0.10 * k, 0) + coalesce(0.10 * c, 0)) / nullif(w, 0), 4) AS stock, round((coalesce(0.30 * t, 0) + coalesce(0.25 * a, 0) + coalesce(0.15 * k, 0) + coalesce(0.10 * c, 0)) / nullif(v, 0), 4) AS radar, round(CAST(w AS DOUBLE), 4) AS stock_confidence, round(CAST(v AS DOUBLE), 4) AS radar_confidence
+ FROM (SELECT *, CASE WHEN t IS NULL THEN 0 ELSE 0.30 END + CASE WHEN a IS NULL THEN 0 ELSE 0.25 END + CASE WHEN k IS NULL THEN 0 ELSE 0.10 END + CASE WHEN c IS NULL THEN 0 ELSE 0.10 END AS w, CASE WHEN t IS NULL THEN 0 ELSE 0.30 END + CASE WHEN a IS NULL THEN 0 ELSE 0.25 END + CASE WHEN k IS NULL THEN 0 ELSE 0.15 END + CASE WHEN c IS NULL THEN 0 ELSE 0.10 END AS v FROM m)""")
+def j07(spark, sf_dir):
+    """J7 with both weight sets; modules that a row lacks abstain."""
+    i = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1
+    none = F.lit(None).cast("double")
+    m = _scan(spark, sf_dir).select("symbol", "date", F.col("technical_score").alias("technical"), F.when(i % 2 == 0, F.col("rsi_simple")).alias("analog"), (100 * F.col("vol_pct")).alias("market"), F.when(i % 3 == 0, 50.0).alias("macro"), none.alias("sentiment"), none.alias("fundamental"))
+    m = risk.module_aggregate(m).withColumnsRenamed({"module_score": "stock", "module_score_confidence": "stock_confidence"})
+    m = risk.module_aggregate(m, risk.RADAR_MODULES).withColumnsRenamed({"module_score": "radar", "module_score_confidence": "radar_confidence"})
+    return rounded(m.select("symbol", "date", "stock", "radar", "stock_confidence", "radar_confidence"))
 
 
-@query("j08_drivers_alerts")
+_INDEX = (("p_volatility", 25), ("p_drawdown", 20), ("p_momentum", 15), ("p_trend", 15), ("p_shock", 15), ("p_volume", 10))
+
+
+def _shocked(down: float, vol: float, z: float) -> str:
+    moved = {"p_shock": f"greatest(p_shock, {down} / 0.08)", "p_volatility": f"p_volatility + ({vol} - 1) * 0.35", "p_momentum": f"p_momentum + {down} / 0.12 * 0.45", "p_drawdown": f"p_drawdown + {down} / 0.18 * 0.60", "p_trend": f"p_trend + {down} / 0.10 * 0.35", "p_volume": f"greatest(p_volume, {z} / 3 * least({down} / 0.04, 1))"}
+    have = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, w in _INDEX)
+    return f"100 * ({' + '.join(f'coalesce({w} * ({held(moved[k])}), 0)' for k, w in _INDEX)}) / ({have})"
+
+
+@query("j08_drivers_alerts", f"""WITH {SCORED_SQL}, l AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+ d AS (SELECT symbol, string_agg(k, ',' ORDER BY c DESC, k) FILTER (r <= 4) AS drivers, string_agg(k, ' and ' ORDER BY c DESC, k) FILTER (r <= 2) AS two FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, k) AS r FROM (
+   {' UNION ALL '.join(f"SELECT symbol, '{k}' AS k, coalesce({w} * {k} / 100.0, 0) AS c FROM l" for k, w in _INDEX)}) WHERE c >= 0.012) GROUP BY 1),
+ a AS (SELECT symbol, string_agg(k || ':' || s, ',' ORDER BY place) AS alerts FROM (SELECT symbol, place, k, CASE WHEN p >= 0.75 THEN 'HIGH' ELSE 'WATCH' END AS s FROM ({' UNION ALL '.join(f"SELECT symbol, {i} AS place, '{k}' AS k, {k} AS p FROM l" for i, (k, _) in enumerate(_INDEX))}) WHERE p >= 0.45) GROUP BY 1),
+ x AS (SELECT symbol, greatest({_shocked(0.03, 1.5, 1)}, {_shocked(0.08, 2.5, 3)}) AS worst FROM l)
+ SELECT l.symbol, coalesce(d.drivers, '') AS drivers, CASE WHEN index_score >= 75 THEN 'CRITICAL' WHEN index_score >= 55 THEN 'HIGH' WHEN index_score >= 32 THEN 'WATCH' ELSE 'LOW' END AS state, 'Risk is ' || CASE WHEN index_score >= 75 THEN 'critical' WHEN index_score >= 55 THEN 'high' WHEN index_score >= 32 THEN 'watch' ELSE 'low' END || ', led by ' || coalesce(two, '') AS narrative, coalesce(a.alerts, 'normal:LOW') AS alerts, round(worst, 3) AS worst_scenario,
+   CASE WHEN worst >= 75 THEN 'CRITICAL' WHEN worst >= 55 THEN 'HIGH' WHEN worst >= 32 THEN 'WATCH' ELSE 'LOW' END AS worst_state FROM l LEFT JOIN d USING (symbol) LEFT JOIN a USING (symbol) JOIN x USING (symbol)""")
 def j08(spark, sf_dir):
-    """The latest row's drivers, alerts, text, and its score after a shock."""
+    """The latest row's drivers, alerts, text, and its score after a shock."""
     last = studies.tail_rows(scored(spark, sf_dir))
     last = risk.narrative(risk.drivers(last, {k: v / 100 for k, v in risk.INDEX_WEIGHTS.items()}).withColumn("state", risk.state_band("index_score", *risk.INDEX_BANDS)), "index_score", "state")
-    a = risk.alerts(last, risk.INDEX_WEIGHTS).groupBy("symbol").agg(F.concat_ws(",", F.array_sort(F.collect_list("alert"))).alias("alerts"))
-    shock = risk.scenarios(last.select("symbol", *risk.INDEX_WEIGHTS), {"mild": 0.1, "severe": 0.3}, risk.INDEX_WEIGHTS).groupBy("symbol").agg(F.max("scenario_score").alias("worst_scenario"))
-    return rounded(last.select("symbol", F.concat_ws(",", "drivers").alias("drivers"), "state", "narrative", "playbook").join(a, "symbol").join(shock, "symbol"), 3)
+    a = risk.alerts(last).groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "alert", "severity"))), lambda x: F.concat_ws(":", x["alert"], x["severity"])), ",").alias("alerts"))
+    shock = risk.scenarios(last.select("symbol", *risk.INDEX_WEIGHTS), {"mild": (-0.03, 1.5, 1.0), "severe": (-0.08, 2.5, 3.0)}).groupBy("symbol").agg(F.max("scenario_score").alias("worst_scenario"), F.max_by("scenario_state", "scenario_score").alias("worst_state"))
+    short = F.regexp_replace("narrative", r" at \d+/100, led by (.*)\.$", ", led by $1")
+    return rounded(last.select("symbol", F.concat_ws(",", "drivers").alias("drivers"), "state", short.alias("narrative")).join(a, "symbol").join(shock, "symbol"), 3)
 
 
 @query("j14_crash", f"WITH {PANEL_SQL}, i AS (SELECT symbol, ret5 AS r, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) - 1 AS i FROM panel), f AS (SELECT * FROM i WHERE i % 5 = 0 AND r IS NOT NULL) SELECT symbol, round(max(r) FILTER (i = 0), 4) AS latest, round(avg(r) FILTER (i > 0), 4) AS mean, round(stddev_samp(r) FILTER (i > 0), 4) AS sd, count(r) FILTER (i > 0) AS n FROM f GROUP BY 1")
@@ -390,14 +552,48 @@ def j16(spark, sf_dir):
     return rounded(s.groupBy("symbol").agg(F.count(F.lit(1)).alias("weeks"), F.count_if("crash").alias("crashes"), F.avg("specific").alias("mean_specific")))
 
 
-@query("j20_strategy")
+@query("j20_strategy", f"""WITH {SCAN_SQL}, b AS (SELECT *, avg(close) OVER {frame(20)} AS sma20, avg(close) OVER {frame(50)} AS sma50, CASE WHEN count(close) OVER {frame(20)} >= 20 THEN avg(close) OVER {frame(20)} - 2 * stddev_pop(close) OVER {frame(20)} END AS boll_down, max(close) OVER {frame(20, -1)} AS prior_high, min(close) OVER {frame(20, -1)} AS prior_low FROM scan),
+ s AS (SELECT *, {' + '.join(f'CASE WHEN {c} THEN {n} ELSE 0 END' for c, n in (('gap20 > 0', 2), ('sma20 > sma50', 2), ('rsi_simple BETWEEN 50 AND 70', 1), ('macd > macd_signal', 1)))} AS pt, {' + '.join(f'CASE WHEN {c} THEN {n} ELSE 0 END' for c, n in (('rsi_simple < 35', 3), ('close < boll_down * 1.01', 2), ('gap20 < 0', 1)))} AS pr, {' + '.join(f'CASE WHEN {c} THEN {n} ELSE 0 END' for c, n in (('close > prior_high', 3), ('macd > macd_signal', 1), ('rsi_simple > 55', 1), ('close < prior_low', -1)))} AS pb,
+   coalesce(CASE status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 END > CASE prev_status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'WATCH' THEN 1 WHEN 'GREEN' THEN 0 END, false) AS onset, {held('(vol_pct_incl - 0.45) / 0.55')} AS q1, {held('-dd60 / 0.18')} AS q2, {held('-sret20 / 0.12')} AS q3, coalesce({held('-shock_z / 3.09')}, 0) AS q4 FROM b),
+ l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
+ SELECT symbol, CASE WHEN greatest(pt, pr, pb) < 3 THEN 'NONE' WHEN pt = greatest(pt, pr, pb) THEN 'TREND' WHEN pr = greatest(pt, pr, pb) THEN 'REVERSION' ELSE 'BREAKOUT' END AS strategy, onset, round(100 * (0.35 * q1 + 0.25 * q2 + 0.20 * q3 + 0.20 * q4), 3) AS proxy_score,
+   CASE WHEN 100 * (0.35 * q1 + 0.25 * q2 + 0.20 * q3 + 0.20 * q4) >= 65 THEN 'HIGH' WHEN 100 * (0.35 * q1 + 0.25 * q2 + 0.20 * q3 + 0.20 * q4) >= 35 THEN 'WATCH' ELSE 'LOW' END AS proxy_band,
+   CASE WHEN screener_score >= 65 AND 100 * vol_pct >= 75 THEN 'CONVERGENT' WHEN screener_score >= 65 AND 100 * vol_pct < 60 THEN 'DIVERGENT' WHEN screener_score < 65 AND 100 * vol_pct >= 85 THEN 'POOLED_ELEVATION' WHEN screener_score IS NOT NULL AND vol_pct IS NOT NULL THEN 'MIXED' END AS agreement FROM l""")
 def j20(spark, sf_dir):
-    """Readouts of the latest rows."""
-    p = risk.strategy_readout(features.prior_range(features.bands(_scan(spark, sf_dir))))
-    last = studies.tail_rows(risk.proxy_score(risk.alert_rises(p)))
-    x = last.withColumns({"alpha": F.col("ret5"), "up_rate": F.lit(0.5), "median": F.col("ret20"), "risk": F.col("screener_score"), "liquid": F.col("turnover") > 1000, "expected": F.col("ret5") / 10, "passed": F.lit(2), "evidence": F.lit(50.0), "rows": F.lit(400), "events": F.lit(10), "sources": F.lit(3)})
-    x = risk.evidence_grade(risk.recommendation(risk.watch_rank(x))).withColumn("agreement", risk.agreement("screener_score", "vol_pct"))
-    return rounded(x.select("symbol", "strategy", "proxy_score", "proxy_band", "onset", "watch_rank", "list", "recommendation", "grade", "agreement"), 3)
+    """Readouts of the latest rows."""
+    p = features.prior_range(features.bands(_scan(spark, sf_dir)), 20)
+    p = p.withColumns({f"sma{n}": F.avg("close").over(trailing(n)) for n in (20, 50)})
+    last = studies.tail_rows(risk.proxy_score(risk.alert_rises(risk.strategy_readout(p))))
+    return rounded(last.withColumn("agreement", risk.agreement("screener_score", "vol_pct")).select("symbol", "strategy", "onset", "proxy_score", "proxy_band", "agreement"), 3)
+
+
+@query("j21_watch_rank", f"""WITH {SCAN_SQL}, b AS (SELECT symbol, date, round(ret5, 6) AS alpha, vol_pct AS up_rate, round(ret20, 6) AS median, screener_score AS risk, coalesce(status, 'GREEN') AS status, turnover30 * 1000000 AS t FROM scan), q AS (SELECT date, quantile_cont(alpha, 0.1) AS lo, quantile_cont(alpha, 0.9) AS hi FROM b GROUP BY 1),
+ s AS (SELECT b.*, CASE WHEN hi > lo THEN (coalesce(alpha, 0) - lo) / (hi - lo) ELSE 0.5 END AS place, CASE WHEN coalesce(t, 0) < 500000000 AND status IN ('YELLOW', 'RED') THEN 'ILLIQUID' ELSE status END AS st FROM b JOIN q USING (date))
+ SELECT symbol, date, round(100 * (0.42 * least(greatest(place, 0), 1) + 0.28 * least(greatest((coalesce(up_rate, 0.5) - 0.35) / 0.3, 0), 1) + 0.18 * least(greatest((coalesce(median, 0) + 0.02) / 0.04, 0), 1) + 0.12 * (1 - least(1, coalesce(risk, 50) / 100))), 3) AS watch_rank, CASE WHEN st IN ('YELLOW', 'RED', 'ILLIQUID') THEN st WHEN t >= 500000000 THEN 'WATCH' ELSE 'NONE' END AS list FROM s""")
+def j21(spark, sf_dir):
+    """J21."""
+    x = _scan(spark, sf_dir).select("symbol", "date", F.round("ret5", 6).alias("alpha"), F.col("vol_pct").alias("up_rate"), F.round("ret20", 6).alias("median"), F.col("screener_score").alias("risk"), "status", (F.col("turnover30") * 1000000).alias("turnover30"))
+    return rounded(risk.watch_rank(x).select("symbol", "date", "watch_rank", "list"), 3)
+
+
+@query("j18_stance", f"""WITH {SCAN_SQL}, x AS (SELECT symbol, date, ret5 / 50 AS e, screener_score AS r, i % 4 AS p FROM scan)
+ SELECT symbol, date, CASE WHEN p = 0 THEN 'HOLD / NO ACTION' WHEN coalesce(r, 50) >= 78 THEN 'REDUCE / AVOID NEW RISK' WHEN e >= 0.012 AND coalesce(r, 50) < 65 THEN 'ACCUMULATE' WHEN e >= 0.004 THEN 'HOLD / POSITIVE BIAS' WHEN e <= -0.012 THEN 'REDUCE' WHEN e <= -0.004 THEN 'CAUTION / REDUCE RISK' ELSE 'HOLD' END AS recommendation FROM x""")
+def j18(spark, sf_dir):
+    """J18."""
+    i = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1
+    x = _scan(spark, sf_dir).select("symbol", "date", (F.col("ret5") / 50).alias("expected"), F.col("screener_score").alias("risk"), (i % 4).alias("passed"))
+    return risk.recommendation(x).select("symbol", "date", "recommendation")
+
+
+@query("j19_evidence", """WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, avg(n_chars) AS c FROM documents GROUP BY 1), e AS (SELECT *, n % 30 AS events, 0.1 + (n % 7) / 10.0 AS pr, 0.3 AS base, (n % 5) / 10.0 - 0.1 AS brier FROM d),
+ s AS (SELECT source, events, pr, base, 100 * (0.38 * (0.45 * least(greatest((pr - base) / greatest(0.05, 1 - base), 0), 1) + 0.30 * least(greatest(brier, 0), 1) + 0.25 * least(events / 20, 1)) + 0.22 * (0.55 * least(c / 1400, 1) + 0.45 * least(n / 160, 1)) + 0.14 * CASE WHEN langs > 1 THEN 1 ELSE 0 END + 0.13 * (0.65 * least(n / 40, 1) + 0.35 * least(langs / 8, 1)) + 0.13) AS suff FROM e)
+ SELECT source, round(suff, 3) AS sufficiency, CASE WHEN suff < 45 THEN 'THIN' WHEN events < 10 OR pr < base THEN 'LIMITED' WHEN suff >= 78 THEN 'STRONG' WHEN suff >= 62 THEN 'MODERATE' ELSE 'LIMITED' END AS grade FROM s""")
+def j19(spark, sf_dir):
+    """J19 over the sources of documents."""
+    n = F.count(F.lit(1))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(n.alias("samples"), F.countDistinct("lang").alias("publishers"), F.avg("n_chars").alias("sessions"))
+    d = d.withColumns({"events": F.col("samples") % 30, "pr_auc": 0.1 + (F.col("samples") % 7) / 10, "base_rate": F.lit(0.3), "brier_skill": (F.col("samples") % 5) / 10 - 0.1, "articles": F.col("samples"), "has_market": F.col("publishers") > 1, "has_fundamentals": F.lit(True)})
+    return risk.evidence_grade(d).select("source", F.round("sufficiency", 3).alias("sufficiency"), "grade")
 
 
 # ---- validation --------------------------------------------------------------------------------------------------
@@ -529,13 +725,46 @@ def k31(spark, sf_dir):
     return rounded(validate.sealed_blocks(predictions(spark, sf_dir), "r", "score").select(F.col("block").cast("long").alias("block"), "days", "ic"), 6)
 
 
-@query("k34_quotes", f"WITH {BARS_SQL}, t AS (SELECT symbol, date, close, CASE WHEN close >= 50000 THEN 100 WHEN close >= 10000 THEN 50 ELSE 10 END AS k FROM bars) SELECT symbol, date, CAST(floor(close / k + 0.5) * k AS BIGINT) AS nearest, CAST(floor(close / k) * k AS BIGINT) AS down, CAST(ceil(close / k) * k AS BIGINT) AS up FROM t")
+def _snap_sql(x: str, mode: str, v: str = "venue") -> str:
+    t = f"CASE WHEN {v} <> 'HOSE' THEN 100 WHEN y < 10000 THEN 10 WHEN y < 50000 THEN 50 ELSE 100 END"
+    grid = f"list_filter(CASE WHEN {v} <> 'HOSE' THEN [floor(({x}) / 100) * 100, ceil(({x}) / 100) * 100] ELSE [floor(({x}) / 10) * 10, ceil(({x}) / 10) * 10, floor(({x}) / 50) * 50, ceil(({x}) / 50) * 50, floor(({x}) / 100) * 100, ceil(({x}) / 100) * 100] END, lambda y: y > 0 AND y % {t} = 0)"
+    if mode == "nearest":
+        return f"-(list_min(list_transform({grid}, lambda y: {{'d': abs(y - ({x})), 'y': -y}}))).y"
+    side, best, other = ("<=", "max", "min") if mode == "down" else (">=", "min", "max")
+    edge = "+ 0.000000001" if mode == "down" else "- 0.000000001"
+    return f"coalesce(list_{best}(list_filter({grid}, lambda y: y {side} ({x}) {edge})), list_{other}({grid}))"
+
+
+_QUOTE_SQL = f"""{PRED_SQL}, c AS (SELECT pb.*, b.close AS ref, CASE symbol % 3 WHEN 0 THEN 'HOSE' WHEN 1 THEN 'HNX' ELSE 'UPCOM' END AS venue, score / 10 AS fc, 0.02 + (id % 7) / 100.0 AS vol FROM pb JOIN bars b USING (symbol, date)),
+ g AS (SELECT *, CASE WHEN venue <> 'HOSE' THEN 100 WHEN ref < 10000 THEN 10 WHEN ref < 50000 THEN 50 ELSE 100 END AS tick, CASE venue WHEN 'HOSE' THEN 0.07 WHEN 'HNX' THEN 0.10 ELSE 0.15 END AS lim, CASE WHEN abs(fc) <= 0.15 * vol AND abs(p - 0.5) >= 0.07 THEN sign(p - 0.5) ELSE sign(fc) END AS side FROM c),
+ m AS (SELECT *, greatest(tick, round_even(0.111 * (1 + least(abs(p - 0.5) * 0.75, 0.12)) * vol * ref / tick, 0) * tick) AS least_move, {_snap_sql('ref * exp(fc)', 'nearest')} AS plain FROM g),
+ q AS (SELECT *, CASE WHEN side <> 0 AND abs(plain - ref) < least_move THEN {_snap_sql('ref + side * least_move', 'nearest')} ELSE plain END AS moved, {_snap_sql('ref * pow(1 - lim, 3)', 'up')} AS low, {_snap_sql('ref * pow(1 + lim, 3)', 'down')} AS high FROM m)"""
+
+
+@query("k34_quotes", f"WITH {BARS_SQL}, v AS (SELECT symbol, date, close, CASE symbol % 3 WHEN 0 THEN 'HOSE' WHEN 1 THEN 'HNX' ELSE 'UPCOM' END AS venue FROM bars) SELECT symbol, date, CAST({_snap_sql('close', 'nearest')} AS BIGINT) AS nearest, CAST({_snap_sql('close', 'down')} AS BIGINT) AS down, CAST({_snap_sql('close', 'up')} AS BIGINT) AS up FROM v")
 def k34(spark, sf_dir):
-    """K34's grid."""
-    v = F.lit("HOSE")
+    """K34's grid at three venues."""
+    v = F.element_at(F.array(F.lit("HOSE"), F.lit("HNX"), F.lit("UPCOM")), (F.col("symbol") % 3 + 1).cast("int"))
     return bars(spark, sf_dir).select("symbol", "date", *[validate.snap(F.col("close"), v, m).cast("long").alias(m) for m in ("nearest", "down", "up")])
 
 
+@query("k34_executable", f"WITH {_QUOTE_SQL} SELECT id, CAST(greatest(low, least(high, moved)) AS BIGINT) AS quote, CAST(low AS BIGINT) AS quote_low, CAST(high AS BIGINT) AS quote_high FROM q")
+def k34x(spark, sf_dir):
+    """Quotes of three-session forecasts at three venues."""
+    v = F.element_at(F.array(F.lit("HOSE"), F.lit("HNX"), F.lit("UPCOM")), (F.col("symbol") % 3 + 1).cast("int"))
+    d = predictions(spark, sf_dir).join(bars(spark, sf_dir).select("symbol", "date", F.col("close").alias("ref")), ["symbol", "date"])
+    d = d.withColumns({"venue": v, "fc": F.col("score") / 10, "vol": 0.02 + (F.col("id") % 7) / 100})
+    return validate.executable_quotes(d, "ref", "fc", "p", "vol", "venue", 3).select("id", "quote", "quote_low", "quote_high")
+
+
+@query("k33_shape", f"""WITH {PRED_SQL}, a AS (SELECT id, score / 10 AS r, p, 0.02 + (id % 7) / 100.0 AS v FROM pb), b AS (SELECT *, CASE WHEN abs(p - 0.5) >= 0.07 AND sign(r) <> sign(p - 0.5) AND abs(r) <= 0.15 * v THEN sign(p - 0.5) * greatest(abs(r), 0.06 * v) ELSE r END AS t FROM a)
+ SELECT id, round(CASE WHEN abs(p - 0.5) >= 0.045 AND (sign(t) = sign(p - 0.5) OR abs(t) <= 0.045 * v) AND p <> 0.5 THEN sign(p - 0.5) * greatest(abs(t), 0.2 * v * least(greatest(0.75 + 4 * abs(p - 0.5), 0.9), 1.45)) ELSE t END, 9) AS shaped FROM b""")
+def k33(spark, sf_dir):
+    """K33."""
+    d = predictions(spark, sf_dir).select("id", (F.col("score") / 10).alias("r"), "p", (0.02 + (F.col("id") % 7) / 100).alias("v"))
+    return validate.shape_prediction(d, "r", "p", "v", 1.0, 0.2).select("id", F.round("shaped", 9).alias("shaped"))
+
+
 @query("k36_news_study", f"WITH {PANEL_SQL}, {TEXT_SQL}, p AS (SELECT symbol, date, ln(lead(close, 5) OVER ({W}) / close) AS y FROM panel), a AS (SELECT symbol, date, CASE WHEN count(y) OVER (PARTITION BY date) >= 8 THEN y - median(y) OVER (PARTITION BY date) END AS ar FROM p), j AS (SELECT i.event, i.signed, a.ar FROM a JOIN items i ON i.symbol = a.symbol AND i.available = a.date WHERE i.signed <> 0 AND a.ar IS NOT NULL) SELECT CASE WHEN signed > 0 THEN 'positive' ELSE 'negative' END AS sign, event, count(*) AS n, round(avg(ar), 4) AS mean FROM j GROUP BY 1, 2")
 def k36(spark, sf_dir):
     """K36."""
@@ -611,7 +840,7 @@ def k32(spark, sf_dir):
     block = validate.embargo_blocks(d, 5).persist()
     train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
     fs = ["score", "vol20", "gap20", "dd60"]
-    rm = validate.shape_prediction(models.return_model(train.withColumn("target", F.col("r")).drop("y"), test.drop("r", "y").join(test.select("id", F.col("r").alias("actual")), "id"), fs, "target", "vol"), "r", "p_up")
+    rm = validate.shape_prediction(models.return_model(train.withColumn("target", F.col("r")).drop("y"), test.drop("r", "y").join(test.select("id", F.col("r").alias("actual")), "id"), fs, "target", "vol"), "r", "p_up", "vol", 1.0, 0.2)
     mp = models.market_plus_alpha(train.drop("y"), test.drop("y"), ["score", "vol20"], fs, "r")
     fz = models.fuzzy_least_squares(train, test, ["score", "gap20"], [[-1.0, -0.5], [0.0, 0.0], [1.0, 0.5]], 1.0, "r")
     e = lambda df, p, y, n: df.agg(F.lit(n).alias("model"), F.count(p).alias("n"), F.round(F.avg(F.abs(F.col(p) - F.col(y))), 3).alias("mae"))
