@@ -32,7 +32,7 @@ Sets and shingles are named by 64-bit hashes; for n distinct sets the chance tha
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -272,32 +272,37 @@ def _bits_differ(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([bits_differ(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
 
-def sets_of(docs: DataFrame, bits_for: np.ndarray | None, tokens_for: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, node, n of every row of docs; bits and tokens where the node may be in a filter, once a task.
-
-    node is null for documents without words.
-    """
-    filters = docs.sparkSession.sparkContext.broadcast((bits_for, tokens_for))
+def _each_set(docs: DataFrame, keep: np.ndarray, columns: list[Column], schema: str, described: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
+    """columns of docs, node (null without words), n, and what `described` says of the set where node may be in a filter, once a task."""
+    bits, names = docs.sparkSession.sparkContext.broadcast(keep), [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in slices(batch, 256, 2_000_000, 2):
-                found = shingle_sets(batch.column(2).slice(a, b - a).to_pylist())
-                names = [set_name(x) if len(x) else None for x in found]
-                fresh = []
-                for name in names:
-                    fresh.append(name is not None and name not in seen)
-                    seen.add(name)
-                hashes = np.array([n or 0 for n in names], np.int64).view(np.uint64)
-                for_bits, for_tokens = ((passes(f, hashes) & fresh).tolist() if f is not None else [False] * len(names) for f in filters.value)
-                bits = [bitmap(x) if y else None for x, y in zip(found, for_bits, strict=True)]
-                tokens = [x.view(np.int64) if y else None for x, y in zip(found, for_tokens, strict=True)]
-                columns = pa.array(names, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["doc_id", "text_hash", "node", "n", "bits", "tokens"])
-
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, node long, n long, bits binary, tokens array<long>")
+            own = batch.num_columns - 1
+            for a, b in slices(batch, 256, 2_000_000, own):
+                found = shingle_sets(batch.column(own).slice(a, b - a).to_pylist())
+                nodes = [set_name(x) if len(x) else None for x in found]
+                wanted = passes(bits.value, np.array([n or 0 for n in nodes], np.int64).view(np.uint64)).tolist()
+                said = []
+                for node, x, may in zip(nodes, found, wanted, strict=True):
+                    said.append(described(x) if may and node is not None and node not in seen else None)
+                    seen.add(node)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(own)), pa.array(nodes, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(said, kind)], names=names)
+
+    return docs.select(*columns, F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def named_rows(docs: DataFrame, bitmaps_for: np.ndarray) -> DataFrame:
+    """doc_id, text_hash, node, n of every row of docs, and the bitmap of sets that may be in a filter."""
+    columns = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    return _each_set(docs, bitmaps_for, columns, "doc_id long, text_hash long, node long, n long, bits binary", bitmap, pa.binary())
+
+
+def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """node, tokens: the sets that may be in a filter, one row each."""
+    rows = _each_set(docs, wanted, [], "node long, n long, tokens array<long>", lambda x: x.view(np.int64), pa.list_(pa.int64()))
+    return checkpointed(rows.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"]))
 
 
 def _in_prefixes(percent: int) -> Column:
@@ -365,24 +370,21 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
-def _distinct_sets(sets: DataFrame) -> DataFrame:
-    return checkpointed(sets.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"]))
-
-
 def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n, label of every row of docs; rows of one label are linked, null has no words."""
     found = checkpointed(shared_entries(docs, frequent_tokens(docs), percent))
     entries, twos = found.filter("other is null").drop("other"), found.filter("other is not null")
     pairs = checkpointed(_pivot_pairs(entries, percent).unionByName(twos.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct())
-    sets = checkpointed(sets_of(docs, bit_filter(entries.select("node").unionByName(_nodes(pairs))), bit_filter(_nodes(pairs))))
-    bitmaps = checkpointed(sets.filter("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
-    links = checkpointed(_linked(_may_link(pairs, bitmaps, percent), _distinct_sets(sets), percent))
+    rows = checkpointed(named_rows(docs, bit_filter(entries.select("node").unionByName(_nodes(pairs)))))
+    bitmaps = checkpointed(rows.filter("bits is not null").select("node", "n", "bits").dropDuplicates(["node"]))
+    close = checkpointed(_may_link(pairs, bitmaps, percent))
+    links = checkpointed(_linked(close, sets_of(docs, bit_filter(_nodes(close))), percent))
     apart = _pairs_apart(entries, components(links), percent).join(pairs, ["a", "b"], "left_anti")
-    more = checkpointed(_may_link(apart, bitmaps, percent))
-    if not more.isEmpty():
-        links = links.unionByName(_linked(more, _distinct_sets(sets_of(docs, None, bit_filter(_nodes(more)))), percent))
+    close = checkpointed(_may_link(apart, bitmaps, percent))
+    if not close.isEmpty():
+        links = checkpointed(links.unionByName(_linked(close, sets_of(docs, bit_filter(_nodes(close))), percent)))
     comp = components(links).withColumnRenamed("node", "_node")
-    return sets.select("doc_id", "text_hash", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
+    return rows.select("doc_id", "text_hash", "node", "n").join(comp, F.col("node") == F.col("_node"), "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
