@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,28 @@ def fold(text: Column) -> Column:
     """Lower case without accents."""
     source = "".join(_ACCENTS.values())
     return F.translate(F.lower(text), source, "".join(k * len(v) for k, v in _ACCENTS.items()))
+
+
+def ordered_totals(df: DataFrame, order: list[str], values: dict[str, Column], by: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+    """df with the running total of each value in the order of columns (no nulls in the first), the row itself included.
+
+    No task holds all rows: quantiles of the first column, found approximately, cut the rows into buckets; each is
+    summed up in its own order and starts from the sum of those before. The cuts only balance, they change no result.
+    Rows equal in `order` come in any order among themselves. df is kept while it is read three times.
+    """
+    df = df.persist()
+    x = F.col(order[0])
+    cuts = df.groupBy(*by).agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    placed = (df.join(F.broadcast(cuts), list(by)) if by else df.crossJoin(F.broadcast(cuts))).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
+    own = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    starts = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values])
+    out = placed.withColumns({k: F.sum(v).over(own) for k, v in values.items()}).join(F.broadcast(starts), [*by, "_bucket"])
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)) + F.col(f"_{k}") for k in values}).drop("_bucket", *[f"_{k}" for k in values])
+
+
+def ntile_of(place: Column, n: Column, bins: int) -> Column:
+    """The bin, from 1, of the row at a place from 1 of n, as ntile deals them out: the first n % bins bins hold one row more."""
+    q, r = F.floor(n / bins), n % bins
+    return F.when(place <= r * (q + 1), F.floor((place - 1) / (q + 1)) + 1).otherwise(F.floor(F.try_divide(place - 1 - r, q)) + 1).cast("int")

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import average_rank
+from ..functions.expressions import average_rank, ntile_of, ordered_totals
 
 
 def date_places(df: DataFrame) -> DataFrame:
@@ -59,20 +59,19 @@ def binary_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", thr
 def roc_auc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """K10 Mann-Whitney area with average ranks, from counts of equal scores: no row is ranked alone."""
     t = df.filter(f"{y} is not null and {score} is not null").groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) != 1).cast("long")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("_b", below).groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2.0)), F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0)).cast("double")).alias("auc"))
+    t = ordered_totals(t, [score], {"_b": F.col("_n")}, tuple(by)).withColumn("_b", F.col("_b") - F.col("_n"))
+    return t.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2.0)), F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0)).cast("double")).alias("auc"))
 
 
 def pr_auc(df: DataFrame, by: list[str], y: str = "y", score: str = "score", tie: str | None = None) -> DataFrame:
     """K11 average precision; equal scores form one step, or (with `tie`, an ordering column) one step a row."""
+    t = df.filter(f"{y} is not null and {score} is not null").withColumn("_down", -F.col(score).cast("double"))
     if tie:
-        w = Window.partitionBy(*by).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-        t = df.filter(f"{y} is not null and {score} is not null").withColumn("_p", (F.col(y) == 1).cast("long")).withColumn("_c", F.lit(1))
+        t = t.withColumns({"_p": (F.col(y) == 1).cast("long"), "_c": F.lit(1)})
     else:
-        w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-        t = df.filter(f"{y} is not null and {score} is not null").groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c"))
-    t = t.withColumn("_prec", F.sum("_p").over(w) / F.sum("_c").over(w))
-    return t.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_prec")), F.nullif(F.sum("_p"), F.lit(0)).cast("double")).alias("pr_auc"))
+        t = t.groupBy(*by, "_down").agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c"))
+    t = ordered_totals(t, ["_down", *([tie] if tie else [])], {"_hits": F.col("_p"), "_rows": F.col("_c")}, tuple(by))
+    return t.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_hits") / F.col("_rows")), F.nullif(F.sum("_p"), F.lit(0)).cast("double")).alias("pr_auc"))
 
 
 def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -85,7 +84,9 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame
 def ece(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, equal_count: bool = False, key: str = "id") -> DataFrame:
     """K12 calibration error over bins of equal width or count, with the bins' rows; K19 the same table as risk buckets (rate, lift, bounds)."""
     d = df.filter(f"{y} is not null and {p} is not null")
-    bin_ = F.ntile(bins).over(Window.orderBy(p, key)) if equal_count else F.least(F.floor(F.col(p) * bins) + 1, F.lit(bins)).cast("int")
+    if equal_count:
+        d = ordered_totals(d, [p, key], {"_place": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
+    bin_ = ntile_of(F.col("_place"), F.col("_n"), bins) if equal_count else F.least(F.floor(F.col(p) * bins) + 1, F.lit(bins)).cast("int")
     t = d.withColumn("bin", bin_).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate"), F.avg(p).alias("mean_p"), F.min(p).alias("low"), F.max(p).alias("high"))
     every = Window.partitionBy()
     base = F.sum(F.col("rate") * F.col("n")).over(every) / F.sum("n").over(every)
@@ -148,15 +149,15 @@ def cluster_bootstrap(df: DataFrame, cluster: str, x: str, replicates: int = 200
     return reps.agg(F.count(F.lit(1)).alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", 0.05).alias("q05"), F.percentile("m", 0.95).alias("q95"))
 
 
-def hac_test(daily: DataFrame, x: str, lags: int = 5) -> DataFrame:
-    """K18 mean of a daily series, its Newey-West error (Bartlett weights) and t."""
-    w, every = Window.orderBy("date"), Window.partitionBy()
+def hac_test(daily: DataFrame, x: str, lags: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """K18 mean of a daily series (of each key, where `by` names one), its Newey-West error (Bartlett weights) and t."""
+    w, every = Window.partitionBy(*by).orderBy("date"), Window.partitionBy(*by)
     d = daily.filter(F.col(x).isNotNull()).withColumn("_e", F.col(x) - F.avg(x).over(every))
     d = d.withColumns({f"_l{k}": F.lag("_e", k).over(w) for k in range(1, lags + 1)})
     n = F.count("_e")
     var = F.sum(F.col("_e") * F.col("_e")) + sum((2 * (1 - k / (lags + 1.0)) * F.sum(F.col("_e") * F.col(f"_l{k}")) for k in range(1, lags + 1)), F.lit(0.0))
     se = F.sqrt(F.greatest(var, F.lit(0.0))) / n
-    return d.agg(n.alias("days"), F.avg(x).alias("mean"), se.alias("se"), F.try_divide(F.avg(x), F.nullif(se, F.lit(0.0))).alias("t"))
+    return d.groupBy(*by).agg(n.alias("days"), F.avg(x).alias("mean"), se.alias("se"), F.try_divide(F.avg(x), F.nullif(se, F.lit(0.0))).alias("t"))
 
 
 def scenario_buckets(df: DataFrame, score: str, y: str, bins: int = 5, least: int = 80) -> DataFrame:
@@ -178,13 +179,15 @@ def bucket_lookup(rows: DataFrame, buckets: DataFrame, score: str) -> DataFrame:
 def conformal_width(df: DataFrame, y: str, low: str, high: str, level: float = 0.6) -> DataFrame:
     """K22 the ceil((n + 1) x level)-th smallest of max(low - y, y - high, 0): by how much to widen intervals."""
     d = df.filter(f"{y} is not null").withColumn("_s", F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high), F.lit(0.0)))
-    d = d.withColumn("_r", F.row_number().over(Window.orderBy("_s"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    d = d.filter("_s is not null")
+    d = ordered_totals(d.select("_s"), ["_s"], {"_r": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
     return d.agg(F.max("_n").alias("n"), F.min(F.when(F.col("_r") >= F.least(F.ceil((F.col("_n") + 1) * level), F.col("_n")), F.col("_s"))).alias("width"))
 
 
 def median_bins(df: DataFrame, score: str, y: str, bins: int = 15, key: str = "id") -> DataFrame:
     """K23 equal-count bins of the score: middle of the score, median outcome, rows; monotone() then pools them."""
-    d = df.filter(f"{score} is not null and {y} is not null").withColumn("bin", F.ntile(bins).over(Window.orderBy(score, key)))
+    d = df.filter(f"{score} is not null and {y} is not null")
+    d = ordered_totals(d, [score, key], {"_place": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n")))).withColumn("bin", ntile_of(F.col("_place"), F.col("_n"), bins))
     return d.groupBy("bin").agg(F.median(score).alias("x"), F.median(y).alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
@@ -318,8 +321,8 @@ def reference_percentile(rows: DataFrame, reference: DataFrame, score: str, key:
     r = reference.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     a = rows.select(F.col(score).alias("_s")).distinct().withColumn("_n", F.lit(0).cast("long"))
     t = r.unionByName(a).filter("_s is not null").groupBy("_s").agg(F.sum("_n").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = t.withColumn("percentile", F.try_divide(below + 0.5 * F.col("_n"), F.sum("_n").over(Window.partitionBy()).cast("double"))).select("_s", "percentile")
+    all_ = F.broadcast(t.agg(F.sum("_n").alias("_all")))
+    p = ordered_totals(t, ["_s"], {"_upto": F.col("_n")}).crossJoin(all_).withColumn("percentile", F.try_divide(F.col("_upto") - 0.5 * F.col("_n"), F.col("_all").cast("double"))).select("_s", "percentile")
     return rows.join(p, F.col(score) == F.col("_s"), "left").drop("_s")
 
 
@@ -350,6 +353,17 @@ def index_backtest(df: DataFrame, score: str = "score", dd: str = "fwd_dd") -> D
     return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), base.alias("event_rate"), prec.alias("precision"), F.try_divide(r(F.col("_e") & F.col("_a")), F.nullif(r(F.col("_e")), F.lit(0.0))).alias("recall"), F.try_divide(prec, F.nullif(base, F.lit(0.0))).alias("lift"))
 
 
+def score_quintiles(df: DataFrame, score: str = "score", dd: str = "fwd_dd") -> DataFrame:
+    """K41 per symbol and fifth of the score (by its place among the scores of the first 70 % of rows): rows and event rate of the rest."""
+    w = Window.partitionBy("symbol")
+    d = df.filter(f"{score} is not null and {dd} is not null").withColumn("_t", F.row_number().over(w.orderBy("date")) <= F.floor(F.count(F.lit(1)).over(w) * 0.7))
+    cut = d.filter("_t").groupBy("symbol").agg(F.percentile(dd, 0.05).alias("_cut"))
+    place = F.sum(F.col("_t").cast("int")).over(w.orderBy(score)) / F.sum(F.col("_t").cast("int")).over(w)  # train scores at or below
+    j = d.withColumn("_p", 100 * place).filter("not _t").join(cut, "symbol")
+    fifth = F.least(F.floor(F.col("_p") / 20).cast("int") + 1, F.lit(5))
+    return j.groupBy("symbol", F.concat(F.lit("Q"), fifth.cast("string")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(dd) <= F.col("_cut")).cast("double")).alias("event_rate"))
+
+
 def event_study(df: DataFrame, y: str = "y") -> DataFrame:
     """K36 abnormal return of rows with news by sign and class of the news: rows, mean, t."""
     from .studies import abnormal_returns
@@ -365,12 +379,17 @@ def reliability_weights(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("weight", F.coalesce(F.try_divide(s, F.nullif(F.sum(s).over(Window.partitionBy()), F.lit(0.0))), F.lit(0.0)))
 
 
-def expert_promotion(ic: DataFrame, block: int = 4) -> DataFrame:
-    """K28 by expert of (expert, date, delta): mean IC gain, HAC t, active days, and whether it is promoted (gain > 0, one-sided p < .0125, i.e. t > 2.24)."""
-    out = []
-    for row_filter in [r["expert"] for r in ic.select("expert").distinct().orderBy("expert").limit(64).collect()]:  # experts are feature groups
-        out.append(hac_test(ic.filter(F.col("expert") == row_filter), "delta").withColumn("expert", F.lit(row_filter)))
-    return reduce(DataFrame.unionByName, out).withColumn("promoted", (F.col("days") >= 20) & (F.col("mean") > 0) & (F.col("t") > 2.24))
+def expert_promotion(ic: DataFrame, least_rows: dict[str, int] | None = None, block: int = 4, replicates: int = 200) -> DataFrame:
+    """K28 by expert of (expert, date, delta, active): days, active rows, mean IC gain, HAC t, the 5 % bound of the gain by blocks of dates, and whether it is promoted.
+
+    Promoted: enough active rows (least_rows by expert, else 0), gain above 0, one-sided p below .0125 (t above 2.2414)
+    and the block bound above 0. All experts are judged together, however many there are.
+    """
+    need = F.coalesce(F.create_map(*[F.lit(x) for kv in (least_rows or {"": 0}).items() for x in kv])[F.col("expert")], F.lit(0))
+    t = hac_test(ic, "delta", by=("expert",))
+    rows = ic.groupBy("expert").agg(F.sum("active").alias("active_rows"))
+    bound = bootstrap(ic, "delta", replicates, block, by=("expert",)).select("expert", F.col("q05").alias("delta_q05"))
+    return t.join(rows, "expert").join(bound, "expert", "left").withColumn("promoted", F.coalesce((F.col("active_rows") >= need) & (F.col("mean") > 0) & (F.col("t") > 2.2414) & (F.col("delta_q05") > 0), F.lit(False)))
 
 
 def family_choice(errors: DataFrame, base: str, block: int = 20) -> DataFrame:

@@ -22,12 +22,12 @@ def ordinal_rank(df: DataFrame, x: str, name: str) -> DataFrame:
 def market_state(df: DataFrame) -> DataFrame:
     """E3-E9 one row per date: breadth, medians, dispersion, CSAD, shares, herding, concentration, leadership.
 
-    df has ret1, ret5, ret20, vol20, dd60, gap50, vol_pct, volume_ratio20, turnover, risk. CSAD is a second pass over
-    the date's medians, as is the concentration over the turnover's order.
+    df has ret1, ret5, ret20, vol20, dd60, gap50, vol_pct, volume_ratio20, turnover, risk. The date's median and the
+    turnover's order are window columns, so df is read once and dealt out by date once.
     """
     top = Window.partitionBy("date").orderBy(F.desc_nulls_last("turnover"), "symbol")
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
-    ranked = df.withColumn("_n", F.row_number().over(top)).withColumn("_m", F.greatest(F.floor(n * 0.1), F.lit(1)))
+    ranked = df.withColumns({"_n": F.row_number().over(top), "_m": F.greatest(F.floor(n * 0.1), F.lit(1)), "_med20": F.median("ret20").over(Window.partitionBy("date"))})
     share = lambda c: F.avg(F.when(c.isNotNull(), c.cast("double")))
     per = ranked.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), share(F.col("ret1") > 0).alias("breadth"), share(F.col("ret20") < 0).alias("weak_share"), share(F.col("gap50") < 0).alias("below50"),
@@ -35,9 +35,9 @@ def market_state(df: DataFrame) -> DataFrame:
         F.stddev_pop("ret1").alias("dispersion"), share(F.col("risk") >= 50).alias("risk_share"), share(F.col("volume_ratio20") > 1).alias("volume_breadth"), share(F.col("vol_pct") >= 0.8).alias("high_vol_share"),
         F.try_divide(F.sum(F.when(F.col("_n") <= F.col("_m"), F.col("turnover"))), F.sum("turnover")).alias("concentration"),
         F.when(F.count("ret20") >= 10, F.percentile("ret20", 0.9) - F.median("ret20")).alias("leadership"),
+        F.avg(F.abs(F.col("ret20") - F.col("_med20"))).alias("csad20"),
     )
-    csad = df.select("date", "ret20").join(per.select("date", "med20"), "date").groupBy("date").agg(F.avg(F.abs(F.col("ret20") - F.col("med20"))).alias("csad20"))
-    return per.join(csad, "date").withColumn("herding", F.abs("med20") / (F.col("csad20") + 1e-6))
+    return per.withColumn("herding", F.abs("med20") / (F.col("csad20") + 1e-6))
 
 
 def minimum_cross_section(df: DataFrame, least: int = 80) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import studies
+from . import readings, studies
 
-QUERIES: dict = dict(studies.QUERIES)
-ORACLES: dict = dict(studies.ORACLES)
+QUERIES: dict = dict(studies.QUERIES) | readings.QUERIES
+ORACLES: dict = dict(studies.ORACLES) | readings.ORACLES
