@@ -46,13 +46,15 @@ def _locator(doc_id: str = "doc_id"):
 
 
 def _slots(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys[:, 1] ^ mix(seeds + keys[:, 2])) % np.uint64(n)).astype(np.int64)
+    """The slot of keys (last axis: four words) under seeds; both are broadcast against each other."""
+    return (mix(keys[..., 1] ^ mix(seeds + keys[..., 2])) % np.uint64(n)).astype(np.int64)
 
 
 def build_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(seeds of the buckets, slot of each key) of a minimal perfect hash over distinct keys, an n x 4 uint64 array.
 
-    A seed below zero is -1 - slot.
+    A seed below zero is -1 - slot. All buckets of one size try their next seeds together; of those that fit, a bucket
+    is placed if it is the first to claim all its slots, and the others go on.
     """
     n = len(keys)
     buckets = (n + KEYS_PER_BUCKET - 1) // KEYS_PER_BUCKET
@@ -60,21 +62,26 @@ def build_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket = (keys[:, 0] % np.uint64(max(buckets, 1))).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    used = np.zeros(n, bool)
-    sizes = np.diff(starts)
-    for b in np.argsort(-sizes, kind="stable"):
-        members = order[starts[b] : starts[b + 1]]
-        if len(members) < 2:
-            break
-        seed = 0
-        while True:
-            at = _slots(keys[members], np.uint64(seed), n)
-            if not used[at].any() and len(set(at.tolist())) == len(members):
-                break
-            seed += 1
-        seeds[b], slots[members], used[at] = seed, at, True
-    free = np.flatnonzero(~used)
-    single = np.flatnonzero(sizes == 1)
+    used, sizes = np.zeros(n, bool), np.diff(starts)
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        todo = np.flatnonzero(sizes == size)
+        members, seed = order[starts[todo][:, None] + np.arange(size)], np.zeros(len(todo), np.int64)
+        while len(todo):
+            width = max(1, min(1024, 200_000 // (len(todo) * size)))
+            tries = seed[:, None] + np.arange(width)
+            at = _slots(keys[members][:, None], tries[:, :, None].astype(np.uint64), n)
+            fits = ~used[at].any(axis=2) & (np.diff(np.sort(at, axis=2), axis=2) > 0).all(axis=2)
+            some, first = fits.any(axis=1), fits.argmax(axis=1)
+            picked, seed = at[np.arange(len(todo)), first], seed + np.where(some, first, width)
+            rows = np.flatnonzero(some)
+            claimed = np.zeros(len(rows) * size, bool)
+            claimed[np.unique(picked[rows], return_index=True)[1]] = True
+            done = rows[claimed.reshape(-1, size).all(axis=1)]
+            seeds[todo[done]], slots[members[done]], used[picked[done]] = seed[done], picked[done], True
+            left = np.ones(len(todo), bool)
+            left[done] = False
+            todo, members, seed = todo[left], members[left], seed[left]
+    free, single = np.flatnonzero(~used), np.flatnonzero(sizes == 1)
     seeds[single], slots[order[starts[single]]] = -1 - free, free
     return seeds, slots
 

@@ -1,45 +1,57 @@
-"""A compressed FM-index over sequences of 64-bit words, searched for many patterns at once with numpy."""
+"""A compressed FM-index over sequences of 64-bit words, searched for many patterns at once with numpy.
+
+What it keeps of a text is the wavelet matrix of its last column (a bit for each level of the alphabet, and a 32-bit
+count for every 64 of them), one more such plane for the weights, the distinct words and their counts. Neither the
+text nor the order of its suffixes stays.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: For each place in a 64-bit word, the bits before it.
+_BEFORE = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
+class Plane:
+    """A packed bit vector with the number of ones before every 64th bit."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words = np.frombuffer(packed.tobytes().ljust((len(packed) // 8 + 1) * 8, b"\0"), np.uint64)
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones lie before each position (int32)."""
+        word = at >> 6
+        return self.ones.take(word) + np.bitwise_count(self.words.take(word) & _BEFORE.take(at & 63))
 
 
 class WaveletMatrix:
-    """Rank of any symbol up to any position; one packed bit plane with block counts per bit of the alphabet."""
+    """Rank of any symbol up to any position; one plane per bit of the alphabet."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int) -> None:
         self.planes = []
         now, self.depth = symbols, max(1, (alphabet - 1).bit_length())
         for level in reversed(range(self.depth)):
             bit = (now >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            words = np.frombuffer(packed.tobytes().ljust((len(packed) // 8 + 1) * 8, b"\0"), np.uint64)
-            blocks = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
-            zeros = int(len(bit) - bit.sum())
-            self.planes.append((level, words, blocks, zeros))
+            self.planes.append((level, Plane(bit), np.int32(len(bit) - bit.sum())))
             now = np.concatenate((now[bit == 0], now[bit == 1]))
-        self.first = np.searchsorted(self._ends_order(now), self._reversed_bits(np.arange(alphabet)))
+        self.first = np.searchsorted(self._reversed_bits(now), self._reversed_bits(np.arange(alphabet))).astype(np.int32)
 
     def _reversed_bits(self, symbols: np.ndarray) -> np.ndarray:
         """Symbols lie on the last level in the order of their bits read from the lowest."""
         out = np.zeros(len(symbols), np.int64)
         for i in range(self.depth):
-            out |= ((symbols >> i) & 1) << (self.depth - 1 - i)
+            out |= ((symbols >> i) & 1).astype(np.int64) << (self.depth - 1 - i)
         return out
 
-    def _ends_order(self, last: np.ndarray) -> np.ndarray:
-        return self._reversed_bits(last)
-
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position; `at` may hold several rows of positions."""
-        for level, words, blocks, zeros in self.planes:
-            word = at >> 6
-            ones = blocks[word] + np.bitwise_count(words[np.minimum(word, len(words) - 1)] & ((_ONE << (at & 63).astype(np.uint64)) - _ONE))
-            at = np.where((symbols >> level) & 1 == 1, zeros + ones, at - ones)
-        return at - self.first[symbols]
+        for level, plane, zeros in self.planes:
+            ones = plane.rank(at)
+            at = np.where((symbols & (1 << level)).astype(bool), ones + zeros, at - ones)
+        return at - self.first.take(symbols)
 
 
 def order_of_suffixes(text: np.ndarray, upto: int) -> np.ndarray:
@@ -57,7 +69,7 @@ def order_of_suffixes(text: np.ndarray, upto: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Weighted sequences, for patterns of fewer than DEPTH words: how much weight do the sequences with a pattern have?"""
+    """Sequences sent once or more often, for patterns of fewer than DEPTH words: is a pattern found twice or more?"""
 
     DEPTH = 64
 
@@ -65,28 +77,33 @@ class FMIndex:
         flat = np.concatenate(sequences)
         self.words, coded = np.unique(flat, return_inverse=True)
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        self.starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        text = np.zeros(int(lengths.sum() + len(lengths)), np.int64)  # symbol 0 ends each sequence
-        own = np.ones(len(text), bool)
-        own[self.starts + lengths] = False
+        self.size = int(lengths.sum() + len(lengths))
+        text, own = np.zeros(self.size, np.int64), np.ones(self.size, bool)  # symbol 0 ends each sequence
+        own[np.cumsum(lengths + 1) - 1] = False
         text[own] = coded + 1
-        self.text, order = text, order_of_suffixes(text, self.DEPTH)
-        self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.words) + 1))))
+        order = order_of_suffixes(text, self.DEPTH)
+        self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.words) + 1)))).astype(np.int32)
         self.last = WaveletMatrix(text[order - 1], len(self.words) + 1)
-        self.weight = np.concatenate(([0], np.cumsum(np.repeat(weights, lengths + 1)[order])))
+        self.again = Plane(np.repeat(weights > 1, lengths + 1)[order])
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """The symbols of words, all of which the index knows."""
+        return np.searchsorted(self.words, words).astype(np.int32) + 1
 
-    def longest(self, ends: np.ndarray, most: np.ndarray, least: int) -> np.ndarray:
-        """Matching statistics: of the text before each end, how many words back (at most `most`) have weight `least` or more.
+    def longest(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Matching statistics of a streamed text (symbols): how many words back from each end (at most `most`) are found twice or more.
 
-        Backward search: a step to the left maps the interval of suffixes through the rank of the next word.
+        Backward search: a step to the left maps the interval of suffixes through the rank of the next word. Suffixes
+        of sequences that were sent again count twice.
         """
         found = np.zeros(len(ends), np.int64)
         live = np.flatnonzero(most > 0)
-        span = np.stack((np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)))
+        span = np.stack((np.zeros(len(live), np.int32), np.full(len(live), self.size, np.int32)))
         while len(live):
-            c = self.text[ends[live] - found[live] - 1]
-            span = self.below[c] + self.last.rank(c, span)
-            good = self.weight[span[1]] - self.weight[span[0]] >= least
+            c = text[ends[live] - found[live] - 1]
+            span = self.below.take(c) + self.last.rank(c, span)
+            again = self.again.rank(span)
+            good = (span[1] - span[0]) + (again[1] - again[0]) >= 2
             live, span = live[good], span[:, good]
             found[live] += 1
             more = found[live] < most[live]

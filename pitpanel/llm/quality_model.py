@@ -110,12 +110,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Tree
     """Trees fitted to at most `most` labelled rows outside the held-out third.
 
     The sample is the rows of labels with the smallest hash of their doc_id, so it does not depend on partitions; its
-    ids (at most `most` of them) are broadcast, and `most` rows of statistics come back to the driver.
+    ids (at most `most` of them) are broadcast, and at most `most` rows of statistics come back to the driver: of
+    several rows with one doc_id that with the least statistics.
     """
     one_each = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     sample = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), F.col("y").cast("long"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
-    got = map_columns(rows, lambda ids, texts, ys: (ids, [statistics(t) for t in texts], ys), "doc_id long, x array<double>, y long", size_of=1).toPandas().sort_values(["doc_id", "y"], kind="stable")
+    got = map_columns(rows, lambda ids, texts, ys: (ids, [statistics(t) for t in texts], ys), "doc_id long, x array<double>, y long", size_of=1)
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("one")).select("doc_id", "one.*").toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(got.x.tolist(), float).reshape(len(got), len(STATISTICS)), got.y.to_numpy(float))
 
 

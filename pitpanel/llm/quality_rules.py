@@ -66,8 +66,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial X, exactly but for rounding."""
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1)))
+    """P(X <= k) of a binomial X, exactly but for rounding.
+
+    The terms are added up from k away from the mean, where they fall geometrically, until they no longer count.
+    """
+    if k < 0 or k >= n:
+        return float(k >= n)
+    term = lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p))
+    below = k < n * p
+    total, i = 0.0, k if below else k + 1
+    while 0 <= i <= n and (t := term(i)) > total * 1e-17:
+        total, i = total + t, i - 1 if below else i + 1
+    return min(1.0, total) if below else max(0.0, 1.0 - total)
 
 
 def _beyond(rule: str, cutoff):
@@ -79,11 +89,13 @@ def _beyond(rule: str, cutoff):
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """One row per stratum with labels: lang, n_good, and a cutoff for each rule (null: the rule is not used there).
 
-    labels (doc_id, quality): a document labelled more than once counts once, as good if any label says so. Good
-    documents are counted by stratum and cutoff in one aggregation; what leaves it is a few counts per stratum.
+    labels (doc_id, quality): a document labelled more than once counts once, as good if any label says so; so does
+    one that stats has several rows of (the least of them). Good documents are counted by stratum and cutoff in one
+    aggregation; what leaves it is a few counts per stratum.
     """
     good = labels.select(F.col("doc_id").alias("_id"), "quality").groupBy("_id").agg(F.max("quality").alias("_q")).filter("_q = 1")
     rows = stats.join(good, F.col("doc_id") == F.col("_id"), "left_semi").filter((F.col("n_words") >= LEAST_WORDS) & (F.col("n_repeat_words") * 100 <= F.col("n_words") * MOST_REPEATED))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in stats.columns if c != "doc_id"])).alias("one")).select("doc_id", "one.*")  # the bound counts documents
     tests = [(rule, c) for rule, (*_, grid) in RULES.items() for c in grid]
     counted = rows.groupBy("lang").agg(F.count("*").alias("n_good"), *[F.count_if(_beyond(rule, c)).alias(f"{rule}_{c}") for rule, c in tests])
     strata = counted.withColumn("n_strata", F.count("*").over(Window.partitionBy()))  # a row per language, no document

@@ -5,15 +5,15 @@ a window's anchor is the least hash of its 8-word runs, so equal windows have eq
 documents they come from, without any document visiting more than the shards of its own anchors. Consecutive windows
 with one anchor travel together as a segment (they share most of their words).
 
-1. Segments are summed up by anchor. Only anchors found twice can hold a repeated window. Where all segments of such
-   an anchor are equal, that sum says already that each of their windows repeats; where they differ, they must be
-   searched. The two kinds of anchors set the bits of two filters of fixed size.
-2. Segments that must be searched are dealt to shards by anchor, with their words; a task sends a segment at most
-   twice (a third copy changes nothing) and its words once. Anchors that are found extremely often would make one
-   shard large: their windows travel one by one and are dealt by the hash of the whole window.
-3. A shard builds an FM-index over its distinct segments, weighted by how often they were sent, and takes the matching
-   statistics of each segment by backward search over a wavelet matrix. Spans of 35 words and more with a weight of 2
-   are reported.
+1. Places are counted by anchor. Only anchors found twice can hold a repeated window; they set the bits of a filter
+   of fixed size.
+2. Segments of such anchors are dealt to shards by anchor, with their words; a task sends a segment at most twice (a
+   third copy changes nothing) and its words once. Anchors whose segments differ and that are found extremely often
+   would make one shard large: their windows travel one by one and are dealt by the hash of the whole window. The
+   number of shards follows the counted words.
+3. A shard builds an FM-index over its distinct segments, marked where they were sent again, and streams the segments
+   against it, many at a time: backward search over a wavelet matrix takes their matching statistics. Spans of
+   35 words and more that are found twice are reported, exact copies' and all others' alike.
 4. Spans are joined back to the places of their segments. Of the texts, only those with a span are shuffled.
 
 Words, windows and texts are compared by 64-bit hashes.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, shuffle_partitions, slices, window_hashes, word_hashes, words_of
+from .common import checkpointed, map_columns, mix, shuffle_partitions, slices, window_hashes, word_hashes, words_of
 from .fm_index import FMIndex
 from .membership import bit_filter, passes
 
@@ -40,6 +40,8 @@ WINDOW, ANCHOR = 35, 8
 REACH = FMIndex.DEPTH - WINDOW
 #: Anchors found so often, or more often where more than MOST_HOT would be, are hot.
 LEAST_HOT, MOST_HOT = 5_000, 1 << 16
+#: Words that a shard holds at most on average, as they are found (a task sends each segment once).
+SHARD_WORDS = 20_000_000
 
 
 def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
@@ -50,20 +52,20 @@ def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (k - width)], x[k - width :]) if k > width else x
 
 
-def anchors_of(hashes: np.ndarray) -> np.ndarray:
-    """The anchor of each window of a sequence of at least WINDOW word hashes."""
-    return sliding_least(window_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
+def anchors_of(runs: np.ndarray) -> np.ndarray:
+    """The anchor of each window of a sequence of at least WINDOW words, from its window_hashes() of ANCHOR words."""
+    return sliding_least(runs, WINDOW - ANCHOR + 1)
 
 
-def anchor_places(hashes: np.ndarray) -> np.ndarray:
-    """The anchors of a sequence, one for each place that is some window's anchor.
+def anchor_places(runs: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """The anchors of a sequence, one for each place that is some window's anchor (from its runs and anchors_of()).
 
     A place is one if its run's hash is the largest of the anchors of all windows over it: they can't be larger. Equal
     windows have their anchors at different places, even where one segment holds both (a text that goes round).
     """
-    runs, k = window_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1
+    k = WINDOW - ANCHOR + 1
     edge = np.zeros(k - 1, np.uint64)
-    return runs[~sliding_least(~np.concatenate((edge, sliding_least(runs, k), edge)), k) == runs]
+    return runs[~sliding_least(~np.concatenate((edge, anchors, edge)), k) == runs]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +85,8 @@ def text_name(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _windows_of(hashes: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window + 1) of each segment of a sequence; windows of hot anchors stand alone."""
-    anchors = anchors_of(hashes)
+def _windows_of(hashes: np.ndarray, anchors: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window + 1) of each segment of a sequence with its anchors_of(); windows of hot anchors stand alone."""
     starts, ends = _runs(anchors)
     if hot is not None and len(hot) and (of_hot := np.isin(anchors[starts], hot)).any():
         alone = np.repeat(of_hot, ends - starts)
@@ -94,12 +95,33 @@ def _windows_of(hashes: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.n
     return anchors[starts], starts, ends
 
 
-def _segment_name(hashes: np.ndarray, first: int, last: int) -> int:
-    return xxhash.xxh3_64_intdigest(hashes[first : last + WINDOW - 1].tobytes()) - (1 << 63)
+#: An odd multiplier, its inverse, and how many of its powers are made at a time.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """The first n powers of a number; they are made once and as many as a longest text needs."""
+    if len(known.get(base, ())) < n:
+        out = np.full(max(4096, 2 * n), base, np.uint64)
+        out[0] = 1
+        known[base] = np.cumprod(out)
+    return known[base][:n]
+
+
+def segment_names(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the words of each segment (first window, last window + 1), all at once.
+
+    Sums of words times falling powers of an odd number, shifted to the segment's start: equal words, equal names.
+    """
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BACK, len(hashes)))))
+    lasts = ends + (WINDOW - 1)
+    sums = (total[lasts] - total[starts]) * _powers(_STEP, len(hashes) + 1)[starts]
+    return mix(sums + (lasts - starts).astype(np.uint64)).view(np.int64)
 
 
 def anchor_sums(docs: DataFrame) -> DataFrame:
-    """anchor, n, least, most, windows of anchors found at least twice: places, least and largest name of a segment, windows of one.
+    """anchor, n, least, most, windows of anchors found at least twice: places, least and largest name of a segment, most windows of one.
 
     A task counts a text twice at most. A segment with its anchor in several places counts as differing ones, as its
     windows may repeat one another.
@@ -115,10 +137,11 @@ def anchor_sums(docs: DataFrame) -> DataFrame:
                     seen[name] = seen.get(name, 0) + 1
                     if len(hashes) < WINDOW or seen[name] > 2:
                         continue
-                    anchors, starts, ends = _windows_of(hashes)
-                    names = np.array([_segment_name(hashes, a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-                    found.append((anchors, names, ends - starts, np.ones(len(anchors), np.int64)))
-                    places = anchor_places(hashes)
+                    runs = window_hashes(hashes, ANCHOR)
+                    of_windows = anchors_of(runs)
+                    anchors, starts, ends = _windows_of(hashes, of_windows)
+                    found.append((anchors, segment_names(hashes, starts, ends), ends - starts, np.ones(len(anchors), np.int64)))
+                    places = anchor_places(runs, of_windows)
                     if len(places) > len(anchors):
                         values, counts = np.unique(places, return_counts=True)
                         own, known = np.unique(anchors, return_counts=True)
@@ -144,10 +167,10 @@ def _grouped(sequences: Iterator[np.ndarray], size: int = 256) -> Iterator[list[
         yield some
 
 
-def search_rows(docs: DataFrame, mixed: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """anchor, segment, words of the segments that must be searched; at most two rows a task, words in the first."""
+def search_rows(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """anchor, segment, words of the segments of repeated anchors; at most two rows a task, words in the first."""
     context = docs.sparkSession.sparkContext
-    bits, often = context.broadcast(mixed), context.broadcast(hot)
+    bits, often = context.broadcast(repeated), context.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, int] = {}
@@ -160,10 +183,10 @@ def search_rows(docs: DataFrame, mixed: np.ndarray, hot: np.ndarray) -> DataFram
                     texts[name] = texts.get(name, 0) + 1
                     if len(hashes) < WINDOW or texts[name] > 2:
                         continue
-                    anchors, starts, ends = _windows_of(hashes, often.value)
+                    anchors, starts, ends = _windows_of(hashes, anchors_of(window_hashes(hashes, ANCHOR)), often.value)
                     keep = passes(bits.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
-                    for anchor, a, b in zip(anchors[keep].view(np.int64).tolist(), starts[keep].tolist(), ends[keep].tolist(), strict=True):
-                        segment = _segment_name(hashes, a, b)
+                    names = segment_names(hashes, starts[keep], ends[keep]).tolist()
+                    for anchor, segment, a, b in zip(anchors[keep].view(np.int64).tolist(), names, starts[keep].tolist(), ends[keep].tolist(), strict=True):
                         times = sent[segment] = sent.get(segment, 0) + 1
                         if times <= 2:
                             anchors_.append(anchor)
@@ -175,44 +198,42 @@ def search_rows(docs: DataFrame, mixed: np.ndarray, hot: np.ndarray) -> DataFram
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, words binary")
 
 
-def places(docs: DataFrame, mixed: np.ndarray, uniform: np.ndarray, hot: np.ndarray) -> DataFrame:
+def places(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
     """segment, name, start: which text has the segments of repeated anchors where; once a text and task."""
     context = docs.sparkSession.sparkContext
-    bits, more, often = context.broadcast(mixed), context.broadcast(uniform), context.broadcast(hot)
+    bits, often = context.broadcast(repeated), context.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: set[int] = set()
         for batch in batches:
             for some in _grouped(_sequences(batch)):
-                segments, names, begins = [], [], []
+                found = []
                 for hashes in some:
                     name = text_name(hashes)
                     if len(hashes) < WINDOW or name in texts:
                         continue
                     texts.add(name)
-                    anchors, starts, ends = _windows_of(hashes, often.value)
-                    keep = passes(bits.value, anchors) | passes(more.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
-                    begins += starts[keep].tolist()
-                    segments += [_segment_name(hashes, a, b) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
-                    names += [name] * int(keep.sum())
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(names, pa.int64()), pa.array(begins, pa.int32())], names=["segment", "name", "start"])
+                    anchors, starts, ends = _windows_of(hashes, anchors_of(window_hashes(hashes, ANCHOR)), often.value)
+                    keep = passes(bits.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
+                    found.append((segment_names(hashes, starts[keep], ends[keep]), np.full(keep.sum(), name), starts[keep].astype(np.int32)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["segment", "name", "start"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "segment long, name long, start int")
 
 
-def repeated_windows(sequences: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, first window, last window + 1) of each span of windows that are found with a weight of 2 or more."""
-    index = FMIndex(sequences, weights)
-    windows = np.fromiter(map(len, sequences), np.int64, len(sequences)) - (WINDOW - 1)
+def _spans_of(index: FMIndex, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, first window, last window + 1) of the spans of windows that are found twice, of sequences streamed against an index."""
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    text, begins, windows = index.codes(np.concatenate(sequences)), np.cumsum(lengths) - lengths, lengths - (WINDOW - 1)
     pieces = -(-windows // REACH)
     of = np.repeat(np.arange(len(sequences)), pieces)
     low = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * REACH
     high = np.minimum(low + REACH, windows[of])  # windows low..high-1 of the sequence are still open
-    out = []
+    out = [np.empty((3, 0), np.int64)]
     while len(of):
         end = high + WINDOW - 1
-        got = index.longest(index.starts[of] + end, end - low, 2)
+        got = index.longest(text, begins[of] + end, end - low)
         hit = got >= WINDOW
         first = end - got  # words first..end-1 are found twice, and so are the windows first..high-1
         out.append(np.stack((of[hit], first[hit], high[hit])))
@@ -220,7 +241,16 @@ def repeated_windows(sequences: list[np.ndarray], weights: np.ndarray) -> tuple[
         high = np.where(hit, first, high - 1)
         more = high > low
         of, low, high = of[more], low[more], high[more]
-    return tuple(np.concatenate(out, axis=1)) if out else (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(out, axis=1))
+
+
+def repeated_windows(sequences: list[np.ndarray], weights: np.ndarray, some: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of all sequences, streamed `some` at a time against the index of them all."""
+    index, out = FMIndex(sequences, weights), []
+    for a in range(0, len(sequences), some):
+        of, first, last = _spans_of(index, sequences[a : a + some])
+        out.append((of + a, first, last))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _search(shard: pd.DataFrame) -> pd.DataFrame:
@@ -236,15 +266,14 @@ def _search(shard: pd.DataFrame) -> pd.DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """name, spans: for each text with a repeated window, the word spans [from, to) that such windows cover."""
     sums = checkpointed(anchor_sums(docs))
-    mixed, uniform = sums.filter("least <> most"), sums.filter("least = most")
-    total = mixed.agg(F.sum("n")).first()[0] or 0
-    often = mixed.filter(F.col("n") >= max(LEAST_HOT, -(-total // MOST_HOT))).select("anchor").toPandas()
-    hot, searched, told = often.anchor.to_numpy(np.int64).view(np.uint64), bit_filter(mixed.select("anchor")), bit_filter(uniform.select("anchor"))
-    shards = shuffle_partitions(docs.sparkSession)
-    rows = search_rows(docs, searched, hot).select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words")
-    found = rows.groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
-    spans = found.unionByName(uniform.select(F.col("least").alias("segment"), F.lit(0).cast("long").alias("first"), F.col("windows").alias("last")))
-    covered = places(docs, searched, told, hot).join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
+    mixed = sums.filter("least <> most")
+    words, total = sums.agg(F.sum(F.least("n", F.lit(1000)) * (F.col("windows") + WINDOW - 1)), F.sum(F.when(F.col("least") != F.col("most"), F.col("n")))).first()
+    often = mixed.filter(F.col("n") >= max(LEAST_HOT, -(-(total or 0) // MOST_HOT))).select("anchor").toPandas()
+    hot, repeated = often.anchor.to_numpy(np.int64).view(np.uint64), bit_filter(sums.select("anchor"))
+    shards = max(shuffle_partitions(docs.sparkSession), -(-(words or 0) // SHARD_WORDS))
+    rows = search_rows(docs, repeated, hot).select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words")
+    spans = rows.groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
+    covered = places(docs, repeated, hot).join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
     return covered.groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 

@@ -242,16 +242,25 @@ def test_substring_dedup(docs, empty, monkeypatch, hot):
 def test_fm_index_matching_statistics():
     r = np.random.default_rng(1)
     seqs = [r.integers(0, 3, int(n)).astype(np.uint64) for n in r.integers(5, 60, 12)]
-    weights = r.integers(1, 3, 12)
+    weights = r.integers(1, 4, 12)
     index = FMIndex(seqs, weights)
     count = lambda p: sum(int(w) for s, w in zip(seqs, weights, strict=True) for k in range(len(s) - len(p) + 1) if np.array_equal(s[k : k + len(p)], p))
-    for i, s in enumerate(seqs):
+    for s in seqs:
         ends = np.arange(1, len(s) + 1)
-        got = index.longest(index.starts[i] + ends, np.minimum(ends, 40), 2)
+        got = index.longest(index.codes(s), ends, np.minimum(ends, 40))
         for e, n in zip(ends, got, strict=True):
             assert (n == 0 or count(s[e - n : e]) >= 2) and (n == min(e, 40) or count(s[e - n - 1 : e]) < 2)
 
 
+def test_segment_names_are_names_of_words():
+    r = np.random.default_rng(2)
+    h = r.integers(0, 2**63, 300).astype(np.uint64)
+    h[200:280] = h[40:120]
+    starts, ends = np.array([40, 200, 41, 40]), np.array([60, 220, 61, 61])
+    a, b, c, d = substring.segment_names(h, starts, ends).tolist()
+    assert a == b and len({a, c, d}) == 3 and substring.segment_names(h[40:], np.array([0]), np.array([20]))[0] == a
+
+
 def test_exact_groups(docs, empty):
     groups = {}
     for r in docs.collect():
