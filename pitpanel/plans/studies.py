@@ -276,7 +276,8 @@ def h09(spark, sf_dir):
     return rounded(text.novelty(articles(spark, sf_dir)).select("id", "novelty"), 6)
 
 
-@query("h12_entities")
+@query("h12_entities", f"""WITH {_TOKENS}, g AS (SELECT symbol, CASE WHEN list_contains(t, 'the') THEN 'ticker' WHEN list_contains(t, 'idiot') THEN 'collision' WHEN list_contains(t, 'thth') AND list_contains(t, 'er') THEN 'company' WHEN list_contains(t, 'of') AND list_contains(t, 'is') THEN 'brand' WHEN list_contains(t, 'of') THEN 'ambiguous' ELSE 'no_mention' END AS reason FROM k)
+ SELECT reason, count(*) AS items, count(DISTINCT symbol) AS symbols, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM g GROUP BY 1""")
 def h12(spark, sf_dir):
     """Articles against rules that take a title word as ticker and brand."""
     a = articles(spark, sf_dir)
@@ -373,11 +374,13 @@ def i01(spark, sf_dir):
     return r.select("symbol", "date", *[F.round(c, 5).alias(c) for c in ("foreign_ratio5", "foreign_ratio20")], F.round("foreign_z60", 4).alias("foreign_z60"))
 
 
-@query("i03_flow_sessions")
+@query("i03_flow_sessions", f"""WITH {BARS_SQL}, {FLOWS_SQL}, f AS (SELECT symbol, date, foreign_net / nullif(abs(coalesce(foreign_buy, 0)) + abs(coalesce(foreign_sell, 0)), 0) AS x FROM flows), j AS (SELECT b.symbol, b.date, x, row_number() OVER w AS i FROM bars b LEFT JOIN f USING (symbol, date) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.date)),
+ t AS (SELECT *, i - last(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS stale, avg(x) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS m5, count(x) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS c5, avg(x) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS m20, count(x) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS c20 FROM j)
+ SELECT symbol, count(CASE WHEN stale <= 3 AND c5 >= 2 THEN m5 END) AS n, round(avg(CASE WHEN stale <= 3 AND c5 >= 2 THEN m5 END), 6) AS imb5, round(avg(CASE WHEN stale <= 3 AND c20 >= 5 THEN m20 END), 6) AS imb20 FROM t GROUP BY 1""")
 def i03(spark, sf_dir):
     """Session-aligned imbalance."""
     s = flow.flow_session_features(bars(spark, sf_dir), flows(spark, sf_dir), "foreign")
-    return s.groupBy("symbol").agg(F.count("foreign_imb5").alias("n"), F.round(F.avg("foreign_imb5"), 4).alias("imb5"), F.round(F.avg("foreign_imb20"), 4).alias("imb20"))
+    return s.groupBy("symbol").agg(F.count("foreign_imb5").alias("n"), F.round(F.avg("foreign_imb5"), 6).alias("imb5"), F.round(F.avg("foreign_imb20"), 6).alias("imb20"))
 
 
 def _state_sql(x: str, weak: float, strong: float) -> str:
@@ -691,10 +694,11 @@ def k22(spark, sf_dir):
     return rounded(validate.conformal_width(d, "r", "lo", "hi"), 7)
 
 
-@query("k23_monotone")
+@query("k23_monotone", f"""WITH {PRED_SQL}, b AS (SELECT ntile(15) OVER (ORDER BY score, id) AS bin, score, r FROM pb), m AS (SELECT median(score) AS x, median(r) AS y, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY bin), i AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS w, sum(n * y) OVER (ORDER BY x) AS s FROM m),
+ j AS (SELECT a.i AS j, z.i AS k, (z.s - a.s + a.y * a.n) / (z.w - a.w + a.n) AS m FROM i a JOIN i z ON a.i <= z.i), f AS (SELECT i.i, j.j, min(j.m) AS m FROM i JOIN j ON j.j <= i.i AND i.i <= j.k GROUP BY 1, 2) SELECT round(x, 7) AS x, round(y, 7) AS y, n, round(max(m), 7) AS fit FROM f JOIN i USING (i) GROUP BY x, y, n, i""")
 def k23(spark, sf_dir):
     """K7's pooling and K23: medians of 15 bins made monotone."""
-    return rounded(validate.monotone(validate.median_bins(predictions(spark, sf_dir), "score", "r")).select("x", "y", "n", "fit"), 5)
+    return rounded(validate.monotone(validate.median_bins(predictions(spark, sf_dir), "score", "r")).select("x", "y", "n", "fit"), 7)
 
 
 @query("k24_scales", f"WITH {PRED_SQL}, g AS (SELECT scale, abs(r - scale * score) AS e FROM pb, (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.5), (0.75), (1.0)) t(scale)), a AS (SELECT scale, avg(e) AS mae, stddev_samp(e) / sqrt(count(*)) AS se FROM g GROUP BY 1), b AS (SELECT mae + se AS lim FROM a ORDER BY mae, se LIMIT 1) SELECT scale, round(mae, 5) AS mae, round(se, 6) AS se, scale = (SELECT min(scale) FROM a, b WHERE round(mae, 9) <= round(lim, 9)) AS chosen FROM a")
@@ -711,7 +715,10 @@ def k26(spark, sf_dir):
     return rounded(validate.family_choice(validate.family_errors(validate.point_families(d, "q50", "score")), "q50"), 5)
 
 
-@query("k29_pbo")
+@query("k29_pbo", f"""WITH {PRED_SQL}, g AS (SELECT p.*, ps.vol20, ps.dd60, ps.gap20 FROM pb p JOIN panel ps USING (symbol, date) WHERE ps.vol20 IS NOT NULL AND ps.dd60 IS NOT NULL), d AS (SELECT date, avg(r * sign(score)) AS a, avg(r * sign(gap20)) AS b, avg(-r * sign(score)) AS c FROM g GROUP BY 1), k AS (SELECT *, ntile(8) OVER (ORDER BY date) - 1 AS block FROM d),
+ l AS (SELECT block, 'a' AS model, sum(a) AS s, count(a) AS n FROM k GROUP BY 1 UNION ALL SELECT block, 'b', sum(b), count(b) FROM k GROUP BY 1 UNION ALL SELECT block, 'c', sum(c), count(c) FROM k GROUP BY 1),
+ v AS (SELECT m.mask, model, round(sum(s) FILTER ((m.mask >> block) & 1 = 1) / sum(n) FILTER ((m.mask >> block) & 1 = 1), 12) AS ins, round(sum(s) FILTER ((m.mask >> block) & 1 = 0) / sum(n) FILTER ((m.mask >> block) & 1 = 0), 12) AS out FROM l CROSS JOIN (SELECT CAST(range AS BIGINT) AS mask FROM range(256) WHERE bit_count(range) = 4) m GROUP BY 1, 2),
+ w AS (SELECT *, median(out) OVER (PARTITION BY mask) AS med FROM v QUALIFY row_number() OVER (PARTITION BY mask ORDER BY ins DESC, model DESC) = 1) SELECT count(*) AS splits, round(avg(CAST(out < med AS INT)), 6) AS pbo FROM w""")
 def k29(spark, sf_dir):
     """K29 over daily results of three signals."""
     d = predictions(spark, sf_dir).filter("vol20 is not null and dd60 is not null")
