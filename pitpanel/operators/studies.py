@@ -22,11 +22,12 @@ def response_stats(df: DataFrame, by: list[str], y: str) -> DataFrame:
     return df.groupBy(*by).agg(*stats(y))
 
 
-def multi_key_study(df: DataFrame, y: str) -> DataFrame:
-    """G2 the statistics over event, event x label, sector x event, sector x event x label, publisher: one pass by grouping sets."""
-    c = [F.col(x) for x in ("event", "label", "sector", "publisher")]
-    e, lab, s, p = c
-    return df.groupingSets([[e], [e, lab], [s, e], [s, e, lab], [p]], *c).agg(F.grouping_id().cast("long").alias("level"), *stats(y))
+def multi_key_study(df: DataFrame, y: str, alone: tuple[str, ...] = ("cluster", "source_class", "stream")) -> DataFrame:
+    """G2 the statistics over event, event x label, sector x event, sector x event x label, and each key of `alone` by itself: one pass by grouping sets."""
+    names = ("event", "label", "sector", *alone)
+    c = {x: F.col(x) for x in names}
+    sets = [["event"], ["event", "label"], ["sector", "event"], ["sector", "event", "label"], *[[x] for x in alone]]
+    return df.groupingSets([[c[x] for x in keys] for keys in sets], *c.values()).agg(F.grouping_id().cast("long").alias("level"), *stats(y))
 
 
 def abnormal_returns(df: DataFrame, y: str, least: int = 8) -> DataFrame:

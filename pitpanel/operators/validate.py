@@ -101,6 +101,19 @@ def cost_threshold(df: DataFrame, y: str = "y", score: str = "score", digits: in
     return t.withColumn("cost", F.round(cost, 10)).agg(F.min(F.struct("cost", (-F.col("threshold")).alias("t"))).alias("b")).select((-F.col("b.t")).alias("threshold"), F.col("b.cost").alias("cost"))
 
 
+def utility_threshold(df: DataFrame, y: str = "y", score: str = "score", grid: tuple[int, ...] = tuple(range(45, 81, 5))) -> DataFrame:
+    """K8 by threshold of a grid of scores (0-100): F1, recall, precision, false-positive rate, their utility, and which is chosen (the lowest of the best)."""
+    t = df.filter(f"{y} is not null and {score} is not null").select(F.explode(F.array(*[F.lit(g) for g in grid])).alias("threshold"), (F.col(y) == 1).alias("_e"), F.col(score).alias("_s")).withColumn("_w", F.col("_s") >= F.col("threshold"))
+    n = lambda c: F.count_if(c).cast("double")
+    e, w = F.col("_e"), F.col("_w")
+    rate = lambda a, b: F.coalesce(F.try_divide(n(a), F.nullif(n(b), F.lit(0.0))), F.lit(0.0))
+    r = t.groupBy("threshold").agg(rate(e & w, w).alias("precision"), rate(e & w, e).alias("recall"), rate(~e & w, ~e).alias("fpr"))
+    p, q = F.col("precision"), F.col("recall")
+    r = r.withColumn("f1", F.when(p + q > 0, 2 * p * q / (p + q)))
+    u = F.round(F.coalesce("f1", F.lit(-1.0)) + 0.08 * q + 0.04 * p - 0.03 * F.col("fpr"), 12)
+    return r.withColumn("utility", u).withColumn("chosen", F.col("threshold") == F.min_by("threshold", F.struct(-F.col("utility"), F.col("threshold"))).over(Window.partitionBy()))
+
+
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """K14 MAE, RMSE, skill against 0, dispersion and 90 % ratios, R2, calibration slope and intercept, rows."""
     e = F.abs(F.col(y) - F.col(p))
@@ -140,6 +153,24 @@ def bootstrap(daily: DataFrame, x: str, replicates: int = 200, block: int = 1, b
     return reps.groupBy(*by).agg(F.count(F.lit(1)).alias("replicates"), F.avg("m").alias("mean"), F.percentile("m", 0.05).alias("q05"), F.percentile("m", 0.5).alias("q50"), F.percentile("m", 0.95).alias("q95"))
 
 
+def bootstrap_precision(df: DataFrame, unit: str, replicates: int = 200, block: int = 1, y: str = "y", score: str = "score", least: int = 20) -> DataFrame:
+    """K16, K17 average precision over whole units drawn again (dates, or symbols as clusters), or over runs of `block` neighbouring units: 2.5 %, 50 % and 97.5 % of the replicates.
+
+    Each unit keeps all its rows. Runs begin anywhere that leaves them whole; the drawn units are cut to as many as
+    there are. Replicates of one class are left out; with fewer than `least` units there is no row. Rows are summed by
+    unit and score first, and replicates weigh those sums.
+    """
+    d = df.filter(f"{y} is not null and {score} is not null").groupBy(F.col(unit).alias("unit"), (-F.col(score).cast("double")).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count(F.lit(1)).alias("c"))
+    units = d.select("unit").distinct().withColumn("place", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).filter(F.col("n") >= least)  # a row per unit
+    slots = units.select(F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    start = _draw(F.greatest(F.col("n") - block + 1, F.lit(1)), F.col("rep").cast("string"), F.floor(F.col("slot") / block).cast("string"))
+    drawn = slots.withColumn("place", (start + F.col("slot") % block).cast("long")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times")).join(units.select("unit", "place"), "place")
+    w = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # a row per replicate and distinct score
+    t = d.join(drawn, "unit").groupBy("rep", "s").agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("c") * F.col("times")).alias("c")).withColumns({"_p": F.sum("p").over(w), "_c": F.sum("c").over(w)})
+    reps = t.groupBy("rep").agg(F.sum("p").alias("pos"), F.sum("c").alias("all"), (F.sum(F.col("p") * F.col("_p") / F.col("_c")) / F.sum("p")).alias("ap")).filter("pos > 0 and pos < all")
+    return reps.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("ap", 0.025).alias("low"), F.percentile("ap", 0.5).alias("median"), F.percentile("ap", 0.975).alias("high")).filter("replicates > 0")
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, x: str, replicates: int = 200) -> DataFrame:
     """K17 whole clusters (symbols) drawn again, from their sums."""
     per = df.filter(F.col(x).isNotNull()).groupBy(F.col(cluster).alias("date")).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
@@ -215,15 +246,21 @@ def interpolate(rows: DataFrame, knots: DataFrame, x: str, name: str) -> DataFra
     return j.withColumn(name, F.when(F.col(x).isNotNull(), v)).drop("_k", "_lo", "_hi")
 
 
-def scale_selection(df: DataFrame, y: str, p: str, grid: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """K24 MAE and its standard error for each scale of p; `chosen` is the smallest scale within one error of the best."""
-    r = df.filter(f"{y} is not null and {p} is not null").withColumn("scale", F.explode(F.array(*[F.lit(g) for g in grid])))
+def scale_selection(df: DataFrame, y: str, p: str, grid: tuple[float, ...] | None = None, toward: float = 1.0, least: int = 100) -> DataFrame:
+    """K24 MAE and its standard error for each scale of p, and the chosen one: of those within one error of the best, the nearest to `toward` (1: identity, 0: no forecast).
+
+    The grid is 39 scales from .05 to 1.25 by default. With fewer than `least` rows the scale nearest to `toward` is chosen.
+    """
+    scales = grid or tuple(0.05 + 1.2 * i / 38 for i in range(39))
+    r = df.filter(f"{y} is not null and {p} is not null").withColumn("scale", F.explode(F.array(*[F.lit(g) for g in scales])))
     e = F.abs(F.col(y) - F.col("scale") * F.col(p))
-    t = r.groupBy("scale").agg(F.avg(e).alias("mae"), (F.stddev_samp(e) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"))
-    every = Window.partitionBy()
-    t = t.withColumn("_best", F.min(F.struct("mae", "se")).over(every))
-    ok = F.round("mae", 9) <= F.round(F.col("_best.mae") + F.col("_best.se"), 9)
-    return t.withColumn("chosen", F.col("scale") == F.min(F.when(ok, F.col("scale"))).over(every)).drop("_best")
+    t = r.groupBy("scale").agg(F.avg(e).alias("mae"), (F.stddev_samp(e) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"), F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy()  # a row per scale
+    away = F.round(F.abs(F.col("scale") - toward), 12)
+    t = t.withColumn("_best", F.min(F.struct("mae", away.alias("away"), "se")).over(every))
+    ok = (F.round("mae", 9) <= F.round(F.col("_best.mae") + F.col("_best.se"), 9)) | (F.col("_n") < least)
+    nearest = F.min(F.when(ok, F.struct(away.alias("away"), F.when(F.col("_n") < least, F.lit(0.0)).otherwise(F.col("mae")).alias("mae"), "scale"))).over(every)
+    return t.withColumn("chosen", F.col("scale") == nearest["scale"]).drop("_best", "_n")
 
 
 def pbo(daily: DataFrame, models: list[str], blocks: int = 8) -> DataFrame:

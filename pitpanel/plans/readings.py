@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, flow, joins, risk, studies, text, validate
 from ..sources import readers
-from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, articles, bars, flows, macro, table
+from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table
 from .panel import ORACLES, PANEL_SQL, QUERIES, W, query, rounded
 from .studies import _RANK, PRED_SQL, SCAN_SQL, TEXT_SQL, _scan, items, predictions
 
@@ -80,6 +80,20 @@ def f11(spark, sf_dir):
     return joins.previous_snapshot(b.filter("r = 1").select("symbol", "close"), b.filter("r = 2"), ["close", "volume"]).select("symbol", "close", "prev_close", "prev_volume")
 
 
+_LEVELS = (("event",), ("event", "label"), ("sector", "event"), ("sector", "event", "label"), ("cluster",), ("source_class",), ("stream",))
+_KEYS = ("event", "label", "sector", "cluster", "source_class", "stream")
+
+
+@query("g02_multi_key", f"""WITH {PANEL_SQL}, {TEXT_SQL}, {SECTORS_SQL}, p AS (SELECT symbol, date, round(ln(lead(close, 5) OVER ({W}) / close), 9) AS y FROM panel), e AS (SELECT i.event, i.label, s.sector, i.lang AS cluster, i.source_class, i.stream, p.y FROM items i JOIN sectors s USING (symbol) ASOF JOIN p ON i.symbol = p.symbol AND i.available <= p.date),
+ u AS ({' UNION ALL '.join('SELECT ' + ', '.join(k if k in level else f'NULL AS {k}' for k in _KEYS) + f", {sum(1 << (5 - i) for i, k in enumerate(_KEYS) if k not in level)} AS level, count(y) AS n, avg(y) AS mean, median(y) AS median FROM e GROUP BY {', '.join(level)}" for level in _LEVELS)}) SELECT event, label, sector, cluster, source_class, stream, CAST(level AS BIGINT) AS level, n, round(mean, 6) AS mean, round(median, 6) AS median FROM u""")
+def g02(spark, sf_dir):
+    """Outcomes after articles on seven levels; the language stands for the cluster."""
+    p = features.label_returns(bars(spark, sf_dir), (5,)).select("symbol", "date", F.round("y5", 9).alias("y"))
+    it = items(spark, sf_dir).select("symbol", "id", "published_at", "event", "label", F.col("lang").alias("cluster"), "source_class", "stream")
+    e = joins.effective_session(it, p).filter("session is not null").withColumn("date", F.col("session")).join(p, ["symbol", "date"], "left").join(sectors(spark, sf_dir).select("symbol", "sector"), "symbol")
+    return studies.multi_key_study(e, "y").select(*_KEYS, "level", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
 @query("g04_confirmation", f"""WITH {PANEL_SQL}, {TEXT_SQL}, p AS (SELECT symbol, date, ret5, ln(lead(close, 2) OVER ({W}) / close) AS y2 FROM panel), e AS (SELECT i.event, i.signed AS score, p.ret5, p.y2 FROM items i ASOF JOIN p ON i.symbol = p.symbol AND i.available <= p.date),
  g AS (SELECT event, avg(CASE WHEN abs(y2) > 0.01 THEN CAST(sign(y2) = sign(score) AS INT) END) AS confirmed, avg(CASE WHEN ret5 IS NOT NULL THEN CAST(abs(ret5) > 0.01 AS INT) END) AS premove FROM e GROUP BY 1) SELECT event, round(confirmed, 6) AS confirmed, round(premove, 6) AS premove, premove > coalesce(confirmed, 0) AS follows_price FROM g""")
 def g04(spark, sf_dir):
@@ -193,6 +207,42 @@ _HAC = "e AS (SELECT *, x - avg(x) OVER (PARTITION BY expert) AS e FROM d), l AS
 _BLOCKS = "p AS (SELECT expert, x, row_number() OVER (PARTITION BY expert ORDER BY date) - 1 AS place, count(*) OVER (PARTITION BY expert) AS n FROM d), s AS (SELECT expert, rep, place AS slot, n FROM p, range(1, 201) t(rep)), a AS (SELECT expert, rep, CAST((CAST('0x' || substr(md5(rep || ':' || (slot // 4)), 1, 8) AS BIGINT) % n + slot % 4) % n AS BIGINT) AS place FROM s), m AS (SELECT expert, rep, avg(x) AS m FROM a JOIN p USING (expert, place) GROUP BY 1, 2), bound AS (SELECT expert, quantile_cont(m, 0.05) AS q FROM m GROUP BY 1)"
 
 
+_GRID = "SELECT range AS threshold FROM range(45, 81, 5)"
+
+
+@query("k08_utility", f"""WITH {PRED_SQL}, x AS (SELECT y, round(100 * (1 - p), 4) AS s FROM pb), c AS (SELECT threshold, count(*) FILTER (y = 1 AND s >= threshold) AS tp, count(*) FILTER (y = 0 AND s >= threshold) AS fp, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM x, ({_GRID}) g GROUP BY 1),
+ r AS (SELECT threshold, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(pos, 0), 0) AS recall, coalesce(fp / nullif(neg, 0), 0) AS fpr FROM c), f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM r), u AS (SELECT *, round(coalesce(f1, -1) + 0.08 * recall + 0.04 * precision - 0.03 * fpr, 12) AS utility FROM f)
+ SELECT CAST(threshold AS INT) AS threshold, round(precision, 7) AS precision, round(recall, 7) AS recall, round(fpr, 7) AS fpr, round(f1, 7) AS f1, round(utility, 7) AS utility, threshold = first_value(threshold) OVER (ORDER BY utility DESC, threshold) AS chosen FROM u""")
+def k08u(spark, sf_dir):
+    """K8, the grid of scores by utility."""
+    d = predictions(spark, sf_dir).select("y", F.round(100 * (1 - F.col("p")), 4).alias("score"))
+    return rounded(validate.utility_threshold(d), 7)
+
+
+def _precision_sql(unit: str, block: int) -> str:
+    return f"""WITH {PRED_SQL}, d AS (SELECT {unit} AS unit, -score AS s, sum(y) AS p, count(*) AS c FROM pb GROUP BY 1, 2), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM d)), s AS (SELECT rep, place AS slot, n FROM u, range(1, 41) t(rep)),
+ a AS (SELECT rep, CAST(CAST('0x' || substr(md5(rep || ':' || (slot // {block})), 1, 8) AS BIGINT) % greatest(n - {block} + 1, 1) + slot % {block} AS BIGINT) AS place, count(*) AS times FROM s GROUP BY 1, 2), t AS (SELECT rep, s, sum(p * times) AS p, sum(c * times) AS c FROM d JOIN u USING (unit) JOIN a USING (place) GROUP BY 1, 2),
+ w AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY s) AS cp, sum(c) OVER (PARTITION BY rep ORDER BY s) AS cc FROM t), r AS (SELECT rep, sum(p * cp / cc) / sum(p) AS ap FROM w GROUP BY 1 HAVING sum(p) > 0 AND sum(p) < sum(c)) SELECT count(*) AS replicates, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.5), 6) AS median, round(quantile_cont(ap, 0.975), 6) AS high FROM r"""
+
+
+@query("k16_precision_dates", _precision_sql("date", 1))
+def k16p(spark, sf_dir):
+    """Average precision over dates drawn again."""
+    return rounded(validate.bootstrap_precision(predictions(spark, sf_dir), "date", 40), 6)
+
+
+@query("k17_precision_blocks", _precision_sql("date", 4))
+def k17b(spark, sf_dir):
+    """Average precision over blocks of four dates."""
+    return rounded(validate.bootstrap_precision(predictions(spark, sf_dir), "date", 40, 4), 6)
+
+
+@query("k17_precision_symbols", _precision_sql("symbol", 1))
+def k17s(spark, sf_dir):
+    """Average precision over symbols drawn again, each with its whole history."""
+    return rounded(validate.bootstrap_precision(predictions(spark, sf_dir), "symbol", 40), 6)
+
+
 @query("k28_promotion", f"""WITH {PRED_SQL}, r AS (SELECT date, {_RANK.format('r')} AS a, {_RANK.format('score')} AS b0, {_RANK.format('p')} AS b1, {_RANK.format('-score')} AS b2, id FROM pb), i AS (SELECT date, count(*) AS n, round(corr(a, b0), 9) AS trend, round(-corr(a, b0), 9) AS reversal FROM r GROUP BY 1 HAVING count(*) >= 5 AND corr(a, b0) IS NOT NULL AND NOT isnan(corr(a, b0))),
  d AS (SELECT 'trend' AS expert, date, trend AS x, n AS active FROM i UNION ALL SELECT 'reversal', date, reversal, n FROM i UNION ALL SELECT 'sparse', date, reversal, 1 FROM i), {_HAC}, {_BLOCKS}
  SELECT h.expert, days, CAST(active_rows AS BIGINT) AS active_rows, round(mean, 6) AS mean, round(mean / nullif(se, 0), 4) AS t, round(q, 6) AS delta_q05, active_rows >= CASE WHEN expert = 'sparse' THEN 1000000000 ELSE 0 END AND mean > 0 AND mean / nullif(se, 0) > 2.2414 AND q > 0 AS promoted FROM h JOIN bound USING (expert)""")

@@ -701,11 +701,16 @@ def k23(spark, sf_dir):
     return rounded(validate.monotone(validate.median_bins(predictions(spark, sf_dir), "score", "r")).select("x", "y", "n", "fit"), 7)
 
 
-@query("k24_scales", f"WITH {PRED_SQL}, g AS (SELECT scale, abs(r - scale * score) AS e FROM pb, (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.5), (0.75), (1.0)) t(scale)), a AS (SELECT scale, avg(e) AS mae, stddev_samp(e) / sqrt(count(*)) AS se FROM g GROUP BY 1), b AS (SELECT mae + se AS lim FROM a ORDER BY mae, se LIMIT 1) SELECT scale, round(mae, 5) AS mae, round(se, 6) AS se, scale = (SELECT min(scale) FROM a, b WHERE round(mae, 9) <= round(lim, 9)) AS chosen FROM a")
+_SCALES = f"{PRED_SQL}, g AS (SELECT scale, abs(r - scale * score) AS e FROM pb, (SELECT 0.05::DOUBLE + 1.2::DOUBLE * range / 38 AS scale FROM range(39))), a AS (SELECT scale, avg(e) AS mae, stddev_samp(e) / sqrt(count(*)) AS se FROM g GROUP BY 1)"
+
+
+@query("k24_scales", f"""WITH {_SCALES}, b1 AS (SELECT mae + se AS lim FROM a ORDER BY mae, round(abs(scale - 1), 12) LIMIT 1), b0 AS (SELECT mae + se AS lim FROM a ORDER BY mae, round(scale, 12) LIMIT 1), c1 AS (SELECT scale FROM a, b1 WHERE round(mae, 9) <= round(lim, 9) ORDER BY round(abs(scale - 1), 12), mae LIMIT 1), c0 AS (SELECT scale FROM a, b0 WHERE round(mae, 9) <= round(lim, 9) ORDER BY scale LIMIT 1)
+ SELECT round(scale, 6) AS scale, round(mae, 5) AS mae, round(se, 6) AS se, scale = (SELECT scale FROM c1) AS toward_identity, scale = (SELECT scale FROM c0) AS toward_zero FROM a""")
 def k24(spark, sf_dir):
-    """K24."""
-    s = validate.scale_selection(predictions(spark, sf_dir), "r", "score")
-    return s.select("scale", F.round("mae", 5).alias("mae"), F.round("se", 6).alias("se"), "chosen")
+    """K24, with either target."""
+    d = predictions(spark, sf_dir).persist()
+    s, z = validate.scale_selection(d, "r", "score"), validate.scale_selection(d, "r", "score", toward=0.0)
+    return s.join(z.select("scale", F.col("chosen").alias("toward_zero")), "scale").select(F.round("scale", 6).alias("scale"), F.round("mae", 5).alias("mae"), F.round("se", 6).alias("se"), F.col("chosen").alias("toward_identity"), "toward_zero")
 
 
 @query("k26_families")
