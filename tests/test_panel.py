@@ -121,6 +121,55 @@ def test_scores_abstain(spark):
     assert r[0] == 100.0 and r[1] is None and r[2] == pytest.approx(62.5)
 
 
+def test_index_score_by_hand(spark):
+    half = (0.725, -0.09, -0.06, -0.05, -1.545, 1.5, -0.04)  # each pressure at one half, the volume's at .5 x 1
+    names = "vol_pct_incl double, dd60 double, sret20 double, gap50 double, shock_z double, volume_z_prior double, ret1 double"
+    full, calm, none = (1.0, -0.2, -0.3, -0.2, -4.0, 4.0, -0.1), (0.2, 0.0, 0.1, 0.1, 1.0, 3.0, 0.02), (None, -0.09, -0.06, -0.05, None, None, -0.04)
+    got = [r["index_score"] for r in risk.index_score(spark.createDataFrame([half, full, calm, none], names)).collect()]
+    assert got == pytest.approx([50.0, 100.0, 0.0, 100 * 25 / 75])  # without volatility 75 points are left, of which 25 press
+    bands = spark.createDataFrame([(31.9,), (32.0,), (55.0,), (75.0,), (None,)], "s double").select(risk.state_band("s", *risk.INDEX_BANDS)).collect()
+    assert [r[0] for r in bands] == ["LOW", "WATCH", "HIGH", "CRITICAL", None]
+
+
+def test_screener_score_flags_and_states_by_hand(spark):
+    names = "symbol long, dd60 double, sret20 double, gap50 double, gap200 double, vol_day double, rsi_simple double, macd_gap double, volume_ratio10 double, sret1 double, market20 double, turnover30 double"
+    half = (-0.11, -0.07, -0.06, -0.09, 4.3, 35.0, -0.0125, 2.0, -0.05, 0.005)
+    worst = (-0.3, -0.2, -0.2, -0.3, 9.0, 20.0, -0.05, 4.0, -0.06, 0.1)
+    rows = [(1, *half, 1e9), (2, *half[:-1], None, 1e9), (3, *worst, 1e9), (4, *worst, 1e8), (5, 0.0, 0.1, 0.1, None, 1.0, 60.0, 0.0, 1.0, 0.0, 0.0, 1e9)]
+    s = risk.stress_flags(risk.screener_score(spark.createDataFrame(rows, names))).withColumn("status", risk.scan_status())
+    got = {r["symbol"]: r for r in s.collect()}
+    assert [got[i]["screener_score"] for i in (1, 2, 3)] == pytest.approx([50.0, 50.0, 100.0]) and got[5]["screener_score"] is None
+    assert [got[i]["flags"] for i in (1, 2, 3)] == [4, 4, 9]  # strength index, macd, volatility and selling at the half-way row
+    assert [got[i]["status"] for i in range(1, 6)] == ["WATCH", "WATCH", "RED", "ILLIQUID", None]
+
+
+def test_phase_stance_and_agreement_by_hand(spark):
+    df = spark.createDataFrame([(80.0, 0.8, -0.1, 0.1, -0.3), (80.0, 0.6, -0.1, 0.1, -0.3), (80.0, 0.9, 0.1, 0.1, -0.2), (51.0, 0.1, 0.1, -0.1, -0.2), (10.0, 0.9, -0.1, 0.1, -0.1)], "s double, c double, sret20 double, gap50 double, dd60 double")
+    assert [r[0] for r in df.select(risk.phase("s", "c")).collect()] == ["PRE_CRASH_RED", "PRE_CRASH_YELLOW", "ACTIVE_DRAWDOWN", "WATCH", "NORMAL"]
+    st = spark.createDataFrame([(3, 0.02, 60.0), (3, 0.02, 70.0), (2, -0.02, None), (0, 0.5, 1.0), (1, 0.5, 78.0), (1, -0.005, 1.0), (1, 0.0, 1.0)], "passed int, expected double, risk double")
+    assert [r["recommendation"] for r in risk.recommendation(st).collect()] == ["ACCUMULATE", "HOLD / POSITIVE BIAS", "REDUCE", "HOLD / NO ACTION", "REDUCE / AVOID NEW RISK", "CAUTION / REDUCE RISK", "HOLD"]
+    ag = spark.createDataFrame([(70.0, 0.8), (70.0, 0.5), (10.0, 0.9), (70.0, 0.65)], "a double, p double")
+    assert [r[0] for r in ag.select(risk.agreement("a", "p")).collect()] == ["CONVERGENT", "DIVERGENT", "POOLED_ELEVATION", "MIXED"]
+
+
+def test_reversal_features_by_hand(spark):
+    b = make_bars(spark, [100.0 * 1.01**i for i in range(30)] + [100.0 * 1.01**29 * 0.95])
+    df = features.volume_scores(features.rsi_simple(features.returns(b)))
+    r = features.reversal_b(df).orderBy(F.desc("date")).first()
+    r1, r5, r10, r2, r20 = (math.log(0.95) + k * math.log(1.01) for k in (0, 4, 9, 1, 19))
+    assert r["snapback1v5"] == pytest.approx(r1 - r5 / 5) and r["snapback2v10"] == pytest.approx(r2 - r10 / 5)
+    assert r["breakdown_signature"] == pytest.approx(max(0.0, r20) * -r1 * 100) and r["rebound_signature"] == 0.0
+
+
+def test_quote_of_a_weak_forecast(spark):
+    rows = [(27.0, 20_000.0, 0.001, 0.6, 0.02, "HOSE"), (0.0, 20_000.0, 0.0, 0.5, 0.02, "HOSE"), (0.0, 9_990.0, 0.5, 0.9, 0.02, "HOSE")]
+    df = spark.createDataFrame(rows, "x double, ref double, r double, p double, v double, venue string")
+    got = [(r["quote"], r["quote_high"]) for r in validate.executable_quotes(df, "ref", "r", "p", "v", "venue", 3).collect()]
+    least = round(0.111 * (1 + 0.1 * 0.75) * 0.02 * 20_000 / 50) * 50
+    assert got[0][0] == 20_000 + max(50, least) and got[1][0] == 20_000
+    assert got[2] == (12_200, 12_200)  # three sessions' limit, 9990 x 1.07^3, on the grid of 50
+
+
 def test_quotes_snap(spark):
     df = spark.createDataFrame([(68327.0, "HOSE"), (68351.0, "HOSE"), (9997.0, "HOSE"), (65050.0, "HNX")], "p double, v string")
     near = [int(r[0]) for r in df.select(validate.snap(F.col("p"), F.col("v"))).collect()]
