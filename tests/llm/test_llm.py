@@ -83,6 +83,112 @@ def test_quality_base_counts_and_cutoffs(spark, docs, empty):
     assert none.count() == docs.count() and none.filter("kept = base_failed").count() == 0 and quality_rules.judge(empty, labels).count() == 0
 
 
+def brute_cutoffs(stats, good):
+    """The same search over plain counts, with exact fractions for the binomial tail."""
+    from fractions import Fraction
+    from math import comb
+
+    strata = {}
+    for r in stats:
+        if r["doc_id"] in good and r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"]:
+            strata.setdefault(r["lang"], {})[r["doc_id"]] = r
+    out = {}
+    for lang, rows in strata.items():
+        out[lang] = {}
+        for rule, (over, under, sign, grid) in quality_rules.RULES.items():
+            for c in grid:
+                hit = sum((100 * r[over] > c * r[under]) if sign > 0 else (100 * r[over] < c * r[under]) for r in rows.values())
+                n, p = len(rows), Fraction(5, 100) / len(quality_rules.RULES)
+                tail = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(hit + 1)) if hit < 60 else 1
+                if tail > Fraction(5, 100) / (len(quality_rules.RULES) * len(strata)):
+                    break
+                out[lang][rule] = c
+    return out
+
+
+def test_quality_verdicts_equal_a_plain_search(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(2600):
+        lang = ("en", "de", None)[i % 3 if i < 2400 else 0]
+        n, noise = r.randint(12, 40), r.random() < 0.004
+        words = ["w" * r.randint(2, 9) + str(r.randrange(999)) + ("$$" if noise or r.random() < 0.01 else "") for _ in range(n)]
+        rows.append((i, " ".join(words) + ("\nsame line here\nsame line here" if r.random() < 0.01 else ""), lang, "s", 1, 1, "x"))
+    rows += rows[:40]  # repeated rows are one document's evidence
+    docs, good = spark.createDataFrame(rows, SCHEMA), {i for i in range(2600) if i % 4}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(0, 2600, 4)], "doc_id long, quality int")
+    stats = [x.asDict() for x in quality_rules.statistics(docs).collect()]
+    limits = brute_cutoffs(stats, good)
+    assert limits["en"] and any(limits[k] != limits["en"] for k in limits)
+    want = {}
+    for x in stats:
+        base = x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"]
+        hit = any((100 * x[o] > limits[x["lang"]][k] * x[u]) if sign > 0 else (100 * x[o] < limits[x["lang"]][k] * x[u]) for k, (o, u, sign, _) in quality_rules.RULES.items() if k in limits[x["lang"]])
+        want[x["doc_id"]] = not base and not hit
+    got = quality_rules.judge(docs, labels).collect()
+    assert len(got) == len(rows) and {x["doc_id"]: x["kept"] for x in got} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_urls_judged_as_plain_python_does(spark):
+    r = random.Random(3)
+    part = lambda *xs: r.choice(xs)
+    urls = [part("http://", "https://", "", "x://y://") + part("", "www.", "a.b.") + part("example", "notexample", "EXAMPLE", "x") + part(".com", ".net", ".org", ".com.evil.org") + part("", "/", "/en/", "/EN/", "/es/1", "/fr", "/fr/x") + part("", "?q=/es/", "#t") for _ in range(400)]
+
+    def plain(url):
+        host = path = ""
+        if "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+            path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = host.translate(LOW)
+        fit = [rule for rule, _ in url_filter.RULES if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith(rule[rule.index("/") :])]
+        return host, path, max(fit, key=len, default=None)
+
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for x in got:
+        host, path, rule = plain(urls[x["page_id"]])
+        assert (x["host"], x["path"], x["rule"]) == (host, path, rule)
+        assert x["verdict"] == (dict(url_filter.RULES)[rule] if rule else "block" if x["block_score"] >= 0.5 else "allow")
+
+
+def test_url_model_on_held_out_labels(spark):
+    from pitpanel.llm import url_labels
+
+    rows = url_labels.table(spark).withColumn("held", F.crc32(F.concat("host", "path").cast("binary")) % 5 == 0).persist()
+    held = rows.filter("held").withColumn("url", F.concat(F.lit("http://"), "host", "path")).withColumn("page_id", F.monotonically_increasing_id())
+    got = url_filter.judge(held, (), rows.filter("not held")).join(held.select("page_id", "label"), "page_id").toPandas()
+    assert len(got) > 300 and ((got.verdict == "block") == (got.label == 1)).mean() > 0.9
+
+
+def test_trees_walk_as_a_plain_loop_does():
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(400, 5)), r.integers(0, 2, 400).astype(float)
+    y[x[:, 0] + x[:, 3] > 0.5] = 1
+    trees = quality_model.fit(x, y)
+    for row, p in zip(x[:60], trees.probability(x[:60]), strict=True):
+        total = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            for _ in range(quality_model.DEPTH):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - (2**quality_model.DEPTH - 1)]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((trees.probability(x) >= 0.5) == (y == 1)).mean() > 0.8
+
+
+def test_training_rows_are_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(i % 2 + 3, f"word {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0), (3, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality_model.fit
+    quality_model.fit = lambda x, y: seen.append(len(x)) or fit(x, y)
+    try:
+        quality_model.train(docs, labels)
+    finally:
+        quality_model.fit = fit
+    assert seen[0] <= 2
+
+
 def test_url_rules_and_model(spark):
     urls = ["http://A.example.com/de/1?x", "https://example.com/en/", "https://www.example.com/en/2#t", "http://x.net/es/1", "http://x.org/de/4", "nothing", None, "http://com", "http://spam.org/en/9"]
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, host int")
@@ -365,6 +471,43 @@ def test_html_names_and_thresholds_lose_no_article():
     assert got.split("\n") == [prose.strip(), f"Read {prose.strip()} too.", "All of it", prose.strip(), f"Read {prose.strip()} too."]
 
 
+def test_texts_longer_than_a_slice(spark):
+    """5 million characters: two copies, one near copy, and short texts around them."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(1_000_000)]
+    long = " ".join(words)
+    near = " ".join([*words[:-3], "x", "y", "z"])
+    docs = spark.createDataFrame([(1, long), (2, "short one"), (3, long), (4, near), (5, None), (6, "short two")], "doc_id long, text string").repartition(1)
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 6}
+    assert {x["doc_id"]: x["keep_id"] for x in exact_dedup.exact_groups(docs).collect()} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring.remove_repeats(docs).collect()}
+    assert got == {1: (1_000_000, 1_000_000), 2: (2, 0), 3: (1_000_000, 1_000_000), 4: (1_000_000, 999_997), 5: (0, 0), 6: (2, 0)}
+    assert {x["doc_id"]: x["n_words"] for x in quality_rules.statistics(docs.withColumn("lang", F.lit("en"))).collect()}[4] == 1_000_000
+
+
+def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    text = " ".join(f"word{i} of a quiet text about gardens and rivers" for i in range(12))
+    rows = [(1, text, "en", "a", len(text)), (1, text, "en", "a", len(text)), (2, text.upper(), "en", "b", len(text)), (None, text + " more", "en", None, 1), (3, None, None, "a", None), (4, "", "en", "a", 0), (5, "Another plain text that stands alone in this table of ours.", "de", None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(1, 1), (4, 0), (77, 1)], "doc_id long, quality int")
+    for name, some in (("rows", rows), ("empty", [])):
+        sf = str(tmp_path / name)
+        docs = spark.createDataFrame(some, schema).withColumn("_keep", F.lit(1)).withColumn("row", F.lit("r")).withColumn("digest", F.lit("d"))
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in c.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns
+            docs = out.persist()
+            docs.count()
+        assert c.run(spark, sf).count() == c.STAGES[-1][1](spark, docs, sf).count()
+        if not some:
+            assert docs.count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
