@@ -55,17 +55,22 @@ class WaveletMatrix:
 
 
 def order_of_suffixes(text: np.ndarray, upto: int) -> np.ndarray:
-    """The suffixes of a text in the order of their first `upto` symbols (a power of 2), by prefix doubling."""
+    """The suffixes of a text in the order of their first `upto` symbols at least, by prefix doubling.
+
+    A sort takes as many ranks of neighbouring runs at once as fit into 63 bits: three where the text is short.
+    """
     n = len(text)
-    rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1
+    rank, step, bits = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1, int(n + 2).bit_length()
     while True:
-        later = np.concatenate((rank[step:], np.zeros(min(step, n), np.int64)))[:n] if step < upto else np.zeros(n, np.int64)
-        order = np.argsort(rank * (n + 2) + later, kind="stable")
+        key = rank.copy()
+        for i in range(1, 63 // bits):
+            key <<= bits
+            key[: max(0, n - i * step)] |= rank[i * step :]
+        order, step = np.argsort(key), step * (63 // bits)
         if step >= upto:
             return order
-        key = rank[order] * (n + 2) + later[order]
+        key = key[order]
         rank[order] = np.concatenate(([1], 1 + np.cumsum(key[1:] != key[:-1])))
-        step *= 2
 
 
 class FMIndex:

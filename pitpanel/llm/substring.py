@@ -8,7 +8,8 @@ with one anchor travel together as a segment (they share most of their words).
 1. Places are counted by anchor. Only anchors found twice can hold a repeated window; they set the bits of a filter
    of fixed size.
 2. Segments of such anchors are dealt to shards by anchor, with their words; a task sends a segment at most twice (a
-   third copy changes nothing) and its words once. Anchors whose segments differ and that are found extremely often
+   third copy changes nothing) and its words once. Where an anchor has one segment only, which stands in several
+   places, one of these sends it and the count another row. Anchors whose segments differ and that are found extremely often
    would make one shard large: their windows travel one by one and are dealt by the hash of the whole window. The
    number of shards follows the counted words.
 3. A shard builds an FM-index over its distinct segments, marked where they were sent again, and streams the segments
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, mix, shuffle_partitions, slices, window_hashes, word_hashes, words_of
+from .common import checkpointed, map_columns, mix, shuffle_partitions, slices, word_hashes, words_of
 from .fm_index import FMIndex
 from .membership import bit_filter, passes
 
@@ -52,76 +53,113 @@ def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (k - width)], x[k - width :]) if k > width else x
 
 
-def anchors_of(runs: np.ndarray) -> np.ndarray:
-    """The anchor of each window of a sequence of at least WINDOW words, from its window_hashes() of ANCHOR words."""
-    return sliding_least(runs, WINDOW - ANCHOR + 1)
+#: An odd multiplier and its inverse.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
-def anchor_places(runs: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """The anchors of a sequence, one for each place that is some window's anchor (from its runs and anchors_of()).
+def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """The first n powers of a number; they are made once and as many as a longest slice needs."""
+    if len(known.get(base, ())) < n:
+        out = np.full(max(4096, 2 * n), base, np.uint64)
+        out[0] = 1
+        known[base] = np.cumprod(out)
+    return known[base][:n]
 
-    A place is one if its run's hash is the largest of the anchors of all windows over it: they can't be larger. Equal
-    windows have their anchors at different places, even where one segment holds both (a text that goes round).
+
+class Words:
+    """The word hashes of several texts, laid end to end, and 64-bit names of any runs of them.
+
+    A name is the sum of the words times falling powers of an odd number, shifted to the run's start and scrambled, so
+    equal words have equal names wherever they stand.
     """
-    k = WINDOW - ANCHOR + 1
-    edge = np.zeros(k - 1, np.uint64)
-    return runs[~sliding_least(~np.concatenate((edge, anchors, edge)), k) == runs]
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.hashes, self.counts = hashes, counts
+        self.begins = np.cumsum(counts) - counts
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BACK, len(hashes)))))
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the runs of equal neighbours."""
-    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-    return starts, np.append(starts[1:], len(values))
+    def names(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The names (uint64) of words first..last-1."""
+        return mix((self.total[last] - self.total[first]) * _powers(_STEP, len(self.total)).take(first) + (last - first).astype(np.uint64))
 
+    def runs(self, k: int) -> np.ndarray:
+        """The names of all runs of k words, those from one text into the next included."""
+        n = max(0, len(self.hashes) - k + 1)
+        return mix((self.total[k:] - self.total[:n]) * _powers(_STEP, n) + np.uint64(k)) if n else self.hashes[:0]
 
-def _sequences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The word hashes of each text of a batch's first column."""
-    for a, b in slices(batch, 256, 2_000_000, 0):
-        hashes, counts = word_hashes(batch.column(0).slice(a, b - a).to_pylist())
-        yield from np.split(hashes, np.cumsum(counts)[:-1])
 
+class Segments:
+    """The segments of some texts: anchor, text, first word and first word of the last window + 1, and name of each.
 
-def text_name(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+    Windows of hot anchors stand alone, with the window's own name as anchor. runs and of_window are kept for places().
+    """
 
+    def __init__(self, words: Words, hot: np.ndarray | None = None) -> None:
+        self.words = words
+        n = len(words.hashes)
+        text = np.repeat(np.arange(len(words.counts)), words.counts)
+        at = np.arange(max(0, n - WINDOW + 1))
+        self.valid = at + WINDOW <= (words.begins + words.counts)[text[: len(at)]]
+        self.runs = words.runs(ANCHOR)
+        self.of_window = sliding_least(self.runs, WINDOW - ANCHOR + 1) if len(at) else self.runs[:0]
+        windows = np.flatnonzero(self.valid)
+        anchors, of = self.of_window[windows], text[windows]
+        new = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (of[1:] != of[:-1]))) if len(windows) else np.zeros(0, bool)
+        if hot is not None and len(hot) and (alone := np.isin(anchors, hot)).any():
+            new |= alone
+            new[1:] |= alone[:-1]
+            anchors = np.where(alone, words.names(windows, windows + WINDOW), anchors)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(windows)) if len(starts) else starts
+        self.anchor, self.text, self.first, self.last = anchors[starts], of[starts], windows[starts], windows[ends - 1] + 1
+        self.name = words.names(self.first, self.last + (WINDOW - 1)).view(np.int64)
+        self.of_word = text
+
+    def further_places(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, how often): places that are some window's anchor beyond the segments', in texts to keep.
+
+        A place is one if its run's name is the largest of the anchors of all windows over it: they can't be larger.
+        Equal windows have their anchors at different places, even where one segment holds both (a text that goes round).
+        """
+        k = WINDOW - ANCHOR + 1
+        edge = np.zeros(k - 1, np.uint64)
+        largest = ~sliding_least(~np.concatenate((edge, np.where(self.valid, self.of_window, 0).astype(np.uint64), edge)), k) if len(self.of_window) else self.runs[:0]
+        place = np.flatnonzero((largest == self.runs[: len(largest)]) & keep[self.of_word[: len(largest)]])
+        mine = np.flatnonzero(keep[self.text])
+        if len(place) == len(mine):
+            return self.runs[:0], np.empty(0, np.int64)
+        key = lambda anchor, text: mix(anchor ^ mix(text.astype(np.uint64)))
+        values, index, counts = np.unique(key(self.runs[place], self.of_word[place]), return_index=True, return_counts=True)
+        own, known = np.unique(key(self.anchor[mine], self.text[mine]), return_counts=True)
+        counts[np.searchsorted(values, own)] -= known
+        return self.runs[place[index[counts > 0]]], counts[counts > 0]
 
-def _windows_of(hashes: np.ndarray, anchors: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window + 1) of each segment of a sequence with its anchors_of(); windows of hot anchors stand alone."""
-    starts, ends = _runs(anchors)
-    if hot is not None and len(hot) and (of_hot := np.isin(anchors[starts], hot)).any():
-        alone = np.repeat(of_hot, ends - starts)
-        starts, ends = _runs(np.where(alone, np.arange(len(anchors), dtype=np.uint64), anchors))
-        anchors = np.where(alone, window_hashes(hashes, WINDOW), anchors)
-    return anchors[starts], starts, ends
 
+def text_name(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
-#: An odd multiplier, its inverse, and how many of its powers are made at a time.
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
 
+def _texts(batch: pa.RecordBatch, hot: np.ndarray | None = None) -> Iterator[tuple[int, Segments, list[int]]]:
+    """(first row, segments, names of the texts) of the slices of a batch; the text is its last column."""
+    own = batch.num_columns - 1
+    for a, b in slices(batch, 512, 1_000_000, own):
+        words = Words(*word_hashes(batch.column(own).slice(a, b - a).to_pylist()))
+        ends = words.begins + words.counts
+        yield a, Segments(words, hot), [text_name(words.hashes[x:y]) for x, y in zip(words.begins.tolist(), ends.tolist(), strict=True)]
 
-def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    """The first n powers of a number; they are made once and as many as a longest text needs."""
-    if len(known.get(base, ())) < n:
-        out = np.full(max(4096, 2 * n), base, np.uint64)
-        out[0] = 1
-        known[base] = np.cumprod(out)
-    return known[base][:n]
 
+def _place(ids: np.ndarray, segments: Segments) -> np.ndarray:
+    """A number for where each segment stands: its document's id and its place in it."""
+    return mix(ids[segments.text].view(np.uint64) ^ mix((segments.first - segments.words.begins[segments.text]).astype(np.uint64))).view(np.int64)
 
-def segment_names(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the words of each segment (first window, last window + 1), all at once.
 
-    Sums of words times falling powers of an odd number, shifted to the segment's start: equal words, equal names.
-    """
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BACK, len(hashes)))))
-    lasts = ends + (WINDOW - 1)
-    sums = (total[lasts] - total[starts]) * _powers(_STEP, len(hashes) + 1)[starts]
-    return mix(sums + (lasts - starts).astype(np.uint64)).view(np.int64)
+def _with_id(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text").cast("string"))
 
 
 def anchor_sums(docs: DataFrame) -> DataFrame:
-    """anchor, n, least, most, windows of anchors found at least twice: places, least and largest name of a segment, most windows of one.
+    """anchor, n, least, most, windows, place of anchors found at least twice: places, least and largest name of a segment, most windows of one, and the least of the segments' places.
 
     A task counts a text twice at most. A segment with its anchor in several places counts as differing ones, as its
     windows may repeat one another.
@@ -130,72 +168,58 @@ def anchor_sums(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
-            for some in _grouped(_sequences(batch)):
-                found = []
-                for hashes in some:
-                    name = text_name(hashes)
+            ids = batch.column(0).to_numpy()
+            for a, found, names in _texts(batch):
+                keep = np.zeros(len(names), bool)
+                for i, name in enumerate(names):
                     seen[name] = seen.get(name, 0) + 1
-                    if len(hashes) < WINDOW or seen[name] > 2:
-                        continue
-                    runs = window_hashes(hashes, ANCHOR)
-                    of_windows = anchors_of(runs)
-                    anchors, starts, ends = _windows_of(hashes, of_windows)
-                    found.append((anchors, segment_names(hashes, starts, ends), ends - starts, np.ones(len(anchors), np.int64)))
-                    places = anchor_places(runs, of_windows)
-                    if len(places) > len(anchors):
-                        values, counts = np.unique(places, return_counts=True)
-                        own, known = np.unique(anchors, return_counts=True)
-                        counts[np.searchsorted(values, own)] -= known
-                        more = counts > 0
-                        found.append((values[more], np.zeros(more.sum(), np.int64), np.zeros(more.sum(), np.int64), counts[more]))
-                if found:
-                    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["anchor", "segment", "windows", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, windows long, n long")
-    return rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("segment").alias("least"), F.max("segment").alias("most"), F.max("windows").alias("windows")).filter("n > 1")
-
-
-def _grouped(sequences: Iterator[np.ndarray], size: int = 256) -> Iterator[list[np.ndarray]]:
-    some: list[np.ndarray] = []
-    for x in sequences:
-        some.append(x)
-        if len(some) == size:
-            yield some
-            some = []
-    if some:
-        yield some
-
-
-def search_rows(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """anchor, segment, words of the segments of repeated anchors; at most two rows a task, words in the first."""
+                    keep[i] = seen[name] <= 2
+                mine, (more, often) = keep[found.text], found.further_places(keep)
+                rows = [found.anchor, found.name, found.last - found.first, np.ones(len(mine), np.int64), _place(ids[a : a + len(names)], found)]
+                zeros = np.zeros(len(more), np.int64)
+                columns = [np.concatenate((x[mine], y)) for x, y in zip(rows, (more, zeros, zeros, often, zeros + np.iinfo(np.int64).max), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["anchor", "segment", "windows", "n", "place"])
+
+    rows = _with_id(docs).mapInArrow(run, "anchor long, segment long, windows long, n long, place long")
+    return rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("segment").alias("least"), F.max("segment").alias("most"), F.max("windows").alias("windows"), F.min("place").alias("place")).filter("n > 1")
+
+
+def search_rows(docs: DataFrame, mixed: np.ndarray, chosen: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """anchor, segment, words of the segments to search.
+
+    Of anchors whose segments differ (or may) a task sends at most two rows a segment, with the words in the first. Of
+    the others, which have one segment each, only the chosen places are sent; the filters may let some more pass,
+    never fewer.
+    """
     context = docs.sparkSession.sparkContext
-    bits, often = context.broadcast(repeated), context.broadcast(hot)
+    bits, homes, often = context.broadcast(mixed), context.broadcast(chosen), context.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, int] = {}
         sent: dict[int, int] = {}
         for batch in batches:
-            for some in _grouped(_sequences(batch)):
-                anchors_, segments, words = [], [], []
-                for hashes in some:
-                    name = text_name(hashes)
+            ids = batch.column(0).to_numpy()
+            for a, found, names in _texts(batch, often.value):
+                keep = np.zeros(len(names), bool)
+                for i, name in enumerate(names):
                     texts[name] = texts.get(name, 0) + 1
-                    if len(hashes) < WINDOW or texts[name] > 2:
-                        continue
-                    anchors, starts, ends = _windows_of(hashes, anchors_of(window_hashes(hashes, ANCHOR)), often.value)
-                    keep = passes(bits.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
-                    names = segment_names(hashes, starts[keep], ends[keep]).tolist()
-                    for anchor, segment, a, b in zip(anchors[keep].view(np.int64).tolist(), names, starts[keep].tolist(), ends[keep].tolist(), strict=True):
-                        times = sent[segment] = sent.get(segment, 0) + 1
-                        if times <= 2:
-                            anchors_.append(anchor)
-                            segments.append(segment)
-                            words.append(hashes[a : b + WINDOW - 1].tobytes() if times == 1 else None)
-                if anchors_:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors_, pa.int64()), pa.array(segments, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "segment", "words"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "anchor long, segment long, words binary")
+                    keep[i] = texts[name] <= 2
+                differ = (passes(bits.value, found.anchor) | ((found.last - found.first == 1) & (len(often.value) > 0))) & keep[found.text]
+                home = passes(homes.value, _place(ids[a : a + len(names)], found).view(np.uint64)) & ~differ
+                rows = np.flatnonzero(differ | home)
+                anchors, segments, words = [], [], []
+                hashes = found.words.hashes
+                for anchor, segment, x, y in zip(found.anchor[rows].view(np.int64).tolist(), found.name[rows].tolist(), found.first[rows].tolist(), (found.last[rows] + WINDOW - 1).tolist(), strict=True):
+                    before = sent.get(segment, 0)
+                    if before < 2:
+                        anchors.append(anchor)
+                        segments.append(segment)
+                        words.append(None if before else hashes[x:y].tobytes())
+                        sent[segment] = before + 1
+                if anchors:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(segments, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "segment", "words"])
+
+    return _with_id(docs).mapInArrow(run, "anchor long, segment long, words binary")
 
 
 def places(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -206,18 +230,14 @@ def places(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: set[int] = set()
         for batch in batches:
-            for some in _grouped(_sequences(batch)):
-                found = []
-                for hashes in some:
-                    name = text_name(hashes)
-                    if len(hashes) < WINDOW or name in texts:
-                        continue
+            for _, found, names in _texts(batch, often.value):
+                keep = np.zeros(len(names), bool)
+                for i, name in enumerate(names):
+                    keep[i] = name not in texts
                     texts.add(name)
-                    anchors, starts, ends = _windows_of(hashes, anchors_of(window_hashes(hashes, ANCHOR)), often.value)
-                    keep = passes(bits.value, anchors) | ((ends - starts == 1) & (len(often.value) > 0))
-                    found.append((segment_names(hashes, starts[keep], ends[keep]), np.full(keep.sum(), name), starts[keep].astype(np.int32)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["segment", "name", "start"])
+                rows = np.flatnonzero((passes(bits.value, found.anchor) | ((found.last - found.first == 1) & (len(often.value) > 0))) & keep[found.text])
+                of = found.text[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(found.name[rows]), pa.array(np.array(names, np.int64)[of]), pa.array((found.first[rows] - found.words.begins[of]).astype(np.int32))], names=["segment", "name", "start"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "segment long, name long, start int")
 
@@ -266,14 +286,15 @@ def _search(shard: pd.DataFrame) -> pd.DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """name, spans: for each text with a repeated window, the word spans [from, to) that such windows cover."""
     sums = checkpointed(anchor_sums(docs))
-    mixed = sums.filter("least <> most")
-    words, total = sums.agg(F.sum(F.least("n", F.lit(1000)) * (F.col("windows") + WINDOW - 1)), F.sum(F.when(F.col("least") != F.col("most"), F.col("n")))).first()
+    mixed, single = sums.filter("least <> most"), sums.filter("least = most")
+    words, total = sums.agg(F.sum(F.when(F.col("least") == F.col("most"), 1).otherwise(F.least("n", F.lit(1000))) * (F.col("windows") + WINDOW - 1)), F.sum(F.when(F.col("least") != F.col("most"), F.col("n")))).first()
     often = mixed.filter(F.col("n") >= max(LEAST_HOT, -(-(total or 0) // MOST_HOT))).select("anchor").toPandas()
-    hot, repeated = often.anchor.to_numpy(np.int64).view(np.uint64), bit_filter(sums.select("anchor"))
+    hot = often.anchor.to_numpy(np.int64).view(np.uint64)
     shards = max(shuffle_partitions(docs.sparkSession), -(-(words or 0) // SHARD_WORDS))
-    rows = search_rows(docs, repeated, hot).select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words")
-    spans = rows.groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
-    covered = places(docs, repeated, hot).join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
+    rows = search_rows(docs, bit_filter(mixed.select("anchor")), bit_filter(single.select("place")), hot)
+    rows = rows.unionByName(single.select("anchor", F.col("least").alias("segment"), F.lit(None).cast("binary").alias("words")))  # where a single segment is found again
+    spans = rows.select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), "segment", "words").groupBy("shard").applyInPandas(_search, "segment long, first long, last long")
+    covered = places(docs, bit_filter(sums.select("anchor")), hot).join(spans, "segment").select("name", (F.col("start") + F.col("first")).alias("from"), (F.col("start") + F.col("last") + WINDOW - 1).alias("to")).distinct()
     return covered.groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 

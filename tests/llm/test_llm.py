@@ -358,13 +358,19 @@ def test_fm_index_matching_statistics():
             assert (n == 0 or count(s[e - n : e]) >= 2) and (n == min(e, 40) or count(s[e - n - 1 : e]) < 2)
 
 
-def test_segment_names_are_names_of_words():
+def test_segments_are_named_by_their_words():
     r = np.random.default_rng(2)
-    h = r.integers(0, 2**63, 300).astype(np.uint64)
-    h[200:280] = h[40:120]
-    starts, ends = np.array([40, 200, 41, 40]), np.array([60, 220, 61, 61])
-    a, b, c, d = substring.segment_names(h, starts, ends).tolist()
-    assert a == b and len({a, c, d}) == 3 and substring.segment_names(h[40:], np.array([0]), np.array([20]))[0] == a
+    texts = [r.integers(0, 2**63, n).astype(np.uint64) for n in (300, 0, 20, 90, 35)]
+    texts[3][5:85] = texts[0][100:180]
+    counts = np.array([len(t) for t in texts])
+    words = substring.Words(np.concatenate(texts), counts)
+    assert words.names(np.array([100]), np.array([140]))[0] == words.names(np.array([325]), np.array([365]))[0] != words.names(np.array([325]), np.array([366]))[0]
+    found = substring.Segments(words)
+    for text, first, last, anchor in zip(found.text, found.first - words.begins[found.text], found.last - words.begins[found.text], found.anchor, strict=True):
+        for w in range(first, last):  # each window's anchor is the least name of its 8-word runs
+            at = words.begins[text] + w + np.arange(28)
+            assert w + 35 <= counts[text] and words.names(at, at + 8).min() == anchor
+    assert sum(found.last - found.first) == (300 - 34) + (90 - 34) + 1 and set(found.text) == {0, 3, 4}
 
 
 def test_exact_groups(docs, empty):
