@@ -348,16 +348,35 @@ def claim_resolution(claims: DataFrame, official: DataFrame, days: int = 90, sam
     return first.select("claim", "official_id", "at", "similarity", truth.alias("truth"))
 
 
-def claim_features(sessions: DataFrame, claims: DataFrame) -> DataFrame:
-    """H19 by session: rumours and distinct claims of the last 30 and 90 days, duplication (items per claim), from rumour_claims().
-
-    Each claim counts on the days of its items; daily sums share one calendar window.
+def volume_lead(bars: DataFrame) -> DataFrame:
+    """H19 bars with volume_lead: log of one plus the mean volume of the 5 rows before over the median of the 20 before those; 0 without 6 rows before."""
+    by = Window.partitionBy("symbol").orderBy("date")
+    held = F.array_sort(F.collect_list("volume").over(by.rowsBetween(-25, -6)))
+    n = F.size(held)
+    base = (F.try_element_at(held, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(held, F.floor(n / 2).cast("int") + 1)) / 2  # the median
+    lead = F.log1p(F.avg("volume").over(by.rowsBetween(-5, -1)) / F.greatest(F.lit(1.0), base))
+    return bars.withColumn("volume_lead", F.when(F.row_number().over(by) > 6, F.coalesce(lead, F.lit(0.0))).otherwise(0.0))
+
+
+def claim_features(sessions: DataFrame, items: DataFrame, days: int = 20) -> DataFrame:
+    """H19 at each session (symbol, date): what the rumours of the last `days` calendar days look like, as known then.
+
+    items (symbol, id, claim, available, publisher, resolved, truth, volume_lead, premove): a claim counts as resolved
+    from its day on; CLARIFIED ones stay unverified, too. An item counts on the days it is recent, so it meets the
+    sessions by symbol and date, without a range join. Sessions without rumours have zeros.
     """
-    from .joins import trailing_items
-
-    first = claims.withColumn("weight", (F.col("id") == F.col("claim")).cast("double"))
-    df = trailing_items(sessions, first, (30, 90))
-    return df.withColumns({"claims30": F.col("weight30"), "duplication30": F.try_divide(F.col("items30").cast("double"), F.nullif(F.col("weight30"), F.lit(0.0)))}).drop("weight30", "weight90")
+    recent = items.withColumn("date", F.explode(F.sequence("available", F.date_add("available", days - 1)))).join(sessions.select("symbol", "date"), ["symbol", "date"])
+    none = F.lit("Unknown")
+    known = F.when(F.col("resolved") <= F.col("date"), F.coalesce("truth", F.lit("CLARIFIED"))).otherwise("UNVERIFIED")
+    claim = recent.groupBy("symbol", "date", "claim").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.coalesce("publisher", none)).alias("sources"), (F.count(F.lit(1)) / (F.datediff(F.max("available"), F.min("available")) + 1)).alias("speed"), F.min(known).alias("state"), F.sum("volume_lead").alias("lead"), F.sum(F.abs("premove")).alias("moved"))
+    n, claims = F.sum("n"), F.count(F.lit(1))
+    state = lambda *names: F.count_if(F.col("state").isin(*names))
+    per = claim.groupBy("symbol", "date").agg(
+        claims.alias("rumour_claims"), F.avg("speed").alias("rumour_propagation"), (F.size(F.array_distinct(F.flatten(F.collect_list("sources")))) / n).alias("rumour_diversity"), ((n - claims) / n).alias("rumour_duplication"),
+        state("CONFIRMED").alias("rumour_confirmed"), state("DENIED").alias("rumour_denied"), state("CLARIFIED").alias("rumour_clarified"), state("UNVERIFIED", "CLARIFIED").alias("rumour_unverified"), (F.sum("lead") / n).alias("rumour_pre_volume"), (F.sum("moved") / n + 0.25 * F.sum("lead") / n).alias("rumour_lead_score"),
+    )
+    names = [c for c in per.columns if c not in ("symbol", "date")]
+    return sessions.select("symbol", "date").join(per, ["symbol", "date"], "left").fillna(0, names)
 
 
 def headline_clusters(items: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:

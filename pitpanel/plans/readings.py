@@ -60,6 +60,15 @@ def a07(spark, sf_dir):
     return readers.read_fund_snapshots(s).select("fund", "as_of", "symbol", F.round("weight", 9).alias("weight"))
 
 
+@query("a14_tables", f"WITH {SCAN_SQL}, l AS (SELECT symbol, status AS list, round(screener_score, 4) AS score FROM scan WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), t AS (SELECT list, symbol, score, row_number() OVER (PARTITION BY list ORDER BY score DESC NULLS LAST, symbol) AS place FROM l QUALIFY place <= 30), c AS (SELECT symbol, count(*) AS n, min(date) AS first FROM (SELECT symbol, date FROM scan QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 180) GROUP BY 1) SELECT t.list, t.symbol, t.score, t.place, c.n AS chart_rows, c.first AS chart_from FROM t JOIN c USING (symbol)")
+def a14(spark, sf_dir):
+    """The top lists of the scan's states, and how much of each symbol's chart is kept."""
+    s = _scan(spark, sf_dir).filter("status is not null").select("symbol", "date", F.col("status").alias("list"), F.round("screener_score", 4).alias("score"))
+    charts, lists = readers.output_tables(bars(spark, sf_dir), studies.tail_rows(s).drop("date"))
+    c = charts.groupBy("symbol").agg(F.count(F.lit(1)).alias("chart_rows"), F.min("date").alias("chart_from"))
+    return lists.join(c, "symbol").select("list", "symbol", "score", F.col("place").cast("long").alias("place"), "chart_rows", "chart_from")
+
+
 @query("a15_horizons", f"WITH {PANEL_SQL}, p AS (SELECT symbol || ':' || strftime(date, '%Y-%m-%d') AS event_key, ret1, ret5, symbol % 9 = 0 AND (date - DATE '1990-01-01') % 11 = 0 AS bad FROM panel) SELECT event_key, 1 AS h, round(ret1, 4) AS car FROM p WHERE NOT bad UNION ALL SELECT event_key, 5, round(ret5, 4) FROM p WHERE NOT bad")
 def a15(spark, sf_dir):
     """Two horizons of each event; events whose shared part differs are left out."""
@@ -168,6 +177,21 @@ def h12m(spark, sf_dir):
     return text.security_match(a, u).select("id", "matched").join(text.security_match(a, u, strict=True).select("id", F.col("matched").alias("strict")), "id")
 
 
+@query("h19_claim_features", f"""WITH {BARS_SQL}, {TEXT_SQL}, v AS (SELECT symbol, date, CASE WHEN row_number() OVER w > 6 THEN coalesce(ln(1 + avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / greatest(1, median(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 25 PRECEDING AND 6 PRECEDING))), 0) ELSE 0 END AS lead FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+ r AS (SELECT i.symbol, i.id, i.symbol * 10 + i.id % 3 AS claim, i.available, i.publisher, CASE WHEN i.symbol % 4 = 0 THEN i.available + 5 END AS resolved, CASE i.id % 3 WHEN 0 THEN 'DENIED' WHEN 1 THEN 'CONFIRMED' END AS truth, coalesce(v.lead, 0) AS lead, (i.id % 11) / 100.0 AS premove FROM items i LEFT JOIN v ON v.symbol = i.symbol AND v.date = i.available WHERE i.source_class = 'RUMOR_UNVERIFIED'),
+ c AS (SELECT b.symbol, b.date, claim, count(*) AS n, list(publisher) AS pubs, count(*) / (max(available) - min(available) + 1) AS speed, min(CASE WHEN resolved <= b.date THEN coalesce(truth, 'CLARIFIED') ELSE 'UNVERIFIED' END) AS state, sum(lead) AS lead, sum(abs(premove)) AS moved FROM bars b JOIN r ON r.symbol = b.symbol AND b.date >= r.available AND b.date <= r.available + 19 GROUP BY 1, 2, 3),
+ p AS (SELECT symbol, date, count(*) AS claims, avg(speed) AS propagation, len(list_distinct(flatten(list(pubs)))) / sum(n) AS diversity, (sum(n) - count(*)) / sum(n) AS duplication, count(*) FILTER (state = 'CONFIRMED') AS confirmed, count(*) FILTER (state = 'DENIED') AS denied, count(*) FILTER (state = 'CLARIFIED') AS clarified, count(*) FILTER (state IN ('UNVERIFIED', 'CLARIFIED')) AS unverified, sum(lead) / sum(n) AS pre_volume, sum(moved) / sum(n) + 0.25 * sum(lead) / sum(n) AS lead_score FROM c GROUP BY 1, 2)
+ SELECT b.symbol, b.date, coalesce(claims, 0) AS rumour_claims, round(coalesce(propagation, 0), 7) AS rumour_propagation, round(coalesce(diversity, 0), 7) AS rumour_diversity, round(coalesce(duplication, 0), 7) AS rumour_duplication, coalesce(confirmed, 0) AS rumour_confirmed, coalesce(denied, 0) AS rumour_denied, coalesce(clarified, 0) AS rumour_clarified, coalesce(unverified, 0) AS rumour_unverified, round(coalesce(pre_volume, 0), 7) AS rumour_pre_volume, round(coalesce(lead_score, 0), 7) AS rumour_lead_score FROM bars b LEFT JOIN p USING (symbol, date)""")
+def h19(spark, sf_dir):
+    """H19, with claims by symbol and remainder of the id."""
+    b = bars(spark, sf_dir)
+    lead = text.volume_lead(b).select("symbol", F.col("date").alias("available"), "volume_lead")
+    k = F.col("id") % 3
+    it = items(spark, sf_dir).filter("source_class = 'RUMOR_UNVERIFIED'").withColumns({"claim": F.col("symbol") * 10 + k, "resolved": F.when(F.col("symbol") % 4 == 0, F.date_add("available", 5)), "truth": F.when(k == 0, "DENIED").when(k == 1, "CONFIRMED"), "premove": (F.col("id") % 11) / 100})
+    it = it.join(lead, ["symbol", "available"], "left").fillna(0.0, ["volume_lead"])
+    return rounded(text.claim_features(b, it), 7)
+
+
 @query("i08_nav", f"WITH {MACRO_SQL}, r AS (SELECT *, ln(value / lag(value) OVER w) AS r, value / lag(value, 20) OVER w - 1 AS m FROM macro WINDOW w AS (PARTITION BY series ORDER BY date)) SELECT series AS fund, date, round(m, 8) AS nav_momentum20, round(CASE WHEN count(r) OVER k >= 20 THEN stddev_pop(r) OVER k END, 8) AS nav_volatility20 FROM r WINDOW k AS (PARTITION BY series ORDER BY date ROWS 19 PRECEDING)")
 def i08(spark, sf_dir):
     """I8."""

@@ -143,6 +143,13 @@ def write_outputs(df: DataFrame, path: str, by: str = "model_date", kind: str =
     clean.repartition(by).write.mode("append").partitionBy(by).format(kind).save(path)
 
 
+def output_tables(bars: DataFrame, ranked: DataFrame, kept: int = 180, listed: int = 30) -> tuple[DataFrame, DataFrame]:
+    """A14 (charts, lists): each symbol's last `kept` bars, and of each list (list, symbol, score) the report of its `listed` best, with their place."""
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc_nulls_last("score"), "symbol"))
+    return bars.withColumn("_r", last).filter(F.col("_r") <= kept).drop("_r"), ranked.withColumn("place", place).filter(F.col("place") <= listed)
+
+
 def merge_horizons(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """A15 (merged, conflicts): results per horizon (event_key, h, car, shared_hash) in long form; keys whose shared part differs are conflicts."""
     df = parts[0]
