@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, flow, joins, risk, studies, text, validate
+from ..operators import features, flow, joins, models, risk, studies, text, validate
 from ..sources import readers
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table
 from .panel import ORACLES, PANEL_SQL, QUERIES, W, query, rounded
@@ -327,3 +327,17 @@ def k49(spark, sf_dir):
     d = predictions(spark, sf_dir)
     base = d.groupBy("symbol").agg((F.avg(F.col("y").cast("double")) < 0.5).alias("passed"))
     return validate.gate_table({"all_dated": d.select(F.col("date").isNotNull().alias("passed")), "probabilities": d.select(F.col("p").between(0, 1).alias("passed")), "base_rates": base, "small_returns": d.select((F.abs("r") < 0.01).alias("passed"))})
+
+
+@query("k35_contributions")
+def k35(spark, sf_dir):
+    """What two groups of features add to a ridge forecast on the sealed dates; the parts sum to the whole."""
+    d = predictions(spark, sf_dir).filter("vol20 is not null").persist()
+    block = validate.embargo_blocks(d, 5)
+    train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
+    names = ["score", "vol20", "gap20", "dd60"]
+    medians = train.agg(*[F.median(c).alias(c) for c in names]).first().asDict()
+    groups = {"PRICE": ["score", "gap20"], "RISK": ["vol20", "dd60"]}
+    c = models.group_ablation(models.regressor(train, names, "r"), test, medians, groups, names)
+    parts = ["contribution_PRICE", "contribution_RISK", "contribution_NUMERICAL"]
+    return rounded(c.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.abs(x)).alias(x) for x in parts], F.max(F.abs(F.col("full") - sum((F.col(x) for x in parts), F.lit(0.0)))).alias("rest")))

@@ -715,7 +715,7 @@ def k24(spark, sf_dir):
 
 @query("k26_families")
 def k26(spark, sf_dir):
-    """Point families judged on early and late dates."""
+    """Point families judged on early and late dates and by blocks."""
     d = predictions(spark, sf_dir).select("symbol", "date", F.col("r").alias("y"), "score", (F.col("score") * 0.2).alias("q50"))
     return rounded(validate.family_choice(validate.family_errors(validate.point_families(d, "q50", "score")), "q50"), 5)
 
@@ -818,28 +818,31 @@ FEATURES = ["score", "vol20", "gap20", "dd60", "volume_z_prior"]
 
 @query("k05_crash_models")
 def k05(spark, sf_dir):
-    """K4, K5, K6, K43, K37, K39's form, K45, K49: models of the event by kind, calibrated, judged on later dates, gated."""
+    """Models of the event by kind, calibrated, judged on later dates, gated and weighed."""
     d = predictions(spark, sf_dir).persist()
     split = validate.chrono_split(d).filter("fold = 4").persist()
     part = {p: d.join(split.filter(F.col("part") == p).select("date"), "date", "left_semi") for p in ("train", "calibrate", "test")}
     start = split.filter("part = 'calibrate'").agg(F.min("date")).first()[0]
     train = validate.maturity_purge(part["train"], "matures", str(start))
     out = None
-    for kind in ("logistic", "forest"):
+    for kind in ("logistic", "forest", "boosted"):
         m = models.crash_classifier(train, FEATURES, "y", kind)
         scored_ = [models.probability(m, part[p].withColumnRenamed("score", "score0").withColumn("score", F.col("score0")), FEATURES, "s") for p in ("calibrate", "test")]
         cal = models.platt(scored_[0], "s")
         t = models.apply_platt(cal, scored_[1], "s", "q") if cal else scored_[1].withColumn("q", F.col("s"))
         t = t.withColumn("model", F.lit(kind))
-        r = validate.roc_auc(t, ["model"], "y", "q").join(validate.brier(t, ["model"], "y", "q"), "model")
-        out = r if out is None else out.unionByName(r)
-    g = validate.gates(out.withColumn("pr_skill", F.col("auc") - 0.5).withColumn("auc_skill", F.col("auc") - 0.5), {"auc": "auc > 0.5", "brier": "brier_skill > -1"})
+        out = t.select("model", "y", "q") if out is None else out.unionByName(t.select("model", "y", "q"))
+    out = out.persist()
+    base = out.groupBy("model").agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
+    r = validate.roc_auc(out, ["model"], "y", "q").join(validate.pr_auc(out, ["model"], "y", "q"), "model").join(validate.brier(out, ["model"], "y", "q"), "model").join(base, "model")
+    skills = {"pr_skill": F.greatest((F.col("pr_auc") - F.col("base_rate")) / F.greatest(F.lit(0.05), 1 - F.col("base_rate")), F.lit(0.0)), "auc_skill": F.greatest((F.col("auc") - 0.5) / 0.25, F.lit(0.0))}
+    g = validate.gates(r.withColumns(skills), {"auc": "auc > 0.5", "brier": "brier_skill > -1"})
     return rounded(validate.reliability_weights(g).select("model", "auc", "brier", "weight", "reasons", "passed"), 3)
 
 
 @query("k27_expert_stack")
 def k27(spark, sf_dir):
-    """Out-of-fold experts and their stack, by fold."""
+    """Out-of-fold experts and their stack, by fold."""
     d = predictions(spark, sf_dir).persist()
     s = models.expert_stack(d, validate.chrono_split(d).persist(), {"price": ["score", "gap20"], "risk": ["vol20", "dd60", "volume_z_prior"]}, "r", "matures")
     return rounded(s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.corr("r", "stacked").alias("corr"), F.avg(F.abs(F.col("r") - F.col("stacked"))).alias("mae")), 3)
@@ -847,7 +850,7 @@ def k27(spark, sf_dir):
 
 @query("k32_return_model")
 def k32(spark, sf_dir):
-    """The return models' errors on the last 15 % of the dates."""
+    """The return models' errors on the sealed dates."""
     d = predictions(spark, sf_dir).withColumn("vol", F.col("vol20") / 252**0.5).filter("vol is not null").persist()
     block = validate.embargo_blocks(d, 5).persist()
     train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
