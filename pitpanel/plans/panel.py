@@ -151,12 +151,12 @@ def d14(spark, sf_dir):
 @query("d17_reversals", f"""WITH {PANEL_SQL}, a AS (SELECT *, stddev_samp(ret1) OVER {frame(5)} AS v5, stddev_samp(ret1) OVER {frame(20)} AS v20, (high - low) / close AS g, close / avg(close) OVER {frame(5)} - 1 AS c5, close / avg(close) OVER {frame(20)} - 1 AS c20 FROM panel),
  b AS (SELECT *, greatest(coalesce({held('v5 * sqrt(252)', 0, 2)}, 0), 0.00001) AS y5, greatest(coalesce({held('v20 * sqrt(252)', 0, 2)}, 0), 0.00001) AS y20, coalesce({held('g', 0, 2)}, 0) AS g1, greatest(coalesce({held(f'avg(g) OVER {frame(5)}', 0, 2)}, 0), 0.00001) AS g5,
    {', '.join(f"coalesce({held(f'ret{k}', -1, 1)}, 0) AS r{k}" for k in (1, 2, 5, 10, 20))}, coalesce({held('c5', -2, 2)}, 0) AS t5, coalesce({held('c20', -2, 2)}, 0) AS t20, coalesce({held('rsi_simple / 100')}, 0.5) AS rsi, coalesce({held('volume_z_prior', -8, 8)}, 0) AS z FROM a)
- SELECT symbol, date, round(-ret1 / nullif(v20, 0), 4) AS rev_z, round(ret5 / 5 - ret20 / 20, 4) AS drift_gap, round(v5 / nullif(v20, 0), 4) AS vol_ratio,
-   round({held('-r20 / (y20 * sqrt(20) + 0.000001)', -6, 6)}, 3) AS stretch20_vol, round({held('-r10 / (y20 * sqrt(10) + 0.000001)', -6, 6)}, 3) AS stretch10_vol, round({held('r1 - r5 / 5', -0.25, 0.25)}, 4) AS snapback1v5, round({held('r2 - r10 / 5', -0.35, 0.35)}, 4) AS snapback2v10,
-   round({held('y5 / y20 - 1', -3, 5)}, 4) AS vol_regime_shift, round({held('g1 / g5 - 1', -3, 5)}, 4) AS range_regime_shift,
-   round({held('greatest((0.45 - rsi) / 0.45, 0) * greatest(-r20, 0) * 10', 0, 5)}, 3) AS oversold_pressure, round({held('greatest((rsi - 0.55) / 0.45, 0) * greatest(r20, 0) * 10', 0, 5)}, 3) AS overbought_pressure,
-   round({held('greatest(-r20, 0) * greatest(r1, 0) * 100', 0, 5)}, 3) AS rebound_signature, round({held('greatest(r20, 0) * greatest(-r1, 0) * 100', 0, 5)}, 3) AS breakdown_signature,
-   round({held('t5 - t20', -2, 2)}, 4) AS trend_compression, round({held('z * (r1 - r5 / 5)', -2, 2)}, 4) AS volume_shock FROM b""")
+ SELECT symbol, date, round(-ret1 / nullif(v20, 0), 4) + 0.0 AS rev_z, round(ret5 / 5 - ret20 / 20, 4) + 0.0 AS drift_gap, round(v5 / nullif(v20, 0), 4) + 0.0 AS vol_ratio,
+   round({held('-r20 / (y20 * sqrt(20) + 0.000001)', -6, 6)}, 3) + 0.0 AS stretch20_vol, round({held('-r10 / (y20 * sqrt(10) + 0.000001)', -6, 6)}, 3) + 0.0 AS stretch10_vol, round({held('r1 - r5 / 5', -0.25, 0.25)}, 4) + 0.0 AS snapback1v5, round({held('r2 - r10 / 5', -0.35, 0.35)}, 4) + 0.0 AS snapback2v10,
+   round({held('y5 / y20 - 1', -3, 5)}, 4) + 0.0 AS vol_regime_shift, round({held('g1 / g5 - 1', -3, 5)}, 4) + 0.0 AS range_regime_shift,
+   round({held('greatest((0.45 - rsi) / 0.45, 0) * greatest(-r20, 0) * 10', 0, 5)}, 3) + 0.0 AS oversold_pressure, round({held('greatest((rsi - 0.55) / 0.45, 0) * greatest(r20, 0) * 10', 0, 5)}, 3) + 0.0 AS overbought_pressure,
+   round({held('greatest(-r20, 0) * greatest(r1, 0) * 100', 0, 5)}, 3) + 0.0 AS rebound_signature, round({held('greatest(r20, 0) * greatest(-r1, 0) * 100', 0, 5)}, 3) + 0.0 AS breakdown_signature,
+   round({held('t5 - t20', -2, 2)}, 4) + 0.0 AS trend_compression, round({held('z * (r1 - r5 / 5)', -2, 2)}, 4) + 0.0 AS volume_shock FROM b""")
 def d17(spark, sf_dir):
     """D17, D18."""
     df = features.reversal_b(features.reversal_a(panel(spark, sf_dir)))

@@ -244,9 +244,9 @@ def k08u(spark, sf_dir):
 
 
 def _precision_sql(unit: str, block: int) -> str:
-    return f"""WITH {PRED_SQL}, d AS (SELECT {unit} AS unit, -score AS s, sum(y) AS p, count(*) AS c FROM pb GROUP BY 1, 2), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM d)), s AS (SELECT rep, place AS slot, n FROM u, range(1, 41) t(rep)),
+    return f"""WITH {PRED_SQL}, d AS (SELECT {unit} AS unit, -score AS s, sum(y) AS p, count(*) AS c FROM pb GROUP BY 1, 2), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM d) QUALIFY n >= 20), s AS (SELECT rep, place AS slot, n FROM u, range(1, 41) t(rep)),
  a AS (SELECT rep, CAST(CAST('0x' || substr(md5(rep || ':' || (slot // {block})), 1, 8) AS BIGINT) % greatest(n - {block} + 1, 1) + slot % {block} AS BIGINT) AS place, count(*) AS times FROM s GROUP BY 1, 2), t AS (SELECT rep, s, sum(p * times) AS p, sum(c * times) AS c FROM d JOIN u USING (unit) JOIN a USING (place) GROUP BY 1, 2),
- w AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY s) AS cp, sum(c) OVER (PARTITION BY rep ORDER BY s) AS cc FROM t), r AS (SELECT rep, sum(p * cp / cc) / sum(p) AS ap FROM w GROUP BY 1 HAVING sum(p) > 0 AND sum(p) < sum(c)) SELECT count(*) AS replicates, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.5), 6) AS median, round(quantile_cont(ap, 0.975), 6) AS high FROM r"""
+ w AS (SELECT *, sum(p) OVER (PARTITION BY rep ORDER BY s) AS cp, sum(c) OVER (PARTITION BY rep ORDER BY s) AS cc FROM t), r AS (SELECT rep, sum(p * cp / cc) / sum(p) AS ap FROM w GROUP BY 1 HAVING sum(p) > 0 AND sum(p) < sum(c)) SELECT count(*) AS replicates, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.5), 6) AS median, round(quantile_cont(ap, 0.975), 6) AS high FROM r HAVING count(*) > 0"""
 
 
 @query("k16_precision_dates", _precision_sql("date", 1))

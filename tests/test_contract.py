@@ -21,7 +21,7 @@ def con():
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    flat = lambda x: round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else None if x is None or x != x else str(x)[:10] if hasattr(x, "isoformat") else x
+    flat = lambda x: round(float(x), 6) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else None if x is None or x != x else str(x)[:10] if hasattr(x, "isoformat") else x
     return sorted(([flat(r[i]) for i in order] for r in data), key=repr)
 
 
