@@ -397,7 +397,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows alone. Repeated rows have equal sets, so they link. An empty table gives no rows.
     """
     rows = checkpointed(labelled_rows(docs, percent))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "_label")
+    least = checkpointed(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "_label"))  # a plain side, so that a hot label's rows can be split
     return rows.join(least, F.col("label") == F.col("_label"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
