@@ -62,6 +62,13 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 #: Queries that SQL can express whole; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op7_substring_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        s AS (SELECT r, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS win FROM p), c AS (SELECT r, i, word, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again FROM s),
+        g AS (SELECT *, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c), a AS (SELECT r, count(*) AS n, count(*) FILTER (gone = 1) AS x, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(x, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (r)""",
+    "op5_near_dup": rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents), h AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM h GROUP BY 1), k AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM h a JOIN h b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2), l AS (SELECT a, b FROM k JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        t(r, c) AS (SELECT r, r FROM d UNION SELECT e.b, t.c FROM t JOIN e ON e.a = t.r) SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.m AS component_id FROM d LEFT JOIN n USING (r) JOIN (SELECT t.r, min(o.doc_id) AS m FROM t JOIN d o ON o.r = t.c GROUP BY 1) m ON m.r = d.r""",
     "op9_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
     "op6_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
