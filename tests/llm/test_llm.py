@@ -444,6 +444,36 @@ def test_licenses_wrapped_embedded_and_texts():
     assert named("all rights " * 3000) == [] == named("The license of the work is under the terms of poets")
 
 
+def test_license_windows_equal_every_window():
+    """The best coefficient of any run of words, found by trying them all."""
+    r = random.Random(12)
+    templates = [t for t in licenses.TEMPLATES if len(t[2].split()) <= 14]
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_DICE)
+    hit = 0
+    for _ in range(40):
+        name, _, notice = r.choice(templates)
+        words = notice.split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "zebra"
+        text = " ".join(["alpha", "beta", "gamma", *words, "delta", "of", "the", "license", "omega"])
+        plain = re.findall(r"[a-z0-9]+", text.lower())
+        best = {}
+        for t_name, _, t in templates:
+            grams = licenses.bigrams(t)
+            for i in range(len(plain)):
+                for j in range(i + 2, len(plain) + 1):
+                    own = set(zip(plain[i:j], plain[i + 1 : j]))
+                    dice = 2 * len(own & grams) / (len(own) + len(grams))
+                    if dice >= licenses.LEAST_DICE and dice > best.get(t_name, 0):
+                        best[t_name] = dice
+        got = {x[0]: x[2] for x in scanner.scan(text)}
+        assert bool(got) == bool(best) and got.keys() <= best.keys(), (text, got, best)
+        if best:
+            assert max(got.values()) == pytest.approx(max(best.values())), (text, got, best)
+            hit += 1
+    assert 10 < hit < 40
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><!-- x --><article><h1>Big &amp; small</h1><p>One\n  two<br>three <b>four</b></p><p>Five<p>Six</article><div id="comments"><p>No!</p></div><footer>&copy; me</footer></body>'
     assert html_extract.main_text(page) == "Big & small\nOne two three four\nFive\nSix"
