@@ -97,17 +97,26 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), source, "".join(k * len(v) for k, v in _ACCENTS.items()))
 
 
-def ordered_totals(df: DataFrame, order: list[str], values: dict[str, Column], by: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+def ordered_totals(df: DataFrame, order: list[str], values: dict[str, Column], by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
     """df with the running total of each value in the order of columns (no nulls in the first), the row itself included.
 
     No task holds all rows: quantiles of the first column, found approximately, cut the rows into buckets; each is
-    summed up in its own order and starts from the sum of those before. The cuts only balance, they change no result.
-    Rows equal in `order` come in any order among themselves. df is kept while it is read three times.
+    summed up in its own order and starts from the sum of those before. The cuts only balance, they change no result;
+    they are `buckets` - 1 numbers, found once and used as constants, so a repeated task cuts as before. Rows equal in
+    `order` come in any order among themselves. df is kept while it is read three times.
     """
     df = df.persist()
     x = F.col(order[0])
-    cuts = df.groupBy(*by).agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
-    placed = (df.join(F.broadcast(cuts), list(by)) if by else df.crossJoin(F.broadcast(cuts))).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
+    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or ()))
+
+    def bucket(low: int, high: int) -> Column:
+        """How many cuts lie below x, if it is between low and high: a search by halves."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x <= F.lit(cuts[mid]), bucket(low, mid)).otherwise(bucket(mid + 1, high))
+
+    placed = df.withColumn("_bucket", bucket(0, len(cuts)))
     own = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket

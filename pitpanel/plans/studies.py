@@ -632,7 +632,7 @@ def k09(spark, sf_dir):
 @query("k10_areas", f"WITH {PRED_SQL}, t AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM pb GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p) OVER (ORDER BY score DESC) / sum(p + n) OVER (ORDER BY score DESC) AS prec FROM t) SELECT round(sum(p * (b + n / 2)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * prec) / sum(p), 6) AS pr_auc FROM r")
 def k10(spark, sf_dir):
     """K10, K11."""
-    d = predictions(spark, sf_dir).withColumn("k", F.lit(1))
+    d = predictions(spark, sf_dir).select("y", "score").withColumn("k", F.lit(1)).persist()
     return rounded(validate.roc_auc(d, ["k"]).join(validate.pr_auc(d, ["k"]), "k").drop("k"), 6)
 
 
