@@ -69,25 +69,29 @@ _BYTE_VALUES = np.where(_IS_SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
+def hashes_of_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data begins, and its 64-bit hash: a polynomial of its bytes, scrambled, equal on every executor."""
+    raw = np.frombuffer(data, np.uint8)
+    gap = _IS_SPACE[raw]
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    lengths = np.diff(np.append(starts, len(raw)))  # with the gap after the word, whose bytes have value 0
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _STEP))
+    return starts, mix(np.add.reduceat(_BYTE_VALUES[raw[starts[0] :]] * powers[place], starts - starts[0]))
+
+
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts, in order, and the number of words of each text.
 
-    The hash is a polynomial of the word's bytes, scrambled; it is equal on every executor. All texts are hashed in
-    a few passes over their joined bytes.
+    All texts are hashed in a few passes over their joined bytes.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join([*data, b""])
-    raw = np.frombuffer(joined.translate(_lower) if lower else joined, np.uint8)
-    gap = _IS_SPACE[raw]
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    starts, hashes = hashes_of_words(joined.translate(_lower) if lower else joined)
     edges = np.cumsum([0, *(len(x) + 1 for x in data)])
-    counts = np.diff(np.searchsorted(starts, edges))
-    if not len(starts):
-        return np.empty(0, np.uint64), counts
-    lengths = np.diff(np.append(starts, len(raw)))  # with the gap after the word, whose bytes have value 0
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _STEP))
-    return mix(np.add.reduceat(_BYTE_VALUES[raw[starts[0] :]] * powers[place], starts - starts[0])), counts
+    return hashes, np.diff(np.searchsorted(starts, edges))
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_model, quality_rules, substring, url_filter, url_labels
+from . import bpe, exact_dedup, html_extract, importance, licenses, mixing, ngram_join, phrases, quality_model, quality_rules, simhash, substring, url_filter, url_labels
 from .common import table
 
 
@@ -57,7 +57,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_url_filter, op4_quality_classifier, op5_near_dup, op6_mixing, op7_substring_dedup, op8_licenses, op9_exact_dedup, op10_html)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_url_filter, op4_quality_classifier, op5_near_dup, op6_mixing, op7_substring_dedup, op8_licenses, op9_exact_dedup, op10_html, op11_importance, op12_simhash, op13_phrases)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Queries that SQL can express whole; the others are tested against brute force in tests/llm.
