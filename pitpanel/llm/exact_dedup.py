@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, mix, shuffle_partitions
@@ -161,7 +161,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     null, keep_id is null and the rows count as one. Rows that repeat the winner's doc_id and text are that document
     again and say kept, too (deduplicate() lets one through). An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id"), _locator().alias("id"), digest().alias("digest"))
+    rows = checkpointed(docs.select(F.col("doc_id"), _locator().alias("id"), digest().alias("digest")))  # texts are read and hashed once
     found = verdicts(rows.select("digest", F.col("id").alias("keep_id")))
     keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return rows.join(found, "digest").select("doc_id", keep.alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -170,12 +170,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of equal texts, the one with the largest doc_id, with docs' own columns.
 
-    Of rows that repeat the winner's doc_id and text the least by all columns that can be ordered stays. Texts are
-    shuffled once, by digest and doc_id, so a text with very many copies meets in no one task. Columns may have any
-    names; null texts count as empty, and a null doc_id stays only where its group has no other.
+    Of rows that repeat the winner's doc_id and text the least by all columns that can be ordered stays; only for such
+    rows is more than the digest compared, and they combine before they are shuffled, so copies meet in no one task.
+    Columns may have any names; null texts count as empty, and a null doc_id stays only where its group has no other.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest().alias("digest"), _locator().alias("id"))
-    winners = verdicts(row.select("digest", F.col("id").alias("keep_id"))).select("digest", F.col("keep_id").alias("id"))
-    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
-    place = Window.partitionBy("digest", "id").orderBy(*ordered)
-    return row.join(winners, ["digest", "id"], "left_semi").withColumn("place", F.row_number().over(place)).filter("place = 1").select("row.*")
+    keys = checkpointed(row.select("digest", "id"))
+    times = keys.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times"))
+    winners = verdicts(keys.select("digest", F.col("id").alias("keep_id"))).select("digest", F.col("keep_id").alias("id"))
+    kept = checkpointed(winners.join(times, ["digest", "id"]).select("digest", "id", (F.col("times") > 1).alias("again")))
+    once = row.join(kept.filter("not again"), ["digest", "id"], "left_semi").select("row")
+    if kept.filter("again").isEmpty():
+        return once.select("row.*")
+    ordered = F.struct(*[f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind])
+    first = row.join(kept.filter("again"), ["digest", "id"], "left_semi").groupBy("digest", "id").agg(F.min_by("row", ordered).alias("row"))
+    return once.unionByName(first.select("row")).select("row.*")
