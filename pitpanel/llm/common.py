@@ -18,6 +18,9 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: A-Z and a-z: only these change when a text is lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: What tasks remember only to save work (texts and segments that they have met) is forgotten beyond so many entries.
+MOST_KNOWN = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed, mix, shuffle_partitions, slices, window_hashes, word_hashes
+from .common import MOST_KNOWN, checkpointed, mix, shuffle_partitions, slices, window_hashes, word_hashes
 from .components import components
 from .membership import bit_filter, passes
 
@@ -152,7 +152,7 @@ def index_entries(tokens: np.ndarray, frequent: Frequent, percent: int = PERCENT
 def _frequency_blobs(docs: DataFrame, ranges: int) -> DataFrame:
     """part, tokens, counts: the leading 32 bits of each task's shingles with their counts, dealt out by value.
 
-    A text that a task has seen already is not counted again. Values are sorted, stored as differences and by byte
+    A text that a task has seen shortly before is not counted again. Values are sorted, stored as differences and by byte
     planes, which Spark's shuffle compression then packs.
     """
     width = -(-(1 << 32) // ranges)
@@ -180,6 +180,8 @@ def _frequency_blobs(docs: DataFrame, ranges: int) -> DataFrame:
                 if held > 4_000_000:
                     yield emit(found)
                     found, held = [], 0
+                if len(seen) > MOST_KNOWN:
+                    seen.clear()
         if found:
             yield emit(found)
 
@@ -234,6 +236,8 @@ def shared_entries(docs: DataFrame, frequent: Frequent, percent: int = PERCENT)
                         seen.add(name)
                         nodes.append((name, len(tokens)))
                         found.append(index_entries(tokens, known.value, percent))
+                if len(seen) > MOST_KNOWN:
+                    seen.clear()
                 if not nodes:
                     continue
                 entries, at, hot = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -288,6 +292,8 @@ def _each_set(docs: DataFrame, keep: np.ndarray, columns: list[Column], schema:
                 for node, x, may in zip(nodes, found, wanted, strict=True):
                     said.append(described(x) if may and node is not None and node not in seen else None)
                     seen.add(node)
+                if len(seen) > MOST_KNOWN:
+                    seen.clear()
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(own)), pa.array(nodes, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(said, kind)], names=names)
 
     return docs.select(*columns, F.col("text").cast("string")).mapInArrow(run, schema)
@@ -420,6 +426,5 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     match = row["id"].eqNullSafe(kept["keep_id"]) & (row["hash"] == kept["keep_hash"])
     once = row.join(kept.filter("not again"), match, "left_semi").select("row")
     ordered = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
-    place = Window.partitionBy("id", "hash").orderBy(*ordered)
-    first = row.join(kept.filter("again"), match, "left_semi").withColumn("place", F.row_number().over(place)).filter("place = 1").select("row")
+    first = row.join(kept.filter("again"), match, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.struct(*ordered)).alias("row")).select("row")
     return once.unionByName(first).select("row.*")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, mix, shuffle_partitions, slices, word_hashes, words_of
+from .common import MOST_KNOWN, checkpointed, map_columns, mix, shuffle_partitions, slices, word_hashes, words_of
 from .fm_index import FMIndex
 from .membership import bit_filter, passes
 
@@ -42,7 +42,7 @@ REACH = FMIndex.DEPTH - WINDOW
 #: Anchors found so often, or more often where more than MOST_HOT would be, are hot.
 LEAST_HOT, MOST_HOT = 5_000, 1 << 16
 #: Words that a shard holds at most on average, as they are found (a task sends each segment once).
-SHARD_WORDS = 20_000_000
+SHARD_WORDS = 4_000_000
 
 
 def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def _with_id(docs: DataFrame) -> DataFrame:
 def anchor_sums(docs: DataFrame) -> DataFrame:
     """anchor, n, least, most, windows, place of anchors found at least twice: places, least and largest name of a segment, most windows of one, and the least of the segments' places.
 
-    A task counts a text twice at most. A segment with its anchor in several places counts as differing ones, as its
+    A task counts copies of a text that follow within MOST_KNOWN others twice at most. A segment with its anchor in several places counts as differing ones, as its
     windows may repeat one another.
     """
 
@@ -174,6 +174,8 @@ def anchor_sums(docs: DataFrame) -> DataFrame:
                 for i, name in enumerate(names):
                     seen[name] = seen.get(name, 0) + 1
                     keep[i] = seen[name] <= 2
+                if len(seen) > MOST_KNOWN:
+                    seen.clear()
                 mine, (more, often) = keep[found.text], found.further_places(keep)
                 rows = [found.anchor, found.name, found.last - found.first, np.ones(len(mine), np.int64), _place(ids[a : a + len(names)], found)]
                 zeros = np.zeros(len(more), np.int64)
@@ -204,6 +206,8 @@ def search_rows(docs: DataFrame, mixed: np.ndarray, chosen: np.ndarray, hot: np.
                 for i, name in enumerate(names):
                     texts[name] = texts.get(name, 0) + 1
                     keep[i] = texts[name] <= 2
+                if len(texts) > MOST_KNOWN:
+                    texts.clear()
                 differ = (passes(bits.value, found.anchor) | ((found.last - found.first == 1) & (len(often.value) > 0))) & keep[found.text]
                 home = passes(homes.value, _place(ids[a : a + len(names)], found).view(np.uint64)) & ~differ
                 rows = np.flatnonzero(differ | home)
@@ -216,6 +220,8 @@ def search_rows(docs: DataFrame, mixed: np.ndarray, chosen: np.ndarray, hot: np.
                         segments.append(segment)
                         words.append(None if before else hashes[x:y].tobytes())
                         sent[segment] = before + 1
+                if len(sent) > MOST_KNOWN:
+                    sent.clear()
                 if anchors:
                     yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(segments, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "segment", "words"])
 
@@ -235,6 +241,8 @@ def places(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFrame:
                 for i, name in enumerate(names):
                     keep[i] = name not in texts
                     texts.add(name)
+                if len(texts) > MOST_KNOWN:
+                    texts.clear()
                 rows = np.flatnonzero((passes(bits.value, found.anchor) | ((found.last - found.first == 1) & (len(often.value) > 0))) & keep[found.text])
                 of = found.text[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(found.name[rows]), pa.array(np.array(names, np.int64)[of]), pa.array((found.first[rows] - found.words.begins[of]).astype(np.int32))], names=["segment", "name", "start"])

@@ -58,7 +58,7 @@ def featured(urls: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> LogisticRegressionModel | None:
     """The model of a labelled table (host, path, label); None if the table is empty."""
-    rows = featured(labelled.select("host", "path", F.col("label").cast("double").alias("label"))).coalesce(1)
+    rows = featured(labelled.select("host", "path", F.col("label").cast("double").alias("label")))
     if rows.isEmpty():
         return None
     return LogisticRegression(featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_prediction", regParam=1e-3, maxIter=40).fit(rows)

@@ -62,4 +62,4 @@ def rows() -> list[tuple[str, str, int]]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rows(), "host string, path string, label int")
+    return spark.createDataFrame(rows(), "host string, path string, label int").coalesce(1)  # of fixed size
