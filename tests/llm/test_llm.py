@@ -3,15 +3,18 @@
 import base64
 import hashlib
 import html
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, components, exact_dedup, html_extract, licenses, mixing, ngram_join, quality_model, quality_rules, substring, url_filter
+from pitpanel.llm import bpe, components, exact_dedup, html_extract, importance, licenses, mixing, ngram_join, phrases, quality_model, quality_rules, simhash, substring, url_filter
 from pitpanel.llm.fm_index import FMIndex
 from pitpanel.llm.queries import tokenizer
 
@@ -567,3 +570,146 @@ def test_pipeline_stages(spark):
         assert i == 3 or out.count() <= previous
         docs, previous = out, out.count()
     assert c.run(spark, sf).count() == previous and docs.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_html_windows_find_the_text_without_marks():
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        marked = r["html"] or ""
+        stripped = re.sub(r"<(/?)article", r"<\1div", marked)
+        inside = re.sub(r"(?s)^.*?<article>|</article>.*$", "", marked)
+        lines = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert html_extract.main_text(marked) == html_extract.main_text(stripped) == "\n".join(x for x in lines if x)
+
+
+def test_html_edges_comments_and_controls():
+    prose, talk = "A longer paragraph which says several things about its matter. " * 2, "I do not agree with any of this at all. " * 12
+    p, t = prose.strip(), talk.strip()
+    refs = "".join(f"<p><a href='{i}'>Reference {i}</a></p>" for i in range(4))
+    named = "\n".join(f"Reference {i}" for i in range(4))
+    for page, text in (
+        (f"<article><p>{p}</p><section id='user-comments'><p>{t}</p><p>{t}</p></section></article>", p),
+        (f"<div><h1>T</h1><p>{p}</p></div><div class='comments'><p>{t}</p><article><p>{t}</p></article></div>", f"T\n{p}"),
+        (f"<div class='post comments-open has-comments'><h1>T</h1><p>{p}</p></div>", f"T\n{p}"),
+        (f"<main><h1>T</h1><p>{p}</p></main><section><h3>More</h3><article><h3>Other story</h3><p>Teaser.</p></article></section>", f"T\n{p}"),
+        (f"<article><p>{p}</p>{refs}<p>Short end.</p></article>", f"{p}\n{named}\nShort end."),
+        (f"<div><p>{p}</p>{refs}<p>Short end.</p></div>", f"{p}\n{named}\nShort end."),
+        ("<article><p>We have <math><mi>x</mi> = 2</math> here, <label>noted</label> and <button>pressed</button>.</p><button>Share</button></article>", "We have x = 2 here, noted and pressed."),
+        (f"<div><h3>Popular posts</h3><ul><li><a href='1'>One</a></li></ul></div><div><p>{p}</p><p>{p}</p><p>Er the.</p></div><div>Copyright 2020</div>", f"{p}\n{p}\nEr the."),
+    ):
+        assert html_extract.main_text(f"<body>{page}</body>") == text
+
+
+def features_of(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    return len(words), [zlib.crc32(" ".join(words[i : i + k]).encode()) % 10000 for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+
+
+def test_importance_resampling(docs, empty, spark):
+    target = spark.createDataFrame([("go go Stop 5 é",), (None,), ("a b c",)], "text string")
+    rows = docs.collect()
+    found = [(r["doc_id"], *features_of(r["text"])) for r in rows]
+    goal = Counter(b for r in target.collect() for b in features_of(r["text"])[1])
+    have = Counter(b for _, _, f in found for b in f)
+    s_all, t_all = sum(have.values()) + 10000, sum(goal.values()) + 10000
+    gain = lambda b: math.floor(1000 * math.log((goal[b] + 1) * s_all / ((have[b] + 1) * t_all)))
+
+    def score(doc_id, f):
+        h = int(hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        return sum(map(gain, f)), sum(map(gain, f)) + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))
+
+    for percent in (5, 40):
+        enough = sorted((-score(i, f)[1], i) for i, n, f in found if n >= 20)
+        ranks = sorted((i, k + 1) for k, (_, i) in enumerate(enough[: percent * len(enough) // 100]))
+        got = importance.resample(docs, target, percent=percent).collect()
+        assert sorted((r["doc_id"], r["rank"]) for r in got if r["rank"]) == ranks and (percent == 5 or ranks)
+        assert Counter((r["doc_id"], r["n_features"], r["weight"], r["score"]) for r in got) == Counter((i, len(f), *score(i, f)) for i, _, f in found)
+    assert importance.resample(empty, target).count() == 0 and importance.resample(docs, target.limit(0)).count() == len(rows)
+    buckets = np.sort(np.array([0, 0, 300, 9999, 256]))
+    assert np.array_equal(importance.unpack(importance.pack(buckets)), buckets) and len(importance.unpack(importance.pack(buckets[:0]))) == 0
+    long = "w" + " w" * 250_000
+    assert importance.grams(long)[1] == 250_001 and len(importance.grams(long)[0]) == 3 * 250_001 - 3
+
+
+def simhash_of(text):
+    words = [w.translate(LOW) for w in WORD.findall(text or "")]
+    k = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked_by_bits(prints):
+    """The least id that chains of links lead to, for (id, fingerprint) rows; null ids name no component."""
+    label = list(range(len(prints)))
+    for i, (_, x) in enumerate(prints):
+        for j, (_, y) in enumerate(prints[:i]):
+            if (x ^ y).bit_count() <= 3 and label[i] != label[j]:
+                label = [label[j] if a == label[i] else a for a in label]
+    least = {a: min((d for (d, _), b in zip(prints, label, strict=True) if a == b and d is not None), default=None) for a in set(label)}
+    return Counter((d, f"{x:016x}", least[a]) for (d, x), a in zip(prints, label, strict=True))
+
+
+def test_simhash(docs, empty):
+    prints = [(r["doc_id"], simhash_of(r["text"])) for r in docs.collect()]
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_fingerprints(docs).collect())
+    assert got == linked_by_bits(prints) and simhash.near_fingerprints(empty).count() == 0
+
+
+def test_simhash_grid_loses_no_link(spark):
+    r = random.Random(3)
+    prints = [0, 7, 15, (1 << 64) - 1]
+    for _ in range(12):  # crowded cells: originals with copies, and copies of copies
+        prints.append(r.getrandbits(64))
+        for _ in range(25):
+            x = r.choice(prints[-5:])
+            for b in r.sample(range(64), r.choice([1, 2, 3, 3, 4, 5])):
+                x ^= 1 << b
+            prints.append(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    points = spark.createDataFrame([(x,) for x in set(signed)], "fp long")
+    links = {(a["u"], a["v"]) for a in simhash._links(points, 3).collect()}
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3 for a, b in links)
+    comp = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(list(links), "u long, v long")).collect()}
+    of = [comp.get(x, x) for x in signed]
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints[:i]):
+            assert (x ^ y).bit_count() > 3 or of[i] == of[j]
+    shown = points.select("fp", simhash.embedded(F.col("fp")).alias("e")).collect()
+    for a in shown[:20]:
+        counts = [(a["fp"] >> (2 * i) & 3).bit_count() for i in range(32)]
+        assert [(a["e"] >> (2 * i) & 3) for i in range(32)] == [(0, 1, 3)[c] for c in counts]
+
+
+def best_phrases_of(rows, least, best):
+    found, n = {}, Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\n-\r]", (text or "").translate(LOW)):
+            w = re.findall(r"[^ \t]+", piece)
+            n[lang or "und"] += len(w)
+            for k in range(1, 6):
+                found.setdefault(lang or "und", Counter()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = set()
+    for lang, f in found.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inner = {p[s:e] for p, a in often.items() for s in range(len(p)) for e in range(s + 2, len(p) + 1) if e - s < len(p) and a >= often[p[s:e]]}
+        cuts = lambda p: min((1000 * f[p] * n[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))  # noqa: E731, B023
+        ranked = sorted((-cuts(p)[0], -a, " ".join(p).encode(), f[p[: cuts(p)[1]]], f[p[cuts(p)[1] :]]) for p, a in often.items() if p not in inner)
+        out |= {(lang, i + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for i, x in enumerate(ranked[:best])}
+    return out
+
+
+def test_phrases(docs, empty, spark):
+    columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    r = random.Random(8)
+    words = ["the", "of", "New", "york", "a", "é"]
+    pieces = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) + r.choice([". ", ", ", "\n", " \t"]) for _ in range(900)]
+    made = [(i, ["en", None, "de"][i % 3], "".join(pieces[7 * i : 7 * i + 9])) for i in range(120)] + [(200, "en", None), (201, "fr", ""), (202, "en", "go go go go go go go")]
+    some = spark.createDataFrame(made, "doc_id long, lang string, text string").repartition(5)
+    for df, least, best in ((docs, 4, 2000), (some, 10, 2000), (some, 40, 7)):
+        got = {tuple(x[c] for c in columns) for x in phrases.best_phrases(df, least=least, best=best).collect()}
+        assert got == best_phrases_of([(x["lang"], x["text"]) for x in df.collect()], least, best) and got
+    assert phrases.best_phrases(empty).count() == 0 and phrases.best_phrases(docs).count() >= 0
+    big = spark.createDataFrame([("en", [1], 10**14), ("en", [2], 10**14), ("en", [1, 2], 10**14)], "lang string, words array<long>, n long")
+    row = phrases.scored(big, spark.createDataFrame([("en", 3 * 10**14)], "lang string, n long")).first()
+    assert row["score"] == 1000 * 10**14 * 3 * 10**14 // 10**28
