@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import written
+
 
 def by_symbol(symbol: str = "symbol", date: str = "date"):
     """The one window order of all per-symbol features, so that Spark sorts once for them."""
@@ -97,32 +99,22 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), source, "".join(k * len(v) for k, v in _ACCENTS.items()))
 
 
-def ordered_totals(df: DataFrame, order: list[str], values: dict[str, Column], by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
-    """df with the running total of each value in the order of columns (no nulls in the first), the row itself included.
+def ordered_totals(df: DataFrame, order: list[str], values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the running total of each value in the order of columns, the row itself included; within `by`, if given.
 
-    No task holds all rows: quantiles of the first column, found approximately, cut the rows into buckets; each is
-    summed up in its own order and starts from the sum of those before. The cuts only balance, they change no result;
-    they are `buckets` - 1 numbers, found once and used as constants, so a repeated task cuts as before. Rows equal in
-    `order` come in any order among themselves. df is kept while it is read three times.
+    Rows are dealt out by ranges of (by, order), as many as the session shuffles into, so no task holds all rows or, as
+    long as `order` tells rows apart, one value. Each range is summed up in its own order and starts from the sums of
+    those before, which are a row a range. The table is written to the checkpoint folder between both steps: the ranges
+    must not change. Rows equal in `order` share a range and come in any order: sum them up first where they are many.
     """
-    df = df.persist()
-    x = F.col(order[0])
-    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or ()))
-
-    def bucket(low: int, high: int) -> Column:
-        """How many cuts lie below x, if it is between low and high: a search by halves."""
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(x <= F.lit(cuts[mid]), bucket(low, mid)).otherwise(bucket(mid + 1, high))
-
-    placed = df.withColumn("_bucket", bucket(0, len(cuts)))
-    own = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    starts = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values])
-    out = placed.withColumns({k: F.sum(v).over(own) for k, v in values.items()}).join(F.broadcast(starts), [*by, "_bucket"])
-    return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)) + F.col(f"_{k}") for k in values}).drop("_bucket", *[f"_{k}" for k in values])
+    own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*by, *order)]).withColumn("_range", F.spark_partition_id())
+    placed = written(ranged.withColumns({k: F.sum(v).over(own) for k, v in values.items()} | {f"_own_{k}": v for k, v in values.items()}))
+    sums = placed.groupBy(*by, "_range").agg(*[F.sum(f"_own_{k}").alias(f"_{k}") for k in values])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values])
+    out = placed.join(starts if by else F.broadcast(starts), [*by, "_range"])
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)) + F.col(f"_{k}") for k in values}).drop("_range", *[f"_{k}" for k in values], *[f"_own_{k}" for k in values])
 
 
 def ntile_of(place: Column, n: Column, bins: int) -> Column:

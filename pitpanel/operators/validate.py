@@ -56,6 +56,17 @@ def binary_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", thr
     return c.withColumns({"precision": d(tp, tp + fp), "recall": d(tp, tp + fn), "fpr": d(fp, fp + tn), "f1": d(2 * tp, 2 * tp + fp + fn), "base_rate": base, "enrichment": d(d(tp, tp + fp), base), "mcc": d(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), "balanced_accuracy": (d(tp, tp + fn) + d(tn, tn + fp)) / 2})
 
 
+def areas(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    """K10 and K11 in one ordered pass: auc (Mann-Whitney, average ranks) and pr_auc (equal scores form one step)."""
+    t = df.filter(f"{y} is not null and {score} is not null").groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) != 1).cast("long")).alias("_n"))
+    t = ordered_totals(t, [score], {"_p_upto": F.col("_p"), "_n_upto": F.col("_n")}, tuple(by))
+    t = t.join(t.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n")), by)
+    hits, rows = F.col("_all_p") - F.col("_p_upto") + F.col("_p"), F.col("_all_p") + F.col("_all_n") - F.col("_p_upto") - F.col("_n_upto") + F.col("_p") + F.col("_n")
+    auc = F.try_divide(F.sum(F.col("_p") * (F.col("_n_upto") - F.col("_n") / 2.0)), F.nullif(F.first("_all_p") * F.first("_all_n"), F.lit(0)).cast("double"))
+    pr = F.try_divide(F.sum(F.col("_p") * hits / rows), F.nullif(F.first("_all_p"), F.lit(0)).cast("double"))
+    return t.groupBy(*by).agg(auc.alias("auc"), pr.alias("pr_auc"))
+
+
 def roc_auc(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """K10 Mann-Whitney area with average ranks, from counts of equal scores: no row is ranked alone."""
     t = df.filter(f"{y} is not null and {score} is not null").groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) != 1).cast("long")).alias("_n"))
@@ -85,7 +96,8 @@ def ece(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, equal_count:
     """K12 calibration error over bins of equal width or count, with the bins' rows; K19 the same table as risk buckets (rate, lift, bounds)."""
     d = df.filter(f"{y} is not null and {p} is not null")
     if equal_count:
-        d = ordered_totals(d, [p, key], {"_place": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
+        d = ordered_totals(d.select(y, p, key), [p, key], {"_place": F.lit(1)})
+        d = d.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
     bin_ = ntile_of(F.col("_place"), F.col("_n"), bins) if equal_count else F.least(F.floor(F.col(p) * bins) + 1, F.lit(bins)).cast("int")
     t = d.withColumn("bin", bin_).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate"), F.avg(p).alias("mean_p"), F.min(p).alias("low"), F.max(p).alias("high"))
     every = Window.partitionBy()
@@ -210,15 +222,17 @@ def bucket_lookup(rows: DataFrame, buckets: DataFrame, score: str) -> DataFrame:
 def conformal_width(df: DataFrame, y: str, low: str, high: str, level: float = 0.6) -> DataFrame:
     """K22 the ceil((n + 1) x level)-th smallest of max(low - y, y - high, 0): by how much to widen intervals."""
     d = df.filter(f"{y} is not null").withColumn("_s", F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high), F.lit(0.0)))
-    d = d.filter("_s is not null")
-    d = ordered_totals(d.select("_s"), ["_s"], {"_r": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n"))))
+    d = d.filter("_s is not null").groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))  # most widths may be 0
+    d = ordered_totals(d, ["_s"], {"_r": F.col("_c")})
+    d = d.crossJoin(F.broadcast(d.agg(F.sum("_c").alias("_n"))))
     return d.agg(F.max("_n").alias("n"), F.min(F.when(F.col("_r") >= F.least(F.ceil((F.col("_n") + 1) * level), F.col("_n")), F.col("_s"))).alias("width"))
 
 
 def median_bins(df: DataFrame, score: str, y: str, bins: int = 15, key: str = "id") -> DataFrame:
     """K23 equal-count bins of the score: middle of the score, median outcome, rows; monotone() then pools them."""
     d = df.filter(f"{score} is not null and {y} is not null")
-    d = ordered_totals(d, [score, key], {"_place": F.lit(1)}).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n")))).withColumn("bin", ntile_of(F.col("_place"), F.col("_n"), bins))
+    d = ordered_totals(d.select(score, y, key), [score, key], {"_place": F.lit(1)})
+    d = d.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("_n")))).withColumn("bin", ntile_of(F.col("_place"), F.col("_n"), bins))
     return d.groupBy("bin").agg(F.median(score).alias("x"), F.median(y).alias("y"), F.count(F.lit(1)).cast("double").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import written
 from ..operators import features, flow, joins, models, risk, studies, text, validate
 from ..sources import readers
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table
@@ -163,8 +164,8 @@ def h06(spark, sf_dir):
     """H6: times written as ISO with Z, RFC-822 with an offset, local ISO, RFC-822 in GMT."""
     at, k = F.col("published_at").cast("timestamp"), F.col("id") % 4
     f = lambda p: F.date_format(at, p)
-    written = F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(f("EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0700"))).when(k == 2, f("yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(f("EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
-    return articles(spark, sf_dir).select("id", text.publication_time(written).cast("timestamp_ntz").alias("utc"))
+    stamped = F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(f("EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0700"))).when(k == 2, f("yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(f("EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    return articles(spark, sf_dir).select("id", text.publication_time(stamped).cast("timestamp_ntz").alias("utc"))
 
 
 @query("h12_matches", f"""WITH {ARTICLES_SQL}, t AS (SELECT symbol, id, list_distinct(regexp_extract_all(regexp_replace(coalesce(upper(title), ''), '[^\\x00-\\x7F]', 'z', 'g'), '\\b([A-Z][A-Z0-9]{{2,3}})\\b', 1)) AS found FROM articles), u AS (SELECT DISTINCT symbol, CASE symbol % 4 WHEN 0 THEN 'THE' WHEN 1 THEN 'VON' WHEN 2 THEN 'QUE' ELSE 'LES' END AS ticker FROM articles), n AS (SELECT t.id, t.symbol, unnest(found) AS ticker FROM t), m AS (SELECT n.id, bool_or(u.symbol = n.symbol) AS own, bool_or(u.symbol <> n.symbol) AS other FROM n JOIN u USING (ticker) GROUP BY 1)
@@ -272,7 +273,7 @@ def k17s(spark, sf_dir):
  SELECT h.expert, days, CAST(active_rows AS BIGINT) AS active_rows, round(mean, 6) AS mean, round(mean / nullif(se, 0), 4) AS t, round(q, 6) AS delta_q05, active_rows >= CASE WHEN expert = 'sparse' THEN 1000000000 ELSE 0 END AND mean > 0 AND mean / nullif(se, 0) > 2.2414 AND q > 0 AS promoted FROM h JOIN bound USING (expert)""")
 def k28(spark, sf_dir):
     """Daily rank correlations of three experts; one of them is held back for want of rows."""
-    ic = validate.daily_rank_ic(predictions(spark, sf_dir), "r", "score", 5).withColumn("ic", F.round("ic", 9)).persist()
+    ic = written(validate.daily_rank_ic(predictions(spark, sf_dir), "r", "score", 5).withColumn("ic", F.round("ic", 9)))
     part = lambda name, x, n: ic.select(F.lit(name).alias("expert"), "date", x.alias("delta"), n.cast("long").alias("active"))
     d = part("trend", F.col("ic"), F.col("n")).unionByName(part("reversal", -F.col("ic"), F.col("n"))).unionByName(part("sparse", -F.col("ic"), F.lit(1)))
     e = validate.expert_promotion(d, {"sparse": 1_000_000_000})
@@ -332,7 +333,7 @@ def k49(spark, sf_dir):
 @query("k35_contributions")
 def k35(spark, sf_dir):
     """What two groups of features add to a ridge forecast on the sealed dates; the parts sum to the whole."""
-    d = predictions(spark, sf_dir).filter("vol20 is not null").persist()
+    d = written(predictions(spark, sf_dir).filter("vol20 is not null"))
     block = validate.embargo_blocks(d, 5)
     train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
     names = ["score", "vol20", "gap20", "dd60"]

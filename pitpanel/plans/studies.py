@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import written
 from ..functions.expressions import trailing
 from ..operators import features, flow, joins, models, monitor, risk, studies, text, validate
 from ..sources import adapters
@@ -632,8 +633,8 @@ def k09(spark, sf_dir):
 @query("k10_areas", f"WITH {PRED_SQL}, t AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM pb GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p) OVER (ORDER BY score DESC) / sum(p + n) OVER (ORDER BY score DESC) AS prec FROM t) SELECT round(sum(p * (b + n / 2)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * prec) / sum(p), 6) AS pr_auc FROM r")
 def k10(spark, sf_dir):
     """K10, K11."""
-    d = predictions(spark, sf_dir).select("y", "score").withColumn("k", F.lit(1)).persist()
-    return rounded(validate.roc_auc(d, ["k"]).join(validate.pr_auc(d, ["k"]), "k").drop("k"), 6)
+    d = predictions(spark, sf_dir).select("y", "score").withColumn("k", F.lit(1))
+    return rounded(validate.areas(d, ["k"]).drop("k"), 6)
 
 
 @query("k12_calibration", f"WITH {PRED_SQL}, b AS (SELECT ntile(10) OVER (ORDER BY p, id) AS bin, y, p FROM pb) SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, round(avg(y), 6) AS rate, round(avg(p), 6) AS mean_p, min(p) AS low, max(p) AS high FROM b GROUP BY 1")
@@ -708,7 +709,7 @@ _SCALES = f"{PRED_SQL}, g AS (SELECT scale, abs(r - scale * score) AS e FROM pb,
  SELECT round(scale, 6) AS scale, round(mae, 5) AS mae, round(se, 6) AS se, scale = (SELECT scale FROM c1) AS toward_identity, scale = (SELECT scale FROM c0) AS toward_zero FROM a""")
 def k24(spark, sf_dir):
     """K24, with either target."""
-    d = predictions(spark, sf_dir).persist()
+    d = written(predictions(spark, sf_dir))
     s, z = validate.scale_selection(d, "r", "score"), validate.scale_selection(d, "r", "score", toward=0.0)
     return s.join(z.select("scale", F.col("chosen").alias("toward_zero")), "scale").select(F.round("scale", 6).alias("scale"), F.round("mae", 5).alias("mae"), F.round("se", 6).alias("se"), F.col("chosen").alias("toward_identity"), "toward_zero")
 
@@ -819,8 +820,8 @@ FEATURES = ["score", "vol20", "gap20", "dd60", "volume_z_prior"]
 @query("k05_crash_models")
 def k05(spark, sf_dir):
     """Models of the event by kind, calibrated, judged on later dates, gated and weighed."""
-    d = predictions(spark, sf_dir).persist()
-    split = validate.chrono_split(d).filter("fold = 4").persist()
+    d = written(predictions(spark, sf_dir))
+    split = written(validate.chrono_split(d).filter("fold = 4"))
     part = {p: d.join(split.filter(F.col("part") == p).select("date"), "date", "left_semi") for p in ("train", "calibrate", "test")}
     start = split.filter("part = 'calibrate'").agg(F.min("date")).first()[0]
     train = validate.maturity_purge(part["train"], "matures", str(start))
@@ -832,7 +833,7 @@ def k05(spark, sf_dir):
         t = models.apply_platt(cal, scored_[1], "s", "q") if cal else scored_[1].withColumn("q", F.col("s"))
         t = t.withColumn("model", F.lit(kind))
         out = t.select("model", "y", "q") if out is None else out.unionByName(t.select("model", "y", "q"))
-    out = out.persist()
+    out = written(out)
     base = out.groupBy("model").agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
     r = validate.roc_auc(out, ["model"], "y", "q").join(validate.pr_auc(out, ["model"], "y", "q"), "model").join(validate.brier(out, ["model"], "y", "q"), "model").join(base, "model")
     skills = {"pr_skill": F.greatest((F.col("pr_auc") - F.col("base_rate")) / F.greatest(F.lit(0.05), 1 - F.col("base_rate")), F.lit(0.0)), "auc_skill": F.greatest((F.col("auc") - 0.5) / 0.25, F.lit(0.0))}
@@ -843,16 +844,16 @@ def k05(spark, sf_dir):
 @query("k27_expert_stack")
 def k27(spark, sf_dir):
     """Out-of-fold experts and their stack, by fold."""
-    d = predictions(spark, sf_dir).persist()
-    s = models.expert_stack(d, validate.chrono_split(d).persist(), {"price": ["score", "gap20"], "risk": ["vol20", "dd60", "volume_z_prior"]}, "r", "matures")
+    d = written(predictions(spark, sf_dir))
+    s = models.expert_stack(d, written(validate.chrono_split(d)), {"price": ["score", "gap20"], "risk": ["vol20", "dd60", "volume_z_prior"]}, "r", "matures")
     return rounded(s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.corr("r", "stacked").alias("corr"), F.avg(F.abs(F.col("r") - F.col("stacked"))).alias("mae")), 3)
 
 
 @query("k32_return_model")
 def k32(spark, sf_dir):
     """The return models' errors on the sealed dates."""
-    d = predictions(spark, sf_dir).withColumn("vol", F.col("vol20") / 252**0.5).filter("vol is not null").persist()
-    block = validate.embargo_blocks(d, 5).persist()
+    d = written(predictions(spark, sf_dir).withColumn("vol", F.col("vol20") / 252**0.5).filter("vol is not null"))
+    block = written(validate.embargo_blocks(d, 5))
     train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
     fs = ["score", "vol20", "gap20", "dd60"]
     rm = validate.shape_prediction(models.return_model(train.withColumn("target", F.col("r")).drop("y"), test.drop("r", "y").join(test.select("id", F.col("r").alias("actual")), "id"), fs, "target", "vol"), "r", "p_up", "vol", 1.0, 0.2)
