@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_columns, words_of
+from .common import checkpointed, map_columns, shuffle_partitions, words_of
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: Points that one task finds the cells of.
+POINTS = 20_000
 _EVEN = 0x5555555555555555
 _HALF = 0xFFFFFFFF
 
@@ -85,7 +87,8 @@ def _near(a: str, b: str, distance: int) -> Column:
 
 def _links(points: DataFrame, distance: int) -> DataFrame:
     """u, v: links that connect all of points (fp) which chains of links within the distance connect."""
-    rows = points.select("fp", F.explode(_cells(embedded(F.col("fp")))).alias("c")).select("c.cell", "c.home", "fp")
+    spread = points.repartition(max(shuffle_partitions(points.sparkSession), -(-points.count() // POINTS)))  # some 26 cells a point
+    rows = spread.select("fp", F.explode(_cells(embedded(F.col("fp")))).alias("c")).select("c.cell", "c.home", "fp")
     met = rows.groupBy("cell").agg(F.min(F.when(F.col("home"), F.col("fp"))).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("pivot is not null and n > 1").select("cell", "pivot")
     entries = checkpointed(rows.join(met, "cell"))
     first = checkpointed(entries.filter("fp <> pivot").filter(_near("fp", "pivot", distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct())
