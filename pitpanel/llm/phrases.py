@@ -41,6 +41,8 @@ _PIECES = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode()
 MOST_BROADCAST = 10_000
 #: A ranking is first cut in so many parts a language.
 SALTS = 64
+#: N-grams that a task of the last pass gathers before it sends them on, added up.
+MOST_HELD = 1_000_000
 #: Characters for each range of hash values that one task tallies.
 RANGE_CHARS = 64_000_000
 
@@ -182,6 +184,19 @@ def _counted(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            """What is held, each n-gram once."""
+            for (lang, k), parts in held.items():
+                names, words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+                _, first, of = np.unique(names, return_index=True, return_inverse=True)
+                words, counts = words[first], np.bincount(of, counts).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, k), pa.int32()), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), lists, pa.array(counts)], names=["lang", "words", "n"])
+            held.clear()
+
         for batch in batches:
             for a, b in slices(batch, 512, 4_000_000, 1):
                 for lang, data in by_lang(*(c.to_pylist() for c in batch.slice(a, b - a).columns)):
@@ -190,10 +205,13 @@ def _counted(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                         at = np.flatnonzero(runs.found(k))
                         if not len(at):
                             break
-                        _, first, counts = np.unique(runs.names(k)[at], return_index=True, return_counts=True)
-                        words = runs.words[at[first][:, None] + np.arange(k)].view(np.int64)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, k), pa.int32()), pa.array(words.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), lists, pa.array(counts.astype(np.int64))], names=["lang", "words", "n"])
+                        names, first, counts = np.unique(runs.names(k)[at], return_index=True, return_counts=True)
+                        held.setdefault((lang, k), []).append((names, runs.words[at[first][:, None] + np.arange(k)].view(np.int64), counts))
+                        size += len(names)
+                if size > MOST_HELD:
+                    yield from emit()
+                    size = 0
+        yield from emit()
 
     return docs.mapInArrow(count, "lang string, words array<long>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
 
