@@ -179,22 +179,27 @@ def _unplaned(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
-def _counted(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """lang, words (hashes), n of the n-grams of 2 words and more that pass the filters, counted exactly."""
+def _counted(docs: DataFrame, filters: list[np.ndarray], ranges: int, least: int) -> DataFrame:
+    """lang, words (hashes), n of the n-grams of 2 words and more that pass the filters and occur at least `least` times.
+
+    Tasks add up what they find, deal it out by ranges of the n-grams' hashes and send each range as one packed row.
+    """
     known = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB each
+    width = -(-(1 << 64) // ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            """What is held, each n-gram once."""
             for (lang, k), parts in held.items():
                 names, words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-                _, first, of = np.unique(names, return_index=True, return_inverse=True)
+                names, first, of = np.unique(names, return_index=True, return_inverse=True)
                 words, counts = words[first], np.bincount(of, counts).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, k), pa.int32()), pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), lists, pa.array(counts)], names=["lang", "words", "n"])
+                cuts = np.append(np.searchsorted(names, np.array([i * width for i in range(ranges)], np.uint64)), len(names))
+                at = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+                blobs = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary()) for x in (names, counts, words)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int32()), *blobs], names=["lang", "length", "part", "names", "counts", "words"])
             held.clear()
 
         for batch in batches:
@@ -213,7 +218,15 @@ def _counted(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                     size = 0
         yield from emit()
 
-    return docs.mapInArrow(count, "lang string, words array<long>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    def total(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
+        names, counts, words = (np.concatenate([np.frombuffer(x, kind) for x in column]) for column, kind in ((blobs.names, np.uint64), (blobs.counts, np.int64), (blobs.words, np.int64)))
+        _, first, of = np.unique(names, return_index=True, return_inverse=True)
+        n = np.bincount(of, counts).astype(np.int64)
+        often = n >= least
+        return pd.DataFrame({"lang": key[0], "words": list(words.reshape(-1, key[1])[first[often]]), "n": n[often]})
+
+    packed = docs.mapInArrow(count, "lang string, length int, part int, names binary, counts binary, words binary")
+    return packed.groupBy("lang", "length", "part").applyInPandas(total, "lang string, words array<long>, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -228,7 +241,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         if lengths:
             tallied = checkpointed(_tallied(docs, filters, lengths, ranges, least))
             filters += [bit_filter(tallied.filter(F.col("length") == k).select("name")) for k in lengths]
-    longer = _counted(docs, filters[:longest]).filter(F.col("n") >= least)
+    longer = _counted(docs, filters[:longest], ranges, least)
     return totals, words, checkpointed(words.select("lang", F.array("h").alias("words"), "n").unionByName(longer))
 
 
