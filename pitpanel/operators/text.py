@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import written
 from ..functions.expressions import fold
 from .joins import effective_date
 
@@ -172,6 +175,40 @@ def near_duplicates(items: DataFrame, least: float = 0.82, ratio: float = 0.91,
     return pairs.filter((F.col("similarity") >= least) | (same >= ratio)).groupBy("symbol", F.col("b").alias("id")).agg(F.min("a").alias("first_like"), F.max("similarity").alias("similarity"))
 
 
+def title_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """H8 twice the letters in matching blocks over all letters of both titles; 0 where it cannot reach `least`."""
+    match = SequenceMatcher(None, a, b)
+    if match.real_quick_ratio() < least or match.quick_ratio() < least:
+        return 0.0
+    return match.ratio()
+
+
+def kept_titles(items: DataFrame, last: int = 220, least: float = 0.82, ratio: float = 0.91) -> DataFrame:
+    """H8 symbol, id, kept: an item stays unless its title nearly repeats one of the symbol's last kept titles (220, or 60 live).
+
+    Nearly repeats: a word similarity of `least`, or a ratio of matching blocks of `ratio`. Titles are lower-cased and
+    their punctuation dropped; a symbol's items are taken by time and id. What is kept depends on what was kept before,
+    so a symbol passes through one Python function in order, which holds `last` titles. Null titles count as empty.
+    """
+    rows = items.select("symbol", "id", "published_at", F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+", " ")).alias("t"))
+
+    def keep(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, chosen = None, deque(maxlen=last)
+        for chunk in chunks:
+            out = []
+            for r in chunk.itertuples():
+                if r.symbol != symbol:
+                    symbol, chosen = r.symbol, deque(maxlen=last)
+                words = set(r.t.split())
+                again = any(len(words & w) / max(1, len(words | w)) >= least or title_ratio(r.t, t, ratio) >= ratio for t, w in chosen)
+                if not again:
+                    chosen.append((r.t, words))
+                out.append(not again)
+            yield chunk[["symbol", "id"]].assign(kept=out)
+
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "published_at", "id").mapInPandas(keep, "symbol long, id long, kept boolean")
+
+
 def novelty(items: DataFrame, days: int = 30) -> DataFrame:
     """H9 1 - the largest title similarity with the symbol's items of the days before; 1 without any.
 
@@ -301,51 +338,95 @@ def evidence_features(sessions: DataFrame, items: DataFrame, earnings: str = "EA
     )
 
 
+#: Words of no weight in claims; what denies a claim, and what confirms it.
+CLAIM_STOP = ("công", "ty", "ctcp", "và", "của", "cho", "với", "một", "các", "được", "theo", "trong", "trên", "sẽ", "đã", "tại")
+DENY = ("bác bỏ", "bac bo", "phủ nhận", "phu nhan", "đính chính", "dinh chinh", "không đúng", "khong dung", "tin đồn sai", "tin don sai", "sai sự thật", "sai su that")
+CONFIRM = (
+    "xác nhận", "xac nhan", "chính thức xác nhận", "chinh thuc xac nhan", "đã ký", "da ky", "ký kết", "ky ket", "phê duyệt", "phe duyet", "thông qua", "thong qua", "chấp thuận",
+    "chap thuan", "hoàn tất", "hoan tat",
+)
+
+
+def claim_words(title: Column) -> Column:
+    """H17 the distinct words of a title of at least 3 letters or digits that are no stop words."""
+    plain = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z0-9à-ỹ]+", " ")
+    return F.array_except(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) >= 3)), F.array(*map(F.lit, CLAIM_STOP)))
+
+
 def rumour_claims(rumours: DataFrame, days: int = 30, same: float = 0.28, other: float = 0.5) -> DataFrame:
-    """H17 claims: a rumour joins the latest claim of its symbol whose last item is at most `days` old and similar enough.
+    """H17 claims: symbol, id, available, event, claim (the id of its first item) of rumours (symbol, id, available, event, title, perhaps published_at).
 
-    Which claim an item joins depends on those before it, so each symbol's rumours pass through a Python function in
-    order; it keeps only claims young enough to be joined. rumours (symbol, id, available, event, title).
+    A symbol's rumours are taken by day, time and id. Claims are tried from the newest to the oldest, up to the first
+    whose last item is more than `days` old; of those similar enough (`same` for one event class, else `other`) the most
+    similar takes the item, the newest of equals, and its words. Which claim an item joins depends on those before it,
+    so rumours pass through a Python function in order, which keeps the claims within reach only. A pause of more than
+    `days` ends all claims, so the stretches between pauses are spread over tasks.
     """
-    rows = rumours.select("symbol", "id", "available", "event", tokens(F.coalesce("title", F.lit(""))).alias("t"))
+    time = F.col("published_at") if "published_at" in rumours.columns else F.col("available").cast("timestamp_ntz")
+    rows = rumours.select("symbol", "id", "available", "event", claim_words(F.col("title")).alias("t"), time.alias("_time"))
+    order = Window.partitionBy("symbol").orderBy("available", "_time", "id")
+    pause = F.datediff("available", F.lag("available").over(order)) > days
+    rows = rows.withColumn("_stretch", F.sum(F.coalesce(pause.cast("int"), F.lit(0))).over(order))
 
     def assign(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, open_ = None, []
+        at, reach = None, []  # claims as [id, last day, event, words], the oldest first
         for chunk in chunks:
             out = []
             for r in chunk.itertuples():
-                if r.symbol != symbol:
-                    symbol, open_ = r.symbol, []
-                words = set(r.t)
-                open_ = [c for c in open_ if (r.available - c[1]).days <= days]
-                best = None
-                for c in open_:
-                    sim = len(words & c[3]) / max(1, len(words | c[3]))
-                    if sim >= (same if c[2] == r.event else other) and (best is None or sim > best[0]):
-                        best = sim, c
-                if best:
-                    best[1][1], best[1][3] = r.available, best[1][3] | words
-                    claim = best[1][0]
-                else:
-                    claim = r.id
-                    open_.append([claim, r.available, r.event, words])
-                out.append(claim)
+                if (r.symbol, r.stretch) != at:
+                    at, reach = (r.symbol, r.stretch), []
+                words, best, chosen = set(r.t), 0.0, None
+                for i in range(len(reach) - 1, -1, -1):
+                    claim = reach[i]
+                    if (r.available - claim[1]).days > days:
+                        del reach[: i + 1]  # no later item gets beyond it
+                        break
+                    similar = len(words & claim[3]) / max(1, len(words | claim[3]))
+                    if similar > best and similar >= (same if claim[2] == r.event else other):
+                        best, chosen = similar, claim
+                if chosen is None:
+                    chosen = [r.id, r.available, r.event, set()]
+                    reach.append(chosen)
+                chosen[1] = max(chosen[1], r.available)
+                chosen[3] |= words
+                out.append(chosen[0])
             yield chunk[["symbol", "id", "available", "event"]].assign(claim=out)
 
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "available", "id").mapInPandas(assign, "symbol long, id long, available date, event string, claim long")
+    ordered = rows.repartition("symbol", "_stretch").sortWithinPartitions("symbol", "_stretch", "available", "_time", "id").withColumnRenamed("_stretch", "stretch")
+    return ordered.select("symbol", "id", "available", "event", "t", "stretch").mapInPandas(assign, "symbol long, id long, available date, event string, claim long")
+
+
+def truth_label(title: Column) -> Column:
+    """H18 DENIED, else CONFIRMED, by the published terms; else CLARIFIED."""
+    return F.when(hits(title, DENY) > 0, "DENIED").when(hits(title, CONFIRM) > 0, "CONFIRMED").otherwise("CLARIFIED")
 
 
 def claim_resolution(claims: DataFrame, official: DataFrame, days: int = 90, same: float = 0.24, other: float = 0.45) -> DataFrame:
-    """H18 the first official item within `days` of a claim's start that is similar enough: CONFIRMED, DENIED or CLARIFIED.
+    """H18 the first official item within `days` of a claim's start that is similar to what was known of it by then: claim, official_id, at, similarity, truth.
 
-    claims (symbol, claim, start, event, t), official (symbol, id, available, event, title); joined by symbol and time.
+    claims (symbol, claim, available, event, title): the items of claims; official (symbol, id, available, event, title,
+    perhaps published_at). Known by then: the words of all the claim's items up to the official item's day; `same` is
+    asked where one of those has its event class, else `other`. Claims and official items meet over a shared word and
+    a stretch of days, so neither a symbol nor a common word joins all with all.
     """
-    o = official.select("symbol", F.col("id").alias("official_id"), F.col("available").alias("at"), F.col("event").alias("oe"), "title", tokens(F.coalesce("title", F.lit(""))).alias("ot"))
-    j = claims.join(o, "symbol").filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.date_add("start", days)))
-    j = j.withColumn("similarity", jaccard(F.col("t"), F.col("ot"))).filter(F.col("similarity") >= F.when(F.col("event") == F.col("oe"), same).otherwise(other))
-    first = j.withColumn("_r", F.row_number().over(Window.partitionBy("claim").orderBy("at", "official_id"))).filter("_r = 1")
-    truth = F.when(F.col("title").rlike(r"(?i)den(y|ies|ied)|reject|false"), "DENIED").when(F.col("title").rlike(r"(?i)confirm|approve|announce"), "CONFIRMED").otherwise("CLARIFIED")
-    return first.select("claim", "official_id", "at", "similarity", truth.alias("truth"))
+    items = claims.select("symbol", "claim", "available", "event", claim_words(F.col("title")).alias("t"))
+    heads = items.groupBy("claim").agg(F.min("available").alias("start"))
+    words = items.select("symbol", "claim", "available", F.explode("t").alias("w")).groupBy("symbol", "claim", "w").agg(F.min("available").alias("first"))
+    stretch = lambda d: F.floor(F.unix_date(d) / (days + 1))
+    time = F.col("published_at") if "published_at" in official.columns else F.col("available").cast("timestamp_ntz")
+    o = official.select("symbol", F.col("id").alias("official_id"), F.col("available").alias("at"), time.alias("time"), "event", truth_label(F.col("title")).alias("truth"), claim_words(F.col("title")).alias("ot"))
+    asked = o.select("symbol", "official_id", "at", F.explode("ot").alias("w"), stretch(F.col("at")).alias("_s")).withColumn("_s", F.explode(F.array(F.col("_s"), F.col("_s") - 1)))
+    met = words.join(heads, "claim").withColumn("_s", stretch(F.col("start"))).join(asked, ["symbol", "w", "_s"]).filter((F.col("at") >= F.col("first")) & (F.datediff("at", "start") <= days))
+    shared = met.groupBy("claim", "official_id").agg(F.count(F.lit(1)).alias("both"))
+    by = Window.partitionBy("claim").orderBy("first")  # a row for each day on which a claim gained words
+    gained = words.groupBy("claim", "first").agg(F.count(F.lit(1)).alias("n")).withColumns({"size": F.sum("n").over(by), "until": F.lead("first").over(by)})
+    j = shared.join(o.drop("symbol").withColumn("n_ot", F.size("ot")).drop("ot"), "official_id").join(gained, "claim").filter((F.col("first") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    j = j.withColumn("similarity", F.col("both") / (F.col("size") + F.col("n_ot") - F.col("both")))
+    classes = items.groupBy("claim", "event").agg(F.min("available").alias("known"))
+    j = j.join(classes, ["claim", "event"], "left").withColumn("_same", F.coalesce(F.col("known") <= F.col("at"), F.lit(False)))
+    ok = j.filter(F.col("similarity") >= F.when(F.col("_same"), same).otherwise(other))
+    first = ok.groupBy("claim").agg(F.min(F.struct("at", "time", "official_id", "similarity", "truth")).alias("o"))
+    return first.select("claim", "o.official_id", "o.at", "o.similarity", "o.truth")
 
 
 def volume_lead(bars: DataFrame) -> DataFrame:
@@ -392,6 +473,43 @@ def headline_clusters(items: DataFrame, k: int | None = None, seed: int = 7) ->
     return Pipeline(stages=stages).fit(df).transform(df).select(*items.columns, "cluster")
 
 
+def headline_terms(title: Column) -> Column:
+    """H20 the words of two letters and more of a title, in order, and its pairs of neighbours."""
+    words = F.filter(F.split(F.regexp_replace(fold(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda x: F.length(x) > 1)
+    less = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, pairs)
+
+
+def headline_vocabulary(items: DataFrame, least: int = 3, share: float = 0.93, most: int = 5000) -> DataFrame:
+    """H20 term, titles, n, place: the `most` commonest terms (then by letters) in at least `least` titles and at most a share of them."""
+    terms = items.select("id", F.explode(headline_terms(F.col("title"))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+    known = terms.groupBy("term").agg(F.count(F.lit(1)).alias("titles"), F.sum("n").alias("n"))
+    fits = known.crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("_all")))).filter((F.col("titles") >= least) & (F.col("titles") <= share * F.col("_all"))).drop("_all")
+    best = fits.orderBy(F.desc("n"), "term").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "term")))  # `most` rows
+
+
+def headline_topics(items: DataFrame, vocabulary: DataFrame, k: int, top: int = 10, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """H20 items with a cluster, by k-means on normalised TF-IDF over a vocabulary, and (cluster, place, term, weight): the heaviest terms of each centre.
+
+    The vocabulary and the centres are of bounded size and pass through the driver. An empty vocabulary has no clusters.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
+
+    terms = [r["term"] for r in vocabulary.orderBy("place").select("term").collect()]
+    spark = items.sparkSession
+    if not terms:
+        return items.withColumn("cluster", F.lit(None).cast("int")), spark.createDataFrame([], "cluster int, place int, term string, weight double")
+    counts = CountVectorizerModel.from_vocabulary(terms, "_terms", "_tf")
+    rows = written(counts.transform(items.withColumn("_terms", headline_terms(F.col("title")))).drop("_terms"))
+    model = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x"), KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster", maxIter=10)]).fit(rows)
+    heavy = [(i, place + 1, terms[j], float(c[j])) for i, c in enumerate(model.stages[-1].clusterCenters()) for place, j in enumerate(sorted(range(len(c)), key=lambda j: (-round(c[j], 12), terms[j]))[:top]) if c[j] > 0]  # noqa: B023
+    return model.transform(rows).select(*items.columns, "cluster"), spark.createDataFrame(heavy, "cluster int, place int, term string, weight double")
+
+
 def hashed_text_model(items: DataFrame, label: str, buckets: int = 256):
     """H21 logistic regression on hashed title words and pairs; the fitted pipeline."""
     from pyspark.ml import Pipeline

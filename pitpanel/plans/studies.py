@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import written
 from ..functions.expressions import trailing
-from ..operators import features, flow, joins, models, monitor, risk, studies, text, validate
+from ..operators import boosting, features, flow, forecast, gram, joins, models, monitor, risk, studies, text, validate
 from ..sources import adapters
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table, ticks
 from ..streaming import panels
@@ -332,15 +332,58 @@ def h16(spark, sf_dir):
     return rounded(text.evidence_features(bars(spark, sf_dir).select("symbol", "date"), it, "A", ("A", "B")).drop("news_novelty20"), 5)
 
 
-@query("h17_rumours")
+_STOP = "[" + ", ".join(f"'{w}'" for w in ("công", "ty", "ctcp", "và", "của", "cho", "với", "một", "các", "được", "theo", "trong", "trên", "sẽ", "đã", "tại")) + "]"
+_CLAIM_WORDS = f"list_filter(list_distinct(string_split(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9à-ỹ]+', ' ', 'g'), ' ')), lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w))"
+_SIMILAR = "len(list_intersect(c.words, n.t)) / greatest(1, len(list_distinct(list_concat(c.words, n.t))))"
+_TOLD = "CASE id % 7 WHEN 0 THEN title || ' bác bỏ' WHEN 1 THEN title || ' Xác Nhận' ELSE title END"
+CLAIMS_SQL = f"""{TEXT_SQL}, told AS (SELECT * REPLACE (CASE WHEN publisher IN ('src0', 'src1') THEN {_TOLD} ELSE title END AS title) FROM items), ru AS (SELECT symbol, id, available, event, {_CLAIM_WORDS} AS t, row_number() OVER (PARTITION BY symbol ORDER BY available, published_at, id) AS k FROM told WHERE publisher IN ('src3', 'src4', 'src5')),
+ walk(symbol, k, id, claim, claims) AS (SELECT symbol, k, id, id, [{{'id': id, 'last': available, 'event': event, 'words': t}}] FROM ru WHERE k = 1 UNION ALL
+  SELECT symbol, k, id, CASE WHEN pick > 0 THEN reach[pick].id ELSE id END, CASE WHEN pick > 0 THEN list_concat(reach[:pick - 1], [{{'id': reach[pick].id, 'last': greatest(reach[pick].last, available), 'event': reach[pick].event, 'words': list_distinct(list_concat(reach[pick].words, t))}}], reach[pick + 1:]) ELSE list_append(reach, {{'id': id, 'last': available, 'event': event, 'words': t}}) END
+  FROM (SELECT *, CASE WHEN list_max(sims) > 0 THEN list_max(list_filter(range(1, len(sims) + 1), lambda i: sims[i] = list_max(sims))) ELSE 0 END AS pick
+   FROM (SELECT *, list_transform(reach, lambda c: CASE WHEN len(list_intersect(c.words, t)) / greatest(1, len(list_distinct(list_concat(c.words, t)))) >= CASE WHEN c.event = event THEN 0.28 ELSE 0.5 END THEN len(list_intersect(c.words, t)) / greatest(1, len(list_distinct(list_concat(c.words, t)))) ELSE 0 END) AS sims
+    FROM (SELECT n.*, w.claims[coalesce(list_max(list_filter(range(1, len(w.claims) + 1), lambda i: n.available - w.claims[i].last > 30)), 0) + 1:] AS reach FROM walk w JOIN ru n ON n.symbol = w.symbol AND n.k = w.k + 1)))),
+ cl AS (SELECT r.symbol, r.id, r.available, r.event, r.t, w.claim FROM ru r JOIN walk w USING (symbol, k)), st AS (SELECT claim, min(symbol) AS symbol, min(available) AS start FROM cl GROUP BY 1),
+ off AS (SELECT symbol, id AS official_id, available AS told_on, published_at, event, title, {_CLAIM_WORDS} AS ot FROM told WHERE publisher IN ('src0', 'src1')),
+ pr AS (SELECT st.claim, o.official_id, o.told_on, o.published_at, o.title, o.ot, list_distinct(flatten(list(c.t))) AS kt, bool_or(c.event = o.event) AS same FROM st JOIN off o ON o.symbol = st.symbol AND o.told_on >= st.start AND o.told_on - st.start <= 90 JOIN cl c ON c.claim = st.claim AND c.available <= o.told_on GROUP BY ALL),
+ sm AS (SELECT *, len(list_intersect(kt, ot)) / nullif(len(list_distinct(list_concat(kt, ot))), 0) AS s FROM pr),
+ solved AS (SELECT claim, official_id, s, CASE WHEN regexp_matches(lower(title), 'bác bỏ|bac bo|phủ nhận|phu nhan|đính chính|dinh chinh|không đúng|khong dung|tin đồn sai|tin don sai|sai sự thật|sai su that') THEN 'DENIED' WHEN regexp_matches(lower(title), 'xác nhận|xac nhan|đã ký|da ky|ký kết|ky ket|phê duyệt|phe duyet|thông qua|thong qua|chấp thuận|chap thuan|hoàn tất|hoan tat') THEN 'CONFIRMED' ELSE 'CLARIFIED' END AS truth
+  FROM sm WHERE s >= CASE WHEN same THEN 0.24 ELSE 0.45 END QUALIFY row_number() OVER (PARTITION BY claim ORDER BY told_on, published_at, official_id) = 1)"""
+
+
+@query("h17_rumours", f"WITH RECURSIVE {CLAIMS_SQL} SELECT symbol, id, claim, official_id, round(s, 9) AS similarity, truth FROM cl LEFT JOIN solved USING (claim)")
 def h17(spark, sf_dir):
-    """Articles of one source as rumours, of another as official items."""
-    it = items(spark, sf_dir)
+    """Articles of some publishers as rumours, of others as official items, of which some deny and some confirm."""
+    k, told = F.col("id") % 7, F.col("title")
+    it = items(spark, sf_dir).withColumn("title", F.when(F.col("publisher").isin("src0", "src1"), F.when(k == 0, F.concat(told, F.lit(" bác bỏ"))).when(k == 1, F.concat(told, F.lit(" Xác Nhận"))).otherwise(told)).otherwise(told))
     rumours = it.filter("publisher in ('src3', 'src4', 'src5')")
     claims = text.rumour_claims(rumours)
-    heads = claims.groupBy("claim").agg(F.min("available").alias("start")).join(rumours.select(F.col("id").alias("claim"), "symbol", "event", text.tokens(F.col("title")).alias("t")), "claim")
-    solved = text.claim_resolution(heads, it.filter("publisher in ('src0', 'src1')"))
-    return claims.join(solved.select("claim", "truth"), "claim", "left").select("symbol", "id", "claim", "truth")
+    solved = text.claim_resolution(claims.join(rumours.select("id", "title"), "id"), it.filter("publisher in ('src0', 'src1')"))
+    return claims.join(solved, "claim", "left").select("symbol", "id", "claim", "official_id", F.round("similarity", 9).alias("similarity"), "truth")
+
+
+@query("h08_kept_titles")
+def h08k(spark, sf_dir):
+    """H8 over the last 60 kept titles of each symbol; matching blocks are beyond SQL."""
+    return text.kept_titles(articles(spark, sf_dir), last=60)
+
+
+_FOLDED = _TOKENS[_TOKENS.index("translate(lower(title)") :].split("')", 1)[0] + "')"
+_VOCABULARY = f"""{ARTICLES_SQL}, wd AS (SELECT id, list_filter(string_split(regexp_replace({_FOLDED}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: len(x) > 1) AS w FROM (SELECT id, coalesce(title, '') AS title FROM articles)),
+ tm AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd), vc AS (SELECT term, count(DISTINCT id) AS titles, count(*) AS n FROM tm GROUP BY 1 HAVING count(DISTINCT id) >= 3 AND count(DISTINCT id) <= 0.93 * (SELECT count(*) FROM articles))"""
+
+
+@query("h20_vocabulary", f"WITH {_VOCABULARY} SELECT term, titles, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, term) AS place FROM vc ORDER BY n DESC, term LIMIT 5000")
+def h20v(spark, sf_dir):
+    """H20's dictionary: the commonest words and pairs of titles, within bounds on the titles that have them."""
+    v = text.headline_vocabulary(articles(spark, sf_dir))
+    return v.select("term", "titles", "n", F.col("place").cast("long").alias("place"))
+
+
+@query("h20_topics")
+def h20t(spark, sf_dir):
+    """The heaviest terms of each cluster of titles."""
+    a = articles(spark, sf_dir)
+    return text.headline_topics(a, text.headline_vocabulary(a, most=500), 8, top=5)[1].withColumn("weight", F.round("weight", 6))
 
 
 @query("h20_clusters")
@@ -872,6 +915,48 @@ def k21(spark, sf_dir):
     return rounded(q.agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("r") < F.col(c)).cast("double")).alias(c) for c in ("q20", "q50", "q80")]), 4)
 
 
+@query("k21_boosted_quantiles")
+def k21b(spark, sf_dir):
+    """K21, K22 of the sealed dates: q20, q50, q80 of r given the score by trees that never fall, fitted to 85 % of the dates, widened on the next 5 %."""
+    d = written(predictions(spark, sf_dir).select("symbol", "date", "score", "r"))
+    block = validate.embargo_blocks(d, 5)
+    fit, conformal, sealed = (written(d.join(block.filter(F.col("block").isin(*b)).select("date"), "date", "left_semi")) for b in (("fit", "point"), ("conformal",), ("sealed",)))
+    model = boosting.fit_quantiles(fit, ["score"], "r", rounds=12, rate=0.25, rising={"score": 1})
+    names = ["q20", "q50", "q80"]
+    width = validate.conformal_width(model.transform(conformal, names), "r", "q20", "q80")
+    out = model.transform(sealed, names).crossJoin(F.broadcast(width.select("width")))
+    return rounded(out.select("symbol", "date", "r", "score", (F.col("q20") - F.col("width")).alias("q20"), "q50", (F.col("q80") + F.col("width")).alias("q80")), 6)
+
+
+MARKET_FEATURES = ["score", "vol20", "gap20", "dd60"]
+
+
+@query("k32_market_model")
+def k32m(spark, sf_dir):
+    """The frozen return model's point, interval, magnitude and P(up) on the sealed dates."""
+    d = predictions(spark, sf_dir).withColumn("vol", F.col("vol20") / 252**0.5 * 5**0.5).filter("vol is not null").select("symbol", "date", "r", "vol", *MARKET_FEATURES)
+    d = written(d)
+    block = validate.embargo_blocks(d, 5)
+    parts = [written(d.join(block.filter(F.col("block").isin(*b)).select("date"), "date", "left_semi")) for b in (("fit",), ("point", "conformal"), ("sealed",))]
+    out, _ = forecast.market_model(*parts, MARKET_FEATURES, "r", "vol", 5, rounds=8, rate=0.3)
+    return rounded(out.select("symbol", "date", "r", "point", "low", "high", "magnitude", "p_up"), 6)
+
+
+@query("k30_walk_forward")
+def k30(spark, sf_dir):
+    """Rows, errors, rank correlation and coverage of three refitted folds."""
+    d = written(predictions(spark, sf_dir).withColumn("vol", F.col("vol20") / 252**0.5 * 5**0.5))
+    out, scales = gram.walk_forward(d, MARKET_FEATURES, "r", "vol", "matures", 5)
+    return rounded(gram.fold_metrics(written(out), 5).join(scales, "fold").select("fold", "n", "mae", "base_mae", "mae_skill", "rank_ic", "coverage", "scale", "calibration_start", "test_start", "test_end"), 6)
+
+
+@query("k29_refitted")
+def k29r(spark, sf_dir):
+    """Ridge stacks of three signals, fitted again on each of 70 splits."""
+    d = written(predictions(spark, sf_dir).select("date", "r", "score", "gap20", "dd60"))
+    return rounded(gram.pbo_splits(d, [["score"], ["gap20"], ["score", "gap20"], ["score", "gap20", "dd60"]], "r").drop("train_blocks"), 6)
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
 
 BARS_OF_TICKS = "SELECT user_id AS symbol, CAST(ts AS DATE) AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS ticks FROM events GROUP BY 1, 2"

@@ -204,6 +204,72 @@ def test_rumour_claims_follow_order(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+CLAIM = "symbol long, id long, available date, event string, title string"
+
+
+def test_rumours_join_the_newest_claim_within_reach(spark):
+    d = lambda i: DAY + dt.timedelta(days=i)
+    rows = [
+        (1, 1, d(0), "A", "alpha beta gamma delta"), (1, 2, d(1), "B", "alpha beta gamma delta"), (1, 3, d(2), "C", "alpha beta gamma delta epsilon"),  # 2 differs in class, but is alike; so is 3
+        (2, 4, d(0), "A", "alpha beta one two"), (2, 5, d(1), "A", "gamma delta three four"), (2, 6, d(2), "A", "alpha beta gamma delta"),  # equally like both: the newer
+        (3, 7, d(0), "A", "alpha beta gamma"), (3, 8, d(1), "A", "omega sigma kappa"), (3, 9, d(25), "A", "alpha beta gamma"), (3, 10, d(40), "A", "alpha beta gamma"),  # 8 is stale by then and hides 7
+        (4, 11, d(0), "A", "của một ab"), (4, 12, d(1), "A", "của một ab"), (4, 13, d(2), "A", None),  # no words left: each its own
+    ]
+    for parts in (1, 3):
+        got = {r["id"]: r["claim"] for r in text.rumour_claims(spark.createDataFrame(rows, CLAIM).repartition(parts)).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 7, 10: 10, 11: 11, 12: 12, 13: 13}
+
+
+def test_claims_are_resolved_by_what_was_known(spark):
+    d = lambda i: DAY + dt.timedelta(days=i)
+    items = [
+        (1, 1, d(0), "A", "bán nhà máy thép lớn"), (1, 1, d(20), "B", "mua cảng biển mới"), (1, 2, d(0), "A", "phát hành trái phiếu quốc tế"), (1, 3, d(0), "A", "sáp nhập ngân hàng nhỏ"),
+        (2, 4, d(0), "A", "bán nhà máy thép lớn"),
+    ]
+    official = [
+        (1, 10, d(10), "A", "mua cảng biển mới"), (1, 11, d(25), "B", "Công ty bác bỏ mua cảng biển mới"), (1, 12, d(30), "C", "xác nhận phát hành trái phiếu quốc tế"), (1, 13, d(95), "A", "sáp nhập ngân hàng nhỏ"),
+        (2, 14, d(90), "A", "bán nhà máy thép lớn"), (2, 15, d(91), "A", "phủ nhận bán nhà máy thép lớn"), (1, 16, d(40), "A", None),
+    ]
+    claims = spark.createDataFrame(items, "symbol long, claim long, available date, event string, title string")
+    got = {r["claim"]: (r["official_id"], r["truth"]) for r in text.claim_resolution(claims, spark.createDataFrame(official, CLAIM)).collect()}
+    assert got == {1: (11, "DENIED"), 2: (12, "CONFIRMED"), 4: (14, "CLARIFIED")}  # 10 came before the words of claim 1 that it repeats; 13 after 90 days
+
+
+def test_kept_titles_are_those_of_a_plain_loop(spark):
+    from difflib import SequenceMatcher
+
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    rows = [(r["doc_id"] % 3, r["doc_id"], dt.datetime(2024, 1, 1) + dt.timedelta(hours=r["doc_id"] * 7 % 500), (r["text"] or "")[: 60 + r["doc_id"] % 3] if r["doc_id"] % 11 else None) for r in docs]
+    rows += [(s, 1000 + i, t, x + "!" if x and i % 2 else x) for s, i, t, x in rows[::4]]
+    df = spark.createDataFrame(rows, "symbol long, id long, published_at timestamp_ntz, title string")
+    norm, want, chosen = lambda x: " ".join("".join(c if c.isalnum() else " " for c in (x or "").lower()).split()), {}, {}
+    for s, i, _, x in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        a, last = norm(x), chosen.setdefault(s, [])
+        again = any(len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()) | set(b.split()))) >= 0.82 or SequenceMatcher(None, a, b).ratio() >= 0.91 for b in last[-20:])
+        want[i] = not again
+        if not again:
+            last.append(a)
+    for parts in (1, 5):
+        assert {r["id"]: r["kept"] for r in text.kept_titles(df.repartition(parts), last=20).collect()} == want
+    assert not all(want.values()) and text.title_ratio("abcd", "bcde") == 0.75
+
+
+def test_headline_topics_name_their_terms(spark):
+    rows = [(i, f"steel mill number{i} opens") if i % 2 else (i, f"bank merger number{i} fails") for i in range(40)] + [(50, None), (51, "")]
+    items = spark.createDataFrame(rows, "id long, title string")
+    v = text.headline_vocabulary(items, least=3)
+    assert {(r["term"], r["titles"]) for r in v.collect()} == {(t, 20) for t in ("steel", "mill", "opens", "steel mill", "bank", "merger", "fails", "bank merger")}
+    clusters, tops = text.headline_topics(items, v, 2, top=4)
+    of = {r["id"]: r["cluster"] for r in clusters.collect()}
+    best = {}
+    for r in tops.collect():
+        best.setdefault(r["cluster"], set()).add(r["term"])
+    assert best[of[1]] == {"steel", "mill", "opens", "steel mill"} and len({of[i] for i in range(1, 40, 2)}) == 1
+    assert text.headline_topics(items, v.limit(0), 2)[1].count() == 0
+
+
 def test_fund_snapshots_are_never_back_filled(spark):
     h = spark.createDataFrame([(1, DAY + dt.timedelta(days=3), 1, 0.1, 0.0, 0.0)], "fund long, as_of date, symbol long, weight double, nav_momentum20 double, nav_volatility20 double")
     r = flow.fund_asof(make_bars(spark, [1] * 6).select("symbol", "date"), flow.fund_features(h)).orderBy("date").collect()
