@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import written
 from ..functions.expressions import average_rank, ntile_of, ordered_totals
+from ..functions.quantiles import exact_quantiles
 
 
 def date_places(df: DataFrame) -> DataFrame:
@@ -204,12 +206,17 @@ def hac_test(daily: DataFrame, x: str, lags: int = 5, by: tuple[str, ...] = ())
 
 
 def scenario_buckets(df: DataFrame, score: str, y: str, bins: int = 5, least: int = 80) -> DataFrame:
-    """K20 bins between quantiles of the score: bounds, rows, positive rate, mean, median, q20, q80; null where rows are too few."""
-    d = df.filter(f"{score} is not null and {y} is not null")
-    cuts = d.agg(F.percentile(score, [i / bins for i in range(1, bins)]).alias("_cuts"))
-    b = d.crossJoin(cuts).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(score))))  # one row of cuts
-    ok = F.count(y) >= least
-    return b.groupBy("bin").agg(F.min(score).alias("low"), F.max(score).alias("high"), F.count(y).alias("n"), F.when(ok, F.avg((F.col(y) > 0).cast("double"))).alias("up_rate"), F.when(ok, F.avg(y)).alias("mean"), F.when(ok, F.median(y)).alias("median"), F.when(ok, F.percentile(y, 0.2)).alias("q20"), F.when(ok, F.percentile(y, 0.8)).alias("q80"))
+    """K20 bins between quantiles of the score: bounds, rows, positive rate, mean, median, q20, q80; null where rows are too few.
+
+    Cuts and quantiles are exact and found by refinement, so no task holds the table or a bin.
+    """
+    d = written(df.filter(f"{score} is not null and {y} is not null").select(F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y")))
+    cuts = exact_quantiles(d, [], "_s", {f"c{i}": i / bins for i in range(1, bins)}).first()
+    b = d.withColumn("bin", sum((F.when(F.col("_s") > F.lit(c), 1).otherwise(0) for c in cuts or ()), F.lit(0)))
+    q = exact_quantiles(b, ["bin"], "_y", {"median": 0.5, "q20": 0.2, "q80": 0.8})
+    ok = F.col("n") >= least
+    t = b.groupBy("bin").agg(F.min("_s").alias("low"), F.max("_s").alias("high"), F.count("_y").alias("n"), F.avg((F.col("_y") > 0).cast("double")).alias("up_rate"), F.avg("_y").alias("mean")).join(q, "bin")
+    return t.select("bin", "low", "high", "n", *[F.when(ok, F.col(c)).alias(c) for c in ("up_rate", "mean", "median", "q20", "q80")])
 
 
 def bucket_lookup(rows: DataFrame, buckets: DataFrame, score: str) -> DataFrame:

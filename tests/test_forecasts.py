@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pitpanel.functions.quantiles import exact_quantiles
 from pitpanel.operators import boosting, gram
 from pitpanel.plans import studies
 
@@ -168,3 +169,16 @@ def test_walk_forward_needs_history(panel):
     d, _ = panel
     got, scales = gram.walk_forward(d.withColumn("v", F.col("vol20")), ["score"], "r", "v", "matures", span=5000)
     assert got.count() == 0 and scales.count() == 0
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    r = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in r.normal(size=3000)] + [("b", float(x)) for x in np.exp(r.normal(scale=12, size=900))] + [("c", 0.0)] * 500 + [("c", 1e-12), ("d", -7.5), (None, 1.0), (None, 2.0), ("e", None), ("f", float("nan"))]
+    rows += [("g", float(2.0**k)) for k in range(-1000, 1000)] + [("h", float(k % 3)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    qs = {"q01": 0.01, "q20": 0.2, "half": 0.5, "q80": 0.8, "most": 1.0, "least": 0.0}
+    want = {x["k"]: tuple(x["v"]) for x in df.filter("x is not null and not isnan(x)").groupBy("k").agg(F.percentile("x", list(qs.values())).alias("v")).collect()}
+    got = {x["k"]: tuple(x[n] for n in qs) for x in exact_quantiles(df, ["k"], "x", qs).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=0) for k in want)
+    assert exact_quantiles(df, [], "x", {"m": 0.5}).first()["m"] == df.filter("not isnan(x)").agg(F.percentile("x", 0.5)).first()[0]
+    assert exact_quantiles(df.limit(0), ["k"], "x", {"m": 0.5}).count() == 0
