@@ -83,17 +83,23 @@ def certified_suffix(spliced: DataFrame, least: int = 240) -> DataFrame:
 
 
 def route_audit(routes: DataFrame) -> DataFrame:
-    """C9 every source of a symbol against every other (symbol, source, priority, date, close): the chosen source.
+    """C9 the chosen source of each symbol, certified against each other source: symbol, source, other, rows, mad, deep, verified.
 
-    Sources of one symbol are few; they are paired on (symbol, date), so no pair of unrelated rows arises.
+    routes (symbol, source, priority, date, close, deep, verified): whether a source's history is deep and its corporate
+    actions are verified is said by the flags (of all its rows; null is no). A source is tried with each other one, and
+    the best try is chosen: deep before not, verified before not, then the least median difference of one-row returns on
+    common dates (none last), the most rows, the least priority, the source's name. A symbol's sources are few; they are
+    paired on (symbol, date), so no pair of unrelated rows arises. A single source is tried with none.
     """
-    n = routes.groupBy("symbol", "source", "priority").agg(F.count(F.lit(1)).alias("rows"))
+    flag = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(False)).alias(c)
+    n = routes.groupBy("symbol", "source").agg(F.min("priority").alias("priority"), F.count(F.lit(1)).alias("rows"), flag("deep"), flag("verified"))
     w = Window.partitionBy("symbol", "source").orderBy("date")
     r = routes.withColumn("r", F.log(F.try_divide("close", F.lag("close").over(w)))).select("symbol", "source", "date", "r")
     pair = r.join(r.select("symbol", "date", F.col("source").alias("other"), F.col("r").alias("ro")), ["symbol", "date"]).filter("source <> other")
-    mad = pair.groupBy("symbol", "source").agg(F.median(F.abs(F.col("r") - F.col("ro"))).alias("mad"))
-    order = Window.partitionBy("symbol").orderBy(F.desc(F.col("rows") >= 240), F.desc(F.coalesce(F.col("mad") < 0.002, F.lit(False))), F.asc_nulls_last("mad"), F.desc("rows"), "priority")
-    return n.join(mad, ["symbol", "source"], "left").withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+    mad = pair.groupBy("symbol", "source", "other").agg(F.median(F.abs(F.col("r") - F.col("ro"))).alias("mad"))
+    order = Window.partitionBy("symbol").orderBy(F.desc("deep"), F.desc("verified"), F.asc_nulls_last("mad"), F.desc("rows"), "priority", "source", "other")  # a row a pair of sources
+    tried = n.join(mad, ["symbol", "source"], "left").withColumn("place", F.row_number().over(order))
+    return tried.filter("place = 1").select("symbol", "source", "other", "rows", "mad", "deep", "verified")
 
 
 def median_index(bars: DataFrame, least: int = 25, limit: float = 0.35, start: float = 1000.0) -> DataFrame:

@@ -399,14 +399,19 @@ def c04(spark, sf_dir):
     return s.select("symbol", "date", "splice", F.round(F.log(F.col("model_close") / F.col("close")), 4).alias("corrected"))
 
 
-@query("c06_violations")
+@query("c06_violations", f"""WITH {PANEL_SQL}, a AS (SELECT p.*, ln(open / lag(open) OVER ({W})) AS q FROM panel p), c AS (SELECT *, CASE WHEN ret1 IS NULL OR ret1 BETWEEN -3.02 AND 3.02 THEN 'kept' WHEN q BETWEEN -3.02 AND 3.02 THEN 'reference' ELSE 'violation' END AS splice FROM a),
+ v AS (SELECT symbol, date, symbol % 7 = 0 AS known, coalesce(abs(ret1 - q) <= 0.5, false) AS near FROM c WHERE splice = 'violation'), t AS (SELECT symbol, count(*) AS n FROM c LEFT JOIN (SELECT symbol, max(date) AS brk FROM v GROUP BY 1) b USING (symbol) WHERE brk IS NULL OR date >= brk GROUP BY 1 HAVING count(*) >= 60),
+ k AS (SELECT symbol, unnest(list_filter([CASE WHEN known THEN 'corporate_action' END, CASE WHEN near THEN 'ordinary_move' END, CASE WHEN NOT known AND NOT near THEN 'guard' END], lambda x: x IS NOT NULL)) AS class FROM v),
+ r AS (SELECT symbol, CASE WHEN symbol % 3 = 0 THEN 'open' WHEN symbol % 2 = 0 THEN 'close' WHEN symbol % 5 <> 0 THEN 'open' ELSE 'close' END AS source FROM (SELECT DISTINCT symbol FROM bars))
+ SELECT class, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'certified_rows', CAST(coalesce(sum(n), 0) AS BIGINT) FROM t UNION ALL SELECT 'route_' || source, count(*) FROM r GROUP BY 1""")
 def c06(spark, sf_dir):
-    """Classes of violations, and how many rows the certified tails keep."""
+    """Classes of violations, how many rows the certified tails keep, and how many symbols take which source."""
     b = bars(spark, sf_dir)
     s = reconcile.splice(b, b.select("symbol", "date", F.col("open").alias("model_close")), b.select("symbol", F.lit(None).cast("date").alias("transfer_date")).distinct(), 3.0)
     v = reconcile.violation_classes(s, b.filter("symbol % 7 = 0").select("symbol", "date"), 0.5).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     tail = reconcile.certified_suffix(s, 60).agg(F.count(F.lit(1)).alias("n")).select(F.lit("certified_rows").alias("class"), "n")
-    routes = b.select("symbol", F.lit("close").alias("source"), F.lit(0).alias("priority"), "date", "close").unionByName(b.select("symbol", F.lit("open").alias("source"), F.lit(1).alias("priority"), "date", F.col("open").alias("close")))
+    route = lambda name, place, deep, verified: b.select("symbol", F.lit(name).alias("source"), F.lit(place).alias("priority"), "date", F.col(name).alias("close"), F.expr(deep).alias("deep"), F.expr(verified).alias("verified"))
+    routes = route("close", 0, "symbol % 3 <> 0", "symbol % 2 = 0").unionByName(route("open", 1, "true", "symbol % 5 <> 0"))
     chosen = reconcile.route_audit(routes).groupBy(F.concat(F.lit("route_"), "source").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return v.unionByName(tail).unionByName(chosen)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import written
-from ..operators import features, flow, joins, models, risk, studies, text, validate
+from ..operators import families, features, flow, forecast, joins, models, risk, studies, text, validate
 from ..sources import readers
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table
 from .panel import ORACLES, PANEL_SQL, QUERIES, W, query, rounded
@@ -342,3 +342,58 @@ def k35(spark, sf_dir):
     c = models.group_ablation(models.regressor(train, names, "r"), test, medians, groups, names)
     parts = ["contribution_PRICE", "contribution_RISK", "contribution_NUMERICAL"]
     return rounded(c.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.abs(x)).alias(x) for x in parts], F.max(F.abs(F.col("full") - sum((F.col(x) for x in parts), F.lit(0.0)))).alias("rest")))
+
+
+# ---- fitted families ---------------------------------------------------------------------------------------------
+
+_FIT_DATES = "fd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pb))"
+_POWERS = (1.0, 1.5, 2.0, 3.0)
+_TAILS = ", ".join(f"sign(u) * pow(abs(u), {p}) - avg(sign(u) * pow(abs(u), {p})) OVER (PARTITION BY date) AS t{i}" for i, p in enumerate(_POWERS))
+_FAMILIES = [("origin_scale", "0", "score"), ("rank_residual", "q50", "u"), ("zero_rank", "0", "u")] + [(f"tail_rank_{p}", "0", f"t{i}") for i, p in enumerate(_POWERS)]
+_FAMILIES += [(f"score_state_{p}_{g}", "0", f"t{i} * pow(st, {g}) - avg(t{i} * pow(st, {g})) OVER (PARTITION BY date)") for i, p in enumerate(_POWERS) for g in (0.5, 1.0)]
+FAMILY_SQL = f"""{PRED_SQL}, {_FIT_DATES}, e0 AS (SELECT pb.symbol, pb.date, r AS y, score, score * 0.2 AS q50, count(*) OVER w AS c, rank() OVER (PARTITION BY pb.date ORDER BY score) AS k, count(*) OVER (PARTITION BY pb.date, score) AS same, quantile_cont(score, 0.75) OVER w - quantile_cont(score, 0.25) OVER w AS spread
+  FROM pb JOIN fd ON fd.date = pb.date AND fd.p >= floor(fd.n * 0.5) AND fd.p < floor(fd.n * 0.8) WINDOW w AS (PARTITION BY pb.date)),
+ e1 AS (SELECT *, CASE WHEN c >= 2 THEN round(2 * ((k + (same - 1) / 2.0) / c) - 1.0 / c - 1, 12) ELSE 0 END AS u, CASE WHEN c >= 8 THEN spread END AS sp FROM e0), us AS (SELECT median(sp) AS usual FROM (SELECT date, min(sp) AS sp FROM e1 WHERE sp IS NOT NULL GROUP BY 1)),
+ e2 AS (SELECT *, {_TAILS}, least(greatest(coalesce(greatest(sp, 1e-12) / greatest(usual, 1e-12), 1.0), 0.75), 1.35) AS st FROM e1, us),
+ lg AS ({' UNION ALL '.join(f"SELECT '{f}' AS family, CAST(y AS DOUBLE) AS y, CAST({b} AS DOUBLE) AS base, CAST({x} AS DOUBLE) AS x FROM e2" for f, b, x in _FAMILIES)}),
+ md AS (SELECT family, median(x) AS mx, median(y) AS my FROM lg GROUP BY 1), sp AS (SELECT family, count(*) AS n, stddev_pop(x) AS sdx, stddev_pop(y) AS sdy, stddev_pop(y - base) AS sdt, quantile_cont(abs(x), 0.9) AS qx, quantile_cont(abs(y), 0.9) AS qy, median(abs(x - mx)) AS madx, median(abs(y - my)) AS mady FROM lg JOIN md USING (family) GROUP BY 1),
+ up AS (SELECT *, CASE WHEN family = 'origin_scale' THEN least(30.0, greatest(2.0, 2.5 * mady / greatest(madx, 1e-8))) ELSE least(0.2, greatest(0.003, 3 * sdt / sdx)) END AS upper FROM sp WHERE n >= 120 AND sdx > 1e-10),
+ kn AS (SELECT *, CASE WHEN family = 'origin_scale' THEN 0.05 ELSE 0.0 END AS low, CASE WHEN family = 'origin_scale' THEN least(2.0, upper) ELSE least(0.03, upper) END AS top, CASE WHEN family = 'origin_scale' THEN 40 ELSE 81 END AS m1, CASE WHEN family = 'origin_scale' THEN 44 ELSE 48 END AS m2, CASE WHEN family = 'origin_scale' THEN 2.0 ELSE 0.03 END AS knee, CASE WHEN family = 'origin_scale' THEN 1.0 ELSE 0.0 END AS extra FROM up),
+ sg AS (SELECT DISTINCT family, round(s, 12) AS scale FROM (SELECT family, unnest(list_concat(list_transform(range(m1), lambda i: low + (top - low) * i / (m1 - 1)), CASE WHEN upper > knee THEN list_transform(range(m2), lambda i: greatest(CASE WHEN low > 0 THEN 0.1 ELSE 0.001 END, top) * pow(upper / greatest(CASE WHEN low > 0 THEN 0.1 ELSE 0.001 END, top), i / (m2 - 1))) ELSE [] END, [extra])) AS s FROM kn)),
+ tg AS (SELECT family, n, greatest(lo, least(hi, greatest(0.10 * sdy / greatest(sdx, 1e-10), 0.08 * qy / greatest(qx, 1e-10)))) AS target FROM up JOIN (SELECT family, min(scale) AS lo, max(scale) AS hi FROM sg GROUP BY 1) USING (family)),
+ tr AS (SELECT family, scale, round(avg(abs(y - base - scale * x)), 12) AS mae, round(stddev_samp(abs(y - base - scale * x)) / sqrt(count(*)), 12) AS se FROM lg JOIN sg USING (family) GROUP BY 1, 2),
+ bs AS (SELECT family, mae AS best_mae, se AS best_se FROM tr QUALIFY row_number() OVER (PARTITION BY family ORDER BY mae, scale) = 1),
+ ok AS (SELECT tr.*, best_mae, target, n, count(*) OVER (PARTITION BY family) AS admissible FROM tr JOIN bs USING (family) JOIN tg USING (family) WHERE mae <= best_mae + greatest(best_se, 1e-12))"""
+
+
+def _family_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = predictions(spark, sf_dir).select("symbol", "date", F.col("r").alias("y"), "score", (F.col("score") * 0.2).alias("q50"))
+    days = validate.date_places(d).filter((F.col("place") >= F.floor(F.col("dates") * 0.5)) & (F.col("place") < F.floor(F.col("dates") * 0.8))).select("date")
+    return families.signals(d.join(days, "date", "left_semi"), least_names=8)
+
+
+@query("k25_fitted_families", f"WITH {FAMILY_SQL} SELECT family, n, round(scale, 8) AS scale, round(mae, 8) AS mae, round(best_mae, 8) AS best_mae, round(target, 8) AS target, admissible FROM ok QUALIFY row_number() OVER (PARTITION BY family ORDER BY round(abs(scale - target), 12), mae, scale) = 1")
+def k25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scales of origin, rank, tail and score-state families, fitted on the dates from 50 to 80 %."""
+    return rounded(families.fit_scales(families.candidates(_family_rows(spark, sf_dir), "y", "q50", "score")), 8)
+
+
+@query("k25_affine", f"""WITH {FAMILY_SQL}, rs AS (SELECT scale AS slope, y - scale * x AS rest FROM lg JOIN sg USING (family) WHERE family = 'origin_scale'), ic AS (SELECT slope, least(greatest(median(rest), -0.08), 0.08) AS intercept FROM rs GROUP BY 1)
+ SELECT slope, round(intercept, 8) AS intercept, round(avg(abs(rest - intercept)), 8) AS mae, count(*) AS n FROM rs JOIN ic USING (slope) GROUP BY slope, intercept ORDER BY round(avg(abs(rest - intercept)), 12), abs(slope - 1) LIMIT 1""")
+def k25a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robust affine forecast of the same dates."""
+    return rounded(families.fit_affine(_family_rows(spark, sf_dir), "y", "score"), 8)
+
+
+_SHAPED = "CASE WHEN sg <> 0 AND sure >= 0.045 AND (sign(tp) = sg OR abs(tp) <= 0.045 * v) AND fl > 0 THEN sg * greatest(abs(tp), fl * v * least(greatest(0.75 + 4 * sure, 0.9), 1.45)) ELSE tp END"
+
+
+@query("k24_dispersion", f"""WITH {PRED_SQL}, a AS (SELECT r AS y, score / 2 AS f, p, 0.5 + (id % 7) / 10.0 AS v, sign(p - 0.5) AS sg, abs(p - 0.5) AS sure FROM pb), g AS (SELECT a.*, s.scale, fl, f * s.scale AS pt FROM a, (SELECT 0.2::DOUBLE + 1.8::DOUBLE * range / 29 AS scale FROM range(30)) s, (SELECT unnest([0.0, 0.04, 0.08, 0.12, 0.16, 0.20, 0.25]) AS fl)),
+ h AS (SELECT *, CASE WHEN sure >= 0.070 AND sign(pt) <> sg AND abs(pt) <= 0.15 * v THEN sg * greatest(abs(pt), 0.06 * v) ELSE pt END AS tp FROM g), k AS (SELECT y, scale, fl, {_SHAPED} AS q FROM h),
+ t AS (SELECT scale, fl AS floor, round(avg(abs(y - q)), 12) AS mae, round(stddev_samp(abs(y - q)) / sqrt(count(*)), 12) AS se, round(stddev_pop(q) / greatest(stddev_pop(y), 1e-12), 12) AS dispersion, round(avg(CAST(abs(q) >= 0.001 AS INT)), 12) AS over10bp FROM k GROUP BY 1, 2),
+ b AS (SELECT mae + se AS lim FROM t ORDER BY mae, scale, floor LIMIT 1), c AS (SELECT scale, floor FROM t, b WHERE mae <= lim ORDER BY dispersion DESC, over10bp DESC, floor DESC, scale DESC LIMIT 1)
+ SELECT round(t.scale, 6) AS scale, CAST(t.floor AS DOUBLE) AS floor, round(mae, 6) AS mae, round(dispersion, 6) AS dispersion, round(over10bp, 6) AS over10bp, t.scale = c.scale AND t.floor = c.floor AS chosen FROM t, c""")
+def k24d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K24 toward dispersion: 210 pairs of scale and conviction floor."""
+    d = predictions(spark, sf_dir).select(F.col("r").alias("y"), (F.col("score") / 2).alias("f"), "p", (0.5 + (F.col("id") % 7) / 10).alias("v"))
+    return rounded(forecast.dispersion_scale(d, "y", "f", "p", "v", 5).select("scale", "floor", "mae", "dispersion", "over10bp", "chosen"), 6)

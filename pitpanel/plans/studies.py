@@ -757,7 +757,14 @@ def k24(spark, sf_dir):
     return s.join(z.select("scale", F.col("chosen").alias("toward_zero")), "scale").select(F.round("scale", 6).alias("scale"), F.round("mae", 5).alias("mae"), F.round("se", 6).alias("se"), F.col("chosen").alias("toward_identity"), "toward_zero")
 
 
-@query("k26_families")
+_POINTS = {"q50": "c", "scaled": "0.5 * c", "deadband": "CASE WHEN abs(c) < 0.25 * a THEN 0 ELSE c END", "centred": "c - m", "rank": "u * a", "market_rank": "m + u * a", "tail_rank": "sign(u) * pow(abs(u), 3) * a", "sparse_tail": "CASE WHEN abs(u) > 0.8 THEN c ELSE 0 END"}
+
+
+@query("k26_families", f"""WITH {PRED_SQL}, f0 AS (SELECT date, r AS y, score * 0.2 AS c, round(2 * ((rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0) / count(*) OVER (PARTITION BY date)) - 1.0 / count(*) OVER (PARTITION BY date) - 1, 12) AS u, median(score * 0.2) OVER (PARTITION BY date) AS m, avg(abs(score * 0.2)) OVER (PARTITION BY date) AS a FROM pb),
+ fe AS ({' UNION ALL '.join(f"SELECT date, '{k}' AS family, avg(abs(y - ({v}))) AS mae FROM f0 GROUP BY 1" for k, v in _POINTS.items())}), dt AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) * 2 < count(*) OVER () AS early FROM (SELECT DISTINCT date FROM fe)),
+ ed AS (SELECT family, date, early, b.mae - f.mae AS x, row_number() OVER (PARTITION BY family ORDER BY date) - 1 AS place, count(*) OVER (PARTITION BY family) AS n FROM fe f JOIN (SELECT date, mae FROM fe WHERE family = 'q50') b USING (date) JOIN dt USING (date) WHERE family <> 'q50'),
+ dr AS (SELECT family, rep, CAST((CAST('0x' || substr(md5(rep || ':' || (place // 20)), 1, 8) AS BIGINT) % n + place % 20) % n AS BIGINT) AS place FROM ed, range(1, 201) t(rep)), rm AS (SELECT family, rep, avg(x) AS m FROM dr JOIN ed USING (family, place) GROUP BY 1, 2), bd AS (SELECT family, quantile_cont(m, 0.05) AS q FROM rm GROUP BY 1),
+ hv AS (SELECT family, avg(x) FILTER (early) AS e, avg(x) FILTER (NOT early) AS l, count(*) AS days FROM ed GROUP BY 1) SELECT family, round(e, 5) AS early_edge, round(l, 5) AS late_edge, days, round(q, 5) AS edge_q05, e > 0 AND l > 0 AND q > 0 AS kept FROM hv JOIN bd USING (family)""")
 def k26(spark, sf_dir):
     """Point families judged on early and late dates and by blocks."""
     d = predictions(spark, sf_dir).select("symbol", "date", F.col("r").alias("y"), "score", (F.col("score") * 0.2).alias("q50"))
