@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -986,3 +988,59 @@ def n01(spark, sf_dir):
 def n06(spark, sf_dir):
     """N6."""
     return panels.event_sessions(ticks(spark, sf_dir), "value >= 20").select("symbol", "rows", "peak", F.unix_timestamp("start").alias("start"))
+
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _streamed(df: DataFrame, run) -> DataFrame:
+    """What `run` writes, to a folder of its own, of df read as a bounded stream in the shared checkpoint folder."""
+    spark = df.sparkSession
+    written(df.limit(0))  # the session's checkpoint folder is set
+    place = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    df.write.parquet(f"{place}/in")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, _ROCKSDB)
+    try:
+        return run(spark.readStream.schema(df.schema).parquet(f"{place}/in"), place)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _to_table(out: DataFrame, place: str) -> DataFrame:
+    out.writeStream.format("parquet").option("checkpointLocation", f"{place}/c").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{place}/out")
+
+
+@query("n03_transitions", "SELECT symbol, \"at\", before, level FROM (SELECT user_id AS symbol, epoch_us(ts) AS \"at\", CAST(floor(value / 20) AS BIGINT) AS level, lag(CAST(floor(value / 20) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE level > before")
+def n03(spark, sf_dir):
+    """N3 over the events as a stream: rises of a symbol's level."""
+    t = ticks(spark, sf_dir).select("symbol", "event_id", F.unix_micros("ts").alias("at"), F.floor(F.col("value") / 20).cast("long").alias("level"))
+    return _streamed(t, lambda stream, place: _to_table(panels.status_transitions(stream), place))
+
+
+@query("n04_maturation", f"""WITH {BARS_SQL}, f AS (SELECT symbol, date, CASE WHEN (symbol + (date - DATE '1990-01-01')) % 11 <> 0 THEN close END AS close, symbol % 3 = 0 AS signal FROM bars WHERE isodow(date) = 5),
+ w AS (SELECT *, count(*) OVER n AS later, count(close) OVER n AS known, min(close) OVER n AS least FROM f WINDOW n AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))
+ SELECT symbol, date, CASE WHEN known < 4 THEN 'UNRESOLVED_DATA_GAP' ELSE 'MATURED' END AS outcome, CASE WHEN known = 4 THEN round(least / close - 1, 6) END AS worst FROM w WHERE signal AND close IS NOT NULL AND later = 4""")
+def n04(spark, sf_dir):
+    """N4 over Fridays' closes as a stream, some missing: what became of signals four rows later."""
+    gap = (F.col("symbol") + F.datediff("date", F.lit("1990-01-01").cast("date"))) % 11 == 0
+    f = bars(spark, sf_dir).filter(F.weekday("date") == 4).select("symbol", "date", F.when(~gap, F.col("close").cast("double")).alias("close"), (F.col("symbol") % 3 == 0).alias("signal"))
+    return rounded(_streamed(f, lambda stream, place: _to_table(panels.outcome_maturation(stream, 4), place)), 6)
+
+
+@query("n05_archive", f"WITH {BARS_SQL} SELECT date AS model_date, count(*) AS rows, round(sum(close), 4) AS total FROM bars GROUP BY 1")
+def n05(spark, sf_dir):
+    """A stream of dated rows in two batches, the second with all dates of the first again, changed; the first write stays."""
+    b = bars(spark, sf_dir).select(F.col("date").alias("model_date"), "symbol", F.col("close").cast("double").alias("close"), F.lit("a").alias("snapshot_hash"))
+
+    def run(stream: DataFrame, place: str) -> DataFrame:
+        sink = lambda: panels.archive_sink(stream, f"{place}/archive", f"{place}/c").trigger(availableNow=True).start().awaitTermination()
+        sink()
+        again = b.withColumns({"close": F.when(F.dayofmonth("model_date") <= 20, 0.0).otherwise(F.col("close")), "snapshot_hash": F.lit("b")})
+        again.write.mode("append").parquet(f"{place}/in")
+        sink()
+        return panels.read_archive(spark, f"{place}/archive", b.schema)
+
+    kept = _streamed(b.filter(F.dayofmonth("model_date") <= 20), run)
+    return rounded(kept.groupBy("model_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total")), 4)

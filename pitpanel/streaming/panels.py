@@ -6,10 +6,11 @@ org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
@@ -110,18 +111,50 @@ def outcome_maturation(closes: DataFrame, after: int = 20) -> DataFrame:
     return closes.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Maturation(after), outputStructType=_OUTCOME, outputMode="append", timeMode="None")
 
 
-def archive_sink(stream: DataFrame, path: str, checkpoint: str):
-    """N5 a writer that appends each model date once: a batch's dates that the archive has already are left out."""
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and what makes paths of it: the archive may lie in any store that Spark writes to."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def read_archive(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """N5 the rows of all committed batches of an archive; none if it does not exist."""
+    fs, of = _files(spark, path)
+    done = [str(x.getPath()) for x in fs.listStatus(of(path)) if x.getPath().getName().startswith("batch-")] if fs.exists(of(path)) else []
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+
+
+def commit_batch(batch: DataFrame, path: str, name: str, between: Callable[[], None] = lambda: None) -> bool:
+    """N5 append a batch's new model dates to an archive under a name, once: True, or False if the name is committed already.
+
+    Dates that other committed batches have are left out (the first write wins). The rest is written aside and renamed
+    to batch-<name>; the rename is the commit, and the directories are the ledger. A batch that dies before it leaves
+    nothing that a reader sees and is written anew by its replay; one that dies after it is recognised by its name.
+    `between` is called between both steps (tests fail there).
+    """
     from ..sources.readers import archive_first_write
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            held = spark.read.schema(batch.schema).parquet(path)
-            fresh, _revisions = archive_first_write(held, batch)
-            fresh.write.mode("append").partitionBy("model_date").parquet(path)
-        finally:
-            batch.unpersist()
+    fs, of = _files(batch.sparkSession, path)
+    target, staged = of(f"{path}/batch-{name}"), f"{path}/_staged/{name}"
+    if fs.exists(target):
+        return False
+    fresh, _revisions = archive_first_write(read_archive(batch.sparkSession, path, batch.schema), batch)
+    fresh.write.mode("overwrite").parquet(staged)
+    between()
+    if not fs.rename(of(staged), target):
+        raise OSError(f"could not commit {target}")
+    return True
+
+
+def archive_sink(stream: DataFrame, path: str, checkpoint: str):
+    """N5 a writer that archives each model date of a stream exactly once; read the archive by read_archive().
+
+    Batches are named by the stream's checkpoint folder and number, which a restarted stream repeats for the batch that
+    it did not finish. A stream that starts over needs a new checkpoint folder, as always.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def append(batch: DataFrame, number: int) -> None:
+        commit_batch(batch, path, f"{run}-{number}")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -46,3 +46,51 @@ def test_maturation(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = run(spark, tmp_path, panels.outcome_maturation(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2)).orderBy("date").collect()
     assert [(r["date"], r["outcome"]) for r in out] == [(days[0], "MATURED"), (days[2], "UNRESOLVED_DATA_GAP")] and abs(out[0]["worst"] + 0.2) < 1e-12
+
+
+def test_archive_commits_a_batch_once(spark, tmp_path):
+    import datetime as dt
+
+    import pytest
+
+    day = lambda i: dt.date(2024, 1, i)
+    schema = "model_date date, symbol long, snapshot_hash string"
+    rows = lambda *x: spark.createDataFrame([(day(d), s, h) for d, s, h in x], schema)
+    place = str(tmp_path / "archive")
+    held = lambda: {(r["model_date"].day, r["symbol"], r["snapshot_hash"]) for r in panels.read_archive(spark, place, rows((1, 1, "a")).schema).collect()}
+
+    def dies():
+        raise RuntimeError("the batch dies here")
+
+    assert held() == set()
+    with pytest.raises(RuntimeError):
+        panels.commit_batch(rows((1, 1, "a"), (1, 2, "a")), place, "x-0", dies)
+    assert held() == set()  # written aside only
+    assert panels.commit_batch(rows((1, 1, "a"), (1, 2, "a")), place, "x-0") and not panels.commit_batch(rows((1, 1, "a"), (1, 2, "a")), place, "x-0")
+    assert held() == {(1, 1, "a"), (1, 2, "a")}
+    assert panels.commit_batch(rows((1, 1, "b"), (2, 1, "b")), place, "x-1") and held() == {(1, 1, "a"), (1, 2, "a"), (2, 1, "b")}
+    assert panels.commit_batch(rows((3, 1, "c")).limit(0), place, "x-2") and len(held()) == 3
+
+
+def test_archive_stream_restarts_where_it_died(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    df = spark.createDataFrame([(dt.date(2024, 1, 1 + i % 5), i, "h") for i in range(40)], "model_date date, symbol long, snapshot_hash string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    real, calls = panels.commit_batch, []
+
+    def late(batch, path, name):
+        real(batch, path, name)
+        calls.append(name)
+        if len(calls) == 1:
+            raise RuntimeError("after the commit, before the stream's own")
+
+    monkeypatch.setattr(panels, "commit_batch", late)
+    go = lambda: panels.archive_sink(stream, str(tmp_path / "a"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    try:
+        go()
+    except Exception as e:
+        assert "before the stream" in str(e)
+    go()
+    assert calls[0] == calls[1] and panels.read_archive(spark, str(tmp_path / "a"), df.schema).count() == 40
