@@ -38,3 +38,9 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_no_query_keeps_a_table_cached(spark):
+    for name in ("k10_areas", "k12_calibration", "k22_conformal", "k24_scales", "k28_promotion"):
+        entry.queries()[name](spark, SF).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()

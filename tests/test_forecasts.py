@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitpanel.functions.quantiles import exact_quantiles
-from pitpanel.operators import boosting, gram
+from pitpanel.operators import boosting, families, forecast, gram
 from pitpanel.plans import studies
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +182,39 @@ def test_exact_quantiles_equal_percentile(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=0) for k in want)
     assert exact_quantiles(df, [], "x", {"m": 0.5}).first()["m"] == df.filter("not isnan(x)").agg(F.percentile("x", 0.5)).first()[0]
     assert exact_quantiles(df.limit(0), ["k"], "x", {"m": 0.5}).count() == 0
+
+
+def test_market_model_freezes_its_choices_before_the_sealed_dates(panel):
+    d, p = panel
+    d = d.withColumn("v", F.col("vol20") / 7).filter("v is not null").select("symbol", "date", "r", "v", "score", "gap20")
+    cut = [d.filter(c) for c in ("date < '1999-01-01'", "date >= '1999-01-01' and date < '2000-06-01'", "date >= '2000-06-01'")]
+    options = {"rounds": 4, "rate": 0.4, "depth": 2, "least": 30}
+    out, frozen = forecast.market_model(*cut, ["score", "gap20"], "r", "v", 2, **options)
+    got, f = out.toPandas(), frozen.first()
+    other, f2 = forecast.market_model(cut[0], cut[1], cut[2].withColumn("r", -F.col("r")), ["score", "gap20"], "r", "v", 2, **options)
+    again, f2 = other.toPandas(), f2.first()
+    assert f == f2 and np.allclose(got.sort_values(["symbol", "date"]).point, again.sort_values(["symbol", "date"]).point)  # no sealed label is used
+    assert len(got) == cut[2].count() and 0.5 <= f["magnitude_scale"] <= 2 and f["q20"] < f["q80"]
+    assert np.allclose(got.high - got.low, (f["q80"] - f["q20"]) * got.v) and got.p_up.between(0, 1).all() and (got.magnitude > 0).all()
+    inside = ((got.r >= got.low) & (got.r <= got.high)).mean()
+    assert 0.45 < inside < 0.75 and np.corrcoef(got.r, got.point)[0, 1] > 0.2
+    grid = forecast.dispersion_scale(cut[1].withColumns({"f": F.col("score") / 2, "p": F.lit(0.6)}), "r", "f", "p", "v", 1).toPandas()
+    assert len(grid) == 60 and grid.chosen.sum() == 1 and grid.scale.max() <= 0.85 and set(grid.floor) == {0.0, 0.04}
+
+
+def test_fitted_scales_follow_the_one_error_rule(spark, panel):
+    d, p = panel
+    long = d.filter("r is not null and score is not null").select(F.lit("origin_scale").alias("family"), "symbol", "date", F.col("r").alias("y"), F.lit(0.0).alias("base"), F.col("score").alias("x"))
+    got = families.fit_scales(long, 5).first()
+    y, x = p.r.to_numpy(float), p.score.to_numpy(float)
+    mad = lambda v: np.median(np.abs(v - np.median(v)))
+    upper = min(30.0, max(2.0, 2.5 * mad(y) / mad(x)))
+    grid = np.unique(np.round(np.concatenate([np.linspace(0.05, min(2.0, upper), 40), np.geomspace(max(0.1, min(2.0, upper)), upper, 44) if upper > 2 else [], [1.0]]), 12))
+    loss = np.abs(y[:, None] - x[:, None] * grid)
+    mae, se = loss.mean(0), loss.std(0, ddof=1) / np.sqrt(len(y))
+    best = mae.argmin()
+    near = np.flatnonzero(mae <= mae[best] + se[best])
+    target = np.clip(max(0.10 * y.std() / x.std(), 0.08 * np.quantile(np.abs(y), 0.9) / np.quantile(np.abs(x), 0.9)), grid.min(), grid.max())
+    pick = near[np.abs(grid[near] - target).argmin()]
+    assert np.allclose([got["scale"], got["mae"], got["best_mae"], got["target"]], [grid[pick], mae[pick], mae[best], target]) and got["admissible"] == len(near)
+    assert families.fit_scales(long.limit(50), 5).count() == 0

@@ -308,3 +308,19 @@ def test_family_within_noise_is_not_kept(spark):
     got = {r["family"]: r for r in validate.family_choice(spark.createDataFrame(rows, "date string, family string, mae double"), "base", block=2).collect()}
     assert got["noisy"]["early_edge"] > 0 and got["noisy"]["late_edge"] > 0
     assert (got["noisy"]["kept"], got["better"]["kept"]) == (False, True)
+
+
+def test_routes_are_chosen_by_flags_then_agreement(spark):
+    from pitpanel.operators import reconcile
+
+    rows = []
+    for symbol, source, priority, deep, verified, noise, n in (
+        (1, "a", 1, False, True, 0.0, 30), (1, "b", 0, True, False, 0.0, 30),  # depth comes first
+        (2, "a", 1, True, True, 0.0, 30), (2, "b", 0, True, None, 0.0, 30),  # then verified actions; null is no
+        (3, "a", 2, True, True, 0.0, 30), (3, "b", 1, True, True, 0.0, 30), (3, "c", 0, True, True, 0.01, 30),  # the pair that agrees; the lesser priority
+        (4, "a", 0, False, False, 0.0, 5),  # alone
+    ):
+        rows += [(symbol, source, priority, DAY + dt.timedelta(days=i), 100.0 * (1.01 + noise * (i % 2)) ** i, deep, verified) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol long, source string, priority int, date date, close double, deep boolean, verified boolean")
+    got = {r["symbol"]: (r["source"], r["other"], r["rows"]) for r in reconcile.route_audit(df).collect()}
+    assert got == {1: ("b", "a", 30), 2: ("a", "b", 30), 3: ("b", "a", 30), 4: ("a", None, 5)}
