@@ -83,6 +83,12 @@ ORACLES: dict[str, str] = {
         t(r, c) AS (SELECT r, r FROM d UNION SELECT e.b, t.c FROM t JOIN e ON e.a = t.r) SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.m AS component_id FROM d LEFT JOIN n USING (r) JOIN (SELECT t.r, min(o.doc_id) AS m FROM t JOIN d o ON o.r = t.c GROUP BY 1) m ON m.r = d.r""",
     "op9_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+    "op13_phrases": rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS ph, k, count(*) AS f FROM g, range(1, 6) r(k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3 HAVING count(*) >= 100), c AS (SELECT lang, ph, k, f, string_split(ph, ' ') AS ws FROM f WHERE k > 1),
+        x AS (SELECT DISTINCT s.lang, s.ph FROM (SELECT lang, f, array_to_string(ws[i:j], ' ') AS ph FROM c, range(1, 5) a(i), range(2, 6) b(j) WHERE i < j AND j <= k AND j - i + 1 < k) s JOIN c ON c.lang = s.lang AND c.ph = s.ph AND 100 * s.f >= 100 * c.f),
+        u AS (SELECT c.lang, c.ph, c.f AS a, cut, p.f AS l, q.f AS r, n, (1000::HUGEINT * c.f * n) // (p.f::HUGEINT * q.f) AS score FROM c JOIN n USING (lang) JOIN range(1, 5) r(cut) ON cut < k JOIN f p ON p.lang = c.lang AND p.ph = array_to_string(ws[:cut], ' ') JOIN f q ON q.lang = c.lang AND q.ph = array_to_string(ws[cut + 1:], ' ') WHERE NOT EXISTS (FROM x WHERE x.lang = c.lang AND x.ph = c.ph)),
+        b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b QUALIFY rank <= 2000""",
     "op6_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
         w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS stop, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
