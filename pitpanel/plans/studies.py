@@ -1029,7 +1029,7 @@ def n04(spark, sf_dir):
     return rounded(_streamed(f, lambda stream, place: _to_table(panels.outcome_maturation(stream, 4), place)), 6)
 
 
-@query("n05_archive", f"WITH {BARS_SQL} SELECT date AS model_date, count(*) AS rows, round(sum(close), 4) AS total FROM bars GROUP BY 1")
+@query("n05_archive", f"WITH {BARS_SQL} SELECT date AS model_date, count(*) AS rows, round(sum(close), 7) AS total FROM bars GROUP BY 1")
 def n05(spark, sf_dir):
     """A stream of dated rows in two batches, the second with all dates of the first again, changed; the first write stays."""
     b = bars(spark, sf_dir).select(F.col("date").alias("model_date"), "symbol", F.col("close").cast("double").alias("close"), F.lit("a").alias("snapshot_hash"))
@@ -1043,4 +1043,4 @@ def n05(spark, sf_dir):
         return panels.read_archive(spark, f"{place}/archive", b.schema)
 
     kept = _streamed(b.filter(F.dayofmonth("model_date") <= 20), run)
-    return rounded(kept.groupBy("model_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total")), 4)
+    return rounded(kept.groupBy("model_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total")), 7)
