@@ -163,19 +163,24 @@ def test_url_model_on_held_out_labels(spark):
     assert len(got) > 300 and ((got.verdict == "block") == (got.label == 1)).mean() > 0.9
 
 
+def walked(trees, row):
+    """The probability that a plain walk from node to node gives."""
+    total = trees.base
+    for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+        node = 0
+        for _ in range(quality_model.DEPTH):
+            node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+        total += leaf[node - (2**quality_model.DEPTH - 1)]
+    return 1 / (1 + np.exp(-total))
+
+
 def test_trees_walk_as_a_plain_loop_does():
     r = np.random.default_rng(6)
     x, y = r.normal(size=(400, 5)), r.integers(0, 2, 400).astype(float)
     y[x[:, 0] + x[:, 3] > 0.5] = 1
     trees = quality_model.fit(x, y)
     for row, p in zip(x[:60], trees.probability(x[:60]), strict=True):
-        total = trees.base
-        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
-            node = 0
-            for _ in range(quality_model.DEPTH):
-                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
-            total += leaf[node - (2**quality_model.DEPTH - 1)]
-        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+        assert p == pytest.approx(walked(trees, row))
     assert ((trees.probability(x) >= 0.5) == (y == 1)).mean() > 0.8
 
 
@@ -547,8 +552,12 @@ def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
             assert docs.count() == 0
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
+    import duckdb
+    import tiktoken
+
     import corpus_pipeline as c
+    from pitpanel.llm.queries import ORACLES
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -558,6 +567,22 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, sf).persist()
         if i < 4:
             assert out.columns == start.columns
+        if i == 0:  # every tree walked node by node
+            trees = quality_model.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            good = [r["doc_id"] for r in docs.collect() if walked(trees, quality_model.statistics(r["text"])) >= 0.5]
+            assert sorted(good) == sorted(r["doc_id"] for r in out.collect()) and 0 < len(good) < previous
+        if i == 3:  # the mix in SQL, each document as often as its words are taken
+            docs.write.parquet(str(tmp_path / "kept"))
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/kept/*.parquet'")
+            cur = con.execute(ORACLES["op6_mixing"])
+            names = [d[0] for d in cur.description]
+            want = Counter({r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in (dict(zip(names, x, strict=True)) for x in cur.fetchall())})
+            assert +want == Counter(r["doc_id"] for r in out.collect())
+        if i == 4:  # the public library's ids
+            ranks, pattern = tokenizer()
+            enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+            assert sorted((r["doc_id"], enc.encode_ordinary(r["text"] or "")) for r in docs.collect()) == sorted((r["doc_id"], list(r["ids"])) for r in out.collect())
         if i == 1:
             keep = {}
             for r in docs.collect():
