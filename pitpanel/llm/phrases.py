@@ -223,7 +223,8 @@ def _counted(docs: DataFrame, filters: list[np.ndarray], ranges: int, least: int
         _, first, of = np.unique(names, return_index=True, return_inverse=True)
         n = np.bincount(of, counts).astype(np.int64)
         often = n >= least
-        return pd.DataFrame({"lang": key[0], "words": list(words.reshape(-1, key[1])[first[often]]), "n": n[often]})
+        kept = pd.Series(list(words.reshape(-1, key[1])[first[often]]), dtype=object)  # also if nothing is left
+        return pd.DataFrame({"lang": [key[0]] * len(kept), "words": kept, "n": n[often]})
 
     packed = docs.mapInArrow(count, "lang string, length int, part int, names binary, counts binary, words binary")
     return packed.groupBy("lang", "length", "part").applyInPandas(total, "lang string, words array<long>, n long")
