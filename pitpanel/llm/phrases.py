@@ -218,16 +218,18 @@ def _counted(docs: DataFrame, filters: list[np.ndarray], ranges: int, least: int
                     size = 0
         yield from emit()
 
-    def total(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
-        names, counts, words = (np.concatenate([np.frombuffer(x, kind) for x in column]) for column, kind in ((blobs.names, np.uint64), (blobs.counts, np.int64), (blobs.words, np.int64)))
+    def total(key: tuple, blobs: pa.Table) -> pa.Table:
+        k = key[1].as_py()
+        names, counts, words = (np.concatenate([np.frombuffer(x, kind) for x in blobs.column(c).to_pylist()]) for c, kind in (("names", np.uint64), ("counts", np.int64), ("words", np.int64)))
         _, first, of = np.unique(names, return_index=True, return_inverse=True)
         n = np.bincount(of, counts).astype(np.int64)
         often = n >= least
-        kept = pd.Series(list(words.reshape(-1, key[1])[first[often]]), dtype=object)  # also if nothing is left
-        return pd.DataFrame({"lang": [key[0]] * len(kept), "words": kept, "n": n[often]})
+        kept = words.reshape(-1, k)[first[often]]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, kept.size + 1, k), pa.int32()), pa.array(kept.ravel(), pa.int64()))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "words": lists, "n": pa.array(n[often], pa.int64())})
 
     packed = docs.mapInArrow(count, "lang string, length int, part int, names binary, counts binary, words binary")
-    return packed.groupBy("lang", "length", "part").applyInPandas(total, "lang string, words array<long>, n long")
+    return packed.groupBy("lang", "length", "part").applyInArrow(total, "lang string, words array<long>, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
