@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from pitpanel.functions import quantiles
 from pitpanel.operators import families
 
 
@@ -16,3 +17,18 @@ def test_losses_of_all_scales_equal_brute_force(spark):
         loss = np.array([abs(y - b - s * x) for g, y, b, x in rows if g == f])
         assert r["n"] == len(loss)
         np.testing.assert_allclose([r["mae"], r["sd"]], [loss.mean(), loss.std(ddof=1)], rtol=1e-10)
+
+
+def test_exact_quantiles_write_only_what_may_hold_them(spark, monkeypatch):
+    seen, before = [], quantiles.written
+    def counted(df):
+        out = before(df)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(quantiles, "written", counted)
+    x = np.random.default_rng(1).normal(size=4000)
+    d = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)], "k int, x double")
+    got = {r["k"]: (r["m"], r["q"]) for r in quantiles.exact_quantiles(d, ["k"], "x", {"m": 0.5, "q": 0.9}).collect()}
+    for k in (0, 1):
+        np.testing.assert_allclose(got[k], np.quantile(x[k::2], [0.5, 0.9]), rtol=1e-12)
+    assert max(seen) < 400
