@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import written
+from ..functions.quantiles import exact_quantiles
 from ..operators import families, features, flow, forecast, joins, models, risk, studies, text, validate
 from ..sources import readers
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table
@@ -335,9 +336,11 @@ def k35(spark, sf_dir):
     """What two groups of features add to a ridge forecast on the sealed dates; the parts sum to the whole."""
     d = written(predictions(spark, sf_dir).filter("vol20 is not null"))
     block = validate.embargo_blocks(d, 5)
-    train, test = (d.join(block.filter(F.col("block") == b).select("date"), "date", "left_semi") for b in ("fit", "sealed"))
+    train, test = (d.join(F.broadcast(block.filter(F.col("block") == b).select("date")), "date", "left_semi") for b in ("fit", "sealed"))
     names = ["score", "vol20", "gap20", "dd60"]
-    medians = train.agg(*[F.median(c).alias(c) for c in names]).first().asDict()
+    values = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in names])).alias("e")).select("e.*")
+    found = {r["feature"]: r["median"] for r in exact_quantiles(values, ["feature"], "v", {"median": 0.5}).collect()}  # a row a feature
+    medians = {c: found.get(c) for c in names}
     groups = {"PRICE": ["score", "gap20"], "RISK": ["vol20", "dd60"]}
     c = models.group_ablation(models.regressor(train, names, "r"), test, medians, groups, names)
     parts = ["contribution_PRICE", "contribution_RISK", "contribution_NUMERICAL"]
