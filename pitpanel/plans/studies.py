@@ -536,12 +536,12 @@ def j02(spark, sf_dir):
 
 
 @query("j03_market_scan", f"""WITH {SCAN_SQL}, r AS (SELECT *, CASE status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'WATCH' THEN 1 WHEN 'GREEN' THEN 0 END AS now, CASE prev_status WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'WATCH' THEN 1 WHEN 'GREEN' THEN 0 END AS was FROM scan),
- p AS (SELECT *, status IN ('YELLOW', 'RED') AND now > was AS rose, CASE WHEN technical_score >= 78 AND weak AND technical_confidence >= 0.7 THEN 'PRE_CRASH_RED' WHEN technical_score >= 65 AND weak AND technical_confidence >= 0.55 THEN 'PRE_CRASH_YELLOW' WHEN technical_score >= 50 AND weak THEN 'WATCH' WHEN dd60 <= -0.15 THEN 'ACTIVE_DRAWDOWN' WHEN technical_score IS NOT NULL THEN 'NORMAL' END AS phase FROM r)
+ p AS (SELECT *, status IN ('YELLOW', 'RED') AND now > was AS rose, CASE WHEN round(technical_score, 9) >= 78 AND weak AND round(technical_confidence, 9) >= 0.7 THEN 'PRE_CRASH_RED' WHEN round(technical_score, 9) >= 65 AND weak AND round(technical_confidence, 9) >= 0.55 THEN 'PRE_CRASH_YELLOW' WHEN round(technical_score, 9) >= 50 AND weak THEN 'WATCH' WHEN dd60 <= -0.15 THEN 'ACTIVE_DRAWDOWN' WHEN technical_score IS NOT NULL THEN 'NORMAL' END AS phase FROM r)
  SELECT date, count(*) AS n, count(*) FILTER (status = 'RED') AS red, count(*) FILTER (status = 'YELLOW') AS yellow, count(*) FILTER (status = 'WATCH') AS watch, round(avg(CAST(status = 'RED' AS INT)), 6) AS red_share, round(avg(CAST(status = 'YELLOW' AS INT)), 6) AS yellow_share, round(avg(CAST(status = 'WATCH' AS INT)), 6) AS watch_share,
    count(*) FILTER (rose) AS escalations, count(*) FILTER (prev_status <> status) AS changes, count(*) FILTER (phase = 'PRE_CRASH_RED') AS pre_red, count(*) FILTER (phase = 'PRE_CRASH_YELLOW') AS pre_yellow, count(*) FILTER (phase = 'ACTIVE_DRAWDOWN') AS active FROM p WHERE status <> 'ILLIQUID' GROUP BY 1""")
 def j03(spark, sf_dir):
-    """The scan's states by date."""
-    s = risk.transition(_scan(spark, sf_dir)).withColumn("phase", risk.phase("technical_score", "technical_score_confidence"))
+    """The scan's states by date. Phases take scores to nine digits, as sums of doubles reach a limit or just miss it."""
+    s = risk.transition(_scan(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("technical_score", "technical_score_confidence")}).withColumn("phase", risk.phase("technical_score", "technical_score_confidence"))
     more = s.filter("status <> 'ILLIQUID'").groupBy("date").agg(F.count_if("escalated").alias("escalations"), F.count_if(F.col("transition").contains(" -> ")).alias("changes"), F.count_if(F.col("phase") == "PRE_CRASH_RED").alias("pre_red"), F.count_if(F.col("phase") == "PRE_CRASH_YELLOW").alias("pre_yellow"), F.count_if(F.col("phase") == "ACTIVE_DRAWDOWN").alias("active"))
     return rounded(risk.breadth_report(s).join(more, "date"), 6)
 

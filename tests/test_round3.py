@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions import quantiles
 from pitpanel.operators import families, models, validate
-from pitpanel.plans import panel, readings
+from pitpanel.plans import panel, readings, studies
 
 
 def test_losses_of_all_scales_equal_brute_force(spark):
@@ -69,3 +69,10 @@ def test_flagship_takes_the_deepest_by_unrounded_drawdown(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == {r[0] for r in c.execute(panel.ORACLES["flagship_technical_state"]).fetchall()} == set(range(2, 22))
+
+
+def test_market_scan_phases_take_scores_that_just_miss_a_limit(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 64.99999999999999), (2, 65.0), (3, 64.9)], "symbol int, technical_score double")
+    d = d.withColumns({"date": F.lit("2000-01-03").cast("date"), "status": F.lit("WATCH"), "prev_status": F.lit("WATCH"), "technical_score_confidence": F.lit(0.55 - 1e-16), "dd60": F.lit(-0.2), "sret20": F.lit(-0.1), "gap50": F.lit(-0.1)})
+    monkeypatch.setattr(studies, "_scan", lambda *a: d)
+    assert studies.QUERIES["j03_market_scan"](spark, "").first()["pre_yellow"] == 2
