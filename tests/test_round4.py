@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from pitpanel.operators import validate
+from pitpanel.plans import registry
 
 DAY = datetime.date(2000, 1, 1)
 
@@ -18,3 +19,17 @@ def test_quintiles_hold_a_drawdown_that_equals_the_bound(spark):
         assert [(r["n"], r["event_rate"]) for r in got] == [(6, float(at <= -0.499936))]
     cut = duckdb.execute("SELECT round(quantile_cont(x, 0.05), 9) FROM (SELECT unnest(?) AS x)", [train]).fetchone()[0]
     assert cut == -0.499936
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exponential_means_share_one_sort(spark):
+    p = plan(registry.QUERIES["d05_ema_macd"](spark, "/root/testdata/sf0.001"))
+    assert p.count("Sort [") == 2 and p.count("Exchange ") == 1  # lines by symbol and date; bars by block
+
+
+def test_scan_is_dealt_out_once(spark):
+    p = plan(registry.QUERIES["j18_stance"](spark, "/root/testdata/sf0.001"))
+    assert p.count("Exchange hashpartitioning(symbol") == 2 and p.count("Exchange hashpartitioning(date") == 1  # the scan's and the medians' lines; medians
