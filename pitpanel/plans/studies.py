@@ -507,9 +507,12 @@ def j01(spark, sf_dir):
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with the screener's score, flags and states; the market's month is the date's median."""
-    p = risk.screener_inputs(features.macd(panel(spark, sf_dir)).drop("_i"))
-    p = p.withColumn("market20", F.median("sret20").over(Window.partitionBy("date")))
+    """The panel with the screener's score, flags and states; the market's month is the date's median.
+
+    Medians are taken aside and broadcast, a row a date, so the panel keeps its place by symbol.
+    """
+    months = features.returns(bars(spark, sf_dir), (), (20,)).filter("sret20 is not null").groupBy("date").agg(F.median("sret20").alias("market20"))
+    p = features.macd(risk.screener_inputs(panel(spark, sf_dir))).join(F.broadcast(months), "date", "left")
     s = risk.stress_flags(risk.screener_score(risk.technical_score(risk.index_pressures(p))))
     s = s.withColumn("status", risk.scan_status(liquid=F.col("turnover30") >= LIQUID))
     return s.withColumn("prev_status", F.lag("status").over(Window.partitionBy("symbol").orderBy("date")))
