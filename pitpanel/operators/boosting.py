@@ -1,7 +1,8 @@
 """Boosted trees on quantile loss, fitted by histograms: several quantiles in the same passes over the rows.
 
-Rows are binned once by approximate quantiles of each feature and written to the checkpoint folder. A tree takes one
-pass a level: tasks count rows, and rows above the current prediction, by (quantile, node, feature, bin), Spark adds the
+Rows are binned once by approximate quantiles of each feature and written to the checkpoint folder, packed: a record
+holds the bins, outcomes and predictions of some thousands of rows, so a pass hands few records to Python, and a task
+adds its counts up before it sends them. A tree takes one pass a level: tasks count rows, and rows above the current prediction, by (quantile, node, feature, bin), Spark adds the
 counts up, and the driver picks the splits from tables whose size depends on the parameters alone. The gradient of the
 quantile loss has two values, so these counts are all it takes, and being whole numbers they add up alike in any order.
 
@@ -90,21 +91,32 @@ def cut_points(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray
     return [np.unique(np.array(x or [], np.float64)) for x in df.agg(*asked).first()]
 
 
-def _tasks(state: DataFrame, count: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...], width: int, alphas: int) -> DataFrame:
-    """What `count` makes of each batch of state (bins, y, f): equally long arrays, a long key first, doubles after."""
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, start: np.ndarray) -> Iterator[Block]:
+    """(bins, y, f) of each packed record, a row of a matrix for each row, with `start` added to f."""
+    for batch in batches:
+        for bins, y, f in zip(batch.column("bins"), batch.column("y"), batch.column("f"), strict=True):
+            yield np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, width), np.frombuffer(y.as_buffer()), np.frombuffer(f.as_buffer()).reshape(-1, len(start)) + start
+
+
+def _packed(bins: np.ndarray, y: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (bins, y, f)], names=["bins", "y", "f"])
+
+
+def _tasks(state: DataFrame, count: Callable[[Iterator[Block]], tuple[np.ndarray, ...]], names: tuple[str, ...], width: int, start: np.ndarray) -> DataFrame:
+    """What `count` makes of all blocks of a task: equally long arrays, a long key first, doubles after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-                f = batch.column(2).flatten().to_numpy().reshape(-1, alphas)
-                got = count(bins, batch.column(1).to_numpy(), f)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), *(pa.array(x, pa.float64()) for x in got[1:])], names=list(names))
+        got = count(_blocks(batches, width, start))
+        if len(got[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), *(pa.array(x, pa.float64()) for x in got[1:])], names=list(names))
 
-    return state.select("bins", "y", "f").mapInArrow(run, ", ".join(f"{n} {'double' if i else 'long'}" for i, n in enumerate(names)))
+    return state.mapInArrow(run, ", ".join(f"{n} {'double' if i else 'long'}" for i, n in enumerate(names)))
 
 
-def order_statistics(state: DataFrame, width: int, residuals: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], ranks: dict[int, int], alphas: int, low: float, high: float) -> dict[int, float]:
+def order_statistics(state: DataFrame, width: int, residuals: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], ranks: dict[int, int], start: np.ndarray, low: float, high: float) -> dict[int, float]:
     """The ranks[t]-th smallest residual (from 1) of each target t, exactly; residuals() gives (targets, values), -1: none.
 
     low and high only say where most values lie. A round costs one pass; it ends where each target's bin has one value.
@@ -113,24 +125,26 @@ def order_statistics(state: DataFrame, width: int, residuals: Callable[[np.ndarr
     while left:
         known = {t: bounds[t] for t in left}
 
-        def count(bins, y, f, known=known):
-            target, value = residuals(bins, y, f)
-            keys, lows, highs, ns = [], [], [], []
-            for t, (a, b, least, most) in known.items():
-                x = value[(target == t) & (value >= least) & (value <= most)]
-                if not len(x):
-                    continue
-                at = np.clip((x - a) / (b - a) * FINE, 0, FINE - 1).astype(np.int64) if b > a else np.zeros(len(x), np.int64)
-                order = np.argsort(at, kind="stable")
-                cell, starts = np.unique(at[order], return_index=True)
-                keys.append(t * FINE + cell)
-                lows.append(np.minimum.reduceat(x[order], starts))
-                highs.append(np.maximum.reduceat(x[order], starts))
-                ns.append(np.diff(np.append(starts, len(x))))
-            join = lambda parts: np.concatenate(parts) if parts else np.empty(0)
-            return join(keys), join(lows), join(highs), join(ns)
-
-        cells = _tasks(state, count, ("key", "low", "high", "n"), width, alphas).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        def count(blocks, known=known):
+            size = len(known) * FINE
+            ns, lows, highs = np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+            for block in blocks:
+                target, value = residuals(*block)
+                for k, (t, (a, b, least, most)) in enumerate(known.items()):
+                    x = value[(target == t) & (value >= least) & (value <= most)]
+                    if not len(x):
+                        continue
+                    at = np.clip((x - a) / (b - a) * FINE, 0, FINE - 1).astype(np.int64) if b > a else np.zeros(len(x), np.int64)
+                    order = np.argsort(at, kind="stable")
+                    cell, starts = np.unique(at[order], return_index=True)
+                    cell += k * FINE
+                    lows[cell] = np.minimum(lows[cell], np.minimum.reduceat(x[order], starts))
+                    highs[cell] = np.maximum(highs[cell], np.maximum.reduceat(x[order], starts))
+                    ns[cell] += np.diff(np.append(starts, len(x)))
+            at = np.flatnonzero(ns)
+            return np.array(list(known), np.int64)[at // FINE] * FINE + at % FINE, lows[at], highs[at], ns[at]
+
+        cells = _tasks(state, count, ("key", "low", "high", "n"), width, start).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
         cells = cells.withColumn("t", F.floor(F.col("key") / FINE)).toPandas().sort_values("key")  # FINE rows a target at most
         for t, part in cells.groupby("t"):
             t, upto = int(t), part.n.cumsum().to_numpy()
@@ -144,26 +158,30 @@ def order_statistics(state: DataFrame, width: int, residuals: Callable[[np.ndarr
     return out
 
 
-def _level(state: DataFrame, trees: list[Tree], pending: list[list[Tree]], nodes: range, width: int, most: int) -> np.ndarray:
+def _level(state: DataFrame, trees: list[Tree], pending: list[list[Tree]], nodes: range, width: int, most: int, start: np.ndarray) -> np.ndarray:
     """Counts by (quantile, node of the level, feature, bin): rows, and rows above the prediction."""
     alphas = len(trees)
     shape = (alphas, len(nodes), width, most)
 
-    def count(bins, y, f):
-        f, total = added(f, bins, pending), np.zeros((2, math.prod(shape)))
-        for a, tree in enumerate(trees):
-            node = tree.leaf_of(bins) - nodes.start
-            rows = np.flatnonzero(node >= 0)  # those that ended above are in a leaf
-            if len(rows):
-                above = (y[rows] > f[rows, a]).astype(np.float64)
-                for j in range(width):
-                    key = ((a * len(nodes) + node[rows]) * width + j) * most + bins[rows, j]
-                    total[0] += np.bincount(key, minlength=total.shape[1])
-                    total[1] += np.bincount(key, above, total.shape[1])
+    def count(blocks):
+        total = np.zeros((2, math.prod(shape)))
+        for bins, y, f in blocks:
+            f = added(f, bins, pending)
+            for a, tree in enumerate(trees):
+                node = tree.leaf_of(bins) - nodes.start
+                rows = np.flatnonzero(node >= 0)  # those that ended above are in a leaf
+                if len(rows):
+                    above = (y[rows] > f[rows, a]).astype(np.float64)
+                    for j in range(width):
+                        low = (a * len(nodes) * width + j) * most
+                        key = node[rows] * width * most + bins[rows, j]
+                        n = (len(nodes) - 1) * width * most + most
+                        total[0, low : low + n] += np.bincount(key, minlength=n)
+                        total[1, low : low + n] += np.bincount(key, above, n)
         at = np.flatnonzero(total[0])
         return at, total[0][at], total[1][at]
 
-    got = _tasks(state, count, ("key", "n", "above"), width, alphas).groupBy("key").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).toPandas()  # of the shape's size at most
+    got = _tasks(state, count, ("key", "n", "above"), width, start).groupBy("key").agg(F.sum("n").alias("n"), F.sum("above").alias("above")).toPandas()  # of the shape's size at most
     out = np.zeros((2, math.prod(shape)))
     out[:, got.key.to_numpy(np.int64)] = got[["n", "above"]].to_numpy().T
     return out.reshape(2, *shape)
@@ -223,22 +241,27 @@ def fit_quantiles(df: DataFrame, features: list[str], y: str, alphas: tuple[floa
 
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[:-1]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in model.binned(values)], pa.binary()), batch.column(width)], names=["bins", "y"])
+            if batch.num_rows:
+                values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[:-1]], axis=1)
+                yield _packed(model.binned(values), batch.column(width).to_numpy(), np.zeros((batch.num_rows, len(alphas))))
+
+    def spans(blocks):
+        found = [(len(y), y.min(), y.max()) for _, y, _ in blocks]
+        return np.arange(len(found)), *np.array(found, np.float64).reshape(-1, 3).T
 
-    state = written(d.mapInArrow(bin_rows, "bins binary, y double").withColumn("f", F.array(*[F.lit(0.0)] * len(alphas))))
-    n, low, high = state.agg(F.count("y"), F.min("y"), F.max("y")).first()
+    packed = "bins binary, y binary, f binary"
+    state, start = written(d.mapInArrow(bin_rows, packed)), np.zeros(len(alphas))
+    n, low, high = _tasks(state, spans, ("key", "n", "low", "high"), width, start).agg(F.sum("n").cast("long"), F.min("low"), F.max("high")).first()
     if not n:
         return model
-    found = order_statistics(state, width, lambda bins_, y_, f: (np.zeros(len(y_) * len(alphas), np.int64) + np.repeat(np.arange(len(alphas)), len(y_)), np.tile(y_, len(alphas))), {a: rank_of(q, n) for a, q in enumerate(alphas)}, len(alphas), low, high)
+    found = order_statistics(state, width, lambda bins_, y_, f: (np.repeat(np.arange(len(alphas)), len(y_)), np.tile(y_, len(alphas))), {a: rank_of(q, n) for a, q in enumerate(alphas)}, start, low, high)
     model.start[:] = [found[a] for a in range(len(alphas))]
     start, span, pending = model.start.copy(), high - low, []
-    state = state.withColumn("f", F.array(*[F.lit(float(x)) for x in start]))
     for k in range(rounds):
         trees, sizes = [Tree.empty(depth) for _ in alphas], [{0: n} for _ in alphas]
         for level in range(depth):
             nodes = range(2**level - 1, 2 ** (level + 1) - 1)
-            counts = _level(state, trees, pending, nodes, width, most)
+            counts = _level(state, trees, pending, nodes, width, most, start)
             for a, tree in enumerate(trees):
                 for i in nodes:
                     if i in sizes[a]:
@@ -256,7 +279,7 @@ def fit_quantiles(df: DataFrame, features: list[str], y: str, alphas: tuple[floa
             return np.concatenate([a * size + t.leaf_of(bins_) for a, t in enumerate(trees)]), np.concatenate([y_ - f[:, a] for a in range(len(trees))])
 
         ranks = {a * size + i: rank_of(alphas[a], m) for a in range(len(alphas)) for i, m in sizes[a].items()}
-        for t, v in order_statistics(state, width, residuals, ranks, len(alphas), -span, span).items():
+        for t, v in order_statistics(state, width, residuals, ranks, start, -span, span).items():
             trees[t // size].value[t % size] = v
         for tree in trees:
             keep_order(tree, ways)
@@ -265,12 +288,9 @@ def fit_quantiles(df: DataFrame, features: list[str], y: str, alphas: tuple[floa
         pending.append(trees)
         if len(pending) == REFRESH and k + 1 < rounds:
 
-            def moved(batches: Iterator[pa.RecordBatch], pending=tuple(pending)) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        bins_ = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-                        f = added(batch.column(2).flatten().to_numpy().reshape(-1, len(alphas)), bins_, list(pending))
-                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(f), pa.list_(pa.float64()))], names=["bins", "y", "f"])
+            def moved(batches: Iterator[pa.RecordBatch], pending=tuple(pending), start=start) -> Iterator[pa.RecordBatch]:
+                for bins_, y_, f in _blocks(batches, width, start):
+                    yield _packed(bins_, y_, added(f, bins_, list(pending)))
 
-            state, pending = written(state.mapInArrow(moved, "bins binary, y double, f array<double>")), []
+            state, pending, start = written(state.mapInArrow(moved, packed)), [], np.zeros(len(alphas))
     return model

@@ -3,9 +3,8 @@
 import datetime
 
 import duckdb
-from pyspark.sql import functions as F
 
-from pitpanel.operators import validate
+from pitpanel.operators import boosting, validate
 from pitpanel.plans import registry
 
 DAY = datetime.date(2000, 1, 1)
@@ -33,3 +32,15 @@ def test_exponential_means_share_one_sort(spark):
 def test_scan_is_dealt_out_once(spark):
     p = plan(registry.QUERIES["j18_stance"](spark, "/root/testdata/sf0.001"))
     assert p.count("Exchange hashpartitioning(symbol") == 2 and p.count("Exchange hashpartitioning(date") == 1  # the scan's and the medians' lines; medians
+
+
+def test_boosting_passes_over_packed_rows(spark, monkeypatch):
+    seen, before = [], boosting.written
+    def counted(df):
+        out = before(df)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(boosting, "written", counted)
+    d = spark.range(0, 1000, 1, 2).selectExpr("cast(id % 7 as double) AS x", "cast(id % 7 + id % 3 as double) AS y")
+    model = boosting.fit_quantiles(d, ["x"], "y", (0.5,), rounds=9, depth=2, least=5)
+    assert len(model.trees) == 9 and seen == [2, 2]  # a record a task, at the start and after eight trees
