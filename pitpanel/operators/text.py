@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -177,10 +177,32 @@ def near_duplicates(items: DataFrame, least: float = 0.82, ratio: float = 0.91,
 
 def title_ratio(a: str, b: str, least: float = 0.0) -> float:
     """H8 twice the letters in matching blocks over all letters of both titles; 0 where it cannot reach `least`."""
-    match = SequenceMatcher(None, a, b)
-    if match.real_quick_ratio() < least or match.quick_ratio() < least:
+    return ratio_of(a, Counter(a), b, Counter(b), least)
+
+
+def ratio_of(a: str, letters_a: Counter, b: str, letters_b: Counter, least: float = 0.0) -> float:
+    """title_ratio() of titles whose letters are counted.
+
+    Blocks are matched only where lengths, letters in common, and letters in common in the same order allow `least`:
+    matching blocks are such letters, so each bounds the ratio from above.
+    """
+    both = len(a) + len(b)
+    if both and (2.0 * min(len(a), len(b)) / both < least or 2.0 * (letters_a & letters_b).total() / both < least or 2.0 * in_order(a, b) / both < least):
         return 0.0
-    return match.ratio()
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def in_order(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each letter of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    free = whole
+    for c in b:
+        hit = free & at.get(c, 0)
+        free = (free + hit | free - hit) & whole
+    return len(a) - free.bit_count()
 
 
 def kept_titles(items: DataFrame, last: int = 220, least: float = 0.82, ratio: float = 0.91) -> DataFrame:
@@ -199,10 +221,10 @@ def kept_titles(items: DataFrame, last: int = 220, least: float = 0.82, ratio: f
             for r in chunk.itertuples():
                 if r.symbol != symbol:
                     symbol, chosen = r.symbol, deque(maxlen=last)
-                words = set(r.t.split())
-                again = any(len(words & w) / max(1, len(words | w)) >= least or title_ratio(r.t, t, ratio) >= ratio for t, w in chosen)
+                words, letters = set(r.t.split()), Counter(r.t)
+                again = any(t == r.t for t, _, _ in chosen) or any(len(words & w) / max(1, len(words | w)) >= least or ratio_of(r.t, letters, t, c, ratio) >= ratio for t, w, c in chosen)
                 if not again:
-                    chosen.append((r.t, words))
+                    chosen.append((r.t, words, letters))
                 out.append(not again)
             yield chunk[["symbol", "id"]].assign(kept=out)
 

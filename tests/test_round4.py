@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from pitpanel.operators import boosting, validate
+from pitpanel.operators import boosting, text, validate
 from pitpanel.plans import registry
 
 DAY = datetime.date(2000, 1, 1)
@@ -44,3 +44,12 @@ def test_boosting_passes_over_packed_rows(spark, monkeypatch):
     d = spark.range(0, 1000, 1, 2).selectExpr("cast(id % 7 as double) AS x", "cast(id % 7 + id % 3 as double) AS y")
     model = boosting.fit_quantiles(d, ["x"], "y", (0.5,), rounds=9, depth=2, least=5)
     assert len(model.trees) == 9 and seen == [2, 2]  # a record a task, at the start and after eight trees
+
+
+def test_titles_are_matched_only_where_a_bound_allows_it(monkeypatch):
+    assert [text.in_order(*x) for x in (("abcbdab", "bdcaba"), ("", "a"), ("abc", "abc"), ("ab", "ba"))] == [4, 0, 3, 1]
+    a, b = "abcdefgh" * 12, "hgfedcba" * 12  # the same letters in another order
+    want = text.title_ratio(a, b)
+    assert want < 0.91 and text.title_ratio(a, a, 0.91) == 1.0 == text.title_ratio("", "", 0.91)
+    monkeypatch.setattr(text, "SequenceMatcher", None)
+    assert text.title_ratio(a, b, 0.91) == 0.0
