@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,20 +174,76 @@ def bootstrap_precision(df: DataFrame, unit: str, replicates: int = 200, block:
     """K16, K17 average precision over whole units drawn again (dates, or symbols as clusters), or over runs of `block` neighbouring units: 2.5 %, 50 % and 97.5 % of the replicates.
 
     Each unit keeps all its rows. Runs begin anywhere that leaves them whole; the drawn units are cut to as many as
-    there are. Replicates of one class are left out; with fewer than `least` units there is no row. Rows are summed by
-    unit and score first, and replicates weigh those sums.
+    there are. Replicates of one class are left out; with fewer than `least` units there is no row. Rows are dealt out
+    by ranges of the score and never repeated: a task weighs its own by how often each replicate drew their unit, for all
+    replicates at once, and starts from the sums of the ranges before. Broadcast is a row a unit; sums by range and
+    replicate go through the driver.
     """
-    d = df.filter(f"{y} is not null and {score} is not null").groupBy(F.col(unit).alias("unit"), (-F.col(score).cast("double")).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count(F.lit(1)).alias("c"))
+    d = written(df.filter(f"{y} is not null and {score} is not null").select(F.col(unit).alias("unit"), (-F.col(score).cast("double")).alias("s"), (F.col(y) == 1).cast("double").alias("p")))
     units = d.select("unit").distinct().withColumn("place", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).filter(F.col("n") >= least)  # a row per unit
     slots = units.select(F.col("place").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     start = _draw(F.greatest(F.col("n") - block + 1, F.lit(1)), F.col("rep").cast("string"), F.floor(F.col("slot") / block).cast("string"))
-    drawn = slots.withColumn("place", (start + F.col("slot") % block).cast("long")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times")).join(units.select("unit", "place"), "place")
-    w = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # a row per replicate and distinct score
-    t = d.join(drawn, "unit").groupBy("rep", "s").agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("c") * F.col("times")).alias("c")).withColumns({"_p": F.sum("p").over(w), "_c": F.sum("c").over(w)})
-    reps = t.groupBy("rep").agg(F.sum("p").alias("pos"), F.sum("c").alias("all"), (F.sum(F.col("p") * F.col("_p") / F.col("_c")) / F.sum("p")).alias("ap")).filter("pos > 0 and pos < all")
+    drawn = slots.withColumn("place", (start + F.col("slot") % block).cast("long")).groupBy("place", "rep").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    drawn = drawn.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("rep", "times"))).alias("_m")).join(units.select("unit", "place"), "place")
+    times = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))
+    drawn = written(drawn.select("unit", times.alias("times")))
+    ranged = written(d.repartitionByRange("s").sortWithinPartitions("s").withColumn("_range", F.spark_partition_id()))
+    rows = ranged.join(F.broadcast(drawn), "unit").select("s", "p", "_range", "times")
+    sums = rows.mapInArrow(lambda batches: _range_sums(batches, replicates), "range int, rep int, p double, c double").toPandas().sort_values(["range", "rep"])
+    before, p, c = {}, np.zeros(replicates), np.zeros(replicates)
+    for k, part in sums.groupby("range"):
+        before[int(k)] = (p, c)
+        p, c = p + part["p"].to_numpy(), c + part["c"].to_numpy()
+    reps = rows.mapInArrow(lambda batches: _range_precision(batches, replicates, before), "rep int, a double").groupBy("rep").agg(F.sum("a").alias("a"))
+    whole = d.sparkSession.createDataFrame([(i + 1, float(p[i]), float(c[i])) for i in range(replicates)], "rep int, pos double, all double")
+    reps = reps.join(F.broadcast(whole), "rep").filter("pos > 0 and pos < all").select((F.col("a") / F.col("pos")).alias("ap"))
     return reps.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("ap", 0.025).alias("low"), F.percentile("ap", 0.5).alias("median"), F.percentile("ap", 0.975).alias("high")).filter("replicates > 0")
 
 
+def _weights(batch: pa.RecordBatch, replicates: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' weights, and those of events, by replicate."""
+    c = batch.column("times").flatten().to_numpy().reshape(-1, replicates).astype(np.float64)
+    return batch.column("p").to_numpy()[:, None] * c, c
+
+
+def _range_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """A range's events and rows by replicate."""
+    at, p, c = None, np.zeros(replicates), np.zeros(replicates)
+    for batch in batches:
+        if batch.num_rows:
+            at, (events, rows) = batch.column("_range")[0].as_py(), _weights(batch, replicates)
+            p, c = p + events.sum(axis=0), c + rows.sum(axis=0)
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at] * replicates, pa.int32()), pa.array(range(1, replicates + 1), pa.int32()), pa.array(p), pa.array(c)], names=["range", "rep", "p", "c"])
+
+
+def _range_precision(batches: Iterator[pa.RecordBatch], replicates: int, before: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A range's part of the sum, over scores in order, of events x precision so far; equal scores are one step."""
+    out, last = np.zeros(replicates), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, (events, rows) = batch.column("s").to_numpy(), _weights(batch, replicates)
+        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        gp, gc = np.add.reduceat(events, starts), np.add.reduceat(rows, starts)
+        if last is None:
+            p, c = before[batch.column("_range")[0].as_py()]
+        elif last[0] == s[0]:
+            gp[0] += last[1]
+            gc[0] += last[2]
+        else:
+            gp, gc = np.vstack([last[1], gp]), np.vstack([last[2], gc])
+        last = (s[-1], gp[-1], gc[-1])  # may go on in the next batch
+        cp, cc = p + np.cumsum(gp[:-1], axis=0), c + np.cumsum(gc[:-1], axis=0)
+        out += (gp[:-1] * np.divide(cp, cc, out=np.zeros_like(cp), where=cc > 0)).sum(axis=0)
+        if len(cp):
+            p, c = cp[-1], cc[-1]
+    if last is not None:
+        cp, cc = p + last[1], c + last[2]
+        out += last[1] * np.divide(cp, cc, out=np.zeros_like(cp), where=cc > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, replicates + 1), pa.int32()), pa.array(out)], names=["rep", "a"])
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, x: str, replicates: int = 200) -> DataFrame:
     """K17 whole clusters (symbols) drawn again, from their sums."""
     per = df.filter(F.col(x).isNotNull()).groupBy(F.col(cluster).alias("date")).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))

@@ -53,3 +53,16 @@ def test_titles_are_matched_only_where_a_bound_allows_it(monkeypatch):
     assert want < 0.91 and text.title_ratio(a, a, 0.91) == 1.0 == text.title_ratio("", "", 0.91)
     monkeypatch.setattr(text, "SequenceMatcher", None)
     assert text.title_ratio(a, b, 0.91) == 0.0
+
+
+def test_bootstrap_does_not_repeat_rows_by_replicate(spark, monkeypatch):
+    seen, before = [], validate.written
+    def counted(df):
+        out = before(df)
+        seen.append((out.count(), len(out.columns)))
+        return out
+    monkeypatch.setattr(validate, "written", counted)
+    d = spark.range(0, 3000, 1, 3).selectExpr("id % 30 AS unit", "cast(id % 7 = 0 as int) AS y", "cast(id * 7919 % 101 as double) AS score")
+    r = validate.bootstrap_precision(d, "unit", 40).first()
+    assert r["replicates"] == 40 and 0.05 < r["low"] <= r["median"] <= r["high"] < 0.4
+    assert sorted(n for n, _ in seen)[-2:] == [3000, 3000] and len(seen) == 3
