@@ -15,8 +15,10 @@ def percentile_ranks(df: DataFrame, x: str, name: str, descending: bool = False)
 
 def ordinal_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """E2 place by (x, symbol) from 0 to 1 within the date; 0 where a date has one row."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("date"))
-    return df.withColumn(name, F.coalesce(F.try_divide((F.row_number().over(Window.partitionBy("date").orderBy(x, "symbol")) - 1).cast("double"), n - 1), F.lit(0.0)))
+    n, nulls = F.count(F.lit(1)).over(Window.partitionBy("date")), F.count_if(F.col(x).isNull()).over(Window.partitionBy("date"))
+    row = F.row_number().over(Window.partitionBy("date").orderBy(F.col(x).asc_nulls_last(), "symbol"))
+    place = F.when(F.col(x).isNull(), row - (n - nulls)).otherwise(row + nulls)  # nulls come first; they are sorted last, as average ranks sort them
+    return df.withColumn(name, F.coalesce(F.try_divide((place - 1).cast("double"), n - 1), F.lit(0.0)))
 
 
 def market_state(df: DataFrame) -> DataFrame:
