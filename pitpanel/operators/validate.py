@@ -460,11 +460,14 @@ def backtest_cases(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def index_backtest(df: DataFrame, score: str = "score", dd: str = "fwd_dd") -> DataFrame:
-    """K41 per symbol: first 70 % of rows set the event (worst 5 % of drawdowns) and the alert (80th percentile); the rest is judged: rates, recall, lift."""
+    """K41 per symbol: first 70 % of rows set the event (worst 5 % of drawdowns) and the alert (80th percentile); the rest is judged: rates, recall, lift.
+
+    The bounds are window columns, so df is read once.
+    """
     w = Window.partitionBy("symbol")
     d = df.filter(f"{score} is not null and {dd} is not null").withColumn("_t", F.row_number().over(w.orderBy("date")) <= F.floor(F.count(F.lit(1)).over(w) * 0.7))
-    cut = d.filter("_t").groupBy("symbol").agg(F.percentile(dd, 0.05).alias("event_cut"), F.percentile(score, 0.8).alias("alert_cut"))
-    j = d.filter("not _t").join(cut, "symbol").withColumns({"_e": F.col(dd) <= F.col("event_cut"), "_a": F.col(score) >= F.col("alert_cut")})
+    cut = d.withColumns({"event_cut": F.percentile(F.when(F.col("_t"), F.col(dd)), 0.05).over(w), "alert_cut": F.percentile(F.when(F.col("_t"), F.col(score)), 0.8).over(w)})
+    j = cut.filter("not _t and event_cut is not null").withColumns({"_e": F.col(dd) <= F.col("event_cut"), "_a": F.col(score) >= F.col("alert_cut")})
     r = lambda c: F.count_if(c).cast("double")
     base, prec = F.try_divide(r(F.col("_e")), F.count(F.lit(1))), F.try_divide(r(F.col("_e") & F.col("_a")), F.nullif(r(F.col("_a")), F.lit(0.0)))
     return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), base.alias("event_rate"), prec.alias("precision"), F.try_divide(r(F.col("_e") & F.col("_a")), F.nullif(r(F.col("_e")), F.lit(0.0))).alias("recall"), F.try_divide(prec, F.nullif(base, F.lit(0.0))).alias("lift"))
