@@ -579,8 +579,8 @@ def _shocked(down: float, vol: float, z: float) -> str:
  SELECT l.symbol, coalesce(d.drivers, '') AS drivers, CASE WHEN index_score >= 75 THEN 'CRITICAL' WHEN index_score >= 55 THEN 'HIGH' WHEN index_score >= 32 THEN 'WATCH' ELSE 'LOW' END AS state, 'Risk is ' || CASE WHEN index_score >= 75 THEN 'critical' WHEN index_score >= 55 THEN 'high' WHEN index_score >= 32 THEN 'watch' ELSE 'low' END || ', led by ' || coalesce(two, '') AS narrative, coalesce(a.alerts, 'normal:LOW') AS alerts, round(worst, 3) AS worst_scenario,
    CASE WHEN worst >= 75 THEN 'CRITICAL' WHEN worst >= 55 THEN 'HIGH' WHEN worst >= 32 THEN 'WATCH' ELSE 'LOW' END AS worst_state FROM l LEFT JOIN d USING (symbol) LEFT JOIN a USING (symbol) JOIN x USING (symbol)""")
 def j08(spark, sf_dir):
-    """The latest row's drivers, alerts, text, and its score after a shock."""
-    last = studies.tail_rows(scored(spark, sf_dir))
+    """The latest row's drivers, alerts, text, and its score after a shock. The rows, one a symbol, are written once for the three."""
+    last = written(studies.tail_rows(scored(spark, sf_dir)).select("symbol", "date", "index_score", *risk.INDEX_WEIGHTS))
     last = risk.narrative(risk.drivers(last, {k: v / 100 for k, v in risk.INDEX_WEIGHTS.items()}).withColumn("state", risk.state_band("index_score", *risk.INDEX_BANDS)), "index_score", "state")
     a = risk.alerts(last).groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "alert", "severity"))), lambda x: F.concat_ws(":", x["alert"], x["severity"])), ",").alias("alerts"))
     shock = risk.scenarios(last.select("symbol", *risk.INDEX_WEIGHTS), {"mild": (-0.03, 1.5, 1.0), "severe": (-0.08, 2.5, 3.0)}).groupBy("symbol").agg(F.max("scenario_score").alias("worst_scenario"), F.max_by("scenario_state", "scenario_score").alias("worst_state"))

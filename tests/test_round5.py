@@ -35,3 +35,9 @@ def test_ranks_keep_their_places_with_nulls_and_ties(spark):
     third = 1 / 3
     assert [x["up"] for x in r] == [None, pytest.approx(2.5 * third), pytest.approx(third), pytest.approx(2.5 * third), None]
     assert [x["down"] for x in r] == [None, pytest.approx(1.5 * third), pytest.approx(3 * third), pytest.approx(1.5 * third), None]
+
+
+def test_panel_is_read_once(spark):
+    """Of the backtest's bounds and rows, and of the latest rows' drivers, alerts and scenarios."""
+    assert plan(registry.QUERIES["k41_index_backtest"](spark, "/root/testdata/sf0.001")).count("Scan parquet") == 1
+    assert plan(registry.QUERIES["j08_drivers_alerts"](spark, "/root/testdata/sf0.001")).count("Scan parquet") == 0  # written before
