@@ -6,6 +6,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,15 +232,40 @@ def kept_titles(items: DataFrame, last: int = 220, least: float = 0.82, ratio: f
     return rows.repartition("symbol").sortWithinPartitions("symbol", "published_at", "id").mapInPandas(keep, "symbol long, id long, kept boolean")
 
 
+def _most_alike(rows: pd.DataFrame, days: int) -> pd.DataFrame:
+    """id and the largest word similarity with the rows that are not `own` of the days before, for each own row that has such."""
+    past, own = rows[~rows["own"]].sort_values("d"), rows[rows["own"]]
+    at, day = past["d"].to_numpy(), own["d"].to_numpy()
+    size = past["t"].str.len().to_numpy()
+    code, _ = pd.factorize(np.concatenate([*past["t"], *own["t"], np.array([], object)]))
+    words, own_ends = code[: size.sum()], np.cumsum(own["t"].str.len().to_numpy()) + size.sum()
+    order = np.argsort(words, kind="stable")
+    holder, ends = np.repeat(np.arange(len(past)), size)[order], np.searchsorted(words[order], np.arange(code.max(initial=-1) + 2))
+    low, high = np.searchsorted(at, day - days), np.searchsorted(at, day)
+    ids, best = [], []
+    for i, id_ in enumerate(own["id"]):
+        if low[i] == high[i]:
+            continue
+        mine = code[own_ends[i - 1] if i else size.sum() : own_ends[i]]
+        both = np.bincount(np.concatenate([np.array([], int), *[holder[ends[w] : ends[w + 1]] for w in mine]]), minlength=len(past))[low[i] : high[i]]
+        either = size[low[i] : high[i]] + len(mine) - both
+        ids.append(id_)
+        best.append(float(np.max(both / np.maximum(either, 1))))
+    return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "_s": pd.Series(best, dtype="float64")})
+
+
 def novelty(items: DataFrame, days: int = 30) -> DataFrame:
     """H9 1 - the largest title similarity with the symbol's items of the days before; 1 without any.
 
-    Items meet by symbol and 30-day bucket (its own and the one before), so the join is bounded in time.
+    Items meet by symbol and 30-day bucket (its own and the one before), so a group is bounded in time. Within it words
+    in common are counted by lists of the titles that hold a word: all pairs of a group still count, as numbers in an
+    array instead of rows with two lists of words.
     """
-    t = items.withColumns({"_t": tokens(F.coalesce("title", F.lit(""))), "_d": F.unix_date(F.to_date("published_at"))}).withColumn("_b", F.floor(F.col("_d") / days))
-    past = t.select("symbol", F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b"), F.col("id").alias("_id"), F.col("_t").alias("_pt"), F.col("_d").alias("_pd"))
-    j = t.select("symbol", "_b", "id", "_t", "_d").join(past, ["symbol", "_b"]).filter((F.col("_pd") < F.col("_d")) & (F.col("_pd") >= F.col("_d") - days))
-    best = j.groupBy("id").agg(F.max(jaccard(F.col("_t"), F.col("_pt"))).alias("_s"))
+    t = items.select("symbol", F.col("id").cast("long").alias("id"), tokens(F.coalesce("title", F.lit(""))).alias("t"), F.unix_date(F.to_date("published_at")).alias("d")).filter("symbol is not null and d is not null")
+    bucket = F.floor(F.col("d") / days)
+    side = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), *[F.struct((bucket + k).alias("b"), F.lit(False).alias("own")) for k in (0, 1)]))
+    met = t.withColumn("_x", side).select("symbol", "_x.b", "_x.own", "id", "t", "d")
+    best = met.groupBy("symbol", "b").applyInPandas(lambda rows: _most_alike(rows, days), "id long, _s double").groupBy("id").agg(F.max("_s").alias("_s"))
     return items.join(best, "id", "left").withColumn("novelty", 1 - F.coalesce("_s", F.lit(0.0))).drop("_s")
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from pitpanel.functions.checkpoints import written
-from pitpanel.operators import models, validate, xsection
+from pitpanel.operators import models, text, validate, xsection
 from pitpanel.plans import registry
 
 
@@ -41,3 +41,11 @@ def test_panel_is_read_once(spark):
     """Of the backtest's bounds and rows, and of the latest rows' drivers, alerts and scenarios."""
     assert plan(registry.QUERIES["k41_index_backtest"](spark, "/root/testdata/sf0.001")).count("Scan parquet") == 1
     assert plan(registry.QUERIES["j08_drivers_alerts"](spark, "/root/testdata/sf0.001")).count("Scan parquet") == 0  # written before
+
+
+def test_novelty_makes_no_row_a_pair(spark):
+    at = lambda d: f"timestamp'2000-01-01' + make_interval(0, 0, 0, {d})"
+    items = spark.sql("SELECT * FROM VALUES (1, 1L, 'a b c d', 0), (1, 2L, 'a b c e', 3), (1, 3L, 'x', 3), (1, 4L, 'a b c d', 33), (1, 5L, '', 34), (2, 6L, 'a b c d', 40), (1, 7L, 'e x', 30), (1, 8L, cast(null as string), 64), (1, 9L, 'a b c d', 64) t(symbol, id, title, day)").selectExpr("symbol", "id", "title", f"{at('day')} AS published_at")
+    got = text.novelty(items)
+    assert {r["id"]: round(r["novelty"], 6) for r in got.collect()} == {1: 1.0, 2: 0.4, 3: 1.0, 4: 0.4, 5: 1.0, 6: 1.0, 7: 0.5, 8: 1.0, 9: 1.0}
+    assert plan(text.novelty(items)).count("Join") == 1  # items with their own best
