@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, clamp, following, trailing, with_ema, with_emas
+from ..functions.frames import Frame, frame_name, with_frames
 
 YEAR = 252
 
@@ -19,6 +20,64 @@ def _lag(x: str, k: int):
     return F.lag(x, k).over(by_symbol())
 
 
+_TAKEN = {"count": F.count, "mean": F.avg, "sd": F.stddev_samp, "max": F.max}
+
+
+def taken(df: DataFrame, kind: str, x: str, n: int, last: int = 0, of: Column | None = None) -> Column:
+    """The frame's value: the column that with_frames() has made of it, else a window over x (or `of`, where x only names it)."""
+    name, w = frame_name(kind, x, n, last), trailing(n, last)
+    if name in df.columns:
+        return F.col(name)
+    v = F.col(x) if of is None else of
+    return F.when(F.count(v).over(w) >= n, F.avg(v).over(w)) if kind == "whole" else _TAKEN[kind](v).over(w)
+
+
+def _named(*frames: Frame) -> dict[str, Frame]:
+    return {frame_name(f.kind, f.of, f.n, f.last): f for f in frames}
+
+
+#: Frames by the columns that the operators below look for: the year's place of D3's volatility (which is one of them), the strength index, traded volume.
+YEAR_FRAMES = {"vol20": Frame("sd", "ret1", 20, 0, 20, YEAR**0.5)} | _named(*[Frame(k, "vol20", 252, -1) for k in ("below", "count")])
+RSI_FRAMES = _named(Frame("mean", "_up", 14), Frame("mean", "_down", 14), Frame("count", "_d", 14))
+TRADED_FRAMES = _named(*[Frame(k, "_traded", 20, -1) for k in ("mean", "sd")])
+#: Those of D3, D4, D12 and D13, of D17 and D18, and of the scan's scores.
+STATE_FRAMES = YEAR_FRAMES | _named(*[Frame("whole", "close", n) for n in (20, 50, 200)], *[Frame("max", "close", n) for n in (20, 60)])
+REVERSAL_FRAMES = RSI_FRAMES | TRADED_FRAMES | _named(*[Frame("sd", "ret1", n) for n in (5, 20)], Frame("mean", "close", 5), Frame("mean", "close", 20), Frame("mean", "_span", 5))
+SCAN_FRAMES = YEAR_FRAMES | RSI_FRAMES | TRADED_FRAMES | _named(*[Frame("whole", "close", n) for n in (50, 200)], Frame("max", "close", 60), *[Frame("mean", "volume", n) for n in (10, 30)])
+
+
+def frame_inputs(df: DataFrame) -> DataFrame:
+    """df with the columns that frames are taken of besides its own; before other windows than by symbol and date, they share the sort of returns()."""
+    d = F.col("close") - _lag("close", 1)
+    return df.withColumns({"_d": d, "_up": _up(d), "_down": _up(-d), "_traded": _traded(), "_span": _span()})
+
+
+def framed(df: DataFrame, frames: dict[str, Frame], keep: list[str]) -> DataFrame:
+    """symbol, date and the columns `keep` of rows with returns() and frame_inputs(), with the frames, all made in one pass.
+
+    Rows are left in the order of symbol and date. The sort also ends the generated method, so that the frames and the
+    features made of them do not share one too long to be compiled.
+    """
+    return with_frames(df, frames, keep).sortWithinPartitions("symbol", "date")
+
+
+def unframed(df: DataFrame) -> DataFrame:
+    """df without the frames, once all features are made of them."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def _up(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
+
+
+def _traded() -> Column:
+    return F.when(F.col("volume") > 0, F.col("volume"))
+
+
+def _span() -> Column:
+    return F.try_divide(F.col("high") - F.col("low"), "close")
+
+
 def returns(bars: DataFrame, log: tuple[int, ...] = (1, 2, 3, 5, 10, 20, 60), simple: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     """D1 log returns ret{k}, D2 simple returns sret{k} over k rows."""
     out = {f"ret{k}": F.log(F.try_divide("close", _lag("close", k))) for k in log} | {f"sret{k}": F.try_divide("close", _lag("close", k)) - 1 for k in simple}
@@ -34,7 +93,7 @@ def realized_volatility(df: DataFrame, n: int = 20, annualised: bool = True) ->
 
 def moving_average_gaps(df: DataFrame, spans: tuple[int, ...] = (5, 10, 20, 50, 100, 200)) -> DataFrame:
     """D4 close over its mean of n rows, less 1; null until n rows are there."""
-    return df.withColumns({f"gap{n}": F.when(F.count("close").over(trailing(n)) >= n, F.try_divide("close", F.avg("close").over(trailing(n))) - 1) for n in spans})
+    return df.withColumns({f"gap{n}": F.try_divide("close", taken(df, "whole", "close", n)) - 1 for n in spans})
 
 
 def exponential_means(df: DataFrame, spans: tuple[int, ...] = (12, 26)) -> DataFrame:
@@ -61,7 +120,7 @@ def rsi_simple(df: DataFrame, n: int = 14) -> DataFrame:
     """D8 relative strength with plain means of n differences: 50 before n of them, 100 where losses vanish."""
     d = F.col("close") - _lag("close", 1)
     df = df.withColumn("_d", d)
-    up, down, seen = (F.avg(F.greatest(F.col("_d"), F.lit(0.0))).over(trailing(n)), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).over(trailing(n)), F.count("_d").over(trailing(n)))
+    up, down, seen = taken(df, "mean", "_up", n, of=_up(F.col("_d"))), taken(df, "mean", "_down", n, of=_up(-F.col("_d"))), taken(df, "count", "_d", n)
     return df.withColumn("rsi_simple", F.when(seen < n, 50.0).when(down < 1e-12, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))).drop("_d")
 
 
@@ -87,35 +146,37 @@ def candle_shape(df: DataFrame) -> DataFrame:
 
 def drawdowns(df: DataFrame, spans: tuple[int, ...] = (20, 60)) -> DataFrame:
     """D12 close over the highest close of n rows, less 1."""
-    return df.withColumns({f"dd{n}": F.try_divide("close", F.max("close").over(trailing(n))) - 1 for n in spans})
+    return df.withColumns({f"dd{n}": F.try_divide("close", taken(df, "max", "close", n)) - 1 for n in spans})
 
 
 def volatility_percentile(df: DataFrame, vol: str = "vol20", back: int = 252, least: int = 60) -> DataFrame:
     """D13 share of the trailing volatilities that are at most the current one: vol_pct of those before, vol_pct_incl with the current row."""
-    df = df.withColumn("_past", F.collect_list(vol).over(trailing(back, -1)))
-    df = df.withColumn("_below", F.size(F.filter("_past", lambda x: x <= F.col(vol)))).withColumn("_n", F.size("_past"))
+    below, seen = frame_name("below", vol, back, -1), frame_name("count", vol, back, -1)
+    if below in df.columns:
+        df = df.withColumn("_below", F.col(below)).withColumn("_n", F.col(seen))
+    else:
+        df = df.withColumn("_past", F.collect_list(vol).over(trailing(back, -1)))
+        df = df.withColumn("_below", F.size(F.filter("_past", lambda x: x <= F.col(vol)))).withColumn("_n", F.size("_past"))
     known = F.col(vol).isNotNull() & (F.col("_n") >= least)
     return df.withColumns({"vol_pct": F.when(known, F.col("_below") / F.col("_n")), "vol_pct_incl": F.when(known, (F.col("_below") + 1) / (F.col("_n") + 1))}).drop("_past", "_below", "_n")
 
 
 def volume_scores(df: DataFrame, n: int = 20) -> DataFrame:
     """D14 z of volume against n positive volumes before; D15 z with the current row, ratios to means of 5 and 20."""
-    v = F.when(F.col("volume") > 0, F.col("volume"))
-    before, incl = trailing(n, -1), trailing(n)
-    out = {"volume_z_prior": F.try_divide(F.col("volume") - F.avg(v).over(before), F.nullif(F.stddev_samp(v).over(before), F.lit(0.0))), "volume_z_incl": F.try_divide(F.col("volume") - F.avg("volume").over(incl), F.nullif(F.stddev_samp("volume").over(incl), F.lit(0.0)))}
-    out |= {f"volume_ratio{k}": F.try_divide("volume", F.avg("volume").over(trailing(k))) for k in (5, 20)}
+    z = lambda x, last, of=None: F.try_divide(F.col("volume") - taken(df, "mean", x, n, last, of), F.nullif(taken(df, "sd", x, n, last, of), F.lit(0.0)))
+    out = {"volume_z_prior": z("_traded", -1, _traded()), "volume_z_incl": z("volume", 0)}
+    out |= {f"volume_ratio{k}": F.try_divide("volume", taken(df, "mean", "volume", k)) for k in (5, 20)}
     return df.withColumns(out)
 
 
 def shock(df: DataFrame, n: int = 20) -> DataFrame:
     """D16 z of the return against the n returns before."""
-    before = trailing(n, -1)
-    return df.withColumn("shock_z", F.try_divide(F.col("ret1") - F.avg("ret1").over(before), F.nullif(F.stddev_samp("ret1").over(before), F.lit(0.0))))
+    return df.withColumn("shock_z", F.try_divide(F.col("ret1") - taken(df, "mean", "ret1", n, -1), F.nullif(taken(df, "sd", "ret1", n, -1), F.lit(0.0))))
 
 
 def reversal_a(df: DataFrame) -> DataFrame:
     """D17 return over volatility turned round, short against long drift, short against long volatility."""
-    df = df.withColumn("_v5", F.stddev_samp("ret1").over(trailing(5))).withColumn("_v20", F.stddev_samp("ret1").over(trailing(20)))
+    df = df.withColumns({f"_v{n}": taken(df, "sd", "ret1", n) for n in (5, 20)})
     return df.withColumns({"rev_z": -F.try_divide("ret1", F.nullif("_v20", F.lit(0.0))), "drift_gap": F.col("ret5") / 5 - F.col("ret20") / 20, "vol_ratio": F.try_divide("_v5", F.nullif("_v20", F.lit(0.0)))}).drop("_v5", "_v20")
 
 
@@ -125,10 +186,9 @@ def reversal_b(df: DataFrame) -> DataFrame:
     Volatilities are annualised. Missing inputs count as 0 (the strength index as its middle).
     """
     c = lambda x, low, high, none=0.0: F.coalesce(clamp(x if isinstance(x, Column) else F.col(x), low, high), F.lit(float(none)))
-    span = F.try_divide(F.col("high") - F.col("low"), "close")
-    df = df.withColumns({"_v5": F.greatest(c(F.stddev_samp("ret1").over(trailing(5)) * YEAR**0.5, 0, 2), F.lit(1e-5)), "_v20": F.greatest(c(F.stddev_samp("ret1").over(trailing(20)) * YEAR**0.5, 0, 2), F.lit(1e-5)), "_g1": c(span, 0, 2), "_g5": F.greatest(c(F.avg(span).over(trailing(5)), 0, 2), F.lit(1e-5))})
+    df = df.withColumns({f"_v{n}": F.greatest(c(taken(df, "sd", "ret1", n) * YEAR**0.5, 0, 2), F.lit(1e-5)) for n in (5, 20)} | {"_g1": c(_span(), 0, 2), "_g5": F.greatest(c(taken(df, "mean", "_span", 5, of=_span()), 0, 2), F.lit(1e-5))})
     df = df.withColumns({f"_r{k}": c(f"ret{k}", -1, 1) for k in (1, 2, 5, 10, 20)})
-    df = df.withColumns({"_t5": c(F.try_divide("close", F.avg("close").over(trailing(5))) - 1, -2, 2), "_t20": c(F.try_divide("close", F.avg("close").over(trailing(20))) - 1, -2, 2), "_rsi": c(F.col("rsi_simple") / 100, 0, 1, 0.5), "_z": c("volume_z_prior", -8, 8)})
+    df = df.withColumns({f"_t{n}": c(F.try_divide("close", taken(df, "mean", "close", n)) - 1, -2, 2) for n in (5, 20)} | {"_rsi": c(F.col("rsi_simple") / 100, 0, 1, 0.5), "_z": c("volume_z_prior", -8, 8)})
     up = lambda x: F.greatest(F.col(x), F.lit(0.0))
     down = lambda x: F.greatest(-F.col(x), F.lit(0.0))
     oversold, overbought = F.greatest((0.45 - F.col("_rsi")) / 0.45, F.lit(0.0)), F.greatest((F.col("_rsi") - 0.55) / 0.45, F.lit(0.0))

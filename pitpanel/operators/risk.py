@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, clamp
+from .features import taken
 
 
 def _fall(x: str | Column, full: float) -> Column:
@@ -65,8 +66,8 @@ def technical_score(df: DataFrame) -> DataFrame:
 
 def screener_inputs(df: DataFrame) -> DataFrame:
     """vol_day (per cent a day), volume_ratio10 and turnover30 (mean turnover of 30 rows) of a panel."""
-    rows = lambda n: by_symbol().rowsBetween(1 - n, 0)
-    return df.withColumns({"vol_day": F.col("vol20") * (100 / 252**0.5), "volume_ratio10": F.try_divide("volume", F.avg("volume").over(rows(10))), "turnover30": F.col("close") * F.avg("volume").over(rows(30))})
+    mean = lambda n: taken(df, "mean", "volume", n)
+    return df.withColumns({"vol_day": F.col("vol20") * (100 / 252**0.5), "volume_ratio10": F.try_divide("volume", mean(10)), "turnover30": F.col("close") * mean(30)})
 
 
 def screener_score(df: DataFrame, market: str | None = "market20") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import boosting, features, flow, forecast, gram, joins, models,
 from ..sources import adapters
 from ..sources.adapters import ARTICLES_SQL, BARS_SQL, FLOWS_SQL, MACRO_SQL, SECTORS_SQL, articles, bars, flows, macro, sectors, table, ticks
 from ..streaming import panels
-from .panel import ORACLES, PANEL_SQL, QUERIES, SCORED_SQL, W, _ema_sql, frame, held, panel, query, rounded, scored
+from .panel import ORACLES, PANEL_SQL, QUERIES, SCORED_SQL, W, _ema_sql, featured, frame, held, panel, query, rounded, scored
 
 POS, NEG = ("the", "und", "que"), ("of", "der", "les")
 KINDS = {"A": ("ea", "en", "la"), "B": ("er", "de", "an"), "C": ("on", "in", "es")}
@@ -506,13 +506,19 @@ def j01(spark, sf_dir):
     return scored(spark, sf_dir).withColumn("s", F.round("index_score", 4)).select("symbol", "date", risk.state_band("s", *risk.INDEX_BANDS).alias("state"))
 
 
+_SCAN_RETURNS = ("ret1", "ret5", "ret20", "sret1", "sret20")
+
+
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with the screener's score, flags and states; the market's month is the date's median.
 
     Medians are taken aside and broadcast, a row a date, so the panel keeps its place by symbol.
+    Its frames are made in one pass, after the exponential means, whose sort they share.
     """
     months = features.returns(bars(spark, sf_dir), (), (20,)).filter("sret20 is not null").groupBy("date").agg(F.median("sret20").alias("market20"))
-    p = features.macd(risk.screener_inputs(panel(spark, sf_dir))).join(F.broadcast(months), "date", "left")
+    df = features.framed(features.macd(features.frame_inputs(features.returns(bars(spark, sf_dir)))), features.SCAN_FRAMES, ["open", "high", "low", "close", "volume", *_SCAN_RETURNS, "macd_gap", "macd_hist"])
+    rest = features.returns(df, (2, 3, 10, 60), (5,))  # windows, for those who take them
+    p = features.unframed(risk.screener_inputs(featured(rest))).join(F.broadcast(months), "date", "left").sortWithinPartitions("symbol", "date")
     s = risk.stress_flags(risk.screener_score(risk.technical_score(risk.index_pressures(p))))
     s = s.withColumn("status", risk.scan_status(liquid=F.col("turnover30") >= LIQUID))
     return s.withColumn("prev_status", F.lag("status").over(Window.partitionBy("symbol").orderBy("date")))
