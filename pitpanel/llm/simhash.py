@@ -90,7 +90,7 @@ def _links(points: DataFrame, distance: int) -> DataFrame:
     spread = points.repartition(max(shuffle_partitions(points.sparkSession), -(-points.count() // POINTS)))  # some 26 cells a point
     rows = spread.select("fp", F.explode(_cells(embedded(F.col("fp")))).alias("c")).select("c.cell", "c.home", "fp")
     met = rows.groupBy("cell").agg(F.min(F.when(F.col("home"), F.col("fp"))).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("pivot is not null and n > 1").select("cell", "pivot")
-    entries = checkpointed(rows.join(met, "cell"))
+    entries = checkpointed(rows.hint("merge").join(met, "cell"))  # as rows are laid out after the shuffle, Spark takes them for small and would broadcast them
     first = checkpointed(entries.filter("fp <> pivot").filter(_near("fp", "pivot", distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct())
     comp = components(first).withColumnRenamed("node", "fp")
     entries = entries.drop("pivot").join(comp, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
