@@ -38,9 +38,12 @@ def cross_source_mad(a: DataFrame, b: DataFrame, last: int = 300, least: int = 6
 
 def venue_band(bars: DataFrame, transfers: DataFrame, band: float = 0.07, before: float = 0.15, guard: float = 0.02) -> DataFrame:
     """C5 the log band of a move that ends at a row: +-(band + guard), before a transfer of venue log(1 -+ before) -+ guard."""
-    df = bars.join(transfers.select("symbol", "transfer_date"), "symbol", "left")
-    early = F.coalesce(F.col("date") < F.col("transfer_date"), F.lit(False))
-    return df.withColumns({"band_low": F.when(early, F.log(F.lit(1 - before)) - guard).otherwise(F.lit(-(band + guard))), "band_high": F.when(early, F.log(F.lit(1 + before)) + guard).otherwise(F.lit(band + guard))}).drop("transfer_date")
+    return bars.join(transfers.select("symbol", "transfer_date"), "symbol", "left").withColumns(_bands(F.col("transfer_date"), band, before, guard)).drop("transfer_date")
+
+
+def _bands(transfer: Column, band: float, before: float = 0.15, guard: float = 0.02) -> dict[str, Column]:
+    early = F.coalesce(F.col("date") < transfer, F.lit(False))
+    return {"band_low": F.when(early, F.log(F.lit(1 - before)) - guard).otherwise(F.lit(-(band + guard))), "band_high": F.when(early, F.log(F.lit(1 + before)) + guard).otherwise(F.lit(band + guard))}
 
 
 def splice(bars: DataFrame, reference: DataFrame, transfers: DataFrame, band: float = 0.07) -> DataFrame:
@@ -48,16 +51,24 @@ def splice(bars: DataFrame, reference: DataFrame, transfers: DataFrame, band: fl
 
     reference (symbol, date, model_close). model_close is the close times the product of the corrections so far.
     """
+    ref = reference.select("symbol", "date", F.col("model_close").alias("_b"))
+    return _spliced(venue_band(bars, transfers, band).join(ref, ["symbol", "date"], "left"), "_b").drop("_b")
+
+
+def splice_beside(bars: DataFrame, reference: str, transfer: Column, band: float = 0.07) -> DataFrame:
+    """C4 splice() of bars that hold the reference's close in a column and their symbol's date of transfer (or null): windows by symbol, no join."""
+    return _spliced(bars.withColumns(_bands(transfer, band)), reference)
+
+
+def _spliced(df: DataFrame, reference: str) -> DataFrame:
+    """splice() of rows with bands and the reference's close; the reference at the interval's start stands in the row before."""
     w = by_symbol()
-    df = venue_band(bars, transfers, band).withColumns({"_from": F.lag("date").over(w), "_r": F.log(F.try_divide("close", F.lag("close").over(w)))})
-    ref = reference.select("symbol", "date", "model_close")
-    df = df.join(ref.select("symbol", "date", F.col("model_close").alias("_b")), ["symbol", "date"], "left").join(ref.select("symbol", F.col("date").alias("_from"), F.col("model_close").alias("_a")), ["symbol", "_from"], "left")
+    df = df.withColumns({"from_date": F.lag("date").over(w), "raw_return": F.log(F.try_divide("close", F.lag("close").over(w))), "reference_return": F.log(F.try_divide(reference, F.lag(reference).over(w)))})
     inside = lambda x: (F.col(x) >= F.col("band_low")) & (F.col(x) <= F.col("band_high"))
-    df = df.withColumn("_q", F.log(F.try_divide("_b", "_a")))
-    df = df.withColumn("splice", F.when(F.col("_r").isNull() | inside("_r"), "kept").when(F.coalesce(inside("_q"), F.lit(False)), "reference").otherwise("violation"))
-    df = df.withColumn("correction", F.when(F.col("splice") == "reference", F.col("_q") - F.col("_r")).otherwise(0.0))
+    df = df.withColumn("splice", F.when(F.col("raw_return").isNull() | inside("raw_return"), "kept").when(F.coalesce(inside("reference_return"), F.lit(False)), "reference").otherwise("violation"))
+    df = df.withColumn("correction", F.when(F.col("splice") == "reference", F.col("reference_return") - F.col("raw_return")).otherwise(0.0))
     total = F.sum("correction").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("model_close", F.col("close") * F.exp(total)).withColumnRenamed("_r", "raw_return").withColumnRenamed("_q", "reference_return").withColumnRenamed("_from", "from_date").drop("_a", "_b")
+    return df.withColumn("model_close", F.col("close") * F.exp(total))
 
 
 def violation_classes(spliced: DataFrame, actions: DataFrame, limit: float = 0.03) -> DataFrame:
@@ -77,9 +88,9 @@ def largest_jump(bars: DataFrame, close: str = "close") -> DataFrame:
 
 def certified_suffix(spliced: DataFrame, least: int = 240) -> DataFrame:
     """C8 rows from a symbol's last violation on, if they are enough to pass the row gate again."""
-    breaks = spliced.filter("splice = 'violation'").groupBy("symbol").agg(F.max("date").alias("_break"))
-    tail = spliced.join(breaks, "symbol", "left").filter(F.col("_break").isNull() | (F.col("date") >= F.col("_break"))).drop("_break")
-    return tail.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("_n") >= least).drop("_n")
+    w = Window.partitionBy("symbol")
+    tail = spliced.withColumn("_break", F.max(F.when(F.col("splice") == "violation", F.col("date"))).over(w)).filter(F.col("_break").isNull() | (F.col("date") >= F.col("_break"))).drop("_break")
+    return tail.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") >= least).drop("_n")
 
 
 def route_audit(routes: DataFrame) -> DataFrame:
@@ -89,17 +100,23 @@ def route_audit(routes: DataFrame) -> DataFrame:
     actions are verified is said by the flags (of all its rows; null is no). A source is tried with each other one, and
     the best try is chosen: deep before not, verified before not, then the least median difference of one-row returns on
     common dates (none last), the most rows, the least priority, the source's name. A symbol's sources are few; they are
-    paired on (symbol, date), so no pair of unrelated rows arises. A single source is tried with none.
+    paired within (symbol, date), so no pair of unrelated rows arises. A single source is tried with none. Routes that are
+    dealt out by symbol are not shuffled again, and read once.
     """
     flag = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(False)).alias(c)
-    n = routes.groupBy("symbol", "source").agg(F.min("priority").alias("priority"), F.count(F.lit(1)).alias("rows"), flag("deep"), flag("verified"))
-    w = Window.partitionBy("symbol", "source").orderBy("date")
-    r = routes.withColumn("r", F.log(F.try_divide("close", F.lag("close").over(w)))).select("symbol", "source", "date", "r")
-    pair = r.join(r.select("symbol", "date", F.col("source").alias("other"), F.col("r").alias("ro")), ["symbol", "date"]).filter("source <> other")
-    mad = pair.groupBy("symbol", "source", "other").agg(F.median(F.abs(F.col("r") - F.col("ro"))).alias("mad"))
+    r = routes.withColumn("r", F.log(F.try_divide("close", F.lag("close").over(Window.partitionBy("symbol", "source").orderBy("date")))))
+    row = r.select("symbol", "date", F.struct("source", "priority", "deep", "verified", "r").alias("a"))
+    day = row.groupBy("symbol", "date").agg(F.collect_list("a").alias("all"))
+    # each row once with none, which counts it, and once with each row of another source on its date
+    none = F.array(F.struct(F.lit(None).cast(routes.schema["source"].dataType).alias("source"), F.lit(None).cast("double").alias("r")))
+    others = lambda a: F.transform(F.filter("all", lambda b: b["source"] != a["source"]), lambda b: F.struct(b["source"].alias("source"), b["r"].alias("r")))
+    pair = day.select("symbol", "all", F.explode("all").alias("a")).select("symbol", "a", F.explode(F.concat(none, others(F.col("a")))).alias("b")).select("symbol", "a.*", F.col("b.source").alias("other"), F.abs(F.col("a.r") - F.col("b.r")).alias("d"))
+    of_source = Window.partitionBy("symbol", "source")  # a row a source
+    alone = lambda c: F.max(F.when(F.col("other").isNull(), F.col(c))).over(of_source).alias(c)
+    tried = pair.groupBy("symbol", "source", "other").agg(F.min("priority").alias("priority"), F.count(F.lit(1)).alias("rows"), flag("deep"), flag("verified"), F.median("d").alias("mad"))
+    tried = tried.select("symbol", "source", "other", "mad", *[alone(c) for c in ("priority", "rows", "deep", "verified")], F.count("other").over(of_source).alias("_tries")).filter("other is not null or _tries = 0")
     order = Window.partitionBy("symbol").orderBy(F.desc("deep"), F.desc("verified"), F.asc_nulls_last("mad"), F.desc("rows"), "priority", "source", "other")  # a row a pair of sources
-    tried = n.join(mad, ["symbol", "source"], "left").withColumn("place", F.row_number().over(order))
-    return tried.filter("place = 1").select("symbol", "source", "other", "rows", "mad", "deep", "verified")
+    return tried.withColumn("place", F.row_number().over(order)).filter("place = 1").select("symbol", "source", "other", "rows", "mad", "deep", "verified")
 
 
 def median_index(bars: DataFrame, least: int = 25, limit: float = 0.35, start: float = 1000.0) -> DataFrame:
